@@ -56,6 +56,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, "_id long, fp long")
 
 
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits.  Unsigned, as the count of a negative number is that of its absolute value."""
+    return np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64))
+
+
 def linked(fps: np.ndarray, radius: int) -> np.ndarray:
     """For distinct fingerprints: the index of the least member of each one's component under the radius."""
     label = np.arange(len(fps))
@@ -63,7 +68,7 @@ def linked(fps: np.ndarray, radius: int) -> np.ndarray:
     while True:
         new = label.copy()
         for at in range(0, len(fps), step):
-            near = np.bitwise_count(fps[at : at + step, None] ^ fps[None, :]) <= radius
+            near = apart(fps[at : at + step, None], fps[None, :]) <= radius
             new[at : at + step] = np.where(near, label[None, :], len(fps)).min(axis=1)
         new = new[new]
         if np.array_equal(new, label):
@@ -95,7 +100,7 @@ def _runs(edges_too: bool, radius: int, limit: int):
             if len(size):
                 long_run = False
             two = at[:-1][(size == 2) & ~skip]
-            near = np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius
+            near = apart(fp[two], fp[two + 1]) <= radius
             a.append(fp[two][near])
             b.append(fp[two + 1][near])
             for i in np.flatnonzero((size > 2) & ~skip):
