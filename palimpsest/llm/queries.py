@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, mixing, neardup, quality
-from .shared import table
+from . import bpe, exact, fingerprints, mixing, neardup, quality, warc
+from .shared import saved, table
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,20 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_other: another document's fingerprint lies within the radius, found by the block tables."""
+    x = saved(fingerprints.edited_fingerprints(table(spark, sf_dir, "documents")))
+    each = x.groupBy("fp").agg(F.count("*").alias("_n"))
+    near = fingerprints.has_near(saved(each.select("fp"))).withColumn("_near", F.lit(True))
+    each = each.join(near, "fp", "left").select("fp", ((F.col("_n") > 1) | F.coalesce("_near", F.lit(False))).alias("near_other"))
+    name = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
+    return x.join(each, "fp").select("doc_id", "n_chars", "edited_sha256", name("fp").alias("fingerprint"), name("edited_fp").alias("edited_fingerprint"), "near_edited", "near_next", "near_other")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.fit(docs, labels.filter(~quality.held_out()))
@@ -36,7 +50,9 @@ def op10_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
+    "op2_warc_round_trip": op2_warc_round_trip,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_fingerprints": op6_fingerprints,
     "op8_quality": op8_quality,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_simhash_neardup": op10_simhash_neardup,
