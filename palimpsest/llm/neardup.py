@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.shipping import ship
+
 from .components import connected_components
 from .shared import numbered, renamed, saved, small_or_plain
 
@@ -136,6 +138,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, run_limit: int = RUN_LIMIT) ->
     """(a, b) over distinct fingerprints (fp): pairs that differ in at most two bits, or a path of such pairs for each."""
     if radius != RADIUS:
         raise ValueError("two segments with one wildcard cover a radius of 2")
+    ship(nodes.sparkSession)
     parts = (F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
     keys = F.explode(F.array(*[F.struct(F.lit(32 * s + i).alias("t"), part.bitwiseAND(F.lit(0xFFFFFFFF ^ (1 << i))).alias("k")) for s, part in enumerate(parts) for i in range(32)]))
     rows = nodes.select(keys.alias("v"), "fp").select("v.t", "v.k", "fp")

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.shipping import ship
+
 from .shared import renamed, saved
 
 PASSAGE, CHUNK = 600, 1 << 20
@@ -205,5 +207,6 @@ def kept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
                     scores, bags, held = [*scores, _scores(model, bags)], [], 0
             yield b.filter(pa.array(np.concatenate([*scores, _scores(model, bags)]) >= 0.5))
 
+    ship(docs.sparkSession)
     plain = docs.toDF(*names)
     return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

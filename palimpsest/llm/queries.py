@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, fingerprints, mixing, neardup, quality, warc
+from . import bpe, exact, fingerprints, mixing, neardup, quality, toxicity, warc
 from .shared import saved, table
 
 
@@ -23,6 +23,11 @@ def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.score(docs, toxicity.fit(docs, labels.filter(~quality.held_out())))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """near_other: another document's fingerprint lies within the radius, found by the block tables."""
     x = saved(fingerprints.edited_fingerprints(table(spark, sf_dir, "documents")))
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
     "op2_warc_round_trip": op2_warc_round_trip,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_toxicity": op5_toxicity,
     "op6_fingerprints": op6_fingerprints,
     "op8_quality": op8_quality,
     "op9_byte_bpe": op9_byte_bpe,

@@ -7,6 +7,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.shipping import ship
+
 #: White space of all contracts here: space and the control characters 9 to 13.
 SPACES = r"[\x20\x09-\x0D]+"
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -57,6 +59,7 @@ def small_or_plain(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 def renamed(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """Only the needed columns, by internal names, so that no other column of the input can clash."""
+    ship(docs.sparkSession)
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(m).alias(f"_{m}") for m in more])
 
 

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.shipping import ship
+
 from .shared import ensure_checkpoint_dir, saved, small_or_plain
 
 MAGIC = b"WARC/1.0\r\n"
@@ -64,6 +66,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
             rows = [record(b.column(0)[i].as_py(), b.column(1)[i].as_py(), b.column(2)[i].as_py() or b"", b.column(3)[i].as_py()) for i in range(len(b))]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["value"])
 
+    ship(pages.sparkSession)
     seen = saved(revisits(pages, id_col, html_col, least))
     html = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("_id"), F.col(url_col).alias("_url"), html.alias("_html"))
@@ -167,6 +170,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     Lengths and digests of responses come from their payloads, those of revisits from their headers.
     An empty folder or an archive without a valid first record gives no row of it.
     """
+    ship(spark)
     pieces = saved(_scan(spark, path).mapInArrow(_pieces, _PIECE))
     # Splits are placed by the sizes of those before them in the file.
     splits = pieces.groupBy("file", "block").agg(F.sum(F.col("size") + M).alias("_size"))
