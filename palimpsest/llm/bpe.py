@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
@@ -20,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.shipping import ship
+
 from .shared import renamed
 
 #: Pieces and pairs kept in memory by a worker; beyond that the memo starts anew, results are the same.
-MEMO, MEMO_BYTES, LONG = 300_000, 48, 1_000_000
+MEMO, PAIRS, MEMO_BYTES, LONG = 200_000, 500_000, 48, 1_000_000
 
 
 class Vocabulary:
@@ -36,8 +39,9 @@ class Vocabulary:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bytes_of = {v: k for k, v in self.ranks.items()}
         self.pattern = regex.compile(pattern)
-        self.suffixes = {k[i:] for k in self.ranks for i in range(len(k))}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        #: Every byte string with which a token ends: its rank, -1 if it is no token itself.
+        self.ends = {k[i:]: -1 for k in self.ranks for i in range(len(k))} | self.ranks
+        self.pairs: dict[int, bool] = {}
         self.reachable: dict[int, bool] = {}
         self.memo = _Memo(self)
 
@@ -58,10 +62,10 @@ class Vocabulary:
         return x
 
     def valid(self, a: int, b: int) -> bool:
-        if (x := self.pairs.get((a, b))) is None:
-            if len(self.pairs) > 4 * MEMO:
+        if (x := self.pairs.get(a << 32 | b)) is None:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
-            x = self.pairs[a, b] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            x = self.pairs[a << 32 | b] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return x
 
     def piece(self, data: bytes) -> list[int]:
@@ -78,21 +82,28 @@ class Vocabulary:
 
 
 class _Memo(dict):
-    """Piece -> ids as little-endian 32-bit integers."""
+    """Piece -> ids as little-endian 32-bit integers.  A full memo becomes the old one, which is still asked."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
+        self.vocabulary, self.old = vocabulary, {}
 
     def __missing__(self, piece: str) -> bytes:
-        data = piece.encode()
-        ids = np.array(self.vocabulary.piece(data), "<u4").tobytes()
-        if len(data) <= MEMO_BYTES:
-            if len(self) >= MEMO:
-                self.clear()
-            self[piece] = ids
+        ids = self.old.get(piece)
+        if ids is None:
+            data = piece.encode()
+            ids = b"".join(map(_PACK, self.vocabulary.piece(data)))
+            if len(data) > MEMO_BYTES:
+                return ids
+        if len(self) >= MEMO:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = ids
         return ids
 
 
+_PACK = struct.Struct("<I").pack
+
+
 class PrefixTable:
     """last[i]: the one token with which the encoding of the first i bytes ends."""
 
@@ -104,14 +115,22 @@ class PrefixTable:
         """Exact: the entries of the old prefixes hold for the longer text."""
         v, start = self.vocabulary, len(self.data)
         self.data += more
-        data, last, ranks, suffixes, valid, stands = self.data, self.last, v.ranks, v.suffixes, v.valid, v.stands
+        data, last, end, pair = self.data, self.last, v.ends.get, v.pairs.get
         for i in range(start + 1, len(data) + 1):
             for j in range(i - 1, -1, -1):
-                if (x := data[j:i]) not in suffixes:
+                t = end(data[j:i])
+                if t is None:
                     raise ValueError(f"no valid encoding at byte {i}")
-                if (t := ranks.get(x)) is not None and (valid(last[j], t) if j else stands(t)):
-                    last.append(t)
-                    break
+                if t >= 0:
+                    if j:
+                        ok = pair(last[j] << 32 | t)
+                        if ok is None:
+                            ok = v.valid(last[j], t)
+                    else:
+                        ok = v.stands(t)
+                    if ok:
+                        last.append(t)
+                        break
             else:
                 raise ValueError(f"no valid encoding at byte {i}")
 
@@ -174,6 +193,7 @@ def decoded(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", pat
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary())], ["id", "data"])
 
     path, pattern = _where(path, pattern)
+    ship(tokens.sparkSession)
     rows = tokens.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).alias("ids"))
     return rows.mapInArrow(run, "id long, data binary").withColumnRenamed("id", id_col)
 
