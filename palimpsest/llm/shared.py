@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.shipping import ship
+from palimpsest.storage import checkpoint_dir as ensure_checkpoint_dir
 
 #: White space of all contracts here: space and the control characters 9 to 13.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -21,19 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the session names; one of its own only where none is set, as in tests."""
-    sc = spark.sparkContext
-    at = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
-    if not at:
-        import tempfile
-
-        at = tempfile.mkdtemp(prefix="checkpoints-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(at)
-    return at
-
-
 @contextmanager
 def shuffles_freed(spark: SparkSession):
     """Shuffle files of the queries run inside go as soon as each ends."""
