@@ -28,3 +28,10 @@ def ship(spark: SparkSession) -> None:
                     at = os.path.join(folder, name)
                     z.write(at, os.path.join("palimpsest", os.path.relpath(at, home)))
     sc.addPyFile(target)
+
+
+def ship_active() -> None:
+    """As ship, for functions that make columns and know no session."""
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        ship(session)
