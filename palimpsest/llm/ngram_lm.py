@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from palimpsest.shipping import ship
 
 from .packing import bucket_of, mixed, pack, pack_sorted, unpack, unpack_sorted
-from .shared import renamed, saved
+from .shared import freed, renamed, saved
 
 #: Bytes of text in a block, and n-grams in a partition of the count table, on average.
 BLOCK, PART = 8 << 20, 2_000_000
@@ -71,6 +71,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> tu
     return rows.withColumn("_block", F.pmod(F.xxhash64("_id", F.xxhash64("_text")), F.lit(n))), total
 
 
+@freed
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, without_own: bool = True, block_bytes: int = BLOCK, part: int = PART) -> DataFrame:
     """One row per input row: id, n_tokens, score (sum of natural logs), mean_score (null without a token).
 

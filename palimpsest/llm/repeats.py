@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .packing import bucket_of, mixed, pack, unpack
-from .shared import renamed, saved
+from .shared import freed, renamed, saved
 
 WINDOW, K = 50, 20
 #: Bytes hashed at a time, bytes gathered before a task sends, suffixes or spans in a partition on average.
-CHUNK, GATHER, PART = 1 << 20, 24 << 20, 1_000_000
+CHUNK, GATHER, PART = 1 << 18, 8 << 20, 400_000
 _SIDE = 15
 _SHIFT = 6  # a span has at most WINDOW - K + 1 windows
 
@@ -49,7 +49,7 @@ class _Hashes:
     """Hash of any stretch of a buffer, by prefix sums."""
 
     def __init__(self, b: np.ndarray, which: int):
-        n = 1 << max(21, (len(b) + 1).bit_length())
+        n = 1 << (len(b) + 1).bit_length()
         table, power, self.inverse = _powers(which, n)
         self.sums = np.concatenate([[np.uint64(0)], np.cumsum(table[b] * power[: len(b)], dtype=np.uint64)])
 
@@ -277,6 +277,7 @@ def removed(n: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[new], np.append(end[:-1][new[1:]], end[-1:])
 
 
+@freed
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part: int = PART, texts: bool = False) -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256, and with texts the bytes that stay (kept).
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from contextlib import contextmanager
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @contextmanager
 def shuffles_freed(spark: SparkSession):
-    """Shuffle files of the queries run inside go as soon as each ends."""
+    """Shuffle files of frames made inside go as soon as a query over them ends."""
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
@@ -33,11 +34,21 @@ def shuffles_freed(spark: SparkSession):
         spark.conf.set(CLEANUP, before)
 
 
+def freed(f):
+    """For functions of a session or a frame first: what they plan frees its shuffle files when it has run."""
+
+    @wraps(f)
+    def run(first, *args, **more):
+        with shuffles_freed(first if isinstance(first, SparkSession) else first.sparkSession):
+            return f(first, *args, **more)
+
+    return run
+
+
 def saved(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: cuts lineage, survives lost executors; its shuffle files are freed."""
+    """Reliable checkpoint: cuts lineage and survives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
-    with shuffles_freed(df.sparkSession):
-        return df.checkpoint(eager=True)
+    return df.checkpoint(eager=True)
 
 
 def small_or_plain(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
