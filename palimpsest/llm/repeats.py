@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .packing import bucket_of, mixed, pack, unpack
-from .shared import freed, renamed, saved
+from .shared import freed, in_small_batches, renamed, saved
 
 WINDOW, K = 50, 20
-#: Bytes hashed at a time, bytes gathered before a task sends, suffixes or spans in a partition on average.
-CHUNK, GATHER, PART = 1 << 18, 8 << 20, 400_000
+#: Bytes hashed at a time, bytes gathered before a task sends, spans in a partition on average, windows held.
+CHUNK, GATHER, PART, HELD = 1 << 18, 8 << 20, 150_000, 500_000
 _SIDE = 15
 _SHIFT = 6  # a span has at most WINDOW - K + 1 windows
 
@@ -250,7 +250,7 @@ def covered(rows: DataFrame, part: int = PART) -> DataFrame:
                 h, g, place = windows(t, np.array(b.column(3)[i].values))
                 found.append((h, g, np.full(len(h), b.column(0)[i].as_py()), np.full(len(h), b.column(1)[i].as_py()), place << _SHIFT | 1))
                 held += len(h)
-                if held >= 2_000_000:
+                if held >= HELD:
                     yield from _send(_items(found), parts)
                     found, held = [], 0
             if found:
@@ -278,6 +278,7 @@ def removed(n: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 @freed
+@in_small_batches
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part: int = PART, texts: bool = False) -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256, and with texts the bytes that stay (kept).
 

@@ -16,7 +16,6 @@ SPACES = r"[\x20\x09-\x0D]+"
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Rows up to which a narrow table of fixed-width keys is broadcast (some tens of MB).
 BROADCAST_ROWS = 500_000
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,25 +23,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 @contextmanager
-def shuffles_freed(spark: SparkSession):
-    """Shuffle files of frames made inside go as soon as a query over them ends."""
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+def setting(spark: SparkSession, key: str, value: str):
+    """A session setting for what is planned and run inside."""
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(CLEANUP, before)
+        spark.conf.set(key, before)
 
 
-def freed(f):
-    """For functions of a session or a frame first: what they plan frees its shuffle files when it has run."""
+def _with(key: str, value: str):
+    def wrap(f):
+        @wraps(f)
+        def run(first, *args, **more):
+            with setting(first if isinstance(first, SparkSession) else first.sparkSession, key, value):
+                return f(first, *args, **more)
 
-    @wraps(f)
-    def run(first, *args, **more):
-        with shuffles_freed(first if isinstance(first, SparkSession) else first.sparkSession):
-            return f(first, *args, **more)
+        return run
 
-    return run
+    return wrap
+
+
+#: For functions of a session or a frame first: shuffle files of what they plan go as soon as it has run.
+freed = _with("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+#: Likewise: what they run passes texts to Python a thousand rows at a time.
+in_small_batches = _with("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
 def saved(df: DataFrame) -> DataFrame:
