@@ -19,8 +19,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         both = star.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(star.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = saved(least)  # so that the join can split a hub's edges
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        large = saved(large)
+        least = saved(large.groupBy("hi").agg(F.min("lo").alias("m")))
         small = large.join(least, "hi").select(F.explode(F.array(F.struct(F.col("hi").alias("x"), F.col("m").alias("y")), F.struct(F.col("lo").alias("x"), F.col("m").alias("y")))).alias("e"))
         star = saved(small.select(F.col("e.x").alias("hi"), F.col("e.y").alias("lo")).filter("hi <> lo").distinct())
         now = star.agg(F.count("*"), F.expr("bit_xor(xxhash64(hi, lo))")).first()

@@ -19,8 +19,8 @@ def normalised(text: Column) -> Column:
 
 def surviving_keys(rows: DataFrame) -> DataFrame:
     """(_len, _head) that more than one row has, found by length first.  rows: _len, _head."""
-    lengths = rows.groupBy("_len").count().filter("count > 1").select("_len")
-    return rows.join(lengths, "_len", "left_semi").groupBy("_len", "_head").count().filter("count > 1").select("_len", "_head")
+    lengths = saved(rows.groupBy("_len").count().filter("count > 1").select("_len"))
+    return rows.join(small_or_plain(lengths), "_len", "left_semi").groupBy("_len", "_head").count().filter("count > 1").select("_len", "_head")
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 64) -> DataFrame:
@@ -48,7 +48,8 @@ def _grouped(hashed: DataFrame, id_col: str) -> DataFrame:
     best = F.max(F.struct("_chars", F.bitwise_not("_id").alias("_last"), "_id"))
     groups = rows.filter("_open").groupBy("_full").agg(F.count("*").alias("_size"), best.alias("_best")).filter("_size > 1")
     groups = groups.select("_full", "_size", F.col("_best._id").alias("_keep"), F.lit(True).alias("_in"))
-    out = rows.join(groups, "_full", "left")
+    # Saved, so that a join with both sides freshly dealt out can split a hot group.
+    out = rows.join(small_or_plain(saved(groups)), "_full", "left")
     keep = F.when(F.col("_in"), F.col("_keep")).otherwise(F.col("_id"))
     return out.select(
         F.col("_id").alias(id_col), keep.alias("keep_id"), F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"),

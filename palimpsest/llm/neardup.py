@@ -166,8 +166,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = connected_components(links(nodes, radius, run_limit)).select(F.col("node").alias("fp"), "root")
     nodes = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     nodes = saved(nodes)
-    groups = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = nodes.join(groups, "root").select("fp", "component_id")
+    groups = saved(nodes.groupBy("root").agg(F.min("least").alias("component_id")))
+    names = saved(nodes.join(groups, "root").select("fp", "component_id"))
     return prints.join(names, "fp").select(F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

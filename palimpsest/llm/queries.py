@@ -39,7 +39,7 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = fingerprints.has_near(saved(each.select("fp"))).withColumn("_near", F.lit(True))
     each = each.join(near, "fp", "left").select("fp", ((F.col("_n") > 1) | F.coalesce("_near", F.lit(False))).alias("near_other"))
     name = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
-    return x.join(each, "fp").select("doc_id", "n_chars", "edited_sha256", name("fp").alias("fingerprint"), name("edited_fp").alias("edited_fingerprint"), "near_edited", "near_next", "near_other")
+    return x.join(saved(each), "fp").select("doc_id", "n_chars", "edited_sha256", name("fp").alias("fingerprint"), name("edited_fp").alias("edited_fingerprint"), "near_edited", "near_next", "near_other")
 
 
 def op7_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

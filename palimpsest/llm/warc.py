@@ -39,7 +39,7 @@ def revisits(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
     html = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = saved(pages.select(F.col(id_col).alias("_id"), F.sha1(html).alias("_sha"), F.octet_length(html).alias("_n")).filter(F.col("_n") >= least))
     groups = rows.groupBy("_sha").agg(F.min("_id").alias("_first"), F.count("*").alias("_c")).filter("_c > 1").drop("_c")
-    return rows.join(groups, "_sha").filter("_first is not null and not (_id <=> _first)").select("_id", "_sha", "_first").distinct()
+    return rows.join(small_or_plain(saved(groups)), "_sha").filter("_first is not null and not (_id <=> _first)").select("_id", "_sha", "_first").distinct()
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, first: int | None) -> bytes:
