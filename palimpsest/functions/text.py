@@ -114,8 +114,8 @@ def directional_intent(text: Column | str, depth: int = 1) -> Column:
     return F.when(has_direction(text), F.struct(direction.alias("direction"), types.alias("types"), F.lit(depth).alias("depth")))
 
 
-def clipped(text: Column, n: int) -> Column:
-    return F.when(F.char_length(text) > n, F.concat(F.left(text, F.lit(n)), F.lit("…"))).otherwise(text)
+def clipped(text: Column, n: int, mark: str = "…") -> Column:
+    return F.when(F.char_length(text) > n, F.concat(F.left(text, F.lit(n)), F.lit(mark))).otherwise(text)
 
 
 def users_first(events: Column | str, n: int) -> Column:

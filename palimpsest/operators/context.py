@@ -31,7 +31,7 @@ def recent(events: DataFrame, n: int) -> DataFrame:
 
 def evidence(events: Column) -> Column:
     """Up to three events, users first, each cut at 300 characters."""
-    return F.array_join(F.transform(T.users_first(events, 3), lambda e: F.concat(F.lit("- "), F.upper(e["role"]), F.lit(": "), T.clipped(T.squeezed(e["text"]), 300))), "\n")
+    return F.array_join(F.transform(T.users_first(events, 3), lambda e: F.concat(F.lit("- "), e["role"], F.lit(": "), T.clipped(T.squeezed(e["text"]), 300, "..."))), "\n")
 
 
 def _block(b: Column, i: Column) -> Column:
@@ -78,3 +78,19 @@ def history_query(found: DataFrame, top: int = 8, include_raw: bool = False, max
     x = found.filter(F.col("rank") <= top)
     out = x.select("query_id", "rank", "block_id", "score", F.left("summary", F.lit(max_chars)).alias("summary"), "start_ms", "end_ms", "keywords", "tags", "retention_mode", F.size("raw_events").cast("long").alias("raw_event_count"), *(["raw_events"] if include_raw else []))
     return out
+
+
+def search_plan(queries: DataFrame, found: DataFrame, most: int = 3) -> DataFrame:
+    """query_id, searches: the query itself, then what shares the least prefix with it, most in all.
+
+    Candidates are the summaries of the first three blocks, cut at 60 characters, and four keywords of the
+    first; without a block, three keywords of the query.
+    """
+    b = found.filter(F.col("rank") <= 3).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "summary", "keywords"))).alias("_b"))
+    none = F.array().cast("array<string>")
+    x = queries.select("query_id", "query", T.keywords("query", 3).alias("_k")).join(b, "query_id", "left")
+    parts = F.concat(F.transform("_b", lambda e: F.trim(F.left(e["summary"], F.lit(60)))), F.slice(F.coalesce(F.element_at("_b", 1)["keywords"], none), 1, 4))
+    own = F.when(F.col("_b").isNull(), F.col("_k")).otherwise(parts)
+    own = F.array_except(F.filter(F.array_distinct(own), lambda c: c.isNotNull() & (c != "")), F.array("query"))
+    placed = F.array_sort(F.transform(own, lambda c, i: F.struct(T.common_prefix(F.col("query"), c).alias("p"), i.alias("i"), c.alias("c"))))
+    return x.select("query_id", F.slice(F.concat(F.array("query"), F.transform(placed, lambda e: e["c"])), 1, most).alias("searches"))

@@ -87,6 +87,8 @@ def extract(blocks: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
 
 def file_links(blocks: DataFrame, mentions: DataFrame) -> DataFrame:
-    """Edges between blocks and the files they mention: (block_id, path, whole) rows, confidence 1 or 0.75."""
-    x = mentions.join(blocks.select("block_id"), "block_id", "left_semi")
-    return x.select(F.concat(F.lit("file:"), "path").alias("src"), F.col("block_id").alias("dst"), F.lit("FILE_MENTIONS_BLOCK").alias("type"), F.when(F.col("whole"), 1.0).otherwise(0.75).alias("confidence"))
+    """Edges of files that blocks mention (block_id, path, version): snapshot to file, and file to a block there is."""
+    file, snapshot = F.concat(F.lit("file:"), "path"), F.concat(F.lit("snapshot:"), "path", F.lit("#"), "version")
+    own = mentions.filter("path <> ''").select(snapshot.alias("src"), file.alias("dst"), F.lit("SNAPSHOT_OF_FILE").alias("type"), F.lit(1.0).alias("confidence"))
+    known = mentions.filter("path <> ''").join(blocks.select("block_id"), "block_id", "left_semi")
+    return strongest(own.unionByName(known.select(file.alias("src"), F.col("block_id").alias("dst"), F.lit("FILE_MENTIONS_BLOCK").alias("type"), F.lit(0.75).alias("confidence"))))

@@ -86,7 +86,8 @@ class Engine:
         top = found["ranked"].groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "block_id"))), lambda e: e["block_id"]).alias("top_ids"))
         near = found["graph"].groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "block_id"))), lambda e: e["block_id"]).alias("graph_ids"), F.avg("score").alias("graph_confidence"))
         intents = found["intents"].groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "block_id", "confidence"))), lambda e: F.struct(e["block_id"].alias("block_id"), e["confidence"].alias("confidence"))).alias("intents"), F.max("active").alias("active"))
-        boost = found["boosted"].groupBy("query_id").agg(F.max("boost").alias("prediction_weight"))
+        sparse = q.select("query_id", S.keyword_sparse(F.col("query"), F.col("keywords")).alias("_s"))
+        boost = found["intents"].filter("rank = 1").join(sparse, "query_id").select("query_id", S.prediction_boost(F.col("confidence"), F.col("_s"), self.cfg).alias("prediction_weight"))
         best = found["semantic"].filter("rank = 1").join(t.blocks.select("block_id", F.col("embedding").alias("top_embedding")), "block_id").select("query_id", "top_embedding")
         x = queries.select("query_id", "session_id", "seq", "now", "source").join(q.select("query_id", "query", "keywords", "embedding"), "query_id")
         for part in (top, near, intents, boost, best):

@@ -295,3 +295,28 @@ def test_hyperplanes_are_units():
     p = vectors.hyperplanes(8)
     assert p.shape == (6, 12, 8) and np.allclose(np.linalg.norm(p, axis=2), 1)
     assert np.linalg.norm(vectors.relation_vector("odd type", 5)) == pytest.approx(1)
+
+
+def test_search_plan(spark):
+    queries = spark.createDataFrame([(1, "alpha beta"), (2, "gamma delta gamma")], "query_id bigint, query string")
+    found = spark.createDataFrame([(1, 1, "alpha then more", ["alpha", "zeta"]), (1, 2, "other", [])], "query_id bigint, rank bigint, summary string, keywords array<string>")
+    got = {r.query_id: r.searches for r in context.search_plan(queries, found).collect()}
+    assert got == {1: ["alpha beta", "other", "zeta"], 2: ["gamma delta gamma", "delta", "gamma"]}
+
+
+def test_file_links(spark):
+    b = spark.createDataFrame([("b1",)], "block_id string")
+    m = spark.createDataFrame([("b1", "x.py", "v1"), ("gone", "x.py", "v1"), ("b1", "", "v")], "block_id string, path string, version string")
+    assert sorted(map(tuple, relations.file_links(b, m).collect())) == [("file:x.py", "b1", "FILE_MENTIONS_BLOCK", 0.75), ("snapshot:x.py#v1", "file:x.py", "SNAPSHOT_OF_FILE", 1.0)]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from palimpsest.__main__ import main
+
+    (tmp_path / "in.jsonl").write_text('{"role": "user", "text": "the database failed"}\n{"role": "assistant", "text": "restart the database"}\nbroken\n')
+    main(["ingest", str(tmp_path / "in.jsonl"), str(tmp_path / "t"), "--seal-every", "1"], spark)
+    assert "2 records, 1 skipped" in capsys.readouterr().out
+    main(["ask", str(tmp_path / "t"), "database"], spark)
+    out = capsys.readouterr().out
+    assert "#1 [block_" in out and "evidence:\n- " in out
+    main(["stats", str(tmp_path / "t")], spark)
