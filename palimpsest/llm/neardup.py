@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from palimpsest.shipping import ship
 
 from .components import connected_components
-from .shared import numbered, renamed, saved, small_or_plain
+from .shared import freed, in_small_batches, numbered, renamed, saved, small_or_plain
 
 RADIUS = 2
 RUN_LIMIT = 4096
@@ -65,13 +65,13 @@ def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def linked(fps: np.ndarray, radius: int) -> np.ndarray:
     """For distinct fingerprints: the index of the least member of each one's component under the radius."""
-    label = np.arange(len(fps))
-    step = max(1, 2_000_000 // len(fps))
+    label = np.arange(len(fps), dtype=np.int32)
+    step = max(1, 250_000 // len(fps))
     while True:
         new = label.copy()
         for at in range(0, len(fps), step):
             near = apart(fps[at : at + step, None], fps[None, :]) <= radius
-            new[at : at + step] = np.where(near, label[None, :], len(fps)).min(axis=1)
+            new[at : at + step] = np.where(near, label[None, :], np.int32(len(fps))).min(axis=1)
         new = new[new]
         if np.array_equal(new, label):
             return label
@@ -155,6 +155,8 @@ def links(nodes: DataFrame, radius: int = RADIUS, run_limit: int = RUN_LIMIT) ->
     return found.filter("b is not null").union(more)
 
 
+@freed
+@in_small_batches
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS, run_limit: int = RUN_LIMIT) -> DataFrame:
     """One row per input row: id, fingerprint (16 lower-case hex digits), component_id.
 
