@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import renamed, saved
+from .shared import in_small_batches, renamed, saved
 
 CATEGORIES = ("toxic", "repeated", "dense")
 #: Labelled rows of each class that a fit reads at most, terms that it keeps at most, folds.
@@ -87,7 +87,7 @@ def choose(docs: DataFrame, picked: DataFrame, n_terms: int = TERMS, support: in
     n0, n1 = totals.get(0, 0), totals.get(1, 0)
     counts = docs.mapInArrow(run, "t string, n0 long, n1 long").groupBy("t").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).filter(F.col("n1") >= support)
     odds = F.log((F.col("n1") + 0.5) / (n1 + 1)) - F.log((F.col("n0") + 0.5) / (n0 + 1))
-    best = counts.withColumn("odds", odds).filter("odds > 3").orderBy(F.desc(F.col("odds") * F.sqrt("n1")), "t").limit(n_terms)
+    best = counts.withColumn("odds", odds).filter("odds > 2").orderBy(F.desc(F.col("odds") * F.sqrt("n1")), "t").limit(n_terms)
     return [(r.t, r.odds) for r in best.collect()]
 
 
@@ -99,11 +99,10 @@ class Logistic:
         return 1 / (1 + np.exp(-np.clip(x @ self.w[:-1] + self.w[-1], -30, 30)))
 
     def fit(self, x: np.ndarray, y: np.ndarray, decay: float = 0.003, steps: int = 300) -> Logistic:
-        """Adam on the log loss, classes weighed alike."""
-        weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
+        """Adam on the mean log loss; rows weigh alike, so that a rare class needs evidence."""
         m, v = np.zeros_like(self.w), np.zeros_like(self.w)
         for i in range(1, steps + 1):
-            d = (self.predict(x) - y) * weight
+            d = (self.predict(x) - y) / len(y)
             g = np.append(x.T @ d + decay * self.w[:-1], d.sum())
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             self.w = self.w - 0.1 * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.99**i)) + 1e-9)
@@ -143,6 +142,7 @@ class Chain:
         return x[:, -len(self.models) :]
 
 
+@in_small_batches
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> Chain | None:
     """A chain from at most per_class labelled rows of each class, by hash of id; None without both classes."""
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).dropna().groupBy("_id").agg(F.max("_y").alias("_y"))
@@ -180,6 +180,7 @@ def hash_fold(doc_id: int) -> int:
     return (doc_id * 0x9E3779B97F4A7C15 >> 17) % FOLDS
 
 
+@in_small_batches
 def score(docs: DataFrame, chain: Chain | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, p_toxic, p_repeated, p_dense, toxic (1 if p_toxic >= 0.5) of every row.
 
@@ -201,5 +202,5 @@ def score(docs: DataFrame, chain: Chain | None, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(p[:, k]) for k in range(len(CATEGORIES)))], ["_id", "p_toxic", "p_repeated", "p_dense"])
 
     rows = renamed(docs, id_col, text_col).select(F.col("_id").cast("long"), "_text")
-    out = rows.mapInArrow(run, "_id long, p_toxic double, p_repeated double, p_dense double")
+    out = saved(rows.mapInArrow(run, "_id long, p_toxic double, p_repeated double, p_dense double"))
     return out.select(F.col("_id").alias(id_col), "p_toxic", "p_repeated", "p_dense", (F.col("p_toxic") >= 0.5).cast("int").alias("toxic"))
