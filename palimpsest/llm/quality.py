@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.shipping import ship
 
-from .shared import renamed, saved
+from .shared import in_small_batches, renamed, saved
 
 PASSAGE, CHUNK = 600, 1 << 20
 #: Labelled rows of each class that a fit reads at most.
@@ -28,6 +28,7 @@ for _chars, _c in ((b"abcdefghijklmnopqrstuvwxyz", _LOWER), (b"ABCDEFGHIJKLMNOPQ
     _CLASS[np.frombuffer(_chars, np.uint8)] = _c
 _CLASS[0x80:0x9F], _CLASS[0x9F:0xC0], _CLASS[0xC0:] = _HIGH_UPPER, _HIGH_LOWER, _CONTROL
 _MIX = np.random.default_rng(7).integers(1, 1 << 62, 256, dtype=np.uint64) | np.uint64(1)
+_POWER = np.cumprod(np.full(1024, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
 N_CLASSES, N_FEATURES = 13, 22
 
 
@@ -59,7 +60,7 @@ def passages(data: bytes) -> np.ndarray:
         length = np.bincount(word, minlength=len(begin))
         place = (at - begin[word]).astype(np.uint64)
         first = np.concatenate([[0], np.cumsum(length)[:-1]])
-        hashed = np.add.reduceat(_MIX[b[at]] * (place * np.uint64(2) + np.uint64(0x9E3779B97F4A7C15)), first)
+        hashed = np.add.reduceat(_MIX[b[at]] * _POWER[place & np.uint64(1023)], first)
         home = own[begin]
         words = np.bincount(home, minlength=n).astype(float)
         many = np.maximum(1, words)
@@ -141,6 +142,7 @@ class Attention:
         return self
 
 
+@in_small_batches
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS) -> Attention | None:
     """A model from at most per_class labelled rows of each class, taken by hash of id; None if there is no label."""
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).dropna().groupBy("_id").agg(F.min("_y").alias("_y"))
@@ -161,6 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Attention().fit(np.concatenate(bags), starts, np.array([y for _, y, _ in found], float))
 
 
+@in_small_batches
 def score(docs: DataFrame, model: Attention | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, score of every row; null text counts as empty.  Without a model every score is 0.5."""
 
@@ -176,7 +179,7 @@ def score(docs: DataFrame, model: Attention | None, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], ["_id", "score"])
 
     rows = renamed(docs, id_col, text_col).select(F.col("_id").cast("long"), F.col("_text").cast("binary"))
-    return rows.mapInArrow(run, "_id long, score double").withColumnRenamed("_id", id_col)
+    return saved(rows.mapInArrow(run, "_id long, score double")).withColumnRenamed("_id", id_col)
 
 
 def _scores(model: Attention | None, bags: list[np.ndarray]) -> np.ndarray:
