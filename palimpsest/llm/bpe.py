@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 
 from palimpsest.shipping import ship
 
-from .shared import renamed
+from .shared import in_small_batches, renamed, saved
 
 #: Pieces and pairs kept in memory by a worker; beyond that the memo starts anew, results are the same.
-MEMO, PAIRS, MEMO_BYTES, LONG = 200_000, 500_000, 48, 1_000_000
+MEMO, PAIRS, MEMO_BYTES, LONG = 180_000, 400_000, 48, 1_000_000
 
 
 class Vocabulary:
@@ -198,6 +198,7 @@ def decoded(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", pat
     return rows.mapInArrow(run, "id long, data binary").withColumnRenamed("id", id_col)
 
 
+@in_small_batches
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """One row per input row: id, n_tokens, ids_sha256, decoded_sha256, both done in one pass over the text."""
 
@@ -218,7 +219,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     path, pattern = _where(path, pattern)
     rows = renamed(docs, id_col, text_col).select(F.col("_id").cast("long").alias("id"), F.col("_text").alias("text"))
-    return rows.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return saved(rows.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")).withColumnRenamed("id", id_col)
 
 
 def _where(path: str | None, pattern: str | None) -> tuple[str, str]:
