@@ -30,8 +30,9 @@ from .packing import bucket_of, mixed, pack, unpack
 from .shared import freed, in_small_batches, renamed, saved
 
 WINDOW, K = 50, 20
-#: Bytes hashed at a time, bytes gathered before a task sends, spans in a partition on average, windows held.
-CHUNK, GATHER, PART, HELD = 1 << 18, 8 << 20, 150_000, 500_000
+#: Bytes hashed at a time, bytes gathered before a task sends, spans in a partition on average, windows
+#: held, settled spans in a row.
+CHUNK, GATHER, PART, HELD, SETTLED = 1 << 16, 2 << 20, 150_000, 200_000, 20_000
 _SIDE = 15
 _SHIFT = 6  # a span has at most WINDOW - K + 1 windows
 
@@ -154,12 +155,12 @@ _ITEMS = "bucket long, h binary, s binary, doc binary, th binary, at binary, sid
 
 
 def _send(items: dict[str, np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Settles what a smaller document of the same task covers (bucket -1) and deals out the rest."""
+    """Settles what a smaller document of the same task covers (buckets below 0, SETTLED each) and deals out the rest."""
     if not len(items["h"]):
         return
     _, low = _least(items["h"], items["s"], doc=items["doc"])
     covered = items["doc"] > low
-    bucket = np.where(covered, -1, bucket_of(items["h"], buckets))
+    bucket = np.where(covered, -1 - np.cumsum(covered) // SETTLED, bucket_of(items["h"], buckets))
     order = np.lexsort((items["h"], bucket))
     bucket = bucket[order]
     cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
@@ -309,4 +310,5 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part:
             yield pa.RecordBatch.from_arrays([b.column(0), *cols, pa.array([hashlib.sha256(k).hexdigest() for k in kept]), *([pa.array(kept, pa.binary())] if texts else [])], names)
 
     names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if texts else [])]
-    return x.mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if texts else "")).withColumnRenamed("id", id_col)
+    out = x.mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if texts else ""))
+    return saved(out).withColumnRenamed("id", id_col)
