@@ -124,15 +124,24 @@ _TRADE = "e AS (SELECT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst, 'FOLLO
 _SEEDS = "s AS (SELECT c_custkey AS query_id, 'c' || c_custkey AS node FROM customer WHERE c_custkey <= 40)"
 
 
-def _seeds(spark, sf):
-    return base.table(spark, sf, "customer").filter("c_custkey <= 40").select(F.col("c_custkey").cast("long").alias("query_id"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"))
+#: The customers that the SQL texts of four queries start from; their counterparts named _all start from every one.
+_SOME = "c_custkey <= 40"
+
+
+def _seeds(spark, sf, asked="true"):
+    return base.table(spark, sf, "customer").filter(asked).select(F.col("c_custkey").cast("long").alias("query_id"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"))
 
 
 @query(f"""WITH {_TRADE}, {_SEEDS}, a AS (SELECT src AS node, dst AS target FROM e UNION SELECT dst, src FROM e),
 s1 AS (SELECT DISTINCT query_id, target AS node FROM s JOIN a USING (node)), f1 AS (SELECT * FROM s1 EXCEPT SELECT * FROM s), s2 AS (SELECT DISTINCT query_id, target AS node FROM f1 JOIN a USING (node)), f2 AS (SELECT * FROM s2 EXCEPT (SELECT * FROM s UNION SELECT * FROM f1))
 SELECT query_id, node, 0 AS step FROM s UNION ALL SELECT query_id, node, 1 FROM f1 UNION ALL SELECT query_id, node, 2 FROM f2""")
-def graph_traverse(spark, sf):
-    return graph.traverse(_seeds(spark, sf), base.trade_edges(spark, sf), depth=2)
+def graph_traverse(spark, sf, asked=_SOME):
+    return graph.traverse(_seeds(spark, sf, asked), base.trade_edges(spark, sf), depth=2)
+
+
+@query(ORACLES["graph_traverse"].replace(_SOME, "true"))
+def graph_traverse_all(spark, sf):
+    return graph_traverse(spark, sf, "true")
 
 
 @query(f"""WITH {_TRADE}, {_SEEDS}, a AS (SELECT src AS node, dst AS target, conf FROM e), n AS (SELECT node, count(*) AS n FROM a GROUP BY node),
@@ -140,10 +149,15 @@ f1 AS (SELECT query_id, target AS node, sum(1.0::DOUBLE / n * conf) AS mass FROM
 f2 AS (SELECT query_id, target AS node, sum(mass / n * 0.88::DOUBLE * conf) AS mass FROM f1 JOIN a USING (node) JOIN n USING (node) GROUP BY ALL),
 t AS (SELECT query_id, node, sum(mass) AS mass FROM (SELECT * FROM f1 UNION ALL SELECT * FROM f2) GROUP BY ALL), z AS (SELECT query_id, node, mass / max(mass) OVER (PARTITION BY query_id) AS score FROM t)
 SELECT query_id, node AS block_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, node) AS rank FROM z WHERE node LIKE 'p%') WHERE rank <= 8""")
-def graph_topk(spark, sf):
+def graph_topk(spark, sf, asked=_SOME):
     """Mass from customers over orders to parts; only parts are blocks."""
     parts = base.table(spark, sf, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("block_id"))
-    return graph.expand(_seeds(spark, sf), base.trade_edges(spark, sf), parts, 8, "outgoing", [], 2).select("query_id", "block_id", F.round("score", 6).alias("score"), "rank")
+    return graph.expand(_seeds(spark, sf, asked), base.trade_edges(spark, sf), parts, 8, "outgoing", [], 2).select("query_id", "block_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(ORACLES["graph_topk"].replace(_SOME, "true"))
+def graph_topk_all(spark, sf):
+    return graph_topk(spark, sf, "true")
 
 
 _WALK = f"""{_TRADE}, {_SEEDS}, a AS (SELECT DISTINCT src AS node, dst AS target FROM e), n AS (SELECT node, count(*) AS n FROM a GROUP BY node),
@@ -152,18 +166,28 @@ t AS (SELECT query_id, node, sum(p) AS p FROM (SELECT * FROM f1 UNION ALL SELECT
 
 
 @query(f"WITH {_WALK} SELECT query_id, node, round(p, 6) AS p FROM w")
-def random_walk(spark, sf):
-    return graph.walk(_seeds(spark, sf), base.trade_edges(spark, sf)).select("query_id", "node", F.round("p", 6).alias("p"))
+def random_walk(spark, sf, asked=_SOME):
+    return graph.walk(_seeds(spark, sf, asked), base.trade_edges(spark, sf)).select("query_id", "node", F.round("p", 6).alias("p"))
+
+
+@query(ORACLES["random_walk"].replace(_SOME, "true"))
+def random_walk_all(spark, sf):
+    return random_walk(spark, sf, "true")
 
 
 @query(f"""WITH {_WALK}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(p, 12) DESC, node) AS rank FROM w)
 SELECT query_id, node AS block_id, round(p, 6) AS confidence, rank, CASE WHEN node LIKE 'p%' THEN (SELECT left(p_name, 24) FROM part WHERE 'p' || p_partkey = node) ELSE 'unknown-intent' END AS label FROM r WHERE rank <= 3""")
-def predicted_intents(spark, sf):
+def predicted_intents(spark, sf, asked=_SOME):
     b = base.table(spark, sf, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("block_id"), F.array().cast("array<string>").alias("keywords"), F.col("p_name").alias("summary"))
-    x = graph.intents(graph.walk(_seeds(spark, sf), base.trade_edges(spark, sf)), b, 3)
+    x = graph.intents(graph.walk(_seeds(spark, sf, asked), base.trade_edges(spark, sf)), b, 3)
     return x.select("query_id", "block_id", F.round("confidence", 6).alias("confidence"), "rank", "label")
 
 
+@query(ORACLES["predicted_intents"].replace(_SOME, "true"))
+def predicted_intents_all(spark, sf):
+    return predicted_intents(spark, sf, "true")
+
+
 _RING = "r AS (SELECT vec_id AS src, (vec_id * 7 + 3) % (SELECT count(*) FROM embeddings) AS dst, CASE WHEN vec_id % 2 = 0 THEN 'FOLLOWS' ELSE 'CAUSES' END AS type FROM embeddings)"
 
 

@@ -11,3 +11,12 @@ def test_every_twentieth_vector_is_asked(spark, sf, name):
     want = {r.vec_id for r in base.table(spark, sf, "embeddings").filter("vec_id % 20 = 0").select("vec_id").collect()}
     assert max(want) >= 20
     assert {r.query_id for r in catalog.queries()[name](spark, sf).select("query_id").collect()} == want
+
+
+@pytest.mark.parametrize("name", ["graph_traverse_all", "graph_topk_all", "random_walk_all", "predicted_intents_all"])
+def test_every_customer_is_a_seed(spark, sf, name):
+    table = lambda t, key: {r[0] for r in base.table(spark, sf, t).select(key).collect()}
+    # Without an order there is nowhere to go; the traversal still has the seed itself.
+    want = table("customer", "c_custkey") if name == "graph_traverse_all" else table("customer", "c_custkey") & table("orders", "o_custkey")
+    assert max(want) > 40
+    assert {r.query_id for r in catalog.queries()[name](spark, sf).select("query_id").collect()} == want
