@@ -126,11 +126,16 @@ def _int32(x: int) -> int:
     return x - (1 << 32) if x >> 31 else x
 
 
+def sign_keys(v: np.ndarray, tables: int, bits: int) -> np.ndarray:
+    """For vectors a key for each table: which side of its planes they lie on, first bit highest."""
+    planes = hyperplanes(v.shape[1], tables, bits).reshape(-1, v.shape[1])
+    weights = 1 << np.arange(bits - 1, -1, -1)
+    return ((v @ planes.T >= 0).reshape(len(v), tables, bits) * weights).sum(axis=2).astype(np.min_scalar_type((1 << bits) - 1))
+
+
 def signatures(vector: Column | str, dim: int, tables: int = 6, bits: int = 12) -> Column:
     """For each table the bits of which side of its planes a vector lies on, first bit highest; null if not valid."""
     ship_active()
-    planes = hyperplanes(dim, tables, bits).reshape(-1, dim)
-    weights = 1 << np.arange(bits - 1, -1, -1)
 
     @F.pandas_udf("array<int>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -139,7 +144,7 @@ def signatures(vector: Column | str, dim: int, tables: int = 6, bits: int = 12)
             out = [None] * len(s)
             if ok:
                 v = np.vstack([np.asarray(s.iloc[i], float) for i in ok])
-                for i, key in zip(ok, ((v @ planes.T >= 0).reshape(len(v), tables, bits) * weights).sum(axis=2).astype(np.int32)):
+                for i, key in zip(ok, sign_keys(v, tables, bits).astype(np.int32)):
                     out[i] = key
             yield pd.Series(out, dtype=object)
 

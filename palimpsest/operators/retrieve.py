@@ -6,7 +6,8 @@ size.  Ranking works on narrow rows (query, block, score); wide block columns ar
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -18,8 +19,11 @@ from palimpsest.functions import text as T
 from palimpsest.functions import vectors
 from palimpsest.shipping import ship
 from palimpsest.sources.config import DEFAULT, Config
+from palimpsest.storage import durable
 
 QUERY_LIMIT = 10_000
+#: Scores of a task held at a time.
+CELLS = 4_000_000
 HITS = "query_id bigint, block_id string, score double"
 
 
@@ -64,21 +68,33 @@ def vector_topk(queries: DataFrame, blocks: DataFrame, k: int, min_score: float
     Each task multiplies its blocks with the query matrix and keeps k a query, so k rows a query and task
     are shuffled.  Scores are rounded to digits, so that ties do not hang on the order of sums.
     """
+    hits = _scan(queries, blocks, k, vector, digits)
+    if min_score is not None:
+        hits = hits.filter(F.col("score") >= min_score)
+    return ranked(hits, k, F.desc("score"), "block_id")
+
+
+def _scan(queries: DataFrame, blocks: DataFrame, k: int, vector: str, digits: int = 9, signature: Callable[[np.ndarray], np.ndarray] | None = None, probe: int = 0) -> DataFrame:
+    """query_id, block_id, score: the k best of each task.
+
+    With signature (vectors to a key for each table) only blocks count that share a key with the query, or
+    with probe one that differs in a bit; a query has k rows in all if it has as many such blocks.
+    """
     ship(queries.sparkSession)
     rows = queries.select("query_id", F.col(vector).cast("array<double>").alias("v")).orderBy("query_id")
     n = rows.count()
     if n > QUERY_LIMIT:
         parts = -(-n // QUERY_LIMIT)
         sliced = [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) for i in range(parts)]
-        out = [vector_topk(q, blocks, k, min_score, vector, digits) for q in sliced]
+        out = [_scan(q, blocks, k, vector, digits, signature, probe) for q in sliced]
         for o in out[1:]:
             out[0] = out[0].union(o)
         return out[0]
     data = [(r.query_id, r.v) for r in rows.collect() if r.v]  # at most QUERY_LIMIT vectors
-    by_dim: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    by_dim: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray | None]] = {}
     for d in {len(v) for _, v in data}:
         q = np.array([v for _, v in data if len(v) == d], float)
-        by_dim[d] = (np.array([i for i, v in data if len(v) == d]), _units(q))
+        by_dim[d] = (np.array([i for i, v in data if len(v) == d]), _units(q), signature(q) if signature else None)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: pd.DataFrame | None = None
@@ -87,23 +103,35 @@ def vector_topk(queries: DataFrame, blocks: DataFrame, k: int, min_score: float
             for d, group in pdf.groupby(pdf["v"].map(len)):
                 if d not in by_dim:
                     continue
-                ids, q = by_dim[d]
-                s = np.round(_units(np.vstack([np.asarray(v, float) for v in group["v"]])) @ q.T, digits)
-                take = min(len(group), k)
-                names = group["block_id"].to_numpy()
-                # Everything at least as good as the k-th stays for the tie-break.
-                kth = -np.partition(-s, take - 1, axis=0)[take - 1]
-                at = np.argwhere(s >= kth)
-                own = pd.DataFrame({"query_id": ids[at[:, 1]], "block_id": names[at[:, 0]], "score": s[at[:, 0], at[:, 1]]})
-                best = own if best is None else pd.concat([best, own])
-                best = best.sort_values(["query_id", "score", "block_id"], ascending=[True, False, True]).groupby("query_id").head(k)
+                ids, q, asked = by_dim[d]
+                step = max(k, CELLS // len(ids))
+                for start in range(0, len(group), step):
+                    part = group.iloc[start : start + step]
+                    m = np.vstack([np.asarray(v, float) for v in part["v"]])
+                    s = np.round(_units(m) @ q.T, digits)
+                    if asked is not None:
+                        s[~_near(signature(m), asked, probe)] = -np.inf
+                    take = min(len(part), k)
+                    names = part["block_id"].to_numpy()
+                    # Everything at least as good as the k-th stays for the tie-break.
+                    kth = -np.partition(-s, take - 1, axis=0)[take - 1]
+                    at = np.argwhere((s >= kth) & (s > -np.inf))
+                    own = pd.DataFrame({"query_id": ids[at[:, 1]], "block_id": names[at[:, 0]], "score": s[at[:, 0], at[:, 1]]})
+                    best = own if best is None else pd.concat([best, own])
+                    best = best.sort_values(["query_id", "score", "block_id"], ascending=[True, False, True]).groupby("query_id").head(k)
         if best is not None:
             yield best
 
-    hits = blocks.select("block_id", F.col(vector).cast("array<double>").alias("v")).mapInPandas(run, HITS)
-    if min_score is not None:
-        hits = hits.filter(F.col("score") >= min_score)
-    return ranked(hits, k, F.desc("score"), "block_id")
+    return blocks.select("block_id", F.col(vector).cast("array<double>").alias("v")).mapInPandas(run, HITS)
+
+
+def _near(keys: np.ndarray, asked: np.ndarray, probe: int) -> np.ndarray:
+    """For blocks and queries (a row each of one key a table) whether a table has them together."""
+    near = np.zeros((len(keys), len(asked)), bool)
+    for t in range(keys.shape[1]):
+        x = keys[:, t, None] ^ asked[None, :, t]
+        near |= (x & (x - 1) if probe > 0 else x) == 0
+    return near
 
 
 def _units(m: np.ndarray) -> np.ndarray:
@@ -119,24 +147,20 @@ def clamped(hits: DataFrame) -> DataFrame:
 def lsh_topk(queries: DataFrame, vectors_df: DataFrame, k: int, dim: int, tables: int = 6, bits: int = 12, probe: int = 1, min_score: float = -1.0, backfill: bool = True, vector: str = "embedding") -> DataFrame:
     """Approximate cosine top k: buckets of sign hashes, queries also probing keys one bit away; candidates are scored exactly.
 
-    With backfill, queries that found fewer than k candidates are answered by the exact search.
+    Candidates are found and scored where the blocks lie, so pairs are not shuffled.  How many neighbours
+    are found hangs on how near they are: tables, bits and probe must fit the data.  With backfill, queries
+    that found fewer than k candidates are answered by the exact search.
     """
-    ship(queries.sparkSession)
-    sig = vectors_df.select("block_id", F.posexplode(vectors.signatures(vector, dim, tables, bits)).alias("t", "key"))
-    asked = queries.select("query_id", F.posexplode(vectors.signatures(vector, dim, tables, bits)).alias("t", "key"))
-    if probe > 0:
-        near = F.concat(F.array("key"), F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda b: F.col("key").bitwiseXOR(F.call_function("shiftleft", F.lit(1), b))))
-        asked = asked.select("query_id", "t", F.explode(near).alias("key"))
-    pairs = asked.join(sig, ["t", "key"]).select("query_id", "block_id").distinct()
-    x = pairs.join(queries.select("query_id", F.col(vector).alias("q")), "query_id").join(vectors_df.select("block_id", F.col(vector).alias("v")), "block_id")
-    hits = x.select("query_id", "block_id", F.round(vectors.cosine("q", "v"), 9).alias("score")).filter(F.col("score") >= min_score)
-    found = ranked(hits, k, F.desc("score"), "block_id")
+    signature = partial(vectors.sign_keys, tables=tables, bits=bits)
+    valid = lambda df: df.filter(vectors.is_valid(F.col(vector), dim))
+    hits = ranked(_scan(valid(queries), valid(vectors_df), k, vector, signature=signature, probe=probe), k, F.desc("score"), "block_id")
     if not backfill:
-        return found
-    enough = pairs.groupBy("query_id").count().filter(F.col("count") >= k).select("query_id")
+        return hits.filter(F.col("score") >= min_score)
+    hits = durable(hits)
+    enough = hits.filter(F.col("rank") == k).select("query_id")
     short = queries.join(enough, "query_id", "left_anti")
     exact = vector_topk(short, vectors_df, k, min_score, vector)
-    return found.join(enough, "query_id", "left_semi").unionByName(exact)
+    return hits.filter(F.col("score") >= min_score).join(enough, "query_id", "left_semi").unionByName(exact)
 
 
 def two_stage_topk(queries: DataFrame, blocks: DataFrame, k: int, total: int, cfg: Config = DEFAULT, rerank: bool = True) -> DataFrame:

@@ -20,3 +20,9 @@ def test_every_customer_is_a_seed(spark, sf, name):
     want = table("customer", "c_custkey") if name == "graph_traverse_all" else table("customer", "c_custkey") & table("orders", "o_custkey")
     assert max(want) > 40
     assert {r.query_id for r in catalog.queries()[name](spark, sf).select("query_id").collect()} == want
+
+
+def test_recall_of_lsh_topk(spark, sf):
+    found = lambda name: {(r.query_id, r.vec_id) for r in catalog.queries()[name](spark, sf).collect()}
+    exact = found("embedding_topk_all")
+    assert len(exact & found("lsh_topk")) / len(exact) >= 0.9
