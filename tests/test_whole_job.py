@@ -1,8 +1,13 @@
 """Queries answer for the whole table, not for its first ids or the beginnings of its texts."""
 
+import re
+from collections import Counter
+
 import pytest
 
 from palimpsest import catalog
+from palimpsest.functions import words
+from palimpsest.operators import detect
 from palimpsest.plans import base
 
 
@@ -26,3 +31,38 @@ def test_recall_of_lsh_topk(spark, sf):
     found = lambda name: {(r.query_id, r.vec_id) for r in catalog.queries()[name](spark, sf).collect()}
     exact = found("embedding_topk_all")
     assert len(exact & found("lsh_topk")) / len(exact) >= 0.9
+
+
+def _tokens(text):
+    return re.findall(r"\w+", text.lower())
+
+
+def _keywords(text):
+    count = Counter(t for t in _tokens(text) if len(t) > 1 and t not in words.STOP_EN)
+    return [t for t, _ in count.most_common(8)]  # ties stay in the order of the text
+
+
+@pytest.fixture(scope="module")
+def long_turns(spark, tmp_path_factory):
+    """Conversations of a turn; the first one asks behind its 200th character for what the last one says."""
+    asked = "please " * 40 + " ".join(["zebra quartz harbour lantern"] * 45)
+    texts = [asked, *[" ".join(f"w{i}x{j} w{i}x{j}" for j in range(8)) for i in range(1, 12)], "zebra quartz harbour lantern"]
+    at = tmp_path_factory.mktemp("long")
+    spark.createDataFrame([(i, 0, "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string").write.parquet(f"{at}/conversations.parquet")
+    return str(at), texts
+
+
+def test_engine_context_reads_whole_questions(spark, long_turns):
+    at, texts = long_turns
+    jaccard = {i: len(a & b) / len(a | b) for a in [set(_keywords(texts[0]))] for i, t in enumerate(texts) if (b := set(_keywords(t)))}
+    want = sorted((i for i in jaccard if jaccard[i] > 0), key=lambda i: (-jaccard[i], i))
+    assert want == [0, len(texts) - 1]
+    formatted = next(r.formatted for r in catalog.queries()["engine_context"](spark, at).collect() if r.query_id == 0)
+    assert [int(x) for x in re.findall(r"#\d+ \[block_(\d+)_", formatted)][:2] == want
+
+
+def test_engine_signals_reads_whole_questions(spark, long_turns, monkeypatch):
+    at, texts = long_turns
+    monkeypatch.setattr(detect, "detect", lambda log, cfg: log)
+    got = {r.seq: (r.n_tokens, list(r.keywords)) for r in catalog.queries()["engine_signals"](spark, at).collect()}
+    assert got == {i: (len(_tokens(t)), _keywords(t)) for i, t in enumerate(texts)}
