@@ -14,7 +14,7 @@ from palimpsest.sources.config import DEFAULT, load
 
 from . import base
 from . import sqltext as Q
-from .registry import query
+from .registry import ORACLES, query
 
 #: Small enough that the short conversations have several blocks.
 SMALL = load(env={}, max_tokens_per_block=120, min_tokens_per_block=40)
@@ -295,6 +295,19 @@ def relation_validate(spark, sf):
 
 @query("SELECT id, len(list_intersect(a, b)) AS shared, round(CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 0 ELSE len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) END, 6) AS jaccard, len(a) > 0 AND len(b) > 0 AND len(list_intersect(a, b))::DOUBLE / greatest(1, least(len(list_distinct(a)), len(list_distinct(b)))) >= 0.34 AS chained FROM (SELECT conv_id * 100 + turn AS id, " + Q.tokens("left(coalesce(text, ''), 60)") + " AS a, " + Q.tokens("right(coalesce(text, ''), 90)") + " AS b FROM conversations)")
 def set_overlap(spark, sf):
+    """Of the two ends of a text, as its SQL has it; turn_overlap compares whole texts."""
     t = F.coalesce("text", F.lit(""))
     x = base.table(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), T.tokens(F.left(t, F.lit(60))).alias("a"), T.tokens(F.right(t, F.lit(90))).alias("b"))
-    return x.select("id", F.size(F.array_intersect("a", "b")).cast("long").alias("shared"), F.round(S.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"), S.continuous(F.col("a"), F.col("b")).alias("chained"))
+    return _overlap(x, "id")
+
+
+def _overlap(x, *ids):
+    return x.select(*ids, F.size(F.array_intersect("a", "b")).cast("long").alias("shared"), F.round(S.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"), S.continuous(F.col("a"), F.col("b")).alias("chained"))
+
+
+@query(ORACLES["set_overlap"].split(" FROM (SELECT conv_id")[0].replace("SELECT id", "SELECT conv_id, turn", 1) + " FROM (SELECT conv_id, turn, lag(b) OVER (PARTITION BY conv_id ORDER BY turn) AS a, b FROM (SELECT conv_id, turn, " + Q.tokens("coalesce(text, '')") + " AS b FROM conversations)) WHERE a IS NOT NULL")
+def turn_overlap(spark, sf):
+    """Whole texts: each turn with the one before it in its conversation."""
+    x = base.table(spark, sf, "conversations").select("conv_id", "turn", T.tokens(F.coalesce("text", F.lit(""))).alias("b"))
+    x = x.withColumn("a", F.lag("b").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("a is not null")
+    return _overlap(x, "conv_id", "turn")

@@ -66,3 +66,10 @@ def test_engine_signals_reads_whole_questions(spark, long_turns, monkeypatch):
     monkeypatch.setattr(detect, "detect", lambda log, cfg: log)
     got = {r.seq: (r.n_tokens, list(r.keywords)) for r in catalog.queries()["engine_signals"](spark, at).collect()}
     assert got == {i: (len(_tokens(t)), _keywords(t)) for i, t in enumerate(texts)}
+
+
+def test_overlap_of_whole_turns(spark, tmp_path):
+    only = lambda w: f"{w} " * 40 + "zebra quartz harbour" + f" {w}" * 40  # what both turns share lies in the middle
+    rows = [(1, 0, only("one")), (1, 1, only("two")), (2, 0, "alone")]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert [tuple(r) for r in catalog.queries()["turn_overlap"](spark, str(tmp_path)).collect()] == [(1, 1, 3, 0.6, True)]
