@@ -55,11 +55,15 @@ def keyword_topk(queries: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
 
     Candidates that share only a two-character piece score 0 and keep their ranks.
     """
+    return ranked(keyword_scores(queries, blocks), k, F.desc("score"), "first", "block_seq", "block_id").select("query_id", "block_id", "score", "rank")
+
+
+def keyword_scores(queries: DataFrame, blocks: DataFrame) -> DataFrame:
+    """query_id, block_id, block_seq, first and the Jaccard score of all candidates."""
     found = candidates(queries, postings(blocks))
     x = found.join(blocks.select("block_id", F.col("keywords").alias("bk")), "block_id").join(queries.select("query_id", F.col("keywords").alias("qk")), "query_id")
     own = [F.array_distinct(F.transform(F.col(c), F.lower)) for c in ("qk", "bk")]
-    x = x.select("query_id", "block_id", "block_seq", "first", S.jaccard(*own).alias("score"))
-    return ranked(x, k, F.desc("score"), "first", "block_seq", "block_id").select("query_id", "block_id", "score", "rank")
+    return x.select("query_id", "block_id", "block_seq", "first", S.jaccard(*own).alias("score"))
 
 
 def vector_topk(queries: DataFrame, blocks: DataFrame, k: int, min_score: float | None = None, vector: str = "embedding", digits: int = 9) -> DataFrame:

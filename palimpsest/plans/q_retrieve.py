@@ -274,7 +274,7 @@ def boosted_ranks(spark, sf):
 SELECT count(*) AS queries, round(avg(coalesce(hits, 0)::DOUBLE / want), 6) AS recall, round(avg(coalesce(hits, 0) / 5.0::DOUBLE), 6) AS precision, round(avg(CASE WHEN coalesce(hits, 0) > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS pass_rate FROM w LEFT JOIN hit USING (query_id)""")
 def retrieval_metrics(spark, sf):
     q, d = _queries(spark, sf), _docs(spark, sf)
-    truth = retrieve.keyword_topk(q, d, 1_000_000).filter("score > 0.05").select("query_id", F.col("block_id").alias("item"))
+    truth = retrieve.keyword_scores(q, d).filter("score > 0.05").select("query_id", F.col("block_id").alias("item"))
     m = diagnostics.retrieval_metrics(retrieve.semantic_topk(q, d).withColumnRenamed("block_id", "item"), truth, 5)
     return m.select("queries", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "pass_rate")])
 

@@ -7,8 +7,9 @@ import pytest
 
 from palimpsest import catalog
 from palimpsest.functions import words
-from palimpsest.operators import detect
+from palimpsest.operators import detect, retrieve
 from palimpsest.plans import base
+from palimpsest.sources.config import DEFAULT
 
 
 @pytest.mark.parametrize("name", ["embedding_topk_all", "two_stage_topk_all", "lsh_topk"])
@@ -73,3 +74,10 @@ def test_overlap_of_whole_turns(spark, tmp_path):
     rows = [(1, 0, only("one")), (1, 1, only("two")), (2, 0, "alone")]
     spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     assert [tuple(r) for r in catalog.queries()["turn_overlap"](spark, str(tmp_path)).collect()] == [(1, 1, 3, 0.6, True)]
+
+
+def test_truth_of_retrieval_metrics_has_no_row_cap(spark, sf, monkeypatch):
+    want = catalog.queries()["retrieval_metrics"](spark, sf).collect()
+    top = retrieve.keyword_topk
+    monkeypatch.setattr(retrieve, "keyword_topk", lambda q, b, k: top(q, b, min(k, DEFAULT.semantic_top_k)))  # a cap that small tables reach
+    assert catalog.queries()["retrieval_metrics"](spark, sf).collect() == want
