@@ -1,7 +1,7 @@
-"""Repeated byte strings across documents: a depth-limited radix sort of suffixes, most significant digit first.
+"""Repeated byte strings across documents, by minimizers and hashes in place of a depth-limited radix sort of suffixes.
 
-Only the first WINDOW bytes of a suffix matter: suffixes that agree on them are one repeated window.  The
-digits are:
+Only the first WINDOW bytes of a suffix matter: suffixes that agree on them are one repeated window.  As
+only their equality counts, suffixes are grouped and never ordered.  They are grouped by:
 
 1. a K-gram inside the window, the one with the least hash (windows that are equal choose the same one at
    the same place), which is dealt out by hash; consecutive windows with the same K-gram are one span;
@@ -9,8 +9,8 @@ digits are:
 3. for spans that share the K-gram but not all bytes, and agree on the bytes beside it on one side at
    least, the WINDOW bytes themselves.
 
-Groups that lie in one document only end at each digit.  Every task settles what repeats among its own
-documents and sends a digit's value once, so nothing that is frequent floods a partition.  Rows carry many
+Groups that lie in one document only end at each step.  Every task settles what repeats among its own
+documents and sends a key once, so nothing that is frequent floods a partition.  Rows carry many
 suffixes, packed.  Hashes are two independent ones of 64 bits.
 """
 
