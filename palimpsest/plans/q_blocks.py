@@ -210,13 +210,22 @@ def upsert_rows(spark, sf):
 
 @query(f"WITH {Q.EVENTS}, w AS (SELECT row_number() OVER (ORDER BY session_id, seq) AS ord, session_id % 20 AS s, seq FROM ev) SELECT w.ord, {_NAME.format('ev.seq').replace('session_id', 'ev.session_id')} AS block_id, {Q.estimate('ev.text')} AS token_count FROM w JOIN ev ON ev.session_id = w.s AND ev.seq = w.seq")
 def get_many(spark, sf):
-    """Blocks by a list of ids with repeats, in its order."""
+    """Blocks by a list of ids with repeats, in its order; its SQL asks for conversations 0 to 19, get_many_all for all."""
     b = base.simple_blocks(spark, sf, embed=False)
     order = Window.orderBy("session_id", "block_seq")
     ids = b.select(F.row_number().over(order).cast("long").alias("ord"), base.name(F.col("session_id") % 20, "block_seq").alias("block_id"))
     return tables.get_many(b.select("block_id", "token_count"), ids).select("ord", "block_id", "token_count")
 
 
+@query(f"WITH {Q.EVENTS}, x AS (SELECT session_id * 1000000 + seq AS ord, {_NAME.format('seq')} AS block_id, {Q.estimate('text')} AS token_count, session_id FROM ev) SELECT ord, block_id, token_count FROM x UNION ALL SELECT -1 - ord, block_id, token_count FROM x WHERE session_id % 10 = 0")
+def get_many_all(spark, sf):
+    """Blocks of every conversation; those of each tenth are asked for twice, once in front and backwards."""
+    b = base.simple_blocks(spark, sf, embed=False)
+    ids = b.select((F.col("session_id") * 1_000_000 + F.col("block_seq")).alias("ord"), "block_id", "session_id")
+    ids = ids.drop("session_id").union(ids.filter("session_id % 10 = 0").select(-1 - F.col("ord"), "block_id"))
+    return tables.get_many(b.select("block_id", "token_count"), ids).select("ord", "block_id", "token_count")
+
+
 @query(f"""WITH RECURSIVE {_KW}, b AS (SELECT 0 AS g, ev.session_id // 5 AS s, {_NAME.format('seq')} AS block_id, ts_ms, greatest(1, {Q.estimate('text')}) AS tokens, k.keywords, row_number() OVER (PARTITION BY ev.session_id // 5 ORDER BY ts_ms, ev.session_id, seq) AS n FROM ev JOIN k USING (session_id, seq)),
 f AS (SELECT s, block_id, n, tokens, ts_ms, keywords, 0::BIGINT AS chunk_seq, tokens::BIGINT AS held, 1 AS cnt FROM b WHERE n = 1
 UNION ALL SELECT b.s, b.block_id, b.n, b.tokens, b.ts_ms, b.keywords, CASE WHEN x.cut THEN f.chunk_seq + 1 ELSE f.chunk_seq END, CASE WHEN x.cut THEN b.tokens ELSE f.held + b.tokens END, CASE WHEN x.cut THEN 1 ELSE f.cnt + 1 END

@@ -81,3 +81,10 @@ def test_truth_of_retrieval_metrics_has_no_row_cap(spark, sf, monkeypatch):
     top = retrieve.keyword_topk
     monkeypatch.setattr(retrieve, "keyword_topk", lambda q, b, k: top(q, b, min(k, DEFAULT.semantic_top_k)))  # a cap that small tables reach
     assert catalog.queries()["retrieval_metrics"](spark, sf).collect() == want
+
+
+def test_get_many_all_fetches_every_conversation(spark, tmp_path):
+    rows = [(i, j) for i in range(25) for j in range(i % 3 + 1)]
+    spark.createDataFrame([(*r, "user", "text") for r in rows], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    want = [r for r in reversed(rows) if r[0] % 10 == 0] + rows
+    assert [r.block_id for r in catalog.queries()["get_many_all"](spark, str(tmp_path)).collect()] == [f"block_{i:010d}_{j:06d}" for i, j in want]
