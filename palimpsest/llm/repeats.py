@@ -10,8 +10,10 @@ only their equality counts, suffixes are grouped and never ordered.  They are gr
    least, the WINDOW bytes themselves.
 
 Groups that lie in one document only end at each step.  Every task settles what repeats among its own
-documents and sends a key once, so nothing that is frequent floods a partition.  Rows carry many
-suffixes, packed.  Hashes are two independent ones of 64 bits.
+documents and sends a key once, so nothing that is frequent floods a partition; a K-gram with very many
+different spans goes on to the windows at once, which have keys of their own.  Rows on the way to a bucket
+carry many suffixes, packed; what is found comes back as a row a span.  Hashes are two independent ones of
+64 bits.
 """
 
 from __future__ import annotations
@@ -151,16 +153,31 @@ def _least(*keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return group, low[group] if len(order) else low
 
 
+_CROWDED = -1
 _ITEMS = "bucket long, h binary, s binary, doc binary, th binary, at binary, side binary"
 
 
-def _send(items: dict[str, np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Settles what a smaller document of the same task covers (buckets below 0, SETTLED each) and deals out the rest."""
+def _send(items: dict[str, np.ndarray], buckets: int, crowd: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Deals out what a smaller document of the same task does not cover already.
+
+    Buckets below 0 are settled, SETTLED items each: odd ones covered, even ones open.  If over crowd
+    different spans share a K-gram here, all of them are open, and its bucket gets one row that says so.
+    """
     if not len(items["h"]):
         return
-    _, low = _least(items["h"], items["s"], doc=items["doc"])
+    span, low = _least(items["h"], items["s"], doc=items["doc"])
     covered = items["doc"] > low
-    bucket = np.where(covered, -1 - np.cumsum(covered) // SETTLED, bucket_of(items["h"], buckets))
+    bucket = bucket_of(items["h"], buckets)
+    if crowd is not None:
+        gram, first = np.unique(items["h"], return_inverse=True)
+        many = np.bincount(first[np.unique(span, return_index=True)[1]], minlength=len(gram)) > crowd
+        open_ = many[first] & ~covered
+        bucket[open_] = -2 - 2 * (np.cumsum(open_)[open_] // SETTLED)
+        n, zero = int(many.sum()), np.zeros(int(many.sum()), np.int64)
+        more = {"h": gram[many], "s": zero.view(np.uint64), "doc": zero, "th": zero, "at": zero + _CROWDED, "side": zero.astype(np.uint16)}
+        items = {k: np.concatenate([v, more[k]]) for k, v in items.items()}
+        covered, bucket = np.append(covered, np.zeros(n, bool)), np.append(bucket, bucket_of(gram[many], buckets))
+    bucket[covered] = -1 - 2 * (np.cumsum(covered)[covered] // SETTLED)
     order = np.lexsort((items["h"], bucket))
     bucket = bucket[order]
     cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
@@ -173,18 +190,12 @@ def _send(items: dict[str, np.ndarray], buckets: int) -> Iterator[pa.RecordBatch
     yield pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int64()), *(pa.array(rows[k], pa.binary()) for k in list(rows)[1:])], list(rows))
 
 
-_FOUND = "doc long, th long, open boolean, at array<long>"
+_FOUND = "doc long, th long, open boolean, at long"
 
 
-def _by_doc(doc: np.ndarray, th: np.ndarray, at: np.ndarray, open_: bool) -> Iterator[pa.RecordBatch]:
-    """A row for each document with the packed spans it has."""
-    if not len(doc):
-        return
-    order = np.lexsort((at, th, doc))
-    doc, th, at = doc[order], th[order], at[order]
-    cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (th[1:] != th[:-1])]))
-    lists = pa.ListArray.from_arrays(pa.array(np.append(cut, len(doc)).astype(np.int32)), pa.array(at))
-    yield pa.RecordBatch.from_arrays([pa.array(doc[cut]), pa.array(th[cut]), pa.array(np.full(len(cut), open_)), lists], ["doc", "th", "open", "at"])
+def _found(doc: np.ndarray, th: np.ndarray, at: np.ndarray, open_: bool) -> pa.Table:
+    """A row of fixed width for each span or window, so that rows grow as what is covered does."""
+    return pa.table({"doc": doc, "th": th, "open": np.full(len(doc), open_), "at": at})
 
 
 def _settle(sides: bool):
@@ -193,22 +204,25 @@ def _settle(sides: bool):
     def run(table: pa.Table) -> pa.Table:
         kinds = {"h": np.uint64, "s": np.uint64, "doc": np.int64, "th": np.int64, "at": np.int64, "side": np.uint16}
         x = {k: np.concatenate([unpack(v.as_py(), t) for v in table.column(k)]) for k, t in kinds.items() if len(table.column(k)[0].as_py())}
-        if table.column("bucket")[0].as_py() < 0:
-            return pa.Table.from_batches(list(_by_doc(x["doc"], x["th"], x["at"], False)))
-        group, low = _least(x["h"], x["s"], doc=x["doc"])
+        bucket = table.column("bucket")[0].as_py()
+        if bucket < 0:
+            return _found(x["doc"], x["th"], x["at"], bucket % 2 == 0)
+        crowded = np.unique(x["h"][x["at"] == _CROWDED])
+        x = {k: v[x["at"] != _CROWDED] for k, v in x.items()}
+        _, low = _least(x["h"], x["s"], doc=x["doc"])
         covered = x["doc"] > low
-        out = list(_by_doc(x["doc"][covered], x["th"][covered], x["at"][covered], False))
+        out = [_found(x["doc"][covered], x["th"][covered], x["at"][covered], False)]
         if sides:
             rest = {k: v[~covered] for k, v in x.items()}
-            maybe = np.zeros(len(rest["h"]), bool)
+            maybe = np.isin(rest["h"], crowded)
             for side in (rest["side"] >> np.uint16(8), rest["side"] & np.uint16(255)):
                 own, least = _least(rest["h"], side, doc=rest["doc"])
                 if len(own):
                     most = np.full(own.max() + 1, np.iinfo(np.int64).min)
                     np.maximum.at(most, own, rest["doc"])
                     maybe |= most[own] > least
-            out += _by_doc(rest["doc"][maybe], rest["th"][maybe], rest["at"][maybe], True)
-        return pa.Table.from_batches(out) if out else pa.table({"doc": pa.array([], pa.int64()), "th": pa.array([], pa.int64()), "open": pa.array([], pa.bool_()), "at": pa.array([], pa.list_(pa.int64()))})
+            out.append(_found(rest["doc"][maybe], rest["th"][maybe], rest["at"][maybe], True))
+        return pa.concat_tables(out)
 
     return run
 
@@ -228,20 +242,23 @@ def _gathered(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa
 def covered(rows: DataFrame, part: int = PART) -> DataFrame:
     """doc, th, at (array of packed spans) for rows (_id long, _th long, _data binary): all windows that also begin in a document of smaller id."""
     total = rows.agg(F.sum(F.octet_length("_data"))).first()[0] or 0
-    buckets = max(1, math.ceil(total / 16 / part))
+    # Enough buckets for every partition to have some.
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(least, math.ceil(total / 16 / part))
+    crowd = max(16, part // math.ceil(max(1, total) / GATHER))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, texts in _gathered(batches, 2):
             x = spans(texts)
             ids, ths = b.column(0).to_numpy(), b.column(1).to_numpy()
-            yield from _send({"h": x["h"], "s": x["s"], "doc": ids[x["text"]], "th": ths[x["text"]], "at": x["at"] << _SHIFT | x["n"], "side": x["side"]}, buckets)
+            yield from _send({"h": x["h"], "s": x["s"], "doc": ids[x["text"]], "th": ths[x["text"]], "at": x["at"] << _SHIFT | x["n"], "side": x["side"]}, buckets, crowd)
 
     usable = rows.filter(F.col("_id").isNotNull() & (F.octet_length("_data") >= WINDOW))
     # What tasks have settled already is spread by its own hash, not gathered under one bucket.
     spread = lambda items: items.withColumn("_deal", F.when(F.col("bucket") < 0, F.xxhash64("at")).otherwise(F.col("bucket")))
     first = saved(spread(usable.mapInArrow(scan, _ITEMS)).groupBy("_deal", "bucket").applyInArrow(lambda t: _settle(True)(t), _FOUND))
 
-    asked = first.filter("open").groupBy("doc", "th").agg(F.flatten(F.collect_list("at")).alias("at"))
+    asked = first.filter("open").groupBy("doc", "th").agg(F.collect_list("at").alias("at"))
     texts = usable.join(asked, (F.col("_id") == F.col("doc")) & (F.col("_th") == F.col("th"))).select("_id", "_th", "_data", "at")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,11 +274,10 @@ def covered(rows: DataFrame, part: int = PART) -> DataFrame:
             if found:
                 yield from _send(_items(found), parts)
 
-    n_open = first.filter("open").agg(F.sum(F.aggregate("at", F.lit(0).cast("long"), lambda a, x: a + x.bitwiseAND(F.lit((1 << _SHIFT) - 1))))).first()[0] or 0
-    parts = max(1, math.ceil(n_open / part / 2))
+    n_open = first.filter("open").agg(F.sum(F.col("at").bitwiseAND(F.lit((1 << _SHIFT) - 1)))).first()[0] or 0
+    parts = max(least, math.ceil(n_open / part / 2))
     second = spread(texts.mapInArrow(look, _ITEMS)).groupBy("_deal", "bucket").applyInArrow(lambda t: _settle(False)(t), _FOUND)
-    every = first.filter("not open").union(second)
-    return every.groupBy("doc", "th").agg(F.flatten(F.collect_list("at")).alias("at"))
+    return first.filter("not open").union(second).groupBy("doc", "th").agg(F.collect_list("at").alias("at"))
 
 
 def _items(found: list[tuple[np.ndarray, ...]]) -> dict[str, np.ndarray]:

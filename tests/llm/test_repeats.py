@@ -41,6 +41,18 @@ def test_whole_table(spark, sf):
     check(docs.repartition(7), part=2000)
 
 
+@pytest.mark.parametrize("crowd", [0, 2])
+def test_crowded_grams(make, monkeypatch, crowd):
+    """One K-gram before and after many different bytes, open at once where a task sees over crowd of its spans."""
+    send = repeats._send
+    monkeypatch.setattr(repeats, "_send", lambda items, buckets, many=None: send(items, buckets, None if many is None else crowd))
+    r = random.Random(5)
+    own = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    common = "the line that all of these have in common, word by word"
+    rows = [(i, own(r.randint(0, 60)) + common[r.randint(0, 20) :] + own(r.randint(0, 60))) for i in range(80)]
+    check(make(rows + rows[:7]).repartition(3), part=400)
+
+
 def test_odd_rows(odd):
     check(odd)
 
