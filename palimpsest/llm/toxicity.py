@@ -1,17 +1,18 @@
 """Toxicity by a classifier chain.
 
-Categories, in the order of the chain: "toxic" (the label), "repeated" (toxic with two different abusive
-terms or more) and "dense" (toxic with an abusive-term rate over the median of the toxic rows).  Each link
-is a logistic model over term features and the probabilities of the earlier categories; for training those
-are predicted out of fold, so that a later model sees them as noisy as it will in use.
+Categories come from the labels: "prose" (toxic, of good quality), "junk" (toxic, of bad quality), and last
+"toxic", the decision.  Each link is a linear (logistic) model over the terms chosen for it, a few measures
+of the text, and the probabilities of the categories before it.  For training those are predicted out of
+fold, by models whose terms were also chosen without the fold, so that a later model sees them as noisy as
+it will in use.
 
 Terms are lower-cased words and their prefixes of 4 to 8 letters, chosen by how much the label depends on
-them.  Scoring looks at every word of every whole text.
+them.  Scoring looks at every word of every whole text and keeps nothing of it but counts of chosen terms.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +22,14 @@ from pyspark.sql import functions as F
 
 from .shared import in_small_batches, renamed, saved
 
-CATEGORIES = ("toxic", "repeated", "dense")
+#: Conditions over the columns of labels, in the order of the chain; the last is the decision.
+CATEGORIES = {"prose": "toxic = 1 and quality = 1", "junk": "toxic = 1 and quality = 0", "toxic": "toxic = 1"}
 #: Labelled rows of each class that a fit reads at most, terms that it keeps at most, folds.
 PER_CLASS, TERMS, FOLDS = 3000, 1500, 5
 PREFIXES = (4, 5, 6, 7, 8)
+_HEAD = min(PREFIXES)
 _WORD = regex.compile(r"\p{L}+")
-_PIECE = 1 << 20
+_PIECE, _HELD = 1 << 20, 100_000
 
 
 def terms(word: str) -> tuple[str, ...]:
@@ -45,162 +48,208 @@ def words(text: str) -> Iterator[list[str]]:
         at = end
 
 
-class Lookup(dict):
-    """Word -> indices of the chosen terms it stands for; starts anew when full."""
-
-    def __init__(self, index: dict[str, int]):
-        self.index = index
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        found = tuple(self.index[t] for t in terms(word) if t in self.index)
-        if len(self) > 300_000:
-            self.clear()
-        if len(word) < 40:
-            self[word] = found
-        return found
-
+class Index(dict):
+    """Term -> number.  A word whose first letters begin no term is passed over at once."""
+
+    def __init__(self, chosen: Iterable[str]):
+        super().__init__((t, i) for i, t in enumerate(chosen))
+        self.heads = frozenset(t.rstrip("*")[:_HEAD] for t in self)
+
+    def features(self, text: str | None) -> tuple[dict[int, int], list[float]]:
+        """Counts of the chosen terms; number of words, of letters, of characters and of words new to their piece."""
+        counts, n, letters, new, heads = {}, 0, 0, 0, self.heads
+        for some in words(text or ""):
+            n += len(some)
+            letters += sum(map(len, some))
+            new += len(set(some))
+            for w in some:
+                if w[:_HEAD] in heads:
+                    for t in terms(w):
+                        if (i := self.get(t)) is not None:
+                            counts[i] = counts.get(i, 0) + 1
+        return counts, [n, letters, len(text or ""), new]
+
+
+class Bags:
+    """Term counts of many texts as (row, col, count) and the measures of each text."""
+
+    def __init__(self, found: list[tuple[dict[int, int], list[float]]]):
+        self.n = len(found)
+        self.row = np.repeat(np.arange(self.n), [len(c) for c, _ in found])
+        self.col = np.fromiter((i for c, _ in found for i in c), np.int64, len(self.row))
+        self.count = np.fromiter((k for c, _ in found for k in c.values()), float, len(self.row))
+        self.size = np.array([m for _, m in found], float).reshape(self.n, 4)
+
+    def only(self, rows: np.ndarray) -> Bags:
+        """The rows of a mask."""
+        new = object.__new__(Bags)
+        keep = rows[self.row]
+        new.n, new.size = int(rows.sum()), self.size[rows]
+        new.row, new.col, new.count = (np.cumsum(rows) - 1)[self.row[keep]], self.col[keep], self.count[keep]
+        return new
+
+
+class Link:
+    """A logistic model over the presence of some terms, measures of the text and earlier probabilities."""
+
+    def __init__(self, known: np.ndarray, earlier: int):
+        self.known = known  # mask over all terms: those that this model may look at
+        self.w, self.v = np.zeros(len(known)), np.zeros(8 + earlier)
+
+    def dense(self, x: Bags, before: np.ndarray) -> np.ndarray:
+        """One; any term, different ones, occurrences and their rate, damped; other characters, word length, new words; earlier probabilities."""
+        mine = self.known[x.col]
+        kinds = np.bincount(x.row[mine], minlength=x.n)
+        total = np.bincount(x.row[mine], x.count[mine], x.n)
+        n, letters, chars, new = np.maximum(x.size, 1).T
+        rest = np.where(x.size[:, 2] > 0, 1 - x.size[:, 1] / chars, 0)
+        return np.column_stack([np.ones(x.n), kinds > 0, np.log1p(kinds), np.log1p(total), np.log1p(1000 * total / n), rest, x.size[:, 1] / n / 10, x.size[:, 3] / n, before])
+
+    def predict(self, x: Bags, before: np.ndarray) -> np.ndarray:
+        z = np.bincount(x.row, (self.w * self.known)[x.col], x.n) + self.dense(x, before) @ self.v
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+    def fit(self, x: Bags, before: np.ndarray, y: np.ndarray, decay: float = 0.003, steps: int = 300) -> Link:
+        """Adam on the mean log loss; rows weigh alike, so that a rare class needs evidence."""
+        dense, k = self.dense(x, before), len(self.w)
+        mine = self.known[x.col]
+        row, col = x.row[mine], x.col[mine]
+        p, m, v = np.zeros(k + dense.shape[1]), 0.0, 0.0
+        held = np.concatenate([np.full(k, decay), [0.0], np.full(dense.shape[1] - 1, decay)])
+        for i in range(1, steps + 1):
+            z = np.bincount(row, p[:k][col], x.n) + dense @ p[k:]
+            d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / x.n
+            g = np.concatenate([np.bincount(col, d[row], k), dense.T @ d]) + held * p
+            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+            p = p - 0.1 * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.99**i)) + 1e-9)
+        self.w, self.v = p[:k], p[k:]
+        return self
 
-def features(text: str | None, lookup: Lookup) -> tuple[dict[int, int], int]:
-    """Counts of the chosen terms and the number of words."""
-    counts, n = {}, 0
-    for some in words(text or ""):
-        n += len(some)
-        for found in filter(None, map(lookup.__getitem__, some)):
-            for i in found:
-                counts[i] = counts.get(i, 0) + 1
-    return counts, n
 
+class Chain:
+    """Links of the categories in order; link k also sees the probabilities of categories before k."""
 
-def choose(docs: DataFrame, picked: DataFrame, n_terms: int = TERMS, support: int = 3) -> list[tuple[str, float]]:
-    """(term, log odds) of the terms that speak most for label 1, counted once a labelled document."""
+    def __init__(self, names: list[str], chosen: list[str]):
+        self.names, self.index, self.links = names, Index(chosen), []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            seen: dict[str, list[int]] = {}
-            for x, y in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                own = {t for some in words(x.as_py() or "") for w in set(some) for t in terms(w)}
-                for t in own:
-                    seen.setdefault(t, [0, 0])[y] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.int64())], ["t", "n0", "n1"])
+    def fit(self, x: Bags, targets: np.ndarray, fold: np.ndarray, known: dict[int, np.ndarray]) -> Chain:
+        """known: for each fold the terms chosen without its rows, at -1 those chosen on all rows."""
+        before = np.zeros((x.n, 0))
+        for k in range(targets.shape[1]):
+            self.links.append(Link(known[-1], k).fit(x, before, targets[:, k]))
+            outside = np.zeros(x.n)
+            for f in np.unique(fold):
+                own, rest = fold == f, fold != f
+                link = Link(known[f], k).fit(x.only(rest), before[rest], targets[rest, k]) if rest.any() else self.links[-1]
+                outside[own] = link.predict(x.only(own), before[own])
+            before = np.column_stack([before, outside])
+        return self
 
-    totals = {r["_y"]: r["count"] for r in picked.groupBy("_y").count().collect()}
-    n0, n1 = totals.get(0, 0), totals.get(1, 0)
-    counts = docs.mapInArrow(run, "t string, n0 long, n1 long").groupBy("t").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).filter(F.col("n1") >= support)
-    odds = F.log((F.col("n1") + 0.5) / (n1 + 1)) - F.log((F.col("n0") + 0.5) / (n0 + 1))
-    best = counts.withColumn("odds", odds).filter("odds > 2").orderBy(F.desc(F.col("odds") * F.sqrt("n1")), "t").limit(n_terms)
-    return [(r.t, r.odds) for r in best.collect()]
+    def predict(self, x: Bags) -> np.ndarray:
+        before = np.zeros((x.n, 0))
+        for link in self.links:
+            before = np.column_stack([before, link.predict(x, before)])
+        return before
 
 
-class Logistic:
-    def __init__(self, width: int):
-        self.w = np.zeros(width + 1)
+def hash_fold(doc_id: int) -> int:
+    return (doc_id * 0x9E3779B97F4A7C15 >> 17) % FOLDS
 
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(x @ self.w[:-1] + self.w[-1], -30, 30)))
 
-    def fit(self, x: np.ndarray, y: np.ndarray, decay: float = 0.003, steps: int = 300) -> Logistic:
-        """Adam on the mean log loss; rows weigh alike, so that a rare class needs evidence."""
-        m, v = np.zeros_like(self.w), np.zeros_like(self.w)
-        for i in range(1, steps + 1):
-            d = (self.predict(x) - y) / len(y)
-            g = np.append(x.T @ d + decay * self.w[:-1], d.sum())
-            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-            self.w = self.w - 0.1 * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.99**i)) + 1e-9)
-        return self
+def choose(sample: DataFrame, n_terms: int = TERMS, support: int = 3) -> dict[int, list[str]]:
+    """For each fold, the terms that speak most for label 1 in the other folds' rows (_text, _y, _id); at -1 in all rows.
 
+    A term counts once a document.  The counts are a table; the driver gets n_terms of them a fold.
+    """
 
-class Chain:
-    """Models of the categories in order; model k also sees the probabilities of categories before k."""
-
-    def __init__(self, chosen: list[tuple[str, float]]):
-        self.index = {t: i for i, (t, _) in enumerate(chosen)}
-        self.models: list[Logistic] = []
-
-    def row(self, counts: dict[int, int], n: int) -> np.ndarray:
-        """Presence of each term, then how many different ones, occurrences and their rate, all damped."""
-        x = np.zeros(len(self.index) + 4)
-        if counts:
-            x[list(counts)] = 1
-            total = sum(counts.values())
-            x[-4:] = 1, np.log1p(len(counts)), np.log1p(total), np.log1p(1000 * total / max(1, n))
-        return x
-
-    def fit(self, x: np.ndarray, targets: np.ndarray, fold: np.ndarray) -> Chain:
-        for k in range(targets.shape[1]):
-            self.models.append(Logistic(x.shape[1]).fit(x, targets[:, k]))
-            outside = np.zeros(len(x))
-            for f in np.unique(fold):
-                rest = fold != f
-                model = Logistic(x.shape[1]).fit(x[rest], targets[rest, k]) if rest.any() else self.models[-1]
-                outside[~rest] = model.predict(x[~rest])
-            x = np.column_stack([x, outside])
-        return self
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(seen):
+            keys = list(seen)
+            return pa.RecordBatch.from_arrays([pa.array([t for t, _, _ in keys], pa.string()), pa.array([f for _, f, _ in keys], pa.int32()), pa.array([y for _, _, y in keys], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["t", "f", "y", "n"])
 
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        for model in self.models:
-            x = np.column_stack([x, model.predict(x)])
-        return x[:, -len(self.models) :]
+        seen: dict[tuple, int] = {}
+        for b in batches:
+            for x, y, i in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                f, told = hash_fold(i), set()
+                for some in words(x.as_py() or ""):
+                    told.update(t for w in set(some) for t in terms(w))
+                for t in told:
+                    seen[t, f, y] = seen.get((t, f, y), 0) + 1
+                    if len(seen) >= _HELD:
+                        yield out(seen)
+                        seen = {}
+        yield out(seen)
+
+    totals: dict[tuple[int, int], int] = {}
+    for r in sample.select("_id", "_y").collect():  # as many as the sample has
+        totals[hash_fold(r[0]), r[1]] = totals.get((hash_fold(r[0]), r[1]), 0) + 1
+    counts = sample.mapInArrow(run, "t string, f int, y int, n long").groupBy("t").agg(*[F.coalesce(F.sum(F.when((F.col("f") == f) & (F.col("y") == y), F.col("n"))), F.lit(0)).alias(f"n{y}_{f}") for f in range(FOLDS) for y in (0, 1)])
+    counts = saved(counts.filter(sum(F.col(f"n1_{f}") for f in range(FOLDS)) >= support))
+    chosen = {}
+    for without in range(-1, FOLDS):
+        folds = [f for f in range(FOLDS) if f != without]
+        n0, n1 = (sum(F.col(f"n{y}_{f}") for f in folds) for y in (0, 1))
+        all0, all1 = (sum(totals.get((f, y), 0) for f in folds) for y in (0, 1))
+        odds = F.log((n1 + 0.5) / (all1 + 1)) - F.log((n0 + 0.5) / (all0 + 1))
+        best = counts.select("t", n1.alias("n1"), odds.alias("odds")).filter((F.col("n1") >= support) & (F.col("odds") > 2))
+        chosen[without] = [r.t for r in best.orderBy(F.desc(F.col("odds") * F.sqrt("n1")), "t").limit(n_terms).collect()]
+    return chosen
 
 
 @in_small_batches
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> Chain | None:
-    """A chain from at most per_class labelled rows of each class, by hash of id; None without both classes."""
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).dropna().groupBy("_id").agg(F.max("_y").alias("_y"))
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", categories: dict[str, str] | None = None, per_class: int = PER_CLASS) -> Chain | None:
+    """A chain from at most per_class labelled rows of each class, by hash of id; None without both classes.
+
+    Labels that are null do not count; of several labels of an id the one with the greatest values counts.
+    categories: name -> condition over the columns of labels, the decision last; where labels have no
+    "quality" the decision is the only one.  Rows that share an id are each an example.
+    """
+    if categories is None:
+        categories = CATEGORIES if "quality" in labels.columns else {"toxic": f"{label_col} = 1"}
+    names = list(categories)
+    told = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
+    told = told.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_y"), F.array(*[F.coalesce(F.expr(c), F.lit(False)).cast("int") for c in categories.values()]).alias("_c"))
+    known = told.groupBy("_id").agg(F.max(F.struct("_y", "_c")).alias("_t")).select("_id", "_t._y", "_t._c")
     some = [known.filter(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_class) for y in (0, 1)]
     picked = saved(some[0].union(some[1]))
     if picked.select("_y").distinct().count() < 2:
         return None
-    # The sample is bounded by 2 * per_class rows; its texts are read once, spread over tasks, and kept.
-    sample = saved(renamed(docs, id_col, text_col).join(F.broadcast(picked), "_id").select("_text", "_y", "_id"))
-    chain = Chain(choose(sample.select("_text", "_y"), picked))
+    # The sample is bounded by 2 * per_class ids; its texts are read once, spread over tasks, and kept.
+    rows = renamed(docs, id_col, text_col).select(F.col("_id").cast("long").alias("_id"), "_text")
+    sample = saved(rows.join(F.broadcast(picked), "_id").select("_text", "_y", "_id", "_c"))
+    chosen = choose(sample.select("_text", "_y", "_id"))
+    chain = Chain(names, sorted(set().union(*chosen.values())))
+    index = chain.index
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = Lookup(chain.index)
         for b in batches:
-            found = [features(x.as_py(), lookup) for x in b.column(0)]
-            terms_ = pa.array([list(c) for c, _ in found], pa.list_(pa.int32()))
-            counts = pa.array([list(c.values()) for c, _ in found], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), terms_, counts, pa.array([n for _, n in found], pa.int64())], ["_y", "_id", "terms", "counts", "n"])
+            found = [index.features(x.as_py()) for x in b.column(0)]
+            cols = [pa.array([list(c) for c, _ in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c, _ in found], pa.list_(pa.int64())), pa.array([m for _, m in found], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), *cols], ["_id", "_c", "terms", "counts", "size"])
 
-    rows = sorted(sample.mapInArrow(run, "_y int, _id long, terms array<int>, counts array<int>, n long").collect(), key=lambda r: (r[1], r[4], r[0]))
-    if not rows:
+    got = sorted(sample.select("_text", "_id", "_c").mapInArrow(run, "_id long, _c array<int>, terms array<int>, counts array<long>, size array<double>").collect(), key=str)
+    if not got:
         return None
-    y = np.array([r[0] for r in rows], float)
-    x = np.array([chain.row(dict(zip(r[2], r[3], strict=True)), r[4]) for r in rows])
-    names = list(chain.index)
-    kinds = np.array([len({names[i][:4] for i in r[2]}) for r in rows])  # terms with the same first letters are one kind
-    rate = x[:, -1]
-    middle = np.median(rate[y == 1]) if (y == 1).any() else 0.0
-    targets = np.column_stack([y, y * (kinds >= 2), y * (rate > middle)])
-    fold = np.array([hash_fold(r[1]) for r in rows])
-    return chain.fit(x, targets, fold)
-
-
-def hash_fold(doc_id: int) -> int:
-    return (doc_id * 0x9E3779B97F4A7C15 >> 17) % FOLDS
+    x = Bags([(dict(zip(r.terms, r.counts, strict=True)), r["size"]) for r in got])
+    masks = {f: np.isin(np.arange(len(index)), [index[t] for t in own]) for f, own in chosen.items()}
+    return chain.fit(x, np.array([r._c for r in got], float), np.array([hash_fold(r._id) for r in got]), masks)
 
 
 @in_small_batches
-def score(docs: DataFrame, chain: Chain | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, p_toxic, p_repeated, p_dense, toxic (1 if p_toxic >= 0.5) of every row.
+def score(docs: DataFrame, chain: Chain | None, id_col: str = "doc_id", text_col: str = "text", names: Iterable[str] = tuple(CATEGORIES)) -> DataFrame:
+    """id, p_<category> for each link, toxic (1 if the last link's probability is 0.5 or more) of every row.
 
-    Null and empty texts have no term and score as such.  Without a chain (no labels of one class) every
-    probability is 0.
+    Null and empty texts have no term and score as such.  Repeated rows score alike, each for itself.  Texts
+    of any length are read to their end, a piece at a time.  Without a chain (no labels of one class) every
+    probability is 0 and the columns are those of names.
     """
+    names = chain.names if chain else list(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = Lookup(chain.index) if chain else None
         for b in batches:
-            p = np.zeros((len(b), len(CATEGORIES)))
-            if chain:
-                none = chain.predict(chain.row({}, 0)[None, :])[0]
-                p[:] = none
-                found = [(i, c, n) for i, x in enumerate(b.column(1)) for c, n in [features(x.as_py(), lookup)] if c]
-                for at in range(0, len(found), 1000):
-                    some = found[at : at + 1000]
-                    p[[i for i, _, _ in some]] = chain.predict(np.array([chain.row(c, n) for _, c, n in some]))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(p[:, k]) for k in range(len(CATEGORIES)))], ["_id", "p_toxic", "p_repeated", "p_dense"])
+            p = chain.predict(Bags([chain.index.features(x.as_py()) for x in b.column(1)])) if chain else np.zeros((len(b), len(names)))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(p[:, k]) for k in range(len(names)))], ["_id", *(f"p_{n}" for n in names)])
 
     rows = renamed(docs, id_col, text_col).select(F.col("_id").cast("long"), "_text")
-    out = saved(rows.mapInArrow(run, "_id long, p_toxic double, p_repeated double, p_dense double"))
-    return out.select(F.col("_id").alias(id_col), "p_toxic", "p_repeated", "p_dense", (F.col("p_toxic") >= 0.5).cast("int").alias("toxic"))
+    out = saved(rows.mapInArrow(run, "_id long, " + ", ".join(f"p_{n} double" for n in names)))
+    return out.select(F.col("_id").alias(id_col), *(f"p_{n}" for n in names), (F.col(f"p_{names[-1]}") >= 0.5).cast("int").alias("toxic"))
