@@ -47,15 +47,15 @@ def simhash(data: bytes | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """_id, fp (the fingerprint's bits as a signed long) of every row; null text counts as empty."""
+    """_id, _h (hash of the text), fp (the fingerprint's bits as a signed long) of every row; null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.fromiter((simhash(x.as_py(), shingle) for x in b.column(1)), np.uint64, len(b))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps.view(np.int64))], ["_id", "_h", "fp"])
 
-    rows = renamed(docs, id_col, text_col).select(F.col("_id").cast("long"), F.col("_text").cast("binary"))
-    return rows.mapInArrow(run, "_id long, fp long")
+    rows = renamed(docs, id_col, text_col).select(F.col("_id").cast("long"), F.col("_text").cast("binary"), F.xxhash64(F.col("_text").cast("binary")).alias("_h"))
+    return rows.mapInArrow(run, "_id long, _h long, fp long")
 
 
 def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -141,7 +141,9 @@ def links(nodes: DataFrame, radius: int = RADIUS, run_limit: int = RUN_LIMIT) ->
     ship(nodes.sparkSession)
     parts = (F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
     keys = F.explode(F.array(*[F.struct(F.lit(32 * s + i).alias("t"), part.bitwiseAND(F.lit(0xFFFFFFFF ^ (1 << i))).alias("k")) for s, part in enumerate(parts) for i in range(32)]))
-    rows = nodes.select(keys.alias("v"), "fp").select("v.t", "v.k", "fp")
+    # Few bytes make many rows here, so the fingerprints are spread first.
+    spread = nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    rows = spread.select(keys.alias("v"), "fp").select("v.t", "v.k", "fp")
     found = saved(rows.repartitionByRange("t", "k", "fp").sortWithinPartitions("t", "k", "fp").mapInArrow(_runs(True, radius, run_limit), "a long, b long"))
     other = found.filter("b is null").select(F.col("a").alias("fp")).distinct()
 
@@ -155,27 +157,42 @@ def links(nodes: DataFrame, radius: int = RADIUS, run_limit: int = RUN_LIMIT) ->
     return found.filter("b is not null").union(more)
 
 
+def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, run_limit: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (_id, _h, fp), and of each fp: component_id, and first, the component's least (no id, id, text hash)."""
+    prints = saved(fingerprints(docs, id_col, text_col, shingle))
+    nodes = saved(prints.groupBy("fp").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_h")).alias("first")))
+    roots = connected_components(links(nodes.select("fp"), radius, run_limit)).select(F.col("node").alias("fp"), "root")
+    nodes = nodes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    nodes = saved(nodes)
+    groups = saved(nodes.groupBy("root").agg(F.min("first").alias("first")))
+    return prints, saved(nodes.drop("first").join(groups, "root").select("fp", F.col("first._id").alias("component_id"), "first"))
+
+
 @freed
 @in_small_batches
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS, run_limit: int = RUN_LIMIT) -> DataFrame:
     """One row per input row: id, fingerprint (16 lower-case hex digits), component_id.
 
     Null and wordless texts have fingerprint zero and are linked like any other.  component_id is the
-    smallest id in the component (null only if all its ids are null); repeated rows share it.
+    smallest id in the component (null only if all its ids are null); repeated rows share it.  Texts of any
+    length are read to their end; an empty table gives an empty result.
     """
-    prints = saved(fingerprints(docs, id_col, text_col, shingle))
-    nodes = saved(prints.groupBy("fp").agg(F.min("_id").alias("least")))
-    roots = connected_components(links(nodes, radius, run_limit)).select(F.col("node").alias("fp"), "root")
-    nodes = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    nodes = saved(nodes)
-    groups = saved(nodes.groupBy("root").agg(F.min("least").alias("component_id")))
-    names = saved(nodes.join(groups, "root").select("fp", "component_id"))
+    prints, names = _components(docs, id_col, text_col, shingle, radius, run_limit)
     return prints.join(names, "fp").select(F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@freed
+@in_small_batches
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's rows and columns; of each component only the rows with its smallest id stay (null ids stay)."""
-    found = near_duplicates(docs, id_col, text_col)
-    gone = saved(found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_id")).distinct())
+    """The input's rows and columns; of each component one document stays.
+
+    It is the one of the smallest id (nulls last), and among different texts of that id the one of the
+    smallest hash.  A document is an id with a text: its repeated rows stay or go together, and other texts
+    under the same id are judged by their own component.
+    """
+    prints, names = _components(docs, id_col, text_col, 3, RADIUS, RUN_LIMIT)
+    stays = F.col("_id").eqNullSafe(F.col("first._id")) & (F.col("_h") == F.col("first._h"))
+    gone = saved(prints.join(names, "fp").filter(~stays).select("_id", F.col("_h").alias("_g")).distinct())
     plain, name = numbered(docs)
-    return plain.join(small_or_plain(gone), F.col(name[id_col]) == F.col("_id"), "left_anti").toDF(*docs.columns)
+    on = F.col(name[id_col]).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(name[text_col]).cast("binary")) == F.col("_g"))
+    return plain.join(small_or_plain(gone), on, "left_anti").toDF(*docs.columns)

@@ -91,5 +91,13 @@ def test_one_of_each(odd):
     assert ids.count(2) == 0 and ids.count(1) == 1 and ids.count(3) == 1 and 4 not in ids and 8 in ids
 
 
+def test_one_of_each_with_repeated_ids(make):
+    """A text that is unlike any other stays, whatever else bears its id."""
+    a, b, c = "one two three four five six", "seven eight nine ten eleven twelve", "quite another text of seven words"
+    rows = [(1, a), (5, a), (5, b), (7, c), (7, c), (None, a), (None, "no id but its own words")]
+    left = sorted(((r.doc_id, r.text) for r in neardup.one_of_each(make(rows)).collect()), key=str)
+    assert left == sorted([(1, a), (5, b), (7, c), (7, c), (None, "no id but its own words")], key=str)
+
+
 def test_empty_table(make):
-    assert neardup.near_duplicates(make([])).count() == 0
+    assert neardup.near_duplicates(make([])).count() == 0 and neardup.one_of_each(make([])).count() == 0
