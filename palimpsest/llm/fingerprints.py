@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from .shared import SPACES, renamed, saved, small_or_plain
 
 BITS, RADIUS = 64, 3
-#: Documents of a block when each is to meet its successor, and quantiles of ids that blocks start from.
+#: Documents of a block when each is to meet its successor, and parts into which quantiles cut a range of ids at a time.
 BLOCK, QUANTILES = 1000, 64
+#: Fingerprints under one key of the first tables beyond which they go to finer ones.
+CROWD = 2000
 _PAIR = 0x0000000100000001
 _HEAVIEST = 12
 
@@ -80,31 +82,57 @@ def _counted(sums: DataFrame) -> DataFrame:
     return sums.withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_rows")))).drop("_again")
 
 
+def _placed(rows: DataFrame) -> DataFrame:
+    """rows (_id, _text) with _o, _h and _block: some BLOCK rows each, in ascending order of (_id, _h), nulls first.
+
+    Quantiles of all ids, then of the ids within each of these parts, and once more, so that clustered ids
+    fill as many blocks as spread ones.  An id that many rows share, null too, is cut by the hash of the text.
+    """
+    rows = rows.withColumns({"_o": F.coalesce("_id", F.lit(-(1 << 63))), "_h": F.xxhash64("_text")})
+    n, keys = rows.count(), ["_k0", "_k1", "_k2"]
+    cuts = F.percentile_approx("_o", [i / QUANTILES for i in range(1, QUANTILES)], 1000).alias("_cuts")
+    place = lambda c: F.size(F.filter(c, lambda x: x <= F.col("_o")))
+    first = rows.agg(cuts).first()[0] or []
+    rows = rows.withColumn("_k0", place(F.array(*[F.lit(x).cast("long") for x in first])))
+    for level in (1, 2):
+        if n > BLOCK * QUANTILES**level:  # the parts are QUANTILES ** level at most
+            rows = rows.join(F.broadcast(saved(rows.groupBy(*keys[:level]).agg(cuts))), keys[:level]).withColumn(keys[level], place("_cuts")).drop("_cuts")
+        else:
+            rows = rows.withColumn(keys[level], F.lit(0))
+    often = saved(rows.groupBy(*keys, "_o").count().filter(F.col("count") > BLOCK))
+    sub = F.struct(F.lit(0).alias("at"), F.lit(0).cast("long").alias("part"))
+    if often.limit(1).count():
+        # In a part of the order: lesser ids, the first such id by its hashes, ids above it, and so on.
+        often = saved(often.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_o", F.ceil(F.col("count") / BLOCK).alias("parts")))).alias("_often")))
+        rows = rows.join(small_or_plain(often), keys, "left")
+        at = F.coalesce(F.size(F.filter("_often", lambda x: x["_o"] <= F.col("_o"))), F.lit(0))
+        own = F.when(at > 0, F.element_at("_often", at))
+        part = F.when(own["_o"] == F.col("_o"), F.floor((F.col("_h") / 2.0**64 + 0.5) * own["parts"])).otherwise(F.lit((1 << 63) - 1))
+        sub = F.struct(at.alias("at"), part.alias("part"))
+    return rows.withColumn("_block", F.struct(*keys, sub.alias("_sub"))).drop("_k1", "_k2", "_often")
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """_id, _text, _next_id, _next: every row and its successor by descending id (nulls last), after the last the first.
 
-    Ranges of ids are blocks; the first row of each block is also put behind the block before it, so each
-    row finds its successor in its own block and the texts are shuffled once.
+    Rows of one id follow one another by the hash of their texts.  Ranges of the order are blocks; the first
+    row of each block is also put behind the block before it, so each row finds its successor in its own
+    block and the texts are shuffled once.
     """
     rows = renamed(docs, id_col, text_col).select(F.col("_id").cast("long").alias("_id"), F.coalesce("_text", F.lit("")).alias("_text"))
-    o = F.coalesce("_id", F.lit(-(1 << 63)))
-    facts = rows.select(F.col("_id")).agg(F.count("*"), F.min("_id"), F.max("_id"), F.percentile_approx("_id", [i / QUANTILES for i in range(1, QUANTILES)], 1000)).first()
-    n, low, high, cuts = facts[0], facts[1] or 0, facts[2] or 0, facts[3] or []
-    edges = sorted({low, *cuts, high})
-    per = max(1, -(-n // (BLOCK * QUANTILES)))
-    # Coarse range by quantiles, then equal parts of it.
-    coarse = F.size(F.filter(F.array(*[F.lit(int(x)).cast("long") for x in edges]), lambda x: x <= o))
-    left, right = (F.element_at(F.array(*[F.lit(float(x)) for x in (low, *edges, high + 1)]), coarse + k) for k in (1, 2))
-    fine = F.least(F.lit(per - 1), F.greatest(F.lit(0), F.floor((o - left) * per / F.greatest(right - left, F.lit(1.0)))))
-    rows = rows.withColumn("_o", o).withColumn("_block", (coarse.cast("long") * per + fine.cast("long")))
-    heads = rows.groupBy("_block").agg(F.max("_o").alias("_o"))
-    around = Window.partitionBy().orderBy(F.desc("_block"))
-    heads = heads.select("_block", "_o", F.coalesce(F.lag("_block").over(around), F.min("_block").over(Window.partitionBy())).alias("_before"))
-    heads = small_or_plain(saved(heads))
+    rows = _placed(rows)
+    heads = saved(rows.groupBy("_block").agg(F.max(F.struct("_o", "_h")).alias("_top")).select("_block", "_block._k0", "_top._o", "_top._h"))
+    # What stands before a block: the next higher one of its part of the order, else the lowest of the next part that has any.
+    ends = saved(heads.groupBy("_k0").agg(F.min("_block").alias("_least")))
+    there = sorted(r[0] for r in ends.select("_k0").collect())  # QUANTILES at most
+    after = F.create_map(*[F.lit(x) for k, over in zip(there, there[1:] + there[:1], strict=True) for x in (k, over)]) if there else F.create_map().cast("map<int,int>")
+    heads = heads.withColumns({"_up": F.lag("_block").over(Window.partitionBy("_k0").orderBy(F.desc("_block"))), "_next": F.element_at(after, F.col("_k0"))})
+    heads = heads.join(F.broadcast(ends.withColumnRenamed("_k0", "_next")), "_next")
+    heads = small_or_plain(saved(heads.select("_block", "_o", "_h", F.coalesce("_up", "_least").alias("_before"))))
     home = F.struct(F.col("_block").alias("k"), F.lit(0).alias("copy"))
     away = F.struct(F.col("_before").alias("k"), F.lit(1).alias("copy"))
-    x = rows.join(heads, ["_block", "_o"], "left").select("_id", "_text", F.explode(F.when(F.col("_before").isNull(), F.array(home)).otherwise(F.array(home, away))).alias("_at"))
-    order = Window.partitionBy("_at.k").orderBy("_at.copy", F.col("_id").desc_nulls_last(), F.xxhash64("_text"), "_text")
+    x = rows.join(heads, ["_block", "_o", "_h"], "left").select("_id", "_text", "_h", F.explode(F.when(F.col("_before").isNull(), F.array(home)).otherwise(F.array(home, away))).alias("_at"))
+    order = Window.partitionBy("_at.k").orderBy("_at.copy", F.col("_id").desc_nulls_last(), F.desc("_h"))
     x = x.select("_id", "_text", "_at", F.lead("_text").over(order).alias("_next"), F.lead("_id").over(order).alias("_next_id"))
     return x.filter("_at.copy = 0").drop("_at")
 
@@ -153,7 +181,7 @@ def _tables(prints: DataFrame, blocks: int, radius: int) -> DataFrame:
     return prints.select("fp", F.explode(keys).alias("_v")).select("fp", "_v.t", "_v.k")
 
 
-def within(prints: DataFrame, queries: DataFrame, radius: int = RADIUS, crowd: int = 500) -> DataFrame:
+def within(prints: DataFrame, queries: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
     """(query, fp): for distinct fingerprints (fp: long) all pairs within the radius but equal ones.
 
     First tables of radius + 3 blocks.  Keys that over crowd fingerprints share are left out there, and
@@ -175,10 +203,22 @@ def within(prints: DataFrame, queries: DataFrame, radius: int = RADIUS, crowd: i
     return first.union(finer).distinct()
 
 
-def has_near(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """fp of those distinct fingerprints that another one lies within the radius of; no pair is made."""
-    x = _tables(prints, radius + 3, radius)
-    y = _tables(prints, radius + 3, radius).withColumnRenamed("fp", "_o")
+def has_near(prints: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
+    """fp of those distinct fingerprints that another one lies within the radius of; no pair is made.
+
+    Keys that over crowd fingerprints share are left out of the first tables; all fingerprints under such
+    keys go to tables of 16 blocks, under whose keys 16 ** radius can be at most.
+    """
+    first = _tables(prints, radius + 3, radius)
+    crowded = saved(first.groupBy("t", "k").count().filter(F.col("count") > crowd).select("t", "k"))
     near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("_o"))) <= radius) & (F.col("fp") != F.col("_o"))
-    y = y.withColumnsRenamed({"t": "_t", "k": "_k"})
-    return x.join(y, (F.col("t") == F.col("_t")) & (F.col("k") == F.col("_k")) & near, "left_semi").select("fp").distinct()
+
+    def found(x: DataFrame) -> DataFrame:
+        y = x.select(F.col("fp").alias("_o"), F.col("t").alias("_t"), F.col("k").alias("_k"))
+        return x.join(y, (F.col("t") == F.col("_t")) & (F.col("k") == F.col("_k")) & near, "left_semi").select("fp")
+
+    if crowded.limit(1).count() == 0:
+        return found(first).distinct()
+    small = small_or_plain(crowded)
+    hot = saved(first.join(small, ["t", "k"], "left_semi").select("fp").distinct())
+    return found(first.join(small, ["t", "k"], "left_anti")).union(found(_tables(hot, 16, radius))).distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, exact, fingerprints, mixing, neardup, ngram_lm, quality, repeats, toxicity, warc
-from .shared import saved, table
+from .shared import freed, saved, table
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, labels.filter(~quality.held_out())))
 
 
+@freed
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """near_other: another document's fingerprint lies within the radius, found by the block tables."""
     x = saved(fingerprints.edited_fingerprints(table(spark, sf_dir, "documents")))

@@ -5,6 +5,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from palimpsest.llm import fingerprints, queries
 
@@ -65,6 +66,39 @@ def test_nulls_and_repeated_rows(make):
     assert fingerprints.fingerprints(make(rows)).count() == 5
 
 
+@pytest.mark.parametrize("quantiles", [2, 4, 64])
+def test_crowded_and_clustered_ids(make, quantiles, monkeypatch):
+    """An id and null that many rows share, and ids that lie close together beside one far away: every row has its successor."""
+    monkeypatch.setattr(fingerprints, "BLOCK", 3)
+    monkeypatch.setattr(fingerprints, "QUANTILES", quantiles)
+    rows = [(None, f"none {i}") for i in range(40)] + [(7, f"seven {i}") for i in range(50)] + [(5, "five"), (9, "nine"), (11, "x")] + [(10**6 + i, f"near {i}") for i in range(60)] + [(2**60, "far")]
+    got = fingerprints.with_next(make(rows).repartition(5)).collect()
+    assert len(got) == len(rows)
+    after = {(r._id, r._text): (r._next_id, r._next) for r in got}
+    at, seen = (2**60, "far"), []
+    for _ in rows:
+        seen.append(at)
+        at = after[at]
+    assert at == (2**60, "far") and sorted(seen, key=str) == sorted(rows, key=str)
+    ids = [i for i, _ in seen]
+    assert ids == sorted([i for i in ids if i is not None], reverse=True) + [None] * 40
+    blocks = fingerprints._placed(make(rows).select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))).groupBy("_block").count().collect()
+    assert quantiles == 2 or max(r["count"] for r in blocks) <= 15  # eight parts are too few for small blocks
+
+
+def test_crowd_without_near_pairs(spark):
+    """Fingerprints that share half their bits and are all far apart go through the finer tables."""
+    rng = np.random.default_rng(5)
+    fps = {0x1234567800000000 | int(x) for x in rng.integers(0, 1 << 32, 9000)}
+    pair = 0x1234567800000000 | 0xFFFF0000
+    fps |= {pair, pair ^ 0b111}
+    fps = sorted(fps)
+    a = np.array(fps, np.uint64)
+    want = {int(x) for x in a if (np.bitwise_count(a ^ x) <= 3).sum() > 1}
+    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    assert {r.fp for r in fingerprints.has_near(df, crowd=500).collect()} == want and pair in want
+
+
 def test_one_row_and_empty_table(make):
     r = fingerprints.edited_fingerprints(make([(4, "abc def ghi")])).collect()
     assert [tuple(x)[:3] for x in r] == [(4, 11, hashlib.sha256(b"abc def abc").hexdigest())]
@@ -87,7 +121,7 @@ def test_search_is_complete(spark, crowd):
     near |= {(b, a) for a, b in near}
     got = {tuple(r) for r in fingerprints.within(df, df.withColumnRenamed("fp", "query"), crowd=crowd).collect()}
     assert got == near
-    assert {r.fp for r in fingerprints.has_near(df).collect()} == {a for a, _ in near}
+    assert {r.fp for r in fingerprints.has_near(df, crowd=crowd).collect()} == {a for a, _ in near}
 
 
 def test_edit_is_nearer_than_the_next(spark):
