@@ -36,7 +36,7 @@ def brute(rows, order=2, without_own=True):
 
 def check(df, **how):
     rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
-    want = brute(rows, how.get("order", 2), how.get("without_own", True))
+    want = brute(rows, how.get("order", 3), how.get("without_own", True))
     got = sorted(((r[0], r[1], r[2], r[3]) for r in ngram_lm.scores(df, **how).collect()), key=str)
     key = lambda x: (str(x[0]), x[1], round(x[2], 6))
     for g, w in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
@@ -44,7 +44,7 @@ def check(df, **how):
         assert g[3] is None if g[1] == 0 else g[3] == pytest.approx(g[2] / g[1])
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
 @pytest.mark.parametrize("without_own", [True, False])
 def test_small_blocks(spark, sf, order, without_own):
     check(spark.read.parquet(f"{sf}/documents.parquet"), order=order, without_own=without_own, block_bytes=60_000, part=5000)
