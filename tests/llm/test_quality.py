@@ -1,6 +1,12 @@
+import math
+from collections import Counter
+
 import numpy as np
 
-from palimpsest.llm import quality, queries
+from palimpsest.llm import quality as Q
+from palimpsest.llm import queries
+
+KINDS = [set(b"abcdefghijklmnopqrstuvwxyz"), set(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), set(b"0123456789"), set(b" \t\r\x0b\x0c"), set(b"\n"), set(b"!"), set(b"|"), set(b"%$&#*@^~=+<>_\\/{}[]"), set(b".,;:?"), set(b"\"'()-`"), set(range(0x80, 0x9F)), set(range(0x9F, 0xC0))]
 
 
 def auc(score, y):
@@ -9,6 +15,99 @@ def auc(score, y):
     return (rank[y == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * n0)
 
 
+def plain_passages(data):
+    """Features of the passages of one piece, passage by passage."""
+    if not data:
+        return [[0.0] * Q.N_FEATURES]
+    places, at = [], 0
+    for line in data.split(b"\n"):
+        line = data[at : at + len(line) + 1]
+        places += [(at + k, line[k : k + Q.PASSAGE]) for k in range(0, len(line), Q.PASSAGE)]
+        at += len(line)
+    words, begin = [], None
+    for i, c in enumerate(data + b" "):
+        if c in b" \t\n\r\x0b\x0c":
+            if begin is not None:
+                words.append((begin, data[begin:i]))
+            begin = None
+        elif begin is None:
+            begin = i
+    rows = []
+    for start, p in places:
+        own = [w for b, w in words if start <= b < start + len(p)]
+        share = [sum(c in k for c in p) / len(p) for k in KINDS]
+        share.append(1 - sum(share))
+        n = max(1, len(own))
+        upper, letters = share[1] + share[10], share[0] + share[1] + share[10] + share[11]
+        x = [*share, upper / max(1 / len(p), letters), math.log1p(len(own)) / 5 if own else 0, sum(map(len, own)) / n / 10, math.sqrt(sum(len(w) ** 2 for w in own) / n) / 10]
+        x += [sum(a == b for a, b in zip(own, own[k:])) / n for k in (1, 2, 3)]
+        x += [len(set(own)) / n, None]
+        h = Counter((sum(int(Q._MIX[c]) * int(Q._POWER[i & 1023]) for i, c in enumerate(w)) % 2**64 >> 40) % Q.N_WORDS for w in own)
+        g = Counter(int(Q._GRAM[0][p[i]] ^ Q._GRAM[1][p[i + 1]] ^ Q._GRAM[2][p[i + 2]]) for i in range(len(p) - 2))
+        rows.append((own, x, [h[i] / n for i in range(Q.N_WORDS)] + [g[i] / len(p) for i in range(Q.N_GRAMS)]))
+    seen = Counter(tuple(own) for own, _, _ in rows if own)
+    return [[*x[:-1], float(seen[tuple(own)] > 1), *rest] for own, x, rest in rows]
+
+
+def plain_score(model, data):
+    """The forward pass by loops over passages."""
+    p, codes = model.p, []
+    for row in plain_passages(data or b""):
+        x = [max(-8.0, min(8.0, (v - m) / s)) for v, m, s in zip(row, model.mean, model.scale, strict=True)]
+        h = [math.tanh(sum(a * b for a, b in zip(x, p["W"][:, j])) + p["b"][j]) for j in range(len(p["b"]))]
+        gate = [math.tanh(sum(a * b for a, b in zip(h, p["V"][:, j])) + p["v"][j]) / (1 + math.exp(-sum(a * b for a, b in zip(h, p["U"][:, j])) - p["u"][j])) for j in range(len(p["v"]))]
+        codes.append((math.exp(sum(a * b for a, b in zip(gate, p["w"]))), h))
+    total = sum(e for e, _ in codes)
+    z = [sum(e * h[j] for e, h in codes) / total for j in range(len(codes[0][1]))]
+    return 1 / (1 + math.exp(-max(-30, min(30, sum(a * b for a, b in zip(z, p["c"])) + p["o"][0]))))
+
+
+def test_forward_pass_against_loops(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("n_chars < 3000")
+    model = Q.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    rows = docs.select("doc_id", "text").collect()[:60]
+    rows = [(r[0], r[1]) for r in rows] + [(-1, None), (-2, ""), (-3, " \n\n x\n"), (-4, "ab" * 900 + " tail words\n" + "line one\nline one\n")]
+    got = {r.doc_id: r.score for r in Q.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for d, t in rows:
+        assert abs(got[d] - plain_score(model, (t or "").encode())) < 1e-5, d
+
+
+def test_pooling_by_pieces_is_pooling_at_once(monkeypatch):
+    model = Q.Attention(seed=4)
+    text = b"some words and more of them\n" * 300 + b"another kind, with 12 numbers !!!\n" * 200
+    x = np.concatenate(list(Q.pieces(text))).astype(float)
+    f = model.encoded(x)
+    e = np.exp(f["s"] - f["s"].max())
+    want = model.output((e[:, None] * f["h"]).sum(axis=0)[None] / e.sum())
+    for held in (1, 7, 10_000):
+        assert np.allclose(model.scores([text, None, text], held)[[0, 2]], want)
+    monkeypatch.setattr(Q, "CHUNK", 500)
+    assert sum(map(len, Q.pieces(text))) == 500
+
+
+def test_gradient():
+    r = np.random.default_rng(1)
+    model = Q.Attention(hidden=4, gate=3)
+    x, starts, y = r.normal(size=(9, Q.N_FEATURES)), np.array([0, 2, 6]), np.array([1.0, 0.0, 1.0])
+    weight = np.array([0.2, 0.5, 0.3])
+
+    def loss():
+        f, total = model.encoded(x), 0.0
+        for a, z, t, w in zip(starts, [2, 6, 9], y, weight):
+            e = np.exp(f["s"][a:z])
+            o = model.output((e[:, None] * f["h"][a:z]).sum(axis=0) / e.sum())[0]
+            total -= w * (t * np.log(o) + (1 - t) * np.log(1 - o))
+        return total
+
+    for k, g in model.gradient(x, starts, y, weight).items():
+        at = tuple(r.integers(0, n) for n in g.shape)
+        model.p[k][at] += 1e-5
+        up = loss()
+        model.p[k][at] -= 2e-5
+        assert np.isclose((up - loss()) / 2e-5, g[at], rtol=1e-4, atol=1e-8), k
+        model.p[k][at] += 1e-5
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
@@ -22,27 +121,29 @@ def test_held_out_accuracy(spark):
 
 def test_odd_rows(odd, spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, None), (None, 1), (6, 1), (6, 1), (11, 0)], "doc_id long, quality int")
-    model = quality.fit(odd, labels)
-    got = quality.score(odd, model).collect()
+    model = Q.fit(odd, labels)
+    got = Q.score(odd, model).collect()
     assert len(got) == odd.count() and all(0 <= r.score <= 1 for r in got)
     texts = {}
-    for r, t in zip(sorted(got, key=str), sorted(odd.select("doc_id", "text").collect(), key=str)):
+    for r in got:
         texts.setdefault(r.doc_id, set()).add(r.score)
     assert texts[1] == texts[2] and texts[3] == texts[4]
-    left = quality.kept(odd, labels)
+    left = Q.kept(odd, labels)
     assert left.columns == odd.columns and left.count() <= odd.count()
 
 
 def test_no_labels_and_empty_table(make, spark, odd):
     none = spark.createDataFrame([], "doc_id long, quality int")
-    assert {r.score for r in quality.score(odd, quality.fit(odd, none)).collect()} == {0.5}
-    assert quality.kept(odd, none).count() == odd.count()
-    assert quality.score(make([]), None).count() == 0
+    assert {r.score for r in Q.score(odd, Q.fit(odd, none)).collect()} == {0.5}
+    assert Q.kept(odd, none).count() == odd.count()
+    assert Q.score(make([]), None).count() == 0
+    assert Q.kept(make([]), none).count() == 0
 
 
 def test_passages_cover_the_whole_text():
     long = ("Plain words here and there. " * 30 + "\n") * 2000
-    assert len(quality.bag(long.encode())) >= 2000
-    assert quality.bag(None).shape == quality.bag(b"").shape == (1, quality.N_FEATURES)
-    junk = quality.bag((long + "$$$ %%% ### @@@ " * 9000).encode())
-    assert not np.allclose(junk[-1], quality.bag(long.encode())[-1])
+    whole = np.concatenate(list(Q.pieces(long.encode())))
+    assert len(whole) >= 2000 and len(Q.some(long.encode())) == Q.PER_TEXT
+    assert [x.shape for x in Q.pieces(None)] == [x.shape for x in Q.pieces(b"")] == [(1, Q.N_FEATURES)]
+    junk = np.concatenate(list(Q.pieces((long + "$$$ %%% ### @@@ " * 9000).encode())))
+    assert not np.allclose(junk[-1], whole[-1])
