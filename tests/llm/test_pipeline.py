@@ -2,6 +2,8 @@
 
 import re
 
+import pytest
+
 import corpus_pipeline
 from palimpsest.llm import quality
 
@@ -53,3 +55,33 @@ def test_stages(spark, sf):
 def test_run(spark, sf):
     got = corpus_pipeline.run(spark, sf)
     assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and got.count() > 50
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _id string, fp long, size int"
+
+
+@pytest.fixture(scope="module")
+def odd_docs(spark):
+    """Nulls in every column, empty and long texts, ties, repeated rows and ids, and columns with names of the stages' own."""
+    prose = lambda k: " ".join(f"word{(k * 37 + i * i) % 991}" for i in range(60))
+    rows = [(1, prose(1), "s"), (1, prose(1), "s"), (2, prose(2), "t"), (5, prose(1), "s"), (5, prose(5), "s"), (6, None, None), (7, "", "t"), (8, " \n\t ", "t"), (None, prose(9), None), (None, prose(1), "s"), (None, None, "t"), (9, prose(3) * 4000, "t"), (10, prose(4), None)]
+    return spark.createDataFrame([(d, t, None, s, None, "x", None, 3) for d, t, s in rows], SCHEMA)
+
+
+def test_stages_on_odd_rows(spark, sf, odd_docs):
+    rows = {str((r.doc_id, r.text)) for r in odd_docs.collect()}
+    of = lambda df: sorted((r.doc_id, r.text) for r in df.collect() if r.doc_id is not None)
+    every = [(r.doc_id, r.text) for r in odd_docs.collect()]
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, odd_docs, sf)
+        assert out.columns == odd_docs.columns and {str((r.doc_id, r.text)) for r in out.collect()} <= rows, name
+    prose = {d: t for d, t in every if t}
+    left = of(corpus_pipeline.drop_exact(spark, odd_docs, sf))
+    assert left.count((1, prose[1])) == 2 and (5, prose[5]) in left and (5, prose[1]) not in left and {d for d, _ in left} == {1, 2, 5, 8, 9, 10}
+    left = of(corpus_pipeline.drop_near(spark, odd_docs, sf))
+    assert left.count((1, prose[1])) == 2 and (5, prose[5]) in left and (5, prose[1]) not in left and {d for d, _ in left} == {1, 2, 5, 6, 9, 10}
+    assert sum(r.doc_id is None for r in corpus_pipeline.drop_near(spark, odd_docs, sf).collect()) == 1
+    out = corpus_pipeline.encode(spark, odd_docs, sf).collect()
+    assert len(out) == len(every) and [r.n_tokens for r in out if r.doc_id == 6] == [0]
+    none = spark.createDataFrame([], odd_docs.schema)
+    assert all(stage(spark, none, sf).count() == 0 for _, stage in corpus_pipeline.STAGES)
