@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or the context's own; a folder of its own only where neither is set, as in tests."""
+    """spark.checkpoint.dir, or the context's own.  Where neither is set, as in tests, a folder of its own, but only in a local session."""
     sc = spark.sparkContext
-    at = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-")
+    at = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if not at and not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    at = at or tempfile.mkdtemp(prefix="checkpoints-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(at)
     return at
