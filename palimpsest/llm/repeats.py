@@ -154,6 +154,9 @@ def _least(*keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 _CROWDED = -1
+_again = lambda h: mixed(h ^ np.uint64(0x9E3779B97F4A7C15))  # noqa: E731  the least hash of many is small, so its range says nothing
+
+
 _ITEMS = "bucket long, h binary, s binary, doc binary, th binary, at binary, side binary"
 
 
@@ -167,7 +170,7 @@ def _send(items: dict[str, np.ndarray], buckets: int, crowd: int | None = None)
         return
     span, low = _least(items["h"], items["s"], doc=items["doc"])
     covered = items["doc"] > low
-    bucket = bucket_of(items["h"], buckets)
+    bucket = bucket_of(_again(items["h"]), buckets)
     if crowd is not None:
         gram, first = np.unique(items["h"], return_inverse=True)
         many = np.bincount(first[np.unique(span, return_index=True)[1]], minlength=len(gram)) > crowd
@@ -176,7 +179,7 @@ def _send(items: dict[str, np.ndarray], buckets: int, crowd: int | None = None)
         n, zero = int(many.sum()), np.zeros(int(many.sum()), np.int64)
         more = {"h": gram[many], "s": zero.view(np.uint64), "doc": zero, "th": zero, "at": zero + _CROWDED, "side": zero.astype(np.uint16)}
         items = {k: np.concatenate([v, more[k]]) for k, v in items.items()}
-        covered, bucket = np.append(covered, np.zeros(n, bool)), np.append(bucket, bucket_of(gram[many], buckets))
+        covered, bucket = np.append(covered, np.zeros(n, bool)), np.append(bucket, bucket_of(_again(gram[many]), buckets))
     bucket[covered] = -1 - 2 * (np.cumsum(covered)[covered] // SETTLED)
     order = np.lexsort((items["h"], bucket))
     bucket = bucket[order]
@@ -255,8 +258,9 @@ def covered(rows: DataFrame, part: int = PART) -> DataFrame:
 
     usable = rows.filter(F.col("_id").isNotNull() & (F.octet_length("_data") >= WINDOW))
     # What tasks have settled already is spread by its own hash, not gathered under one bucket.
-    spread = lambda items: items.withColumn("_deal", F.when(F.col("bucket") < 0, F.xxhash64("at")).otherwise(F.col("bucket")))
-    first = saved(spread(usable.mapInArrow(scan, _ITEMS)).groupBy("_deal", "bucket").applyInArrow(lambda t: _settle(True)(t), _FOUND))
+    deal = F.when(F.col("bucket") < 0, F.xxhash64("at")).otherwise(F.col("bucket"))
+    spread = lambda items, n: items.withColumn("_deal", deal).repartition(n, "_deal")
+    first = saved(spread(usable.mapInArrow(scan, _ITEMS), max(least, math.ceil(buckets / 2))).groupBy("_deal", "bucket").applyInArrow(lambda t: _settle(True)(t), _FOUND))
 
     asked = first.filter("open").groupBy("doc", "th").agg(F.collect_list("at").alias("at"))
     texts = usable.join(asked, (F.col("_id") == F.col("doc")) & (F.col("_th") == F.col("th"))).select("_id", "_th", "_data", "at")
@@ -276,7 +280,7 @@ def covered(rows: DataFrame, part: int = PART) -> DataFrame:
 
     n_open = first.filter("open").agg(F.sum(F.col("at").bitwiseAND(F.lit((1 << _SHIFT) - 1)))).first()[0] or 0
     parts = max(least, math.ceil(n_open / part / 2))
-    second = spread(texts.mapInArrow(look, _ITEMS)).groupBy("_deal", "bucket").applyInArrow(lambda t: _settle(False)(t), _FOUND)
+    second = spread(texts.mapInArrow(look, _ITEMS), max(least, math.ceil(parts / 2))).groupBy("_deal", "bucket").applyInArrow(lambda t: _settle(False)(t), _FOUND)
     return first.filter("not open").union(second).groupBy("doc", "th").agg(F.collect_list("at").alias("at"))
 
 
