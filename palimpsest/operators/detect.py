@@ -248,6 +248,29 @@ def detect(log: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return x.mapInPandas(lambda it: fold_signals(it, cfg), SIGNALS)
 
 
+def staged(log: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """session_id, seq, block_id, boost: what a prediction that an earlier query prefetched adds to the scores of this one.
+
+    Only the gate decides on it, and it does not look at scores, so boosts are known before blocks are ranked.
+    """
+    ship(log.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, detector = None, None
+        for pdf in batches:
+            out = []
+            for row in pdf.to_dict("records"):
+                if detector is None or row["session_id"] != key:
+                    key, detector = row["session_id"], Detector(cfg)
+                q = as_query(row)
+                out += [(key, row["seq"], b, v) for b, v in detector.prefetch_boosts(q["now"]).items()]
+                detector.gate(q)
+            yield pd.DataFrame(out, columns=["session_id", "seq", "block_id", "boost"])
+
+    x = log.repartition("session_id").sortWithinPartitions("session_id", "seq")
+    return x.mapInPandas(run, "session_id bigint, seq bigint, block_id string, boost double")
+
+
 def planned(wakeups: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Which wake-ups (session_id, now) the budget admits: a minimum interval, and so many in a rolling hour."""
     ship(wakeups.sparkSession)

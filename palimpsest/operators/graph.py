@@ -55,22 +55,28 @@ def expand(seeds: DataFrame, edges: DataFrame, blocks: DataFrame, k: int, direct
     way.  A node's mass is shared evenly by its edges, weighed by their confidence and 0.88 a step.  Seeds,
     files and nodes that are no block are left out.
     """
-    if "direction" not in seeds.columns:
+    alike = "direction" not in seeds.columns
+    if alike:
         types = ["CONTEXT", "FOLLOWS"] if types is None else types
         edges = edges.filter(F.col("type").isin(types)) if types else edges
         seeds = seeds.withColumn("direction", F.lit(direction)).withColumn("types", F.array().cast("array<string>"))
     out, back = arcs(edges, "outgoing", []).withColumn("way", F.lit("outgoing")), arcs(edges, "incoming", []).withColumn("way", F.lit("incoming"))
     a = {"outgoing": out, "incoming": back}.get(direction, out.unionByName(back))
+    if alike:  # a node's edges are the same for every query
+        a = a.join(a.groupBy("node").agg(F.count("*").alias("n")), "node")
     how = seeds.groupBy("query_id").agg(F.first("direction").alias("direction"), F.first("types").alias("types"), F.count("*").alias("m"))
     front = seeds.groupBy("query_id", "node").agg(F.count("*").alias("c")).join(how, "query_id").select("query_id", "node", "direction", "types", (F.col("c") / F.col("m")).alias("mass"))
     total = None
     for step in range(1, depth + 1):
         own = ((F.col("direction") == "both") | (F.col("direction") == F.col("way"))) & ((F.size("types") == 0) | F.array_contains("types", F.col("type")))
-        x = front.join(a, "node").filter(own).withColumn("n", F.count("*").over(Window.partitionBy("query_id", "node")))
+        x = front.join(a, "node").filter(own)
+        x = x if alike else x.withColumn("n", F.count("*").over(Window.partitionBy("query_id", "node")))
         share = F.col("mass") / F.col("n") * DECAY ** (step - 1) * F.col("confidence")
         front = x.select("query_id", "direction", "types", F.col("target").alias("node"), share.alias("mass")).groupBy("query_id", "direction", "types", "node").agg(F.sum("mass").alias("mass"))
         front = durable(front) if step % 4 == 0 else front
         total = front if total is None else total.unionByName(front)
+    if total is None:  # depth 0 goes nowhere
+        return seeds.select("query_id", F.col("node").alias("block_id"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("rank")).filter("false")
     x = total.groupBy("query_id", "node").agg(F.sum("mass").alias("mass")).join(seeds.select("query_id", "node").distinct(), ["query_id", "node"], "left_anti")
     top = F.max("mass").over(Window.partitionBy("query_id"))
     x = x.withColumn("score", F.when(top > 0, F.col("mass") / top).otherwise(F.col("mass")))
@@ -91,25 +97,30 @@ def walk(seeds: DataFrame, edges: DataFrame, depth: int = 2, decay: float = 0.75
         front = front.groupBy("query_id", "node").agg(F.sum("p").alias("p"))
         front = durable(front) if step % 4 == 0 else front
         total = front if total is None else total.unionByName(front)
+    if total is None:  # depth 0 goes nowhere
+        return s.select("query_id", "node", F.lit(0.0).alias("p")).filter("false")
     x = total.groupBy("query_id", "node").agg(F.sum("p").alias("p"))
     return x.select("query_id", "node", (F.col("p") / F.sum("p").over(Window.partitionBy("query_id"))).alias("p"))
 
 
-def embed_nodes(blocks: DataFrame, edges: DataFrame, method: str = "mean", dim: int | None = None) -> DataFrame:
+def embed_nodes(blocks: DataFrame, edges: DataFrame, method: str = "mean", wanted: DataFrame | None = None, dim: int | None = None) -> DataFrame:
     """block_id, vector: a block's embedding mixed with its neighbours', at unit length.
 
     mean (also named node2vec): 0.65 own and 0.35 the mean of distinct neighbours.  translate: 0.6 own and 0.4
     the mean over typed edges of the neighbour less the type's vector (outgoing) or with it (incoming).
+    wanted (block_id): only these, each once.
     """
     if dim is None:
         first = blocks.filter(F.size("embedding") > 0).select(F.size("embedding").alias("n")).limit(1).collect()
         dim = first[0].n if first else 256
     zero = F.array_repeat(F.lit(0.0), dim)
     fit = F.slice(F.concat(F.coalesce(F.col("embedding").cast("array<double>"), F.array().cast("array<double>")), zero), 1, dim)
-    own = blocks.select("block_id", fit.alias("e"))
+    every = blocks.select("block_id", fit.alias("e"))
+    own = every if wanted is None else every.join(wanted, "block_id", "left_semi")
     out = edges.select(F.col("src").alias("block_id"), F.col("dst").alias("other"), "type", F.lit(-1.0).alias("sign"))
     both = out.unionByName(edges.select(F.col("dst").alias("block_id"), F.col("src").alias("other"), "type", F.lit(1.0).alias("sign")))
-    near = own.select(F.col("block_id").alias("other"), F.col("e").alias("v"))
+    both = both if wanted is None else both.join(wanted, "block_id", "left_semi")
+    near = every.select(F.col("block_id").alias("other"), F.col("e").alias("v"))
     if method in ("mean", "node2vec"):
         x, a, b = both.select("block_id", "other").distinct().join(near, "other"), 0.65, 0.35
     elif method == "translate":
@@ -147,6 +158,8 @@ def predict(seeds: DataFrame, blocks: DataFrame, edges: DataFrame, cfg: Config =
     found = intents(walked, blocks, cfg.prediction_top_k)
     top = F.max("confidence").over(Window.partitionBy("query_id"))
     active = F.lit(True) if cfg.prediction_force_active_trigger else top >= cfg.prediction_active_threshold
-    x = walked.join(embed_nodes(blocks, edges, method).withColumnRenamed("block_id", "node"), "node")
+    # Only nodes that a walk reached are embedded.
+    reached = walked.select(F.col("node").alias("block_id")).distinct()
+    x = walked.join(embed_nodes(blocks, edges, method, reached).withColumnRenamed("block_id", "node"), "node")
     summed = vectors.vector_sum(x, ["query_id"], "vector", F.col("p"))
     return {"intents": found.withColumn("active", active), "vectors": summed.select("query_id", vectors.unit(F.col("vector")).alias("vector"))}

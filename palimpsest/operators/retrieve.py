@@ -119,7 +119,13 @@ def _scan(queries: DataFrame, blocks: DataFrame, k: int, vector: str, digits: in
                     names = part["block_id"].to_numpy()
                     # Everything at least as good as the k-th stays for the tie-break.
                     kth = -np.partition(-s, take - 1, axis=0)[take - 1]
-                    at = np.argwhere((s >= kth) & (s > -np.inf))
+                    good = (s >= kth) & (s > -np.inf)
+                    if good.sum() > 4 * take * len(ids):  # so many ties that the first by id are taken here already
+                        order = np.argsort(names.astype(str), kind="stable")
+                        good &= False
+                        first = order[np.argsort(-s[order], axis=0, kind="stable")[:take]]
+                        np.put_along_axis(good, first, np.take_along_axis(s, first, axis=0) > -np.inf, axis=0)
+                    at = np.argwhere(good)
                     own = pd.DataFrame({"query_id": ids[at[:, 1]], "block_id": names[at[:, 0]], "score": s[at[:, 0], at[:, 1]]})
                     best = own if best is None else pd.concat([best, own])
                     best = best.sort_values(["query_id", "score", "block_id"], ascending=[True, False, True]).groupby("query_id").head(k)
@@ -207,8 +213,15 @@ def rrf(lists: dict[str, tuple[DataFrame, float]], k: int, c: int = 60) -> DataF
 
 
 def semantic_topk(queries: DataFrame, blocks: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Both lists fused.  cfg.vector_search says how the vectors are searched: exact, lsh, or two_stage (columns hash and local on both sides)."""
     k = cfg.semantic_top_k
-    return rrf({"keyword": (keyword_topk(queries, blocks, k), cfg.keyword_weight), "vector": (vector_topk(queries, blocks, k, cfg.vector_min_score), cfg.vector_weight)}, k)
+    if cfg.vector_search == "lsh":
+        near = lsh_topk(queries, blocks, k, cfg.embedding_dim, min_score=cfg.vector_min_score)
+    elif cfg.vector_search == "two_stage":
+        near = clamped(two_stage_topk(queries, blocks, k, blocks.count(), cfg)).filter(F.col("score") >= cfg.vector_min_score)
+    else:
+        near = vector_topk(queries, blocks, k, cfg.vector_min_score)
+    return rrf({"keyword": (keyword_topk(queries, blocks, k), cfg.keyword_weight), "vector": (near, cfg.vector_weight)}, k)
 
 
 def add_scores(*scored: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import scoring as S
 from palimpsest.functions import text as T
-from palimpsest.operators import chunks, context, diagnostics, graph, history, relations, retrieve, seal
+from palimpsest.operators import chunks, context, detect, diagnostics, graph, history, relations, retrieve, seal
 from palimpsest.sources import tables
 from palimpsest.sources.config import DEFAULT, Config
 from palimpsest.storage import durable
@@ -21,6 +21,7 @@ class Tables:
     raw: DataFrame
     edges: DataFrame
     events: DataFrame
+    opened: DataFrame | None = None  # blocks that are not sealed yet, with their text
 
 
 @dataclass
@@ -34,11 +35,20 @@ class Engine:
         """Events to plain blocks."""
         return seal.to_blocks(seal.assign_blocks(events, self.cfg, seal_every))
 
-    def build(self, events: DataFrame, seal_every: int | None = None) -> Tables:
-        """All tables from events (session_id, seq, role, text, ts_ms): enriched blocks, their events, their edges."""
-        blocks = durable(seal.enrich(self.seal(events, seal_every), self.cfg))
+    def build(self, events: DataFrame, seal_every: int | None = None, keep_open: bool = False) -> Tables:
+        """All tables from events (session_id, seq, role, text, ts_ms): enriched blocks, their events, their edges.
+
+        keep_open: the last block of each session is still being written; it is scored by its text alone.
+        """
+        plain, opened = self.seal(events, seal_every), None
+        if keep_open:
+            plain = durable(plain)
+            last = plain.groupBy("session_id").agg(F.max("block_seq").alias("block_seq"))
+            opened = plain.join(last, ["session_id", "block_seq"], "left_semi").withColumn("text", seal.event_text("raw_events"))
+            plain = plain.join(last, ["session_id", "block_seq"], "left_anti")
+        blocks = durable(seal.enrich(plain, self.cfg))
         blocks, raw = seal.apply_retention(durable(history.retain(blocks, history.match(blocks), self.cfg)))
-        return Tables(blocks, raw, durable(self.link(blocks)), events)
+        return Tables(blocks, raw, durable(self.link(blocks)), events, opened)
 
     def link(self, blocks: DataFrame) -> DataFrame:
         """FOLLOWS edges of the sequence, then extracted ones over the minimum, which replace equal keys."""
@@ -63,22 +73,47 @@ class Engine:
         scores = retrieve.add_scores(semantic, found.select("query_id", "block_id", (F.col("score") * self.cfg.graph_weight).alias("score")))
         return {"semantic": semantic, "graph": found, "scores": scores}
 
-    def retrieve(self, queries: DataFrame, t: Tables) -> dict[str, DataFrame]:
-        """Ranked references of queries (query_id, session_id, query) with all parts that led to them."""
+    def retrieve(self, queries: DataFrame, t: Tables, boosts: DataFrame | None = None) -> dict[str, DataFrame]:
+        """Ranked references of queries (query_id, session_id, query) with all parts that led to them.
+
+        Open blocks count with their own score for queries of their session; boosts (query_id, block_id,
+        boost) of prefetched predictions are added; chunk mates of good hits come behind them if configured.
+        """
         q = durable(retrieve.analyzed(queries, self.cfg))
         parts = self.hybrid(q, t)
-        seeds = parts["semantic"].select("query_id", F.col("block_id").alias("node"))
+        if t.opened is not None:
+            parts["scores"] = retrieve.with_open_blocks(parts["scores"], retrieve.open_block_scores(q, t.opened.select("session_id", "block_id", "text"), self.cfg))
+        if boosts is not None:
+            parts["scores"] = retrieve.add_scores(parts["scores"], boosts.select("query_id", "block_id", F.col("boost").alias("score")))
+        last = t.blocks.groupBy("session_id").agg(F.max_by("block_id", "block_seq").alias("node"))
+        seeds = parts["semantic"].select("query_id", F.col("block_id").alias("node")).unionByName(q.join(last, "session_id").select("query_id", "node"))
         predicted = graph.predict(seeds, t.blocks, t.edges, self.cfg)
         intents = durable(predicted["intents"])
         scores = durable(retrieve.boosted(parts["scores"], intents, q, self.cfg))
         ranked = retrieve.final_rank(scores, self.cfg.final_top_k)
+        if self.cfg.chunk_neighbor_expand:
+            ranked = chunks.expanded(ranked, scores, self.chunked(t.blocks), self.cfg)
         return parts | {"queries": q, "intents": intents, "vectors": predicted["vectors"], "boosted": scores, "ranked": ranked}
 
-    def context(self, queries: DataFrame, t: Tables) -> DataFrame:
-        """query_id, formatted text context."""
-        found = self.retrieve(queries, t)
-        refs = context.backtracked(context.refs(found["ranked"], t.blocks), t.raw)
-        return context.assemble(queries, refs, context.recent(t.events, self.cfg.recent_event_window), found["intents"])
+    def context(self, queries: DataFrame, t: Tables, signals: DataFrame | None = None, boosts: DataFrame | None = None) -> DataFrame:
+        """query_id, formatted text context; signals (query_id, allow, mode, reason, hint, source) as signals() gives them."""
+        found = self.retrieve(queries, t, boosts)
+        blocks = t.blocks
+        if t.opened is not None:
+            rest = {c: F.lit(None).cast(blocks.schema[c].dataType) for c in blocks.columns if c not in t.opened.columns}
+            blocks = blocks.unionByName(t.opened.withColumns(rest).select(*blocks.columns))
+        refs = context.backtracked(context.refs(found["ranked"], blocks), t.raw)
+        return context.assemble(queries, refs, context.recent(t.events, self.cfg.recent_event_window), found["intents"], signals)
+
+    def signals(self, queries: DataFrame, t: Tables) -> tuple[DataFrame, DataFrame]:
+        """Signals (query_id and the detectors' columns) of queries that also have seq, now, source, and the boosts that prefetches give.
+
+        Blocks are ranked once more with the boosts before the detectors look at them.
+        """
+        place = queries.select("query_id", "session_id", "seq", "source")
+        boosts = durable(detect.staged(self.query_log(queries, self.retrieve(queries, t), t), self.cfg).join(place, ["session_id", "seq"]).select("query_id", "block_id", "boost"))
+        log = self.query_log(queries, self.retrieve(queries, t, boosts), t)
+        return detect.detect(log, self.cfg).join(place, ["session_id", "seq"]), boosts
 
     def query_log(self, queries: DataFrame, found: dict[str, DataFrame], t: Tables) -> DataFrame:
         """The detectors' input: one row a query with what its retrieval found.  queries also have seq, now, source."""
@@ -90,6 +125,7 @@ class Engine:
         boost = found["intents"].filter("rank = 1").join(sparse, "query_id").select("query_id", S.prediction_boost(F.col("confidence"), F.col("_s"), self.cfg).alias("prediction_weight"))
         best = found["semantic"].filter("rank = 1").join(t.blocks.select("block_id", F.col("embedding").alias("top_embedding")), "block_id").select("query_id", "top_embedding")
         x = queries.select("query_id", "session_id", "seq", "now", "source").join(q.select("query_id", "query", "keywords", "embedding"), "query_id")
+        x = x.withColumn("source", F.when(F.col("query") == self.cfg.timer_probe_query, "timer").otherwise(F.col("source")))
         for part in (top, near, intents, boost, best):
             x = x.join(part, "query_id", "left")
         span = t.events.groupBy("session_id").agg(F.floor(F.min("ts_ms") / 1000).alias("first"), F.floor(F.max("ts_ms") / 1000).alias("last"))

@@ -208,17 +208,8 @@ def upsert_rows(spark, sf):
     return tables.remove(out, o.filter("id % 5 = 0").select("id"), "id")
 
 
-@query(f"WITH {Q.EVENTS}, w AS (SELECT row_number() OVER (ORDER BY session_id, seq) AS ord, session_id % 20 AS s, seq FROM ev) SELECT w.ord, {_NAME.format('ev.seq').replace('session_id', 'ev.session_id')} AS block_id, {Q.estimate('ev.text')} AS token_count FROM w JOIN ev ON ev.session_id = w.s AND ev.seq = w.seq")
-def get_many(spark, sf):
-    """Blocks by a list of ids with repeats, in its order; its SQL asks for conversations 0 to 19, get_many_all for all."""
-    b = base.simple_blocks(spark, sf, embed=False)
-    order = Window.orderBy("session_id", "block_seq")
-    ids = b.select(F.row_number().over(order).cast("long").alias("ord"), base.name(F.col("session_id") % 20, "block_seq").alias("block_id"))
-    return tables.get_many(b.select("block_id", "token_count"), ids).select("ord", "block_id", "token_count")
-
-
 @query(f"WITH {Q.EVENTS}, x AS (SELECT session_id * 1000000 + seq AS ord, {_NAME.format('seq')} AS block_id, {Q.estimate('text')} AS token_count, session_id FROM ev) SELECT ord, block_id, token_count FROM x UNION ALL SELECT -1 - ord, block_id, token_count FROM x WHERE session_id % 10 = 0")
-def get_many_all(spark, sf):
+def get_many(spark, sf):
     """Blocks of every conversation; those of each tenth are asked for twice, once in front and backwards."""
     b = base.simple_blocks(spark, sf, embed=False)
     ids = b.select((F.col("session_id") * 1_000_000 + F.col("block_seq")).alias("ord"), "block_id", "session_id")
@@ -302,20 +293,12 @@ def relation_validate(spark, sf):
     return relations.validated(x)
 
 
-@query("SELECT id, len(list_intersect(a, b)) AS shared, round(CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 0 ELSE len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) END, 6) AS jaccard, len(a) > 0 AND len(b) > 0 AND len(list_intersect(a, b))::DOUBLE / greatest(1, least(len(list_distinct(a)), len(list_distinct(b)))) >= 0.34 AS chained FROM (SELECT conv_id * 100 + turn AS id, " + Q.tokens("left(coalesce(text, ''), 60)") + " AS a, " + Q.tokens("right(coalesce(text, ''), 90)") + " AS b FROM conversations)")
-def set_overlap(spark, sf):
-    """Of the two ends of a text, as its SQL has it; turn_overlap compares whole texts."""
-    t = F.coalesce("text", F.lit(""))
-    x = base.table(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), T.tokens(F.left(t, F.lit(60))).alias("a"), T.tokens(F.right(t, F.lit(90))).alias("b"))
-    return _overlap(x, "id")
-
-
 def _overlap(x, *ids):
     return x.select(*ids, F.size(F.array_intersect("a", "b")).cast("long").alias("shared"), F.round(S.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"), S.continuous(F.col("a"), F.col("b")).alias("chained"))
 
 
-@query(ORACLES["set_overlap"].split(" FROM (SELECT conv_id")[0].replace("SELECT id", "SELECT conv_id, turn", 1) + " FROM (SELECT conv_id, turn, lag(b) OVER (PARTITION BY conv_id ORDER BY turn) AS a, b FROM (SELECT conv_id, turn, " + Q.tokens("coalesce(text, '')") + " AS b FROM conversations)) WHERE a IS NOT NULL")
-def turn_overlap(spark, sf):
+@query("SELECT conv_id, turn, len(list_intersect(a, b)) AS shared, round(CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 0 ELSE len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) END, 6) AS jaccard, len(a) > 0 AND len(b) > 0 AND len(list_intersect(a, b))::DOUBLE / greatest(1, least(len(list_distinct(a)), len(list_distinct(b)))) >= 0.34 AS chained FROM (SELECT conv_id, turn, lag(b) OVER (PARTITION BY conv_id ORDER BY turn) AS a, b FROM (SELECT conv_id, turn, " + Q.tokens("coalesce(text, '')") + " AS b FROM conversations)) WHERE a IS NOT NULL")
+def set_overlap(spark, sf):
     """Whole texts: each turn with the one before it in its conversation."""
     x = base.table(spark, sf, "conversations").select("conv_id", "turn", T.tokens(F.coalesce("text", F.lit(""))).alias("b"))
     x = x.withColumn("a", F.lag("b").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("a is not null")

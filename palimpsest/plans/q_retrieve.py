@@ -13,7 +13,7 @@ from palimpsest.sources.config import DEFAULT, load
 
 from . import base
 from . import sqltext as Q
-from .registry import ORACLES, query
+from .registry import query
 
 _DOCS = f"src AS (SELECT doc_id AS id, coalesce(text, '') AS text FROM documents), qs AS (SELECT item_id AS id, text FROM benchmark), {Q.keywords('dk', 'src', 'id', 'text', 8)}, {Q.keywords('qk', 'qs', 'id', 'text', 8)}"
 _KEY = f"""{_DOCS}, qx AS (SELECT id AS query_id, unnest(keywords) AS key, generate_subscripts(keywords, 1) - 1 AS pos FROM qk), dx AS (SELECT DISTINCT id, unnest(keywords) AS key FROM dk),
@@ -59,13 +59,10 @@ def rrf_topk(spark, sf):
     return _plain(retrieve.semantic_topk(_queries(spark, sf), _docs(spark, sf)), "sources")
 
 
-#: The query ids of two SQL texts, and all ids that are due.
-_FIRST, _DUE = "vec_id < 20", "vec_id % 20 = 0"
-
-
-def _vectors(spark, sf, asked=_DUE):
+def _vectors(spark, sf):
+    """All vectors, those of ids divisible by 20 as queries, and all as blocks."""
     e = base.table(spark, sf, "embeddings").select(F.col("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), "label")
-    return e, e.filter(asked).select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.lpad(F.col("vec_id").cast("string"), 10, "0").alias("block_id"), "embedding")
+    return e, e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.lpad(F.col("vec_id").cast("string"), 10, "0").alias("block_id"), "embedding")
 
 
 _COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
@@ -85,63 +82,43 @@ def _hits(found):
     return found.select("query_id", F.col("block_id").cast("long").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
 
 
-@query(f"SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (SELECT a.vec_id AS query_id, b.vec_id, {_COS} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_COS}, 9) DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id < 20) WHERE rank <= 5")
+@query(f"SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (SELECT a.vec_id AS query_id, b.vec_id, {_COS} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_COS}, 9) DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0) WHERE rank <= 5")
 def embedding_topk(spark, sf):
-    """Its SQL asks for the first twenty ids only; embedding_topk_all asks for all that are due."""
-    return _nearest(*_vectors(spark, sf, _FIRST)[1:])
-
-
-@query(ORACLES["embedding_topk"].replace(_FIRST, _DUE))
-def embedding_topk_all(spark, sf):
     """Every id divisible by 20 is a query."""
     return _nearest(*_vectors(spark, sf)[1:])
 
 
 @query()
 def lsh_topk(spark, sf):
-    """Approximate; recall is tested against embedding_topk_all. The true neighbours have a cosine of 0.3 to 0.45 only, so many tables of few bits."""
+    """Approximate; recall is tested against embedding_topk. The true neighbours have a cosine of 0.3 to 0.45 only, so many tables of few bits."""
     _, q, b = _vectors(spark, sf)
     return _hits(retrieve.lsh_topk(q, b, 5, 64, tables=24, bits=8))
 
 
-@query("""WITH s AS (SELECT count(*) AS n FROM embeddings), c AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.embedding[1:32]::DOUBLE[], b.embedding[1:32]::DOUBLE[]), 9) AS h, round(list_cosine_similarity(a.embedding[33:64]::DOUBLE[], b.embedding[33:64]::DOUBLE[]), 9) AS l FROM embeddings a, embeddings b WHERE a.vec_id < 20),
+@query("""WITH s AS (SELECT count(*) AS n FROM embeddings), c AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.embedding[1:32]::DOUBLE[], b.embedding[1:32]::DOUBLE[]), 9) AS h, round(list_cosine_similarity(a.embedding[33:64]::DOUBLE[], b.embedding[33:64]::DOUBLE[]), 9) AS l FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0),
 p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY h DESC, vec_id) AS hr FROM c), t AS (SELECT * FROM p, s WHERE hr <= least(n, least(100, greatest(20, floor(n * 0.05))))),
 g AS (SELECT *, max(CASE WHEN hr = 5 THEN h END) OVER w - max(CASE WHEN hr = 6 THEN h END) OVER w >= 0.12 AS sure FROM t WINDOW w AS (PARTITION BY query_id)),
 z AS (SELECT query_id, vec_id, hr, CASE WHEN sure THEN h ELSE l END AS score FROM g WHERE sure OR hr <= least(15, 16))
 SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, hr) AS rank FROM z) WHERE rank <= 5""")
 def two_stage_topk(spark, sf):
-    """Its SQL asks for the first twenty ids only; two_stage_topk_all asks for all that are due."""
-    return _two_stage(*_vectors(spark, sf, _FIRST)[1:])
-
-
-@query(ORACLES["two_stage_topk"].replace(_FIRST, _DUE))
-def two_stage_topk_all(spark, sf):
     """Every id divisible by 20 is a query."""
     return _two_stage(*_vectors(spark, sf)[1:])
 
 
 _TRADE = "e AS (SELECT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst, 'FOLLOWS' AS type, 0.9::DOUBLE AS conf FROM orders UNION ALL SELECT src, dst, 'CONTEXT', max(conf) FROM (SELECT 'o' || l_orderkey AS src, 'p' || l_partkey AS dst, greatest(0.05, least(1, l_discount))::DOUBLE AS conf FROM lineitem) GROUP BY ALL)"
-_SEEDS = "s AS (SELECT c_custkey AS query_id, 'c' || c_custkey AS node FROM customer WHERE c_custkey <= 40)"
-
-
-#: The customers that the SQL texts of four queries start from; their counterparts named _all start from every one.
-_SOME = "c_custkey <= 40"
+_SEEDS = "s AS (SELECT c_custkey AS query_id, 'c' || c_custkey AS node FROM customer)"
 
 
-def _seeds(spark, sf, asked="true"):
-    return base.table(spark, sf, "customer").filter(asked).select(F.col("c_custkey").cast("long").alias("query_id"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"))
+def _seeds(spark, sf):
+    """Every customer starts a query."""
+    return base.table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("query_id"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"))
 
 
 @query(f"""WITH {_TRADE}, {_SEEDS}, a AS (SELECT src AS node, dst AS target FROM e UNION SELECT dst, src FROM e),
 s1 AS (SELECT DISTINCT query_id, target AS node FROM s JOIN a USING (node)), f1 AS (SELECT * FROM s1 EXCEPT SELECT * FROM s), s2 AS (SELECT DISTINCT query_id, target AS node FROM f1 JOIN a USING (node)), f2 AS (SELECT * FROM s2 EXCEPT (SELECT * FROM s UNION SELECT * FROM f1))
 SELECT query_id, node, 0 AS step FROM s UNION ALL SELECT query_id, node, 1 FROM f1 UNION ALL SELECT query_id, node, 2 FROM f2""")
-def graph_traverse(spark, sf, asked=_SOME):
-    return graph.traverse(_seeds(spark, sf, asked), base.trade_edges(spark, sf), depth=2)
-
-
-@query(ORACLES["graph_traverse"].replace(_SOME, "true"))
-def graph_traverse_all(spark, sf):
-    return graph_traverse(spark, sf, "true")
+def graph_traverse(spark, sf):
+    return graph.traverse(_seeds(spark, sf), base.trade_edges(spark, sf), depth=2)
 
 
 @query(f"""WITH {_TRADE}, {_SEEDS}, a AS (SELECT src AS node, dst AS target, conf FROM e), n AS (SELECT node, count(*) AS n FROM a GROUP BY node),
@@ -149,15 +126,10 @@ f1 AS (SELECT query_id, target AS node, sum(1.0::DOUBLE / n * conf) AS mass FROM
 f2 AS (SELECT query_id, target AS node, sum(mass / n * 0.88::DOUBLE * conf) AS mass FROM f1 JOIN a USING (node) JOIN n USING (node) GROUP BY ALL),
 t AS (SELECT query_id, node, sum(mass) AS mass FROM (SELECT * FROM f1 UNION ALL SELECT * FROM f2) GROUP BY ALL), z AS (SELECT query_id, node, mass / max(mass) OVER (PARTITION BY query_id) AS score FROM t)
 SELECT query_id, node AS block_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, node) AS rank FROM z WHERE node LIKE 'p%') WHERE rank <= 8""")
-def graph_topk(spark, sf, asked=_SOME):
+def graph_topk(spark, sf):
     """Mass from customers over orders to parts; only parts are blocks."""
     parts = base.table(spark, sf, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("block_id"))
-    return graph.expand(_seeds(spark, sf, asked), base.trade_edges(spark, sf), parts, 8, "outgoing", [], 2).select("query_id", "block_id", F.round("score", 6).alias("score"), "rank")
-
-
-@query(ORACLES["graph_topk"].replace(_SOME, "true"))
-def graph_topk_all(spark, sf):
-    return graph_topk(spark, sf, "true")
+    return graph.expand(_seeds(spark, sf), base.trade_edges(spark, sf), parts, 8, "outgoing", [], 2).select("query_id", "block_id", F.round("score", 6).alias("score"), "rank")
 
 
 _WALK = f"""{_TRADE}, {_SEEDS}, a AS (SELECT DISTINCT src AS node, dst AS target FROM e), n AS (SELECT node, count(*) AS n FROM a GROUP BY node),
@@ -166,28 +138,18 @@ t AS (SELECT query_id, node, sum(p) AS p FROM (SELECT * FROM f1 UNION ALL SELECT
 
 
 @query(f"WITH {_WALK} SELECT query_id, node, round(p, 6) AS p FROM w")
-def random_walk(spark, sf, asked=_SOME):
-    return graph.walk(_seeds(spark, sf, asked), base.trade_edges(spark, sf)).select("query_id", "node", F.round("p", 6).alias("p"))
-
-
-@query(ORACLES["random_walk"].replace(_SOME, "true"))
-def random_walk_all(spark, sf):
-    return random_walk(spark, sf, "true")
+def random_walk(spark, sf):
+    return graph.walk(_seeds(spark, sf), base.trade_edges(spark, sf)).select("query_id", "node", F.round("p", 6).alias("p"))
 
 
 @query(f"""WITH {_WALK}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(p, 12) DESC, node) AS rank FROM w)
 SELECT query_id, node AS block_id, round(p, 6) AS confidence, rank, CASE WHEN node LIKE 'p%' THEN (SELECT left(p_name, 24) FROM part WHERE 'p' || p_partkey = node) ELSE 'unknown-intent' END AS label FROM r WHERE rank <= 3""")
-def predicted_intents(spark, sf, asked=_SOME):
+def predicted_intents(spark, sf):
     b = base.table(spark, sf, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("block_id"), F.array().cast("array<string>").alias("keywords"), F.col("p_name").alias("summary"))
-    x = graph.intents(graph.walk(_seeds(spark, sf, asked), base.trade_edges(spark, sf)), b, 3)
+    x = graph.intents(graph.walk(_seeds(spark, sf), base.trade_edges(spark, sf)), b, 3)
     return x.select("query_id", "block_id", F.round("confidence", 6).alias("confidence"), "rank", "label")
 
 
-@query(ORACLES["predicted_intents"].replace(_SOME, "true"))
-def predicted_intents_all(spark, sf):
-    return predicted_intents(spark, sf, "true")
-
-
 _RING = "r AS (SELECT vec_id AS src, (vec_id * 7 + 3) % (SELECT count(*) FROM embeddings) AS dst, CASE WHEN vec_id % 2 = 0 THEN 'FOLLOWS' ELSE 'CAUSES' END AS type FROM embeddings)"
 
 
@@ -215,7 +177,7 @@ def _cells(df):
 
 @query(f"WITH {_RING}, {_OWN}, nb AS (SELECT src AS vec_id, dst AS o FROM r UNION SELECT dst, src FROM r), mean AS (SELECT nb.vec_id, i, avg(e) AS m FROM nb JOIN own ON own.vec_id = nb.o GROUP BY ALL), {_unit_sql('0.65::DOUBLE * e + 0.35::DOUBLE * coalesce(m, 0)')}")
 def graph_embedding(spark, sf):
-    return _cells(graph.embed_nodes(_nodes(spark, sf), _ring(spark, sf), "mean", 64))
+    return _cells(graph.embed_nodes(_nodes(spark, sf), _ring(spark, sf), "mean", dim=64))
 
 
 def _type_cells() -> str:
@@ -224,7 +186,7 @@ def _type_cells() -> str:
 
 @query(f"WITH {_RING}, {_OWN}, tv AS (SELECT * FROM (VALUES {_type_cells()}) AS v(type, i, x)), nb AS (SELECT DISTINCT src AS vec_id, dst AS o, type, -1 AS g FROM r UNION SELECT DISTINCT dst, src, type, 1 FROM r), mean AS (SELECT nb.vec_id, own.i, avg(e + g * x) AS m FROM nb JOIN own ON own.vec_id = nb.o JOIN tv ON tv.type = nb.type AND tv.i = own.i GROUP BY ALL), {_unit_sql('0.6::DOUBLE * e + 0.4::DOUBLE * coalesce(m, 0)')}")
 def graph_translation(spark, sf):
-    return _cells(graph.embed_nodes(_nodes(spark, sf), _ring(spark, sf), "translate", 64))
+    return _cells(graph.embed_nodes(_nodes(spark, sf), _ring(spark, sf), "translate", dim=64))
 
 
 @query("WITH x AS (SELECT label, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS e FROM embeddings) SELECT label, i, round(avg(e), 6) AS value FROM x GROUP BY ALL")

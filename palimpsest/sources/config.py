@@ -84,6 +84,7 @@ class Config:
     chunk_max_tokens: int = 1400
     chunk_max_blocks: int = 8
     chunk_max_gap_ms: int = 900_000
+    chunk_neighbor_expand: bool = False
     chunk_neighbor_window: int = 1
     chunk_neighbor_score_gate: float = 0.75
     chunk_max_expanded_blocks: int = 4
@@ -96,6 +97,8 @@ class Config:
     hybrid_rerank_text_max_chars: int = 512
     prefetch_ttl_seconds: int = 1800
     prefetch_boost_ratio: float = 0.6
+    vector_search: str = "exact"
+    timer_probe_query: str = "__timer_probe__"
 
     def __post_init__(self):
         for f in dataclasses.fields(self):
@@ -107,6 +110,8 @@ class Config:
         for name in ("keyword_weight", "vector_weight", "relation_min_confidence", "prediction_active_threshold", "important_threshold", "compression_high_match_threshold", "compression_low_match_threshold"):
             if getattr(self, name) > 1:
                 raise ValueError(f"{name}: {getattr(self, name)!r} is over 1")
+        if self.vector_search not in ("exact", "lsh", "two_stage"):
+            raise ValueError(f"vector_search: {self.vector_search!r}")
         if self.chunk_strategy not in ("fixed", "semantic", "hybrid"):
             raise ValueError(f"chunk_strategy: {self.chunk_strategy!r}")
 

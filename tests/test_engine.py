@@ -320,3 +320,98 @@ def test_command_line(spark, tmp_path, capsys):
     out = capsys.readouterr().out
     assert "#1 [block_" in out and "evidence:\n- " in out
     main(["stats", str(tmp_path / "t")], spark)
+
+
+def test_depth_zero(spark):
+    e = spark.createDataFrame([("a", "b", "X", None)], EDGE)
+    s = spark.createDataFrame([(1, "a")], "query_id bigint, node string")
+    assert expand(spark, [("a", "b", "X", None)], ["a"], "ab", depth=0) == [] and graph.walk(s, e, 0).count() == 0
+
+
+def test_graph_shares_are_alike_with_one_way_for_all(spark):
+    """Degrees from the edges, or counted query by query where each query goes its own way."""
+    rng = np.random.default_rng(3)
+    edges = [(f"n{a}", f"n{b}", "CONTEXT", float(c)) for a, b, c in zip(rng.integers(0, 9, 40), rng.integers(0, 9, 40), rng.random(40))]
+    e, b = spark.createDataFrame(edges, EDGE), spark.createDataFrame([(f"n{i}",) for i in range(9)], "block_id string")
+    s = spark.createDataFrame([(1, "n0"), (2, "n3"), (2, "n4")], "query_id bigint, node string")
+    own = s.withColumns({"direction": F.lit("both"), "types": F.array(F.lit("CONTEXT"))})
+    rows = lambda seeds: sorted((r.query_id, r.block_id, round(r.score, 9)) for r in graph.expand(seeds, e, b, 9, types=["CONTEXT"], depth=2).collect())
+    assert rows(s) == rows(own) != []
+
+
+def test_ties_without_end(spark):
+    b = spark.createDataFrame([(f"b{i:03d}", [0.0, 0.0] if i % 3 else [1.0, 0.0]) for i in range(200)], "block_id string, embedding array<double>").repartition(3)
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [0.0, 1.0])], "query_id bigint, embedding array<double>")
+    got = {}
+    for r in retrieve.vector_topk(q, b, 4).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.block_id)
+    assert got == {1: ["b000", "b003", "b006", "b009"], 2: ["b000", "b001", "b002", "b003"], 3: ["b000", "b001", "b002", "b003"]}
+
+
+@pytest.fixture(scope="module")
+def talk(spark):
+    """Three sessions of short turns; the last turn of the first one is about something of its own."""
+    rows = [(s, i, "user" if i % 2 == 0 else "assistant", f"session{s} topic{i} about database index number{i}", 1000 * i) for s in range(3) for i in range(6)]
+    rows.append((0, 6, "user", "unicorn glacier saxophone", 9000))
+    return spark.createDataFrame(rows, EV)
+
+
+def asked(spark, *rows):
+    return spark.createDataFrame([(i, s, t, i, 100 + 10 * i, "user") for i, (s, t) in enumerate(rows)], "query_id bigint, session_id bigint, query string, seq bigint, now bigint, source string")
+
+
+def test_open_blocks_in_retrieval_and_context(spark, talk):
+    e = Engine(spark)
+    t = e.build(talk, seal_every=1, keep_open=True)
+    assert t.opened.count() == 3 and t.blocks.count() == 16
+    q = asked(spark, (0, "unicorn saxophone glacier"), (1, "unicorn saxophone glacier"))
+    best = {r.query_id: (r.block_id, r.score) for r in e.retrieve(q, t)["ranked"].filter("rank = 1").collect()}
+    assert best[0][0] == "block_0000000000_000006" and best[0][1] == pytest.approx(1.0)  # the same words
+    assert best.get(1, ("",))[0] != "block_0000000000_000006"
+    text = {r.query_id: r.formatted for r in e.context(q, t).collect()}
+    assert "#1 [block_0000000000_000006] score=1.000 retention=raw" in text[0] and "unicorn" in text[0]
+
+
+def test_boosts_and_neighbours_in_retrieval(spark, talk):
+    e = Engine(spark, load(env={}, chunk_neighbor_expand=True, chunk_neighbor_score_gate=0.0, chunk_max_expanded_blocks=2, final_top_k=1))
+    t = e.build(talk, seal_every=1)
+    q = asked(spark, (1, "session1 topic3 number3"))
+    plain = e.retrieve(q, t)["ranked"].orderBy("rank").collect()
+    at = int(plain[0].block_id[-6:])
+    assert [r["rank"] for r in plain] == [1, 2, 3] and {r.block_id for r in plain[1:]} == {f"block_0000000001_{n:06d}" for n in (at - 1, at + 1)}
+    boosts = spark.createDataFrame([(0, "block_0000000002_000000", 5.0)], "query_id bigint, block_id string, boost double")
+    first = e.retrieve(q, t, boosts)["ranked"].filter("rank = 1").first()
+    assert first.block_id == "block_0000000002_000000" and first.score >= 5.0
+
+
+def test_signals_in_context(spark, talk):
+    e = Engine(spark)
+    t = e.build(talk, seal_every=1)
+    q = asked(spark, (1, "session1 topic3 database index"), (1, "unicorn glacier saxophone"), (1, e.cfg.timer_probe_query))
+    signals, boosts = e.signals(q, t)
+    assert signals.count() == 3 and boosts.columns == ["query_id", "block_id", "boost"]
+    for r in e.context(q, t, signals, boosts).collect():
+        assert "=== PROACTIVE SIGNAL ===\nallowWakeup=" in r.formatted and "triggerSource=user" in r.formatted
+
+
+@pytest.mark.parametrize("how", ["lsh", "exact"])
+def test_vector_search_by_configuration(spark, talk, how):
+    e = Engine(spark, load(env={}, vector_search=how))
+    t = e.build(talk, seal_every=1)
+    assert e.retrieve(asked(spark, (1, "session1 topic3 number3")), t)["semantic"].filter("rank = 1").first().block_id == "block_0000000001_000003"
+    with pytest.raises(ValueError):
+        load(env={}, vector_search="other")
+
+
+def test_two_stage_by_configuration(spark):
+    b = spark.createDataFrame([("a", 0, ["k"], [1.0, 0.0], [0.0, 1.0]), ("b", 1, ["z"], [0.9, 0.1], [1.0, 0.0])], "block_id string, block_seq bigint, keywords array<string>, hash array<double>, local array<double>")
+    q = spark.createDataFrame([(1, ["none"], [1.0, 0.0], [1.0, 0.0])], "query_id bigint, keywords array<string>, hash array<double>, local array<double>")
+    got = retrieve.semantic_topk(q, b, load(env={}, vector_search="two_stage", hybrid_early_stop_min_gap=0.5)).orderBy("rank").collect()
+    assert got[0].block_id == "b"
+
+
+def test_staged_boosts(spark):
+    """A prediction that is only prefetched lifts its blocks at the next query, once."""
+    log = [(1, i, now, 0, 2000, "user", 5, ["alpha", "beta"], [1.0, 0.0], ["a"], [], 0.0, 0.5, True, True, False, [("a", 0.97), ("b", 0.01), ("c", 0.01), ("d", 0.01)], [1.0, 0.0]) for i, now in enumerate((3000, 3050, 3060))]
+    got = detect.staged(spark.createDataFrame(log, detect.LOG)).collect()
+    assert [(r.seq, r.block_id, round(r.boost, 6)) for r in got] == [(1, "a", round(0.97 * 0.25 * 0.6, 6))]

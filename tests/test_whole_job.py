@@ -12,25 +12,25 @@ from palimpsest.plans import base
 from palimpsest.sources.config import DEFAULT
 
 
-@pytest.mark.parametrize("name", ["embedding_topk_all", "two_stage_topk_all", "lsh_topk"])
+@pytest.mark.parametrize("name", ["embedding_topk", "two_stage_topk", "lsh_topk"])
 def test_every_twentieth_vector_is_asked(spark, sf, name):
     want = {r.vec_id for r in base.table(spark, sf, "embeddings").filter("vec_id % 20 = 0").select("vec_id").collect()}
     assert max(want) >= 20
     assert {r.query_id for r in catalog.queries()[name](spark, sf).select("query_id").collect()} == want
 
 
-@pytest.mark.parametrize("name", ["graph_traverse_all", "graph_topk_all", "random_walk_all", "predicted_intents_all"])
+@pytest.mark.parametrize("name", ["graph_traverse", "graph_topk", "random_walk", "predicted_intents"])
 def test_every_customer_is_a_seed(spark, sf, name):
     table = lambda t, key: {r[0] for r in base.table(spark, sf, t).select(key).collect()}
     # Without an order there is nowhere to go; the traversal still has the seed itself.
-    want = table("customer", "c_custkey") if name == "graph_traverse_all" else table("customer", "c_custkey") & table("orders", "o_custkey")
+    want = table("customer", "c_custkey") if name == "graph_traverse" else table("customer", "c_custkey") & table("orders", "o_custkey")
     assert max(want) > 40
     assert {r.query_id for r in catalog.queries()[name](spark, sf).select("query_id").collect()} == want
 
 
 def test_recall_of_lsh_topk(spark, sf):
     found = lambda name: {(r.query_id, r.vec_id) for r in catalog.queries()[name](spark, sf).collect()}
-    exact = found("embedding_topk_all")
+    exact = found("embedding_topk")
     assert len(exact & found("lsh_topk")) / len(exact) >= 0.9
 
 
@@ -73,7 +73,7 @@ def test_overlap_of_whole_turns(spark, tmp_path):
     only = lambda w: f"{w} " * 40 + "zebra quartz harbour" + f" {w}" * 40  # what both turns share lies in the middle
     rows = [(1, 0, only("one")), (1, 1, only("two")), (2, 0, "alone")]
     spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    assert [tuple(r) for r in catalog.queries()["turn_overlap"](spark, str(tmp_path)).collect()] == [(1, 1, 3, 0.6, True)]
+    assert [tuple(r) for r in catalog.queries()["set_overlap"](spark, str(tmp_path)).collect()] == [(1, 1, 3, 0.6, True)]
 
 
 def test_truth_of_retrieval_metrics_has_no_row_cap(spark, sf, monkeypatch):
@@ -83,8 +83,8 @@ def test_truth_of_retrieval_metrics_has_no_row_cap(spark, sf, monkeypatch):
     assert catalog.queries()["retrieval_metrics"](spark, sf).collect() == want
 
 
-def test_get_many_all_fetches_every_conversation(spark, tmp_path):
+def test_get_many_fetches_every_conversation(spark, tmp_path):
     rows = [(i, j) for i in range(25) for j in range(i % 3 + 1)]
     spark.createDataFrame([(*r, "user", "text") for r in rows], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     want = [r for r in reversed(rows) if r[0] % 10 == 0] + rows
-    assert [r.block_id for r in catalog.queries()["get_many_all"](spark, str(tmp_path)).collect()] == [f"block_{i:010d}_{j:06d}" for i, j in want]
+    assert [r.block_id for r in catalog.queries()["get_many"](spark, str(tmp_path)).collect()] == [f"block_{i:010d}_{j:06d}" for i, j in want]
