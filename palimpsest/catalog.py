@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.plans import q_analytics, q_blocks, q_retrieve, q_text, registry  # noqa: F401
+from palimpsest.plans import q_analytics, q_blocks, q_detect, q_retrieve, q_text, registry  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

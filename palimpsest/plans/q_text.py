@@ -26,10 +26,10 @@ def _literal(spark):
     return spark.createDataFrame(_LITERAL, "id bigint, a string, b string")
 
 
-@query(f"SELECT doc_id, md5({Q.norm('coalesce(text, chr(0))')}) AS digest, length({Q.norm('coalesce(text, chr(0))')}) AS n FROM documents WHERE text IS NOT NULL")
+@query(f"SELECT doc_id, md5({Q.norm("coalesce(text, '')")}) AS digest, length({Q.norm("coalesce(text, '')")}) AS n FROM documents")
 def text_normalize(spark, sf):
-    n = T.normalize("text")
-    return base.table(spark, sf, "documents").filter("text is not null").select("doc_id", F.md5(n).alias("digest"), F.char_length(n).cast("long").alias("n"))
+    n = T.normalize(F.coalesce("text", F.lit("")))
+    return base.table(spark, sf, "documents").select("doc_id", F.md5(n).alias("digest"), F.char_length(n).cast("long").alias("n"))
 
 
 @query(f"SELECT doc_id, len(toks)::BIGINT AS n_tokens, toks[1] AS first_token, toks[-1] AS last_token, est AS estimated, rough FROM (SELECT doc_id, {Q.tokens('t')} AS toks, {Q.estimate('t')} AS est, greatest(1, ceil(length(t) / 4))::BIGINT AS rough FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))")
