@@ -39,15 +39,18 @@ def analyzed(queries: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return x.withColumn("intent", T.directional_intent("query", cfg.relation_depth))
 
 
-def postings(blocks: DataFrame) -> DataFrame:
-    """key, block_id, block_seq: the inverted index as a view."""
-    return blocks.select(F.explode(T.index_keys("keywords")).alias("key"), "block_id", "block_seq").distinct()
+def _keys(keywords: Column | str) -> Column:
+    """An array of (key, indexed, own): the index keys in order, then keywords that are none; own: it is one of the keywords as they are."""
+    own = F.array_distinct(F.transform(F.col(keywords) if isinstance(keywords, str) else keywords, F.lower))
+    index = T.index_keys(keywords)
+    entry = lambda indexed: lambda k: F.struct(k.alias("key"), F.lit(indexed).alias("indexed"), F.array_contains(own, k).alias("own"))
+    return F.concat(F.transform(index, entry(True)), F.transform(F.array_except(own, index), entry(False)))
 
 
-def candidates(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """query_id, block_id, first: blocks that share a key, and the place of the first shared key."""
-    keys = queries.select("query_id", F.posexplode(T.index_keys("keywords")).alias("pos", "key"))
-    return keys.join(index, "key").groupBy("query_id", "block_id", "block_seq").agg(F.min("pos").cast("long").alias("first"))
+def postings(blocks: DataFrame) -> DataFrame:
+    """key, indexed, own, block_id, block_seq, size: the inverted index as a view; size is the number of the block's keywords."""
+    size = F.size(F.array_distinct(F.transform("keywords", F.lower)))
+    return blocks.select(F.explode(_keys("keywords")).alias("k"), "block_id", "block_seq", size.alias("size")).select("k.*", "block_id", "block_seq", "size")
 
 
 def keyword_topk(queries: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
@@ -59,11 +62,19 @@ def keyword_topk(queries: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
 
 
 def keyword_scores(queries: DataFrame, blocks: DataFrame) -> DataFrame:
-    """query_id, block_id, block_seq, first and the Jaccard score of all candidates."""
-    found = candidates(queries, postings(blocks))
-    x = found.join(blocks.select("block_id", F.col("keywords").alias("bk")), "block_id").join(queries.select("query_id", F.col("keywords").alias("qk")), "query_id")
-    own = [F.array_distinct(F.transform(F.col(c), F.lower)) for c in ("qk", "bk")]
-    return x.select("query_id", "block_id", "block_seq", "first", S.jaccard(*own).alias("score"))
+    """query_id, block_id, block_seq, first and the Jaccard score of all candidates; ids of blocks are unique.
+
+    Candidates share an index key; first is the place of the first such key.  Postings carry the size of
+    their block's set, so the score falls out of counts of shared keys and nothing is joined back.
+    """
+    size = F.size(F.array_distinct(F.transform("keywords", F.lower)))
+    q = queries.select("query_id", size.alias("_size"), F.posexplode(_keys("keywords")).alias("pos", "k")).select("query_id", "_size", "pos", F.col("k.key").alias("key"), F.col("k.indexed").alias("_indexed"), F.col("k.own").alias("_own"))
+    both = q.join(postings(blocks), "key")
+    x = both.groupBy("query_id", "block_id", "block_seq").agg(
+        F.min(F.when(F.col("indexed") & F.col("_indexed"), F.col("pos"))).cast("long").alias("first"), F.count(F.when(F.col("own") & F.col("_own"), 1)).alias("shared"), (F.max("size") + F.max("_size")).alias("sizes"),
+    )
+    union = F.col("sizes") - F.col("shared")
+    return x.filter("first is not null").select("query_id", "block_id", "block_seq", "first", F.when(union == 0, 0.0).otherwise(F.col("shared") / union).alias("score"))
 
 
 def vector_topk(queries: DataFrame, blocks: DataFrame, k: int, min_score: float | None = None, vector: str = "embedding", digits: int = 9) -> DataFrame:

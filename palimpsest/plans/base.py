@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer files than cores comes in as few tasks; its rows are dealt out before their texts are parsed."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as events: a day a conversation, a minute a turn."""
     ts = F.lit(1_704_067_200_000) + F.col("conv_id") * 86_400_000 + F.col("turn") * 60_000

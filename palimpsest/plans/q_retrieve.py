@@ -29,7 +29,7 @@ rrf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 
 def _docs(spark, sf, embed=True):
     """Documents as one-event blocks."""
-    d = base.table(spark, sf, "documents")
+    d = base.spread(base.table(spark, sf, "documents").select("doc_id", "text"))
     t = F.coalesce("text", F.lit(""))
     x = d.select(F.lpad(F.col("doc_id").cast("string"), 10, "0").alias("block_id"), F.col("doc_id").alias("block_seq"), T.keywords(t, 8).alias("keywords"), t.alias("_t"))
     return (x.withColumn("embedding", vectors.hash_embedding("_t")) if embed else x).drop("_t")
