@@ -36,15 +36,15 @@ def recency_neighbor(a: Column, b: Column) -> Column:
     return ladder(F.abs(a - b), [(HOUR, 1.0), (6 * HOUR, 0.75), (24 * HOUR, 0.45), (72 * HOUR, 0.2)], 0.08)
 
 
-def _shared(a: Column, b: Column) -> Column:
-    """Entries of a, repeats counted, that b has, both normalised."""
-    other = F.transform(b, T.normalize)
-    return F.size(F.filter(F.transform(a, T.normalize), lambda x: F.array_contains(other, x)))
+def _shared(a: Column, b: Column, normal: bool = False) -> Column:
+    """Entries of a, repeats counted, that b has, both normalised (normal: they are already)."""
+    a, b = (a, b) if normal else (F.transform(a, T.normalize), F.transform(b, T.normalize))
+    return F.size(F.filter(a, lambda x: F.array_contains(b, x)))
 
 
-def overlap(a: Column, b: Column) -> Column:
+def overlap(a: Column, b: Column, normal: bool = False) -> Column:
     """Shared over the larger size; 0 if either is empty."""
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(_shared(a, b) / F.greatest(F.size(a), F.size(b)))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(_shared(a, b, normal) / F.greatest(F.size(a), F.size(b)))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -60,15 +60,19 @@ def continuous(a: Column, b: Column, least: float = 0.34) -> Column:
     return F.coalesce((small > 0) & (F.size(F.array_intersect(x, y)) / F.greatest(F.lit(1), small) >= least), F.lit(False))
 
 
-def novelty(current: Column, candidate: Column) -> Column:
+def novelty(current: Column, candidate: Column, normal: bool = False) -> Column:
     """Part of the current keywords, repeats counted, that the candidate lacks; 0 without keywords."""
-    return F.when(F.size(current) == 0, 0.0).otherwise(1 - _shared(current, candidate) / F.greatest(F.lit(1), F.size(current)))
+    return F.when(F.size(current) == 0, 0.0).otherwise(1 - _shared(current, candidate, normal) / F.greatest(F.lit(1), F.size(current)))
 
 
-def direction_affinity(text: Column, current: Column, candidate: Column, start: Column, earlier_end: Column) -> Column:
-    """text: normalised text of the current block."""
-    moved = F.when(T.contains_any(text, words.TRANSITION), 1.0).otherwise(0.0)
-    x = moved * 0.45 + novelty(current, candidate) * 0.35 + recency_history(start, earlier_end) * 0.2
+def moved(text: Column) -> Column:
+    """Whether a normalised text says that something goes on to something else: 1 or 0."""
+    return F.when(T.contains_any(text, words.TRANSITION), 1.0).otherwise(0.0)
+
+
+def direction_affinity(moves: Column, new: Column, start: Column, earlier_end: Column) -> Column:
+    """moves: moved() of the current block; new: its novelty against the earlier one."""
+    x = moves * 0.45 + new * 0.35 + recency_history(start, earlier_end) * 0.2
     return clamp(x * F.when(earlier_end <= start, 1.0).otherwise(0.45))
 
 

@@ -168,8 +168,11 @@ def relation_vector(kind: str, dim: int) -> list[float]:
 
 def vector_sum(df: DataFrame, by: list[str], vector: str, weight: Column | None = None, mean: bool = False, name: str = "vector") -> DataFrame:
     """Element-wise (weighted) sum or mean of equally long vectors by keys; partial sums before the shuffle."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
     w = weight if weight is not None else F.lit(1.0)
-    x = df.select(*by, w.alias("_w"), F.posexplode(vector).alias("_i", "_x"))
-    value = F.avg("_x") if mean else F.sum(F.col("_w") * F.col("_x"))
-    x = x.groupBy(*by, "_i").agg(value.alias("_x"))
-    return x.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_x"))), lambda s: s["_x"]).alias(name))
+    # A vector a key and task is shuffled, not its cells.
+    x = df.filter(F.col(vector).isNotNull()).select(*by, w.alias("_w"), F.col(vector).cast("array<double>").alias("_v"))
+    x = x.groupBy(*by).agg(F.count("*").alias("_n"), vector_to_array(Summarizer.sum(array_to_vector("_v"), F.col("_w"))).alias("_s"))
+    return x.select(*by, (F.transform("_s", lambda e: e / F.col("_n")) if mean else F.col("_s")).alias(name))

@@ -13,6 +13,7 @@ from palimpsest.functions import scoring as S
 from palimpsest.functions import text as T
 from palimpsest.functions import vectors
 from palimpsest.sources.config import DEFAULT, Config
+from palimpsest.storage import durable
 
 from .seal import event_text
 
@@ -22,20 +23,24 @@ def match(blocks: DataFrame, edges: DataFrame | None = None) -> DataFrame:
 
     Of equal scores the earliest block wins.  edges (src, dst, type) add their type's weight, backward 0.6.
     """
+    text = T.normalize(F.concat_ws(" ", "summary", event_text("raw_events")))
+    # What a pair needs is worked out once a block: keywords normalised, vectors at unit length.
     cols = ["session_id", "block_seq", "block_id", "start_ms", "end_ms", "keywords", "embedding"]
-    now = blocks.select(*cols, T.normalize(F.concat_ws(" ", "summary", event_text("raw_events"))).alias("text"))
-    old = blocks.select(*[F.col(c).alias(f"o_{c}") for c in cols])
-    pairs = now.join(old, (F.col("session_id") == F.col("o_session_id")) & (F.col("o_block_seq") < F.col("block_seq")))
+    own = blocks.select("session_id", "block_seq", "block_id", "start_ms", "end_ms", F.transform("keywords", T.normalize).alias("keywords"), vectors.unit(F.col("embedding")).alias("embedding"), S.moved(text).alias("moved"))
+    own = durable(own)
+    old = own.select(*[F.col(c).alias(f"o_{c}") for c in cols])
+    pairs = own.join(old, (F.col("session_id") == F.col("o_session_id")) & (F.col("o_block_seq") < F.col("block_seq")))
     boost = F.lit(0.0)
     if edges is not None:
         w = S.type_weight(F.col("type"))
         both = edges.select("src", "dst", w.alias("w")).union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), (w * 0.6).alias("w")))
         best = both.groupBy(F.col("src").alias("o_block_id"), F.col("dst").alias("block_id")).agg(F.max("w").alias("boost"))
         pairs, boost = pairs.join(best, ["o_block_id", "block_id"], "left"), F.coalesce("boost", F.lit(0.0))
-    affinity = S.direction_affinity(F.col("text"), F.col("keywords"), F.col("o_keywords"), F.col("start_ms"), F.col("o_end_ms"))
-    x = pairs.select("block_id", "o_block_id", "o_block_seq", "embedding", "o_embedding", "keywords", "o_keywords", "end_ms", "o_end_ms", affinity.alias("affinity"), boost.alias("boost"))
-    score = S.history_score(vectors.cosine("embedding", "o_embedding"), S.overlap(F.col("keywords"), F.col("o_keywords")), S.recency_history(F.col("end_ms"), F.col("o_end_ms")), F.col("affinity"), F.col("boost"))
-    x = x.select("block_id", "o_block_id", "o_block_seq", score.alias("score"), "affinity", "boost", S.novelty(F.col("keywords"), F.col("o_keywords")).alias("novelty")).filter("score > 0")
+    keys, cos = (F.col("keywords"), F.col("o_keywords")), F.when(F.size("embedding") == F.size("o_embedding"), vectors.dot("embedding", "o_embedding")).otherwise(0.0)
+    x = pairs.select("block_id", "o_block_id", "o_block_seq", cos.alias("cos"), S.overlap(*keys, normal=True).alias("shared"), S.novelty(*keys, normal=True).alias("novelty"), S.recency_history(F.col("end_ms"), F.col("o_end_ms")).alias("recency"), "moved", "start_ms", "o_end_ms", boost.alias("boost"))
+    x = x.withColumn("affinity", S.direction_affinity(F.col("moved"), F.col("novelty"), F.col("start_ms"), F.col("o_end_ms")))
+    score = S.history_score(F.coalesce("cos", F.lit(0.0)), F.col("shared"), F.col("recency"), F.col("affinity"), F.col("boost"))
+    x = x.select("block_id", "o_block_id", "o_block_seq", score.alias("score"), "affinity", "boost", "novelty").filter("score > 0")
     top = x.groupBy("block_id").agg(F.max(F.struct("score", (-F.col("o_block_seq")).alias("first"), "o_block_id", "boost", "affinity", "novelty")).alias("b"))
     out = blocks.select("block_id").join(top, "block_id", "left")
     zero = lambda c: F.coalesce(F.col(f"b.{c}"), F.lit(0.0))

@@ -23,7 +23,7 @@ def spread(df: DataFrame) -> DataFrame:
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as events: a day a conversation, a minute a turn."""
     ts = F.lit(1_704_067_200_000) + F.col("conv_id") * 86_400_000 + F.col("turn") * 60_000
-    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), "role", F.coalesce("text", F.lit("")).alias("text"), ts.alias("ts_ms"))
+    return spread(table(spark, sf_dir, "conversations")).select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), "role", F.coalesce("text", F.lit("")).alias("text"), ts.alias("ts_ms"))
 
 
 def name(session: Column | str = "session_id", seq: Column | str = "seq") -> Column:

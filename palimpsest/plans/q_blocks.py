@@ -11,10 +11,11 @@ from palimpsest.functions import words
 from palimpsest.operators import chunks, diagnostics, history, relations, seal
 from palimpsest.sources import tables
 from palimpsest.sources.config import DEFAULT, load
+from palimpsest.storage import durable
 
 from . import base
 from . import sqltext as Q
-from .registry import ORACLES, query
+from .registry import query
 
 #: Small enough that the short conversations have several blocks.
 SMALL = load(env={}, max_tokens_per_block=120, min_tokens_per_block=40)
@@ -104,7 +105,7 @@ best AS (SELECT *, row_number() OVER (PARTITION BY session_id, seq ORDER BY scor
 
 
 def _history_blocks(spark, sf):
-    x = base.simple_blocks(spark, sf)
+    x = durable(base.simple_blocks(spark, sf))
     events = F.array(F.struct(F.lit("e").alias("event_id"), F.lit("user").alias("role"), F.col("text"), F.col("start_ms").alias("ts_ms")))
     return x.withColumn("summary", F.lit("")).withColumn("raw_events", events)
 
