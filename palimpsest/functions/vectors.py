@@ -39,7 +39,8 @@ def is_valid(a: Column, dim: int) -> Column:
 
 def unit(a: Column) -> Column:
     n = norm(a)
-    return F.when(n == 0, a).otherwise(F.transform(a, lambda x: x / n))
+    # Inside a lambda the norm would be worked out again for every cell.
+    return F.when(n == 0, a).otherwise(F.zip_with(a, F.array_repeat(n, F.size(a)), lambda x, y: x / y))
 
 
 def token_hash(token: Column | str, seed: int = 0) -> Column:
