@@ -21,9 +21,9 @@ from palimpsest.shipping import ship
 from palimpsest.sources.config import DEFAULT, Config
 from palimpsest.storage import durable
 
-QUERY_LIMIT = 10_000
+QUERY_LIMIT = 4_000
 #: Scores of a task held at a time.
-CELLS = 4_000_000
+CELLS = 1_000_000
 HITS = "query_id bigint, block_id string, score double"
 
 
