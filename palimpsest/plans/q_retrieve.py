@@ -10,6 +10,7 @@ from palimpsest.functions import vectors
 from palimpsest.operators import context, detect, diagnostics, graph, retrieve
 from palimpsest.plans.engine import Engine
 from palimpsest.sources.config import DEFAULT, load
+from palimpsest.storage import durable
 
 from . import base
 from . import sqltext as Q
@@ -208,7 +209,7 @@ def _hybrid(spark, sf):
     key = lambda c: F.lpad(c.cast("string"), 10, "0")
     ids = base.table(spark, sf, "documents").select("doc_id")
     edges = ids.select(key(F.col("doc_id")).alias("src"), key((F.col("doc_id") * 7 + 3) % n).alias("dst"), F.lit("FOLLOWS").alias("type"), F.lit(None).cast("double").alias("confidence"))
-    semantic = retrieve.semantic_topk(q, d)
+    semantic = durable(retrieve.semantic_topk(q, d))  # few rows, used three times
     found = graph.expand(semantic.select("query_id", F.col("block_id").alias("node")), edges, d, 4, "both", [], 1)
     return q, retrieve.add_scores(semantic, found.select("query_id", "block_id", (F.col("score") * 0.3).alias("score")))
 
