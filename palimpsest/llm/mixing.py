@@ -94,7 +94,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """One row per input row: id, size, source_size, target, copies, taken = copies * size.
 
     size is the number of words (null text: 0).  Null is a source of its own.  Rows of size 0 take part in
-    the document count.  Repeated rows are sampled each for itself.  Runs agree: the order within a source
+    the document count.  Repeated rows are sampled each for itself.  An empty table gives an empty mix.  Runs agree: the order within a source
     and all draws follow from ids, sizes and seed.
     """
     rows = renamed(docs, id_col, text_col, source_col).select(F.col("_id").cast("long"), F.col(f"_{source_col}").alias("source"), F.coalesce(F.regexp_count("_text", F.lit(WORDS)), F.lit(0)).cast("long").alias("_size"))

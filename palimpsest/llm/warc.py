@@ -245,7 +245,12 @@ def _owners(placed: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, path: str | None = None) -> DataFrame:
-    """Archives the pages in the shared folder and reads every record back."""
+    """Archives the pages in the shared folder and reads every record back: a row for each row of the input.
+
+    Null html is an empty payload, null urls are left out of the header.  Repeated rows are records each, all
+    revisits of the smallest page_id with their payload but that page's own; payloads of any length are
+    whole.  An empty table gives no row.
+    """
     path = path or f"{ensure_checkpoint_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     write(pages, path, id_col, url_col, html_col, least)
     return read(pages.sparkSession, path)
