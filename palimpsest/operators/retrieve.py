@@ -89,9 +89,11 @@ def vector_topk(queries: DataFrame, blocks: DataFrame, k: int, min_score: float
     return ranked(hits, k, F.desc("score"), "block_id")
 
 
-def _scan(queries: DataFrame, blocks: DataFrame, k: int, vector: str, digits: int = 9, signature: Callable[[np.ndarray], np.ndarray] | None = None, probe: int = 0) -> DataFrame:
+def _scan(queries: DataFrame, blocks: DataFrame, k: int, vector: str, digits: int = 9, signature: Callable[[np.ndarray], np.ndarray] | None = None, probe: int = 0, depth: int = 0) -> DataFrame:
     """query_id, block_id, score: the k best of each task.
 
+    A task keeps the k best scores of each query so far, and only hits that reach the k-th of them go on.
+
     With signature (vectors to a key for each table) only blocks count that share a key with the query, or
     with probe one that differs in a bit; a query has k rows in all if it has as many such blocks.
     """
@@ -99,9 +101,12 @@ def _scan(queries: DataFrame, blocks: DataFrame, k: int, vector: str, digits: in
     rows = queries.select("query_id", F.col(vector).cast("array<double>").alias("v")).orderBy("query_id")
     n = rows.count()
     if n > QUERY_LIMIT:
+        if depth > 8:
+            raise ValueError(f"a query_id is on more than {QUERY_LIMIT} rows")
         parts = -(-n // QUERY_LIMIT)
-        sliced = [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) for i in range(parts)]
-        out = [_scan(q, blocks, k, vector, digits, signature, probe) for q in sliced]
+        # A slice that is too large is cut again, by another hash.
+        sliced = [queries.filter(F.pmod(F.xxhash64("query_id", F.lit(depth)), F.lit(parts)) == i) for i in range(parts)]
+        out = [_scan(q, blocks, k, vector, digits, signature, probe, depth + 1) for q in sliced]
         for o in out[1:]:
             out[0] = out[0].union(o)
         return out[0]
@@ -112,7 +117,9 @@ def _scan(queries: DataFrame, blocks: DataFrame, k: int, vector: str, digits: in
         by_dim[d] = (np.array([i for i, v in data if len(v) == d]), _units(q), signature(q) if signature else None)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: pd.DataFrame | None = None
+        top = {d: np.full((k, len(ids)), -np.inf) for d, (ids, _, _) in by_dim.items()}
+        held: list[pd.DataFrame] = []
+        rows, most = 0, 4 * k * sum(len(ids) for ids, _, _ in by_dim.values())
         for pdf in batches:
             pdf = pdf[pdf["v"].notna()]
             for d, group in pdf.groupby(pdf["v"].map(len)):
@@ -128,20 +135,25 @@ def _scan(queries: DataFrame, blocks: DataFrame, k: int, vector: str, digits: in
                         s[~_near(signature(m), asked, probe)] = -np.inf
                     take = min(len(part), k)
                     names = part["block_id"].to_numpy()
-                    # Everything at least as good as the k-th stays for the tie-break.
-                    kth = -np.partition(-s, take - 1, axis=0)[take - 1]
-                    good = (s >= kth) & (s > -np.inf)
+                    # Everything at least as good as the k-th so far stays for the tie-break.
+                    top[d] = -np.partition(-np.vstack([top[d], s]), k - 1, axis=0)[:k]
+                    good = (s >= top[d][k - 1]) & (s > -np.inf)
                     if good.sum() > 4 * take * len(ids):  # so many ties that the first by id are taken here already
                         order = np.argsort(names.astype(str), kind="stable")
                         good &= False
                         first = order[np.argsort(-s[order], axis=0, kind="stable")[:take]]
                         np.put_along_axis(good, first, np.take_along_axis(s, first, axis=0) > -np.inf, axis=0)
                     at = np.argwhere(good)
-                    own = pd.DataFrame({"query_id": ids[at[:, 1]], "block_id": names[at[:, 0]], "score": s[at[:, 0], at[:, 1]]})
-                    best = own if best is None else pd.concat([best, own])
-                    best = best.sort_values(["query_id", "score", "block_id"], ascending=[True, False, True]).groupby("query_id").head(k)
-        if best is not None:
-            yield best
+                    held.append(pd.DataFrame({"query_id": ids[at[:, 1]], "block_id": names[at[:, 0]], "score": s[at[:, 0], at[:, 1]]}))
+                    rows += len(at)
+                    if rows > most:
+                        held = [best(held)]
+                        rows = len(held[0])
+        if held:
+            yield best(held)
+
+    def best(hits: list[pd.DataFrame]) -> pd.DataFrame:
+        return pd.concat(hits).sort_values(["query_id", "score", "block_id"], ascending=[True, False, True]).groupby("query_id").head(k)
 
     return blocks.select("block_id", F.col(vector).cast("array<double>").alias("v")).mapInPandas(run, HITS)
 

@@ -165,6 +165,24 @@ def test_slices_of_queries(spark, monkeypatch):
     b = spark.createDataFrame([("x", [1.0, 0.0]), ("y", [0.0, 1.0])], "block_id string, embedding array<double>")
     q = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(10)], "query_id bigint, embedding array<double>")
     assert retrieve.vector_topk(q, b, 1).count() == 10
+    monkeypatch.setattr(retrieve, "QUERY_LIMIT", 1)
+    assert retrieve.vector_topk(q.filter("query_id < 2"), b, 1).count() == 2
+    with pytest.raises(ValueError):
+        retrieve.vector_topk(q.withColumn("query_id", F.lit(1)).limit(2), b, 1)
+
+
+def test_exact_vectors_by_tiles(spark, monkeypatch):
+    monkeypatch.setattr(retrieve, "CELLS", 60)
+    rng = np.random.default_rng(2)
+    m = np.round(rng.normal(size=(150, 3)) * 2) / 2  # many ties
+    names = [f"b{i:03d}" for i in range(150)]
+    b = spark.createDataFrame([(n, r.tolist()) for n, r in zip(names, m, strict=True)], "block_id string, embedding array<double>").repartition(2)
+    q = spark.createDataFrame([(i, m[i].tolist()) for i in range(20)], "query_id bigint, embedding array<double>")
+    got = retrieve.vector_topk(q, b, 4).orderBy("query_id", "rank").collect()
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    u = m / np.where(n > 0, n, 1)
+    s = np.round(u[:20] @ u.T, 9)
+    assert [(r.query_id, r.block_id) for r in got] == [(i, names[j]) for i in range(20) for j in sorted(range(150), key=lambda j: (-s[i, j], names[j]))[:4]]
 
 
 def test_two_stage_early_stop(spark):
