@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, fingerprints, mixing, neardup, ngram_lm, quality, repeats, toxicity, warc
+from . import bpe, exact, fingerprints, hard_negatives, mixing, neardup, ngram_lm, quality, repeats, toxicity, warc
 from .shared import freed, saved, table
 
 
@@ -64,6 +64,10 @@ def op10_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
     "op2_warc_round_trip": op2_warc_round_trip,
@@ -75,5 +79,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_simhash_neardup": op10_simhash_neardup,
+    "op11_hard_negatives": op11_hard_negatives,
 }
-ORACLES: dict[str, str] = {"op2_warc_round_trip": warc.ORACLE, "op4_exact_dedup": exact.ORACLE, "op7_ngram_lm": ngram_lm.ORACLE}
+ORACLES: dict[str, str] = {"op2_warc_round_trip": warc.ORACLE, "op4_exact_dedup": exact.ORACLE, "op7_ngram_lm": ngram_lm.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE}
