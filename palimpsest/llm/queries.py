@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, fingerprints, hard_negatives, mixing, neardup, ngram_lm, quality, repeats, toxicity, warc
+from . import bpe, exact, fingerprints, hard_negatives, langid, mixing, neardup, ngram_lm, quality, repeats, toxicity, warc
 from .shared import freed, saved, table
 
 
@@ -68,6 +68,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.labelled(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
     "op2_warc_round_trip": op2_warc_round_trip,
@@ -80,5 +84,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_simhash_neardup": op10_simhash_neardup,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_language_id": op12_language_id,
 }
 ORACLES: dict[str, str] = {"op2_warc_round_trip": warc.ORACLE, "op4_exact_dedup": exact.ORACLE, "op7_ngram_lm": ngram_lm.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE}
