@@ -201,10 +201,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     windows the first by hash are taken, so repeated rows, also millions of one id, count once.  Null ids do not count.
     """
     rows = renamed(docs, id_col, text_col, lang_col).filter("_lang IS NOT NULL AND _id IS NOT NULL").withColumn("_h", F.xxhash64("_id"))
-    counted = rows.groupBy("_lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_lang").limit(LANGS).select("_lang")
+    counted = rows.groupBy("_lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_lang").limit(LANGS)
+    share = (2 * per_lang + 100) / F.col("n")  # of the range of hashes: some more rows than are taken, so that no language is sorted whole
     first = Window.partitionBy("_lang").orderBy("_h")
-    cut = rows.select("_lang", "_h").withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= per_lang).groupBy("_lang").agg(F.max("_h").alias("_cut"))
-    cut = F.broadcast(saved(cut.join(F.broadcast(counted), "_lang")))  # LANGS rows at most
+    low = rows.select("_lang", "_h").join(F.broadcast(saved(counted)), "_lang").filter(F.col("_h") / 2.0**64 + 0.5 <= share)
+    cut = low.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= per_lang).groupBy("_lang").agg(F.max("_h").alias("_cut"))
+    cut = F.broadcast(saved(cut))  # LANGS rows at most
     picked = rows.join(cut, "_lang").filter((F.col("_h") <= F.col("_cut")) & has_letter("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
