@@ -31,21 +31,33 @@ UNION ALL SELECT m.session_id, m.seq, m.n, m.role, m.text, m.t, m.tokens, CASE W
 FROM f JOIN m ON m.session_id = f.session_id AND m.n = f.n + 1)"""
 
 
-_IDLE = f"(m.t - f.t) / 1000.0 >= {SMALL.proactive_seal_idle_seconds}"
-_TURN = f"(m.role <> f.role AND f.held >= {max(SMALL.proactive_seal_min_tokens, SMALL.min_tokens_per_block)})"
-_HARD = f"f.held >= {int(SMALL.max_tokens_per_block * 1.5)}"
-_FIXED = f"(f.held > 0 AND f.held + m.tokens > {SMALL.max_tokens_per_block})"
-_MEANING = f"""(f.held > 0 AND (f.held + m.tokens > {SMALL.max_tokens_per_block * 1.35} OR (f.held + m.tokens >= {SMALL.max_tokens_per_block} AND f.held >= {SMALL.min_tokens_per_block} AND (m.role <> f.role
-OR regexp_matches(rtrim(f.text, e' \\t\\n\\r'), '[。！？.!?]["''」』]?$') OR contains(rtrim(f.text, e' \\t\\n\\r'), e'\\n\\n') OR contains(ltrim(m.text, e' \\t\\n\\r'), e'\\n\\n') OR {" OR ".join(f"starts_with(lower(ltrim(m.text, e' \\t\\n\\r')), '{p}')" for p in words.TOPIC_PREFIXES)}))))"""
-_CUT = f"({_HARD} OR {_IDLE} OR {_TURN} OR {_FIXED} OR {_MEANING})"
+_PREFIXES = " OR ".join(f"starts_with(lower(ltrim(m.text, e' \\t\\n\\r')), '{p}')" for p in words.TOPIC_PREFIXES)
 
 
-@query(f"{_fold(SMALL, _CUT)} SELECT session_id, seq, block_seq, tokens FROM f")
+def _meaning(cfg) -> str:
+    most, least = cfg.max_tokens_per_block, cfg.min_tokens_per_block
+    return f"""(f.held > 0 AND (f.held + m.tokens > {most * 1.35} OR (f.held + m.tokens >= {most} AND f.held >= {least} AND (m.role <> f.role
+OR regexp_matches(rtrim(f.text, e' \\t\\n\\r'), '[。！？.!?]["''」』]?$') OR contains(rtrim(f.text, e' \\t\\n\\r'), e'\\n\\n') OR contains(ltrim(m.text, e' \\t\\n\\r'), e'\\n\\n') OR {_PREFIXES}))))"""
+
+
+def _hard(cfg) -> str:
+    return f"f.held >= {int(cfg.max_tokens_per_block * 1.5)}"
+
+
+def sealed_events(cfg) -> str:
+    """session_id, seq, block_seq, held and the event: the hybrid rule as SQL, in a CTE f."""
+    idle = f"(m.t - f.t) / 1000.0 >= {cfg.proactive_seal_idle_seconds}"
+    turn = f"(m.role <> f.role AND f.held >= {max(cfg.proactive_seal_min_tokens, cfg.min_tokens_per_block)})"
+    fixed = f"(f.held > 0 AND f.held + m.tokens > {cfg.max_tokens_per_block})"
+    return _fold(cfg, f"({_hard(cfg)} OR {idle} OR {turn} OR {fixed} OR {_meaning(cfg)})")
+
+
+@query(f"{sealed_events(SMALL)} SELECT session_id, seq, block_seq, tokens FROM f")
 def seal_events(spark, sf):
     return seal.assign_blocks(base.events(spark, sf), SMALL).select("session_id", "seq", "block_seq", "tokens")
 
 
-@query(f"{_fold(SMALL, f'({_HARD} OR {_MEANING})')} SELECT session_id, block_seq, min(t) AS start_ms, max(t) AS end_ms, sum(tokens)::BIGINT AS token_count, count(*) AS n_events FROM f GROUP BY ALL")
+@query(f"{_fold(SMALL, f'({_hard(SMALL)} OR {_meaning(SMALL)})')} SELECT session_id, block_seq, min(t) AS start_ms, max(t) AS end_ms, sum(tokens)::BIGINT AS token_count, count(*) AS n_events FROM f GROUP BY ALL")
 def seal_semantic_blocks(spark, sf):
     cfg = load(env={}, max_tokens_per_block=120, min_tokens_per_block=40, chunk_strategy="semantic", proactive_seal_enabled=False)
     b = seal.to_blocks(seal.assign_blocks(base.events(spark, sf), cfg))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +24,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def durable(df: DataFrame) -> DataFrame:
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A session setting for what is planned and run inside."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
