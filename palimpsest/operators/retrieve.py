@@ -67,9 +67,19 @@ def keyword_scores(queries: DataFrame, blocks: DataFrame) -> DataFrame:
     Candidates share an index key; first is the place of the first such key.  Postings carry the size of
     their block's set, so the score falls out of counts of shared keys and nothing is joined back.
     """
+    return scored(queries, postings(blocks))
+
+
+def query_keys(queries: DataFrame) -> DataFrame:
+    """query_id, _size, pos, key, _indexed, _own: a row for each key that a query looks up."""
     size = F.size(F.array_distinct(F.transform("keywords", F.lower)))
-    q = queries.select("query_id", size.alias("_size"), F.posexplode(_keys("keywords")).alias("pos", "k")).select("query_id", "_size", "pos", F.col("k.key").alias("key"), F.col("k.indexed").alias("_indexed"), F.col("k.own").alias("_own"))
-    both = q.join(postings(blocks), "key")
+    q = queries.select("query_id", size.alias("_size"), F.posexplode(_keys("keywords")).alias("pos", "k"))
+    return q.select("query_id", "_size", "pos", F.col("k.key").alias("key"), F.col("k.indexed").alias("_indexed"), F.col("k.own").alias("_own"))
+
+
+def scored(queries: DataFrame, index: DataFrame) -> DataFrame:
+    """As keyword_scores, from postings that were made before."""
+    both = query_keys(queries).join(index, "key")
     x = both.groupBy("query_id", "block_id", "block_seq").agg(
         F.min(F.when(F.col("indexed") & F.col("_indexed"), F.col("pos"))).cast("long").alias("first"), F.count(F.when(F.col("own") & F.col("_own"), 1)).alias("shared"), (F.max("size") + F.max("_size")).alias("sizes"),
     )
