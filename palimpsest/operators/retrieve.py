@@ -1,29 +1,25 @@
 """Retrieval for a batch of queries: keywords, vectors, fusion, graph scores, boosts.
 
-Queries are a small batch by contract: QUERY_LIMIT rows are checked, and larger ones go in slices of that
-size.  Ranking works on narrow rows (query, block, score); wide block columns are joined to the winners.
+Batches of queries may be as large as the tables.  Ranking works on narrow rows (query, block, score); wide
+block columns are joined to the winners.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import partial
+from itertools import combinations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import scoring as S
 from palimpsest.functions import text as T
 from palimpsest.functions import vectors
-from palimpsest.shipping import ship
+from palimpsest.operators import tiles
 from palimpsest.sources.config import DEFAULT, Config
 from palimpsest.storage import durable
 
-QUERY_LIMIT = 4_000
-#: Scores of a task held at a time.
-CELLS = 1_000_000
+#: Vectors of queries and of blocks that are multiplied at a time.
+QUERIES, BLOCKS = 512, 4000
 HITS = "query_id bigint, block_id string, score double"
 
 
@@ -87,116 +83,54 @@ def scored(queries: DataFrame, index: DataFrame) -> DataFrame:
     return x.filter("first is not null").select("query_id", "block_id", "block_seq", "first", F.when(union == 0, 0.0).otherwise(F.col("shared") / union).alias("score"))
 
 
+def _vectors(df: DataFrame, name: str, vector: str) -> DataFrame:
+    v = F.col(vector).cast("array<double>")
+    return df.select(v.alias("v"), F.col(name).alias("id"), F.size(v).alias("dim")).filter("dim > 0")
+
+
 def vector_topk(queries: DataFrame, blocks: DataFrame, k: int, min_score: float | None = None, vector: str = "embedding", digits: int = 9) -> DataFrame:
-    """query_id, block_id, score, rank by exact cosine, ties by id.
+    """query_id, block_id, score, rank by exact cosine among vectors of the query's length, ties by id.
 
-    Each task multiplies its blocks with the query matrix and keeps k a query, so k rows a query and task
-    are shuffled.  Scores are rounded to digits, so that ties do not hang on the order of sums.
+    Blocks of queries meet blocks of blocks, each pair once, in one pass (operators.tiles); a task keeps k a
+    query.  Scores are rounded to digits, so that ties do not hang on the order of sums.
     """
-    hits = _scan(queries, blocks, k, vector, digits)
+    left = durable(tiles.packed(_vectors(queries, "query_id", vector), "v", QUERIES, unit=True))
+    pairs = tiles.paired(left, tiles.packed(_vectors(blocks, "block_id", vector), "v", BLOCKS, unit=True))
+    hits = tiles.best_pairs(pairs, HITS, tiles.cosine_feed(k, digits), tiles.entries(["query_id", "block_id", "score"]))
     if min_score is not None:
         hits = hits.filter(F.col("score") >= min_score)
     return ranked(hits, k, F.desc("score"), "block_id")
 
 
-def _scan(queries: DataFrame, blocks: DataFrame, k: int, vector: str, digits: int = 9, signature: Callable[[np.ndarray], np.ndarray] | None = None, probe: int = 0, depth: int = 0) -> DataFrame:
-    """query_id, block_id, score: the k best of each task.
-
-    A task keeps the k best scores of each query so far, and only hits that reach the k-th of them go on.
-
-    With signature (vectors to a key for each table) only blocks count that share a key with the query, or
-    with probe one that differs in a bit; a query has k rows in all if it has as many such blocks.
-    """
-    ship(queries.sparkSession)
-    rows = queries.select("query_id", F.col(vector).cast("array<double>").alias("v")).orderBy("query_id")
-    n = rows.count()
-    if n > QUERY_LIMIT:
-        if depth > 8:
-            raise ValueError(f"a query_id is on more than {QUERY_LIMIT} rows")
-        parts = -(-n // QUERY_LIMIT)
-        # A slice that is too large is cut again, by another hash.
-        sliced = [queries.filter(F.pmod(F.xxhash64("query_id", F.lit(depth)), F.lit(parts)) == i) for i in range(parts)]
-        out = [_scan(q, blocks, k, vector, digits, signature, probe, depth + 1) for q in sliced]
-        for o in out[1:]:
-            out[0] = out[0].union(o)
-        return out[0]
-    data = [(r.query_id, r.v) for r in rows.collect() if r.v]  # at most QUERY_LIMIT vectors
-    by_dim: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray | None]] = {}
-    for d in {len(v) for _, v in data}:
-        q = np.array([v for _, v in data if len(v) == d], float)
-        by_dim[d] = (np.array([i for i, v in data if len(v) == d]), _units(q), signature(q) if signature else None)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        top = {d: np.full((k, len(ids)), -np.inf) for d, (ids, _, _) in by_dim.items()}
-        held: list[pd.DataFrame] = []
-        rows, most = 0, 4 * k * sum(len(ids) for ids, _, _ in by_dim.values())
-        for pdf in batches:
-            pdf = pdf[pdf["v"].notna()]
-            for d, group in pdf.groupby(pdf["v"].map(len)):
-                if d not in by_dim:
-                    continue
-                ids, q, asked = by_dim[d]
-                step = max(k, CELLS // len(ids))
-                for start in range(0, len(group), step):
-                    part = group.iloc[start : start + step]
-                    m = np.vstack([np.asarray(v, float) for v in part["v"]])
-                    s = np.round(_units(m) @ q.T, digits)
-                    if asked is not None:
-                        s[~_near(signature(m), asked, probe)] = -np.inf
-                    take = min(len(part), k)
-                    names = part["block_id"].to_numpy()
-                    # Everything at least as good as the k-th so far stays for the tie-break.
-                    top[d] = -np.partition(-np.vstack([top[d], s]), k - 1, axis=0)[:k]
-                    good = (s >= top[d][k - 1]) & (s > -np.inf)
-                    if good.sum() > 4 * take * len(ids):  # so many ties that the first by id are taken here already
-                        order = np.argsort(names.astype(str), kind="stable")
-                        good &= False
-                        first = order[np.argsort(-s[order], axis=0, kind="stable")[:take]]
-                        np.put_along_axis(good, first, np.take_along_axis(s, first, axis=0) > -np.inf, axis=0)
-                    at = np.argwhere(good)
-                    held.append(pd.DataFrame({"query_id": ids[at[:, 1]], "block_id": names[at[:, 0]], "score": s[at[:, 0], at[:, 1]]}))
-                    rows += len(at)
-                    if rows > most:
-                        held = [best(held)]
-                        rows = len(held[0])
-        if held:
-            yield best(held)
-
-    def best(hits: list[pd.DataFrame]) -> pd.DataFrame:
-        return pd.concat(hits).sort_values(["query_id", "score", "block_id"], ascending=[True, False, True]).groupby("query_id").head(k)
-
-    return blocks.select("block_id", F.col(vector).cast("array<double>").alias("v")).mapInPandas(run, HITS)
-
-
-def _near(keys: np.ndarray, asked: np.ndarray, probe: int) -> np.ndarray:
-    """For blocks and queries (a row each of one key a table) whether a table has them together."""
-    near = np.zeros((len(keys), len(asked)), bool)
-    for t in range(keys.shape[1]):
-        x = keys[:, t, None] ^ asked[None, :, t]
-        near |= (x & (x - 1) if probe > 0 else x) == 0
-    return near
-
-
-def _units(m: np.ndarray) -> np.ndarray:
-    n = np.linalg.norm(m, axis=1, keepdims=True)
-    return m / np.where(n > 0, n, 1)
-
-
 def clamped(hits: DataFrame) -> DataFrame:
     """Scores as one less the cosine distance, within 0 and 1."""
     return hits.withColumn("score", S.clamp(F.col("score")))
 
 
+def buckets(vectors_df: DataFrame, name: str, dim: int, tables: int, bits: int, vector: str = "embedding", probes: tuple[int, ...] = (0,)) -> DataFrame:
+    """v, id, dim, table, key: the bucket table of sign hashes, a row a table (and probe: bits of the key that are turned)."""
+    valid = vectors_df.filter(vectors.is_valid(F.col(vector), dim))
+    x = valid.select(F.col(vector).cast("array<double>").alias("v"), F.col(name).alias("id"), F.lit(dim).alias("dim"), F.posexplode(vectors.signatures(vector, dim, tables, bits)).alias("table", "_key"))
+    return x.withColumn("_probe", F.explode(F.array(*[F.lit(p) for p in probes]))).select("v", "id", "dim", "table", F.col("_key").bitwiseXOR(F.col("_probe")).alias("key"))
+
+
 def lsh_topk(queries: DataFrame, vectors_df: DataFrame, k: int, dim: int, tables: int = 6, bits: int = 12, probe: int = 1, min_score: float = -1.0, backfill: bool = True, vector: str = "embedding") -> DataFrame:
-    """Approximate cosine top k: buckets of sign hashes, queries also probing keys one bit away; candidates are scored exactly.
+    """Approximate cosine top k: query keys and bucket keys of sign hashes are joined, and pairs in one bucket scored exactly.
 
-    Candidates are found and scored where the blocks lie, so pairs are not shuffled.  How many neighbours
-    are found hangs on how near they are: tables, bits and probe must fit the data.  With backfill, queries
-    that found fewer than k candidates are answered by the exact search.
+    A query also looks at the keys that differ from its own in up to probe bits.  Both sides are packed by
+    bucket before the join, so a row is a block of vectors of one bucket: a bucket with a third of all vectors
+    is many rows, which adaptive execution splits, and its pairs stay inside a task.  How many neighbours are
+    found hangs on how near they are: tables, bits and probe must fit the data.  With backfill, queries that
+    found fewer than k candidates are answered by the exact search.
     """
-    signature = partial(vectors.sign_keys, tables=tables, bits=bits)
-    valid = lambda df: df.filter(vectors.is_valid(F.col(vector), dim))
-    hits = ranked(_scan(valid(queries), valid(vectors_df), k, vector, signature=signature, probe=probe), k, F.desc("score"), "block_id")
+    turned = tuple(sum(1 << b for b in some) for n in range(probe + 1) for some in combinations(range(bits), n))
+    asked = buckets(queries, "query_id", dim, tables, bits, vector, turned).repartition("table", "key").sortWithinPartitions("table", "key")
+    left = tiles.numbered(durable(tiles.packed(asked, "v", QUERIES, unit=True, by=("table", "key"))))
+    there = buckets(vectors_df, "block_id", dim, tables, bits, vector).sortWithinPartitions("table", "key")
+    right = tiles.packed(there, "v", BLOCKS, unit=True, by=("table", "key"))
+    pairs = right.join(left, (F.col("table") == F.col("l_table")) & (F.col("key") == F.col("l_key")))
+    found = tiles.best_pairs(pairs, HITS, tiles.cosine_feed(k, 9), tiles.entries(["query_id", "block_id", "score"]))
+    hits = ranked(found.groupBy("query_id", "block_id").agg(F.max("score").alias("score")), k, F.desc("score"), "block_id")
     if not backfill:
         return hits.filter(F.col("score") >= min_score)
     hits = durable(hits)

@@ -15,14 +15,16 @@ from palimpsest.shipping import ship
 BLOCK_CELLS, BROADCAST_BYTES, ROW_BYTES = 1 << 18, 48 << 20, 512
 
 
-def packed(df: DataFrame, vector: str, rows: int) -> DataFrame:
+def packed(df: DataFrame, vector: str, rows: int, unit: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
     """The frame in blocks of at most rows rows: m (row-major float64), width, and each other column as an array.
 
-    Vectors (array<double>, no nulls) of unlike lengths are filled up with zeros to the longest of a block.
+    Vectors (array<double>) of unlike lengths are filled up with zeros to the longest of a block; with unit each
+    is divided by its norm.  by: whole-number columns by which a partition is sorted; a block has one value of
+    each, which stays a column.
     """
     ship(df.sparkSession)
-    others = [f for f in df.schema.fields if f.name != vector]
-    plain = df.select(vector, *[f.name for f in others])
+    others = [f for f in df.schema.fields if f.name != vector and f.name not in by]
+    plain = df.select(vector, *[f.name for f in others], *by)
 
     def block(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held).combine_chunks()
@@ -31,30 +33,56 @@ def packed(df: DataFrame, vector: str, rows: int) -> DataFrame:
         width = max(1, int(sizes.max()))
         m = np.zeros((len(sizes), width))
         m[np.arange(width) < sizes[:, None]] = v.flatten().to_numpy(zero_copy_only=False)
+        if unit:
+            norm = np.linalg.norm(m, axis=1, keepdims=True)
+            m /= np.where(norm > 0, norm, 1)
         ends = pa.array([0, len(sizes)], pa.int32())
         lists = [pa.ListArray.from_arrays(ends, t.column(i + 1).combine_chunks()) for i in range(len(others))]
-        return pa.RecordBatch.from_arrays([pa.array([m.tobytes()], pa.binary()), pa.array([width], pa.int32()), *lists], ["m", "width", *[f.name for f in others]])
+        keys = [t.column(c).combine_chunks().slice(0, 1) for c in by]
+        return pa.RecordBatch.from_arrays([pa.array([m.tobytes()], pa.binary()), pa.array([width], pa.int32()), *lists, *keys], ["m", "width", *[f.name for f in others], *by])
+
+    def runs(b: pa.RecordBatch, last: tuple | None) -> Iterator[tuple[pa.RecordBatch, bool]]:
+        """Parts of a batch with the same by, and whether a part goes on with what came before."""
+        if not by:
+            yield b, True
+            return
+        keys = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in by], axis=1)
+        starts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(b)]])
+        for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+            yield b.slice(lo, hi - lo), lo == 0 and tuple(keys[lo]) == last
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n, cells = [], 0, 0
+        held, n, cells, last = [], 0, 0, None
         for b in batches:
-            at = 0
-            while at < len(b):
-                part = b.slice(at, min(rows - n, len(b) - at))
-                at += len(part)
-                held.append(part)
-                n, cells = n + len(part), cells + len(part.column(0).flatten())
-                if n >= rows or cells >= BLOCK_CELLS:
+            for some, goes_on in runs(b, last):
+                if held and not goes_on:
                     yield block(held)
                     held, n, cells = [], 0, 0
+                last = tuple(some.column(c)[0].as_py() for c in by) if by and len(some) else last
+                at = 0
+                while at < len(some):
+                    part = some.slice(at, min(rows - n, len(some) - at))
+                    at += len(part)
+                    held.append(part)
+                    n, cells = n + len(part), cells + len(part.column(0).flatten())
+                    if n >= rows or cells >= BLOCK_CELLS:
+                        yield block(held)
+                        held, n, cells = [], 0, 0
         if held:
             yield block(held)
 
-    return plain.mapInArrow(run, ", ".join(["m binary", "width int", *[f"`{f.name}` array<{f.dataType.simpleString()}>" for f in others]]))
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return plain.mapInArrow(run, ", ".join(["m binary", "width int", *[f"`{f.name}` array<{kinds[f.name]}>" for f in others], *[f"`{c}` {kinds[c]}" for c in by]]))
+
+
+def numbered(left: DataFrame) -> DataFrame:
+    """Blocks of a saved table with a number each, and the prefix l_ on all columns."""
+    left = left.withColumn("number", F.monotonically_increasing_id())
+    return left.withColumnsRenamed({c: f"l_{c}" for c in left.columns})
 
 
 def paired(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Each block of left beside each block of right once, left's columns with the prefix l_.
+    """Each block of left beside each block of right once, left's columns numbered and with the prefix l_.
 
     Left is a saved table.  If its blocks come to BROADCAST_BYTES at most, right stays where it is and left is
     broadcast; else both are dealt to the cells of a grid, left in slices of that size, so that no task holds
@@ -62,7 +90,7 @@ def paired(left: DataFrame, right: DataFrame) -> DataFrame:
     """
     bytes_of = F.greatest(F.length("m"), F.length("m") / (8 * F.col("width")) * ROW_BYTES)
     size, blocks = left.agg(F.sum(bytes_of).cast("long"), F.count("*")).first()
-    left = left.withColumnsRenamed({c: f"l_{c}" for c in left.columns})
+    left = numbered(left)
     slices = min(blocks, -(-(size or 0) // BROADCAST_BYTES)) or 1
     groups = 1 if slices == 1 else max(1, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")) // slices)
     number = lambda n: F.array(*[F.lit(i) for i in range(n)]) if n < 2 else F.sequence(F.lit(0), F.lit(n - 1))
@@ -88,11 +116,11 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Best:
-    """The k entries of each of n rows with the highest score so far, ties by the smaller id."""
+    """The k entries of each of n rows with the highest score so far, ties by the smaller id (numbers, or strings as objects)."""
 
-    def __init__(self, n: int, k: int):
+    def __init__(self, n: int, k: int, kind: type = np.int64):
         self.k = k
-        self.score, self.id = np.full((n, k), -np.inf), np.zeros((n, k), np.int64)
+        self.score, self.id = np.full((n, k), -np.inf), np.full((n, k), 0 if kind is np.int64 else "", kind)
 
     def add(self, rows: np.ndarray, scores: np.ndarray, ok: np.ndarray, ids: np.ndarray) -> None:
         """Scores of some rows against columns whose ids ascend, where ok.  Rows are distinct."""
@@ -110,26 +138,54 @@ class Best:
         row = np.concatenate([back, np.repeat(np.arange(len(own)), k)])
         score = np.concatenate([scores[r, c], self.score[rows[own]].ravel()])
         ident = np.concatenate([ids[c], self.id[rows[own]].ravel()])
-        order = np.lexsort((ident, -score, row))
+        place_of = ident if ident.dtype != object else np.unique(ident, return_inverse=True)[1]
+        order = np.lexsort((place_of, -score, row))
         place = np.arange(len(order)) - np.searchsorted(row[order], row[order])
         first = order[place < k].reshape(len(own), k)
         self.score[rows[own]], self.id[rows[own]] = score[first], ident[first]
 
 
-def best_pairs(pairs: DataFrame, k: int, schema: str, feed: Callable[[pa.RecordBatch, int, dict], tuple], out: Callable[[Best, tuple], pa.RecordBatch], most: int = 1 << 22) -> DataFrame:
-    """The k best of each left row in each task: what is held is passed on in between once it comes to most entries.
+def best_pairs(pairs: DataFrame, schema: str, feed: Callable[[pa.RecordBatch, int, dict], None], out: Callable[[Best, object], pa.RecordBatch], most: int = 1 << 22) -> DataFrame:
+    """What each task keeps of its pairs of blocks; feed updates the task's state, {left block: (Best, more)}, by a pair, out makes its rows.
 
-    feed takes a pair of blocks and the task's state by left block, and updates it; out makes rows of an entry.
+    What is held is passed on in between once it comes to most entries.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict = {}
+        held = 0
         for b in batches:
             for i in range(len(b)):
+                had = len(state)
                 feed(b, i, state)
-                if sum(best.score.size for best, _ in state.values()) > most and len(state) > 1:
+                if len(state) > had:
+                    held += next(reversed(state.values()))[0].score.size
+                if held > most and len(state) > 1:
                     yield from (out(best, more) for best, more in state.values())
-                    state = {}
+                    state, held = {}, 0
         yield from (out(best, more) for best, more in state.values())
 
     return pairs.mapInArrow(run, schema)
+
+
+def cosine_feed(k: int, digits: int) -> Callable[[pa.RecordBatch, int, dict], None]:
+    """For pairs of blocks of unit vectors (id, dim): the k best cosines of each left row among vectors of its length."""
+
+    def feed(b: pa.RecordBatch, i: int, state: dict) -> None:
+        keys, number, ids = values(b, i, "l_id"), b.column("l_number")[i].as_py(), values(b, i, "id")
+        best, _ = state.setdefault(number, (Best(len(keys), k, object if ids.dtype == object else np.int64), keys))
+        order = np.argsort(ids, kind="stable")
+        s = np.round(product(matrix(b, i, "l_"), matrix(b, i)), digits)[:, order]
+        best.add(np.arange(len(keys)), s, values(b, i, "l_dim")[:, None] == values(b, i, "dim")[order], ids[order])
+
+    return feed
+
+
+def entries(names: list[str]) -> Callable[[Best, np.ndarray], pa.RecordBatch]:
+    """Rows of (left key, id, score) under these names."""
+
+    def out(best: Best, keys: np.ndarray) -> pa.RecordBatch:
+        at = np.nonzero(best.score > -np.inf)
+        return pa.RecordBatch.from_arrays([pa.array(keys[at[0]]), pa.array(best.id[at]), pa.array(best.score[at])], names)
+
+    return out

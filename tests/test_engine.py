@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import vectors
-from palimpsest.operators import chunks, context, detect, graph, history, relations, retrieve, seal
+from palimpsest.operators import chunks, context, detect, graph, history, relations, retrieve, seal, tiles
 from palimpsest.plans.engine import Engine
 from palimpsest.sources.config import DEFAULT, load
 
@@ -160,19 +160,47 @@ def test_lsh_small(spark):
     assert [r.block_id for r in retrieve.lsh_topk(q, b, 2, 2, min_score=0.5, backfill=False).collect()] == ["x"]
 
 
-def test_slices_of_queries(spark, monkeypatch):
-    monkeypatch.setattr(retrieve, "QUERY_LIMIT", 3)
-    b = spark.createDataFrame([("x", [1.0, 0.0]), ("y", [0.0, 1.0])], "block_id string, embedding array<double>")
-    q = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(10)], "query_id bigint, embedding array<double>")
-    assert retrieve.vector_topk(q, b, 1).count() == 10
-    monkeypatch.setattr(retrieve, "QUERY_LIMIT", 1)
-    assert retrieve.vector_topk(q.filter("query_id < 2"), b, 1).count() == 2
-    with pytest.raises(ValueError):
-        retrieve.vector_topk(q.withColumn("query_id", F.lit(1)).limit(2), b, 1)
-
-
-def test_exact_vectors_by_tiles(spark, monkeypatch):
-    monkeypatch.setattr(retrieve, "CELLS", 60)
+def clustered(n, dim, groups, seed):
+    rng = np.random.default_rng(seed)
+    m = rng.normal(size=(groups, dim))[rng.integers(0, groups, n)] + 0.35 * rng.normal(size=(n, dim))
+    m[: n // 3] = m[0] + 0.05 * rng.normal(size=(n // 3, dim))  # a third of all vectors in one bucket
+    return m
+
+
+def test_lsh_buckets_on_clustered_vectors(spark):
+    m, k = clustered(1500, 16, 60, 4), 5
+    b = spark.createDataFrame([(f"b{i:04d}", r.tolist()) for i, r in enumerate(m)], "block_id string, embedding array<double>").repartition(6)
+    q = spark.createDataFrame([(i, m[i].tolist()) for i in range(0, 1500, 20)], "query_id bigint, embedding array<double>")
+    got = retrieve.lsh_topk(q, b, k, 16, backfill=False)
+    exact = {(r.query_id, r.block_id): r.score for r in retrieve.vector_topk(q, b, k).collect()}
+    rows = {(r.query_id, r.block_id): r.score for r in got.collect()}
+    assert len(rows.keys() & exact.keys()) / len(exact) >= 0.9
+    assert all(rows[p] == exact[p] for p in rows.keys() & exact.keys())
+    # Candidates by plain loops over the keys: what the join may score, and nothing else is in the result.
+    keys = vectors.sign_keys(m, 6, 12).astype(int)
+    near = lambda i, j: any(bin(a ^ c).count("1") <= 1 for a, c in zip(keys[i], keys[j], strict=True))
+    candidates = {(i, f"b{j:04d}") for i in range(0, 1500, 20) for j in range(1500) if near(i, j)}
+    assert rows.keys() <= candidates and len(candidates) < 0.3 * 75 * 1500
+    for i in range(0, 1500, 20):
+        mine = sorted((-np.round(m[i] @ m[j] / np.linalg.norm(m[i]) / np.linalg.norm(m[j]), 9), f"b{j:04d}") for j in range(1500) if (i, f"b{j:04d}") in candidates)[:k]
+        assert sorted(b for q, b in rows if q == i) == sorted(b for _, b in mine)
+    plan = got._jdf.queryExecution().toString()
+    assert "l_table" in plan and "Join Inner, ((table" in plan and "CartesianProduct" not in plan
+
+
+def test_queries_beyond_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "BROADCAST_BYTES", 2000)
+    monkeypatch.setattr(retrieve, "QUERIES", 3)
+    b = spark.createDataFrame([("x", [1.0, 0.0]), ("y", [0.0, 1.0]), ("z", [1.0]), ("none", None), ("empty", [])], "block_id string, embedding array<double>")
+    q = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)] + [(20, [2.0]), (21, None), (22, [])], "query_id bigint, embedding array<double>")
+    got = {r.query_id: (r.block_id, r.score) for r in retrieve.vector_topk(q, b, 1).collect()}
+    assert set(got) == set(range(21)) and got[0] == ("y", 1) and got[19][0] == "x" and got[20] == ("z", 1)
+
+
+@pytest.mark.parametrize("small", [(7, 20), (512, 4000)])
+def test_exact_vectors_by_tiles(spark, monkeypatch, small):
+    monkeypatch.setattr(retrieve, "QUERIES", small[0])
+    monkeypatch.setattr(retrieve, "BLOCKS", small[1])
     rng = np.random.default_rng(2)
     m = np.round(rng.normal(size=(150, 3)) * 2) / 2  # many ties
     names = [f"b{i:03d}" for i in range(150)]
