@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.operators.tiles import Best, best_pairs, matrix, packed, paired, product, values
+from palimpsest.operators.tiles import Best, best_pairs, entries, matrix, packed, paired, product, values
 
 from .shared import in_small_batches, saved
 
@@ -47,14 +47,14 @@ def mine(rows: DataFrame, anchors: DataFrame, n_positives: int = 5, n_negatives:
     if tasks > rows.sparkSession.sparkContext.defaultParallelism:
         rows = rows.repartition(tasks)
     blocks = packed(rows.select("v", "id", "label"), "v", CANDIDATES)
-    first = best_pairs(paired(saved(packed(anchors, "v", ANCHORS)), blocks), n_positives, "anchor long, id long, score double", _same_label(n_positives), _entries)
+    first = best_pairs(paired(saved(packed(anchors, "v", ANCHORS)), blocks), "anchor long, id long, score double", _same_label(n_positives), entries(["anchor", "id", "score"]))
     w = Window.partitionBy("anchor").orderBy(F.desc("score"), "id")
     positives = first.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n_positives)
     found = positives.groupBy("anchor").agg(F.sort_array(F.collect_list(F.struct("place", "id", "score"))).alias("p"))
     asked = anchors.join(found, "anchor").withColumn("tops", F.to_json("p.score")).withColumn("names", F.to_json("p.id")).drop("p")
     asked = saved(packed(asked.select("v", "anchor", "id", "label", "tops", "names"), "v", ANCHORS))
     schema = "anchor long, anchor_id long, place int, positive_id long, positive_score double, negative_id long, negative_score double"
-    second = best_pairs(paired(asked, blocks), n_negatives, schema, _in_window(n_positives, n_negatives, low, high), _negatives)
+    second = best_pairs(paired(asked, blocks), schema, _in_window(n_positives, n_negatives, low, high), _negatives)
     w = Window.partitionBy("anchor", "place").orderBy(F.desc("negative_score"), "negative_id")
     out = second.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n_negatives)
     return out.select("anchor_id", "positive_id", "rank", "negative_id", *[_long(c) for c in ("positive_score", "negative_score")])
@@ -75,7 +75,7 @@ def _candidates(b: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.n
 def _same_label(k: int):
     def feed(b: pa.RecordBatch, i: int, state: dict) -> None:
         keys, own, labels, a = values(b, i, "l_anchor"), values(b, i, "l_id"), values(b, i, "l_label"), matrix(b, i, "l_")
-        best, _ = state.setdefault(keys[0], (Best(len(keys), k), keys))
+        best, _ = state.setdefault(b.column("l_number")[i].as_py(), (Best(len(keys), k), keys))
         c, ids, other = _candidates(b, i)
         for label in np.intersect1d(labels, other):
             rows, cols = np.flatnonzero(labels == label), np.flatnonzero(other == label)
@@ -84,11 +84,6 @@ def _same_label(k: int):
     return feed
 
 
-def _entries(best: Best, keys: np.ndarray) -> pa.RecordBatch:
-    at = np.nonzero(best.score > -np.inf)
-    return pa.RecordBatch.from_arrays([pa.array(keys[at[0]]), pa.array(best.id[at]), pa.array(best.score[at])], ["anchor", "id", "score"])
-
-
 def _in_window(n_positives: int, k: int, low: int, high: int):
     import json
 
@@ -100,7 +95,8 @@ def _in_window(n_positives: int, k: int, low: int, high: int):
 
     def feed(b: pa.RecordBatch, i: int, state: dict) -> None:
         keys, labels, a = values(b, i, "l_anchor"), values(b, i, "l_label"), matrix(b, i, "l_")
-        if keys[0] not in state:
+        number = b.column("l_number")[i].as_py()
+        if number not in state:
             tops, names = np.full((len(keys), n_positives), np.nan), np.zeros((len(keys), n_positives), np.int64)
             for j, (top, name) in enumerate(zip(b.column("l_tops")[i].as_py(), b.column("l_names")[i].as_py(), strict=True)):
                 top, name = json.loads(top), json.loads(name)
@@ -108,8 +104,8 @@ def _in_window(n_positives: int, k: int, low: int, high: int):
             none = np.isnan(tops)
             most, least = bound(np.nan_to_num(tops), high, False), bound(np.nan_to_num(tops), low, True)
             most[none], least[none] = -np.inf, np.inf
-            state[keys[0]] = Best(len(keys) * n_positives, k), (keys, values(b, i, "l_id"), tops, names, least, most)
-        best, (_, _, _, _, least, most) = state[keys[0]]
+            state[number] = Best(len(keys) * n_positives, k), (keys, values(b, i, "l_id"), tops, names, least, most)
+        best, (_, _, _, _, least, most) = state[number]
         c, ids, other = _candidates(b, i)
         s = product(a, c)
         ok = (labels[:, None] != other) & (s >= least.min(axis=1)[:, None]) & (s <= most.max(axis=1)[:, None])
