@@ -3,8 +3,9 @@
 A document is a bag of passages: its lines, longer ones cut every PASSAGE bytes.  Each passage of the whole
 text is encoded from its content, the words and the byte trigrams by hash, and from measures of its form;
 gated attention, learned from document labels alone, weighs the encoded passages, and the weighted sum is
-scored.  A text is read piece by piece and its passages are pooled as they come, so a text of any length
-takes bounded memory.
+scored.  A text is read piece by piece and its passages are pooled as they come; words end with their
+passage, and what is carried from piece to piece is a hash for each different passage so far, so pieces of any
+size give the same.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.shipping import ship
@@ -21,8 +22,8 @@ from palimpsest.shipping import ship
 from .shared import in_small_batches, renamed, saved
 
 PASSAGE, CHUNK = 600, 1 << 20
-#: Labelled rows of each class that a fit reads at most, and passages of each of them, evenly spread.
-PER_CLASS, PER_TEXT = 2500, 100
+#: Of each class, labelled rows that a fit reads at most, and passages that these rows have at most in all.
+PER_CLASS, PER_CLASS_PASSAGES = 2500, 300_000
 
 _LOWER, _UPPER, _DIGIT, _SPACE, _LINE, _BANG, _BAR, _MARK, _STOP, _PUNCT, _HIGH_UPPER, _HIGH_LOWER, _CONTROL = range(13)
 _CLASS = np.full(256, _CONTROL, np.uint8)
@@ -37,10 +38,14 @@ _GRAM = np.random.default_rng(9).integers(0, N_GRAMS, (3, 256), dtype=np.uint8)
 _GRAM[:, 65:91] = _GRAM[:, 97:123]  # in lower case
 
 
-def passages(data: bytes) -> np.ndarray:
-    """A row of features for each passage of a piece of text; an empty text is one passage of zeros."""
+def passages(data: bytes, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A row of features for each passage of a piece of text, and the hashes of all different passages so far.
+
+    before: those of the pieces before it.  An empty text is one passage of zeros.
+    """
+    before = np.empty(0) if before is None else before
     if not data:
-        return np.zeros((1, N_FEATURES), np.float32)
+        return np.zeros((1, N_FEATURES), np.float32), before
     b = np.frombuffer(data, np.uint8)
     kind = _CLASS[b]
     cut = np.concatenate([[0], np.flatnonzero(b[:-1] == 10) + 1, [len(b)]])
@@ -59,7 +64,7 @@ def passages(data: bytes) -> np.ndarray:
     letters = counts[:, [_LOWER, _UPPER, _HIGH_UPPER, _HIGH_LOWER]].sum(axis=1)
     out[:, 13] = (counts[:, _UPPER] + counts[:, _HIGH_UPPER]) / np.maximum(1, letters)
     gap = (kind == _SPACE) | (kind == _LINE)
-    begin = np.flatnonzero(~gap & np.concatenate([[True], gap[:-1]]))
+    begin = np.flatnonzero(~gap & np.concatenate([[True], gap[:-1] | (own[1:] != own[:-1])]))
     if len(begin):
         at = np.flatnonzero(~gap)
         opens = np.zeros(len(b), bool)
@@ -85,34 +90,26 @@ def passages(data: bytes) -> np.ndarray:
         new = np.concatenate([[True], (h[1:] != h[:-1]) | (o[1:] != o[:-1])])
         out[:, 20] = np.bincount(o, new, n) / many
         whole = np.bincount(home, (hashed >> np.uint64(11)).astype(float) * (1 + np.arange(len(home)) - np.searchsorted(home, home)), n)
-        _, back, seen = np.unique(np.where(words > 0, whole, -1.0 - np.arange(n)), return_inverse=True, return_counts=True)
-        out[:, 21] = seen[back] > 1
-    return out.astype(np.float32)
+        told = np.flatnonzero(words > 0)
+        different, first = np.unique(whole[told], return_index=True)
+        out[told, 21] = 1
+        out[told[first[~np.isin(different, before)]], 21] = 0  # the first of its kind in the text
+        before = np.union1d(before, different)
+    return out.astype(np.float32), before
 
 
 def pieces(data: bytes | None) -> Iterator[np.ndarray]:
-    """Passages of a whole text, piece by piece of CHUNK bytes (cut after a line if there is one)."""
-    data, at = data or b"", 0
+    """Passages of a whole text, piece by piece of about CHUNK bytes, cut between passages."""
+    data, at, before = data or b"", 0, None
     while at < len(data) or not at:
-        end = at + CHUNK
+        end = at + max(PASSAGE, CHUNK - CHUNK % PASSAGE)
         if end < len(data) and (line := data.rfind(b"\n", at, end)) > at:
             end = line + 1
-        yield passages(data[at:end])
+        x, before = passages(data[at:end], before)
+        yield x
         at = end
 
 
-def some(data: bytes | None, most: int = PER_TEXT) -> np.ndarray:
-    """Of a text with over most passages, as many of them, evenly spread; for fits only."""
-    found, step, seen = [], 1, 0
-    for x in pieces(data):
-        found.append(x[(-seen) % step :: step])
-        seen += len(x)
-        while sum(map(len, found)) > 2 * most:  # every second one of what is held
-            found, step = [np.concatenate(found)[::2]], step * 2
-    x = np.concatenate(found)
-    return x[np.linspace(0, len(x) - 1, min(most, len(x))).astype(int)]
-
-
 class Attention:
     """Encoder, gated attention and linear score over bags of passages."""
 
@@ -210,20 +207,28 @@ class Attention:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS) -> Attention | None:
     """A model from at most per_class labelled rows of each class, taken by hash of id; None if there is no label.
 
-    Null labels and ids do not count; of several labels of an id the least counts.  Rows that share an id are
-    each an example.
+    Null labels and ids do not count; of several labels of an id the least counts.  Different texts under one id
+    are each an example, repeated rows one.  Rows are read whole; of a class they are taken by hash as long as
+    there are per_class at most and they have PER_CLASS_PASSAGES passages at most in all (the first one in any case).
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).dropna().groupBy("_id").agg(F.min("_y").alias("_y"))
     sample = [known.filter(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_class) for y in (0, 1)]
-    picked = F.broadcast(saved(sample[0].union(sample[1])))  # 2 * per_class rows at most
+    picked = F.broadcast(saved(sample[0].union(sample[1])))  # 2 * per_class ids at most
+    rows = renamed(docs, id_col, text_col).join(picked, "_id").select("_id", F.coalesce("_text", F.lit("")).cast("binary").alias("_text"), "_y")
+    rows = saved(rows.withColumn("_h", F.sha2("_text", 256)).dropDuplicates(["_id", "_h"]))
+    lines = F.length("_text") - F.length(F.replace(F.decode("_text", "ISO-8859-1"), F.lit("\n"), F.lit(""))) + 1
+    size = (lines + F.floor(F.length("_text") / PASSAGE)).alias("_n")  # as many passages at most
+    order = Window.partitionBy("_y").orderBy(F.xxhash64("_id", "_h"), "_id", "_h")
+    sized = rows.select("_id", "_h", "_y", size).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= per_class)
+    taken = sized.withColumn("_n", F.sum("_n").over(order)).filter((F.col("_r") == 1) | (F.col("_n") <= PER_CLASS_PASSAGES))
+    rows = rows.join(F.broadcast(saved(taken.select("_id", "_h"))), ["_id", "_h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bags = [some(x.as_py()).astype(np.float16).tobytes() for x in b.column(1)]
+            bags = [np.concatenate(list(pieces(x.as_py()))).astype(np.float16).tobytes() for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(bags, pa.binary())], ["_id", "_y", "bag"])
 
-    rows = renamed(docs, id_col, text_col).join(picked, "_id").select("_id", F.col("_text").cast("binary"), "_y")
-    found = sorted((r[0], r[1], r[2]) for r in rows.mapInArrow(run, "_id long, _y int, bag binary").collect())
+    found = sorted((r[0], r[1], r[2]) for r in rows.select("_id", "_text", "_y").mapInArrow(run, "_id long, _y int, bag binary").collect())
     if not found:
         return None
     return Attention().fit([np.frombuffer(x, np.float16).reshape(-1, N_FEATURES).astype(np.float32) for _, _, x in found], np.array([y for _, y, _ in found], float))

@@ -17,7 +17,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import in_small_batches, renamed, saved
@@ -56,18 +56,23 @@ class Index(dict):
         self.heads = frozenset(t.rstrip("*")[:_HEAD] for t in self)
 
     def features(self, text: str | None) -> tuple[dict[int, int], list[float]]:
-        """Counts of the chosen terms; number of words, of letters, of characters and of words new to their piece."""
-        counts, n, letters, new, heads = {}, 0, 0, 0, self.heads
+        """Counts of the chosen terms; number of words, of letters, of characters and of different words, all of the whole text."""
+        counts, n, letters, heads, different = {}, 0, 0, self.heads, None
         for some in words(text or ""):
             n += len(some)
             letters += sum(map(len, some))
-            new += len(set(some))
+            own = set(some)
+            if different is None and len(text) <= _PIECE:
+                different = own
+            else:  # of a long text a hash for each different word so far
+                hashes = np.fromiter(map(hash, own), np.int64, len(own))
+                different = np.union1d(hashes if different is None else different, hashes)
             for w in some:
                 if w[:_HEAD] in heads:
                     for t in terms(w):
                         if (i := self.get(t)) is not None:
                             counts[i] = counts.get(i, 0) + 1
-        return counts, [n, letters, len(text or ""), new]
+        return counts, [n, letters, len(text or ""), 0 if different is None else len(different)]
 
 
 class Bags:
@@ -202,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     Labels that are null do not count; of several labels of an id the one with the greatest values counts.
     categories: name -> condition over the columns of labels, the decision last; where labels have no
-    "quality" the decision is the only one.  Rows that share an id are each an example.
+    "quality" the decision is the only one.  Different texts under one id are each an example, repeated rows one.
     """
     if categories is None:
         categories = CATEGORIES if "quality" in labels.columns else {"toxic": f"{label_col} = 1"}
@@ -214,9 +219,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     picked = saved(some[0].union(some[1]))
     if picked.select("_y").distinct().count() < 2:
         return None
-    # The sample is bounded by 2 * per_class ids; its texts are read once, spread over tasks, and kept.
+    # The texts are read once, spread over tasks, and kept; of each class per_class different rows at most.
     rows = renamed(docs, id_col, text_col).select(F.col("_id").cast("long").alias("_id"), "_text")
-    sample = saved(rows.join(F.broadcast(picked), "_id").select("_text", "_y", "_id", "_c"))
+    rows = rows.join(F.broadcast(picked), "_id").withColumn("_h", F.sha2(F.coalesce("_text", F.lit("")).cast("binary"), 256))
+    rows = saved(rows.dropDuplicates(["_id", "_h"]))
+    order = Window.partitionBy("_y").orderBy(F.xxhash64("_id", "_h"), "_id", "_h")
+    taken = rows.select("_id", "_h", "_y").withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= per_class)
+    sample = saved(rows.join(F.broadcast(saved(taken.select("_id", "_h"))), ["_id", "_h"]).select("_text", "_y", "_id", "_c"))
     chosen = choose(sample.select("_text", "_y", "_id"))
     chain = Chain(names, sorted(set().union(*chosen.values())))
     index = chain.index

@@ -1,7 +1,11 @@
+import hashlib
 import math
+import re
 from collections import Counter
 
 import numpy as np
+import pytest
+import xxhash
 
 from palimpsest.llm import quality as Q
 from palimpsest.llm import queries
@@ -16,37 +20,29 @@ def auc(score, y):
 
 
 def plain_passages(data):
-    """Features of the passages of one piece, passage by passage."""
+    """Features of the passages of a whole text, passage by passage."""
     if not data:
         return [[0.0] * Q.N_FEATURES]
     places, at = [], 0
     for line in data.split(b"\n"):
         line = data[at : at + len(line) + 1]
-        places += [(at + k, line[k : k + Q.PASSAGE]) for k in range(0, len(line), Q.PASSAGE)]
+        places += [line[k : k + Q.PASSAGE] for k in range(0, len(line), Q.PASSAGE)]
         at += len(line)
-    words, begin = [], None
-    for i, c in enumerate(data + b" "):
-        if c in b" \t\n\r\x0b\x0c":
-            if begin is not None:
-                words.append((begin, data[begin:i]))
-            begin = None
-        elif begin is None:
-            begin = i
-    rows = []
-    for start, p in places:
-        own = [w for b, w in words if start <= b < start + len(p)]
+    rows, seen = [], set()
+    for p in places:
+        own = [bytes(w) for w in re.split(rb"[ \t\n\r\x0b\x0c]+", p) if w]
         share = [sum(c in k for c in p) / len(p) for k in KINDS]
         share.append(1 - sum(share))
         n = max(1, len(own))
         upper, letters = share[1] + share[10], share[0] + share[1] + share[10] + share[11]
         x = [*share, upper / max(1 / len(p), letters), math.log1p(len(own)) / 5 if own else 0, sum(map(len, own)) / n / 10, math.sqrt(sum(len(w) ** 2 for w in own) / n) / 10]
         x += [sum(a == b for a, b in zip(own, own[k:])) / n for k in (1, 2, 3)]
-        x += [len(set(own)) / n, None]
+        x += [len(set(own)) / n, float(tuple(own) in seen)]
+        seen.update([tuple(own)] if own else [])
         h = Counter((sum(int(Q._MIX[c]) * int(Q._POWER[i & 1023]) for i, c in enumerate(w)) % 2**64 >> 40) % Q.N_WORDS for w in own)
         g = Counter(int(Q._GRAM[0][p[i]] ^ Q._GRAM[1][p[i + 1]] ^ Q._GRAM[2][p[i + 2]]) for i in range(len(p) - 2))
-        rows.append((own, x, [h[i] / n for i in range(Q.N_WORDS)] + [g[i] / len(p) for i in range(Q.N_GRAMS)]))
-    seen = Counter(tuple(own) for own, _, _ in rows if own)
-    return [[*x[:-1], float(seen[tuple(own)] > 1), *rest] for own, x, rest in rows]
+        rows.append(x + [h[i] / n for i in range(Q.N_WORDS)] + [g[i] / len(p) for i in range(Q.N_GRAMS)])
+    return rows
 
 
 def plain_score(model, data):
@@ -82,7 +78,59 @@ def test_pooling_by_pieces_is_pooling_at_once(monkeypatch):
     for held in (1, 7, 10_000):
         assert np.allclose(model.scores([text, None, text], held)[[0, 2]], want)
     monkeypatch.setattr(Q, "CHUNK", 500)
-    assert sum(map(len, Q.pieces(text))) == 500
+    assert np.allclose(model.scores([text]), want)
+
+
+@pytest.mark.parametrize("text", [
+    b"".join(b"line %d of the text, and its words\n" % (i % 20_000) for i in range(90_000)),  # every line comes again, a megabyte later
+    b"no line ends here but words do " * 100_000, b"x" * 3_000_000, b"\n" * 3000 + b"a b\n" * 200_000 + b"\xc3\xa9 " * 700_000,
+])
+def test_pieces_of_any_size_give_the_same(monkeypatch, text):
+    model, found = Q.Attention(seed=4), []
+    for size in (1 << 20, 1 << 23, 70_001):
+        monkeypatch.setattr(Q, "CHUNK", size)
+        found.append((np.concatenate(list(Q.pieces(text))), model.scores([text])))
+    assert all(np.array_equal(found[0][0], x) and np.allclose(found[0][1], s, atol=1e-9) for x, s in found[1:])
+    assert len(found[0][0]) >= len(text) / Q.PASSAGE
+
+
+def test_a_fit_reads_the_rows_that_loops_take(spark, monkeypatch):
+    texts = {i: f"Line {i} of words.\n" * (1 + i * 7 % 40) + "x" * (i * 97 % 2000) for i in range(60)}
+    rows = [(i, t) for i, t in texts.items()] + [(i, texts[i]) for i in range(10)] + [(3, "another text\n"), (4, None), (None, "no id")]
+    labels = [(i, i % 2) for i in range(0, 60)] + [(5, 0), (7, None), (None, 1), (999, 1)]
+    y = {}
+    for i, v in labels:
+        if i is not None and v is not None:
+            y[i] = min(v, y.get(i, 1))
+    want = []
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+
+    def hashed(i, digest=None):
+        seed = xxhash.xxh64(i.to_bytes(8, "little"), seed=42).intdigest()
+        return signed(seed if digest is None else xxhash.xxh64(digest.encode(), seed=seed).intdigest())
+
+    for c in (0, 1):
+        ids = set(sorted((i for i in y if y[i] == c), key=lambda i: (hashed(i), i))[:20])
+        own = sorted({(i, (t or "").encode()) for i, t in rows if i in ids}, key=lambda r: hashed(r[0], hashlib.sha256(r[1]).hexdigest()))[:20]
+        total = 0
+        for k, (i, t) in enumerate(own):
+            total += t.count(b"\n") + 1 + len(t) // Q.PASSAGE
+            if k == 0 or total <= 300:
+                want.append((i, c, t))
+    seen = []
+    monkeypatch.setattr(Q, "PER_CLASS_PASSAGES", 300)
+    monkeypatch.setattr(Q.Attention, "fit", lambda self, bags, y: seen.append((bags, y)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    Q.fit(df, spark.createDataFrame(labels, "doc_id long, quality int"), per_class=20)
+    bags, found = seen[0]
+    plain = [(i, c, np.array(plain_passages(t))) for i, c, t in sorted(want)]
+    assert 15 < len(plain) < 40 and sorted(found) == sorted(c for _, c, _ in plain)
+    left = list(plain)
+    for bag, c in zip(bags, found, strict=True):
+        match = [k for k, (_, d, x) in enumerate(left) if d == c and x.shape == bag.shape and np.allclose(x, bag, atol=2e-3, rtol=2e-3)]
+        assert match
+        left.pop(match[0])
+    assert not left
 
 
 def test_gradient():
@@ -143,7 +191,7 @@ def test_no_labels_and_empty_table(make, spark, odd):
 def test_passages_cover_the_whole_text():
     long = ("Plain words here and there. " * 30 + "\n") * 2000
     whole = np.concatenate(list(Q.pieces(long.encode())))
-    assert len(whole) >= 2000 and len(Q.some(long.encode())) == Q.PER_TEXT
+    assert len(whole) >= 2000
     assert [x.shape for x in Q.pieces(None)] == [x.shape for x in Q.pieces(b"")] == [(1, Q.N_FEATURES)]
     junk = np.concatenate(list(Q.pieces((long + "$$$ %%% ### @@@ " * 9000).encode())))
     assert not np.allclose(junk[-1], whole[-1])

@@ -93,3 +93,44 @@ def test_words_of_long_texts():
     text = "alpha " * 400_000 + "Zeta"
     got = [w for some in toxicity.words(text) for w in some]
     assert len(got) == 400_001 and got[-1] == "zeta"
+
+
+def test_pieces_of_any_size_give_the_same(monkeypatch):
+    text = "".join(f"word{chr(97 + i % 26)} of line {'abcdefgh'[i % 8] * 6} goes on\n" for i in range(90_000)) + "vile tail"
+    index, found = toxicity.Index(["vile", "line*", "word*", "goes"]), []
+    for size in (1 << 20, 1 << 23, 70_001):
+        monkeypatch.setattr(toxicity, "_PIECE", size)
+        found.append(index.features(text))
+    words = re.findall(r"[^\W\d_]+", text.lower())
+    assert found[0] == found[1] == found[2] and found[0][1] == [len(words), sum(map(len, words)), len(text), len(set(words))]
+    assert found[0][0][index["vile"]] == 1 and found[0][0][index["goes"]] == 90_000
+
+
+def test_chosen_terms_against_loops(spark):
+    rng = np.random.default_rng(3)
+    vocabulary = ["plain", "words", "here", "vileness", "vilely", "nasty", "nastier", "common"]
+    rows = []
+    for i in range(240):
+        y = int(i % 3 == 0)
+        own = [w for w in vocabulary[:3] + vocabulary[7:] if rng.random() < 0.5] + [w for w in vocabulary[3:7] if rng.random() < (0.4 if y else 0.02)]
+        rows.append((" ".join(own), y, i))
+    got = toxicity.choose(spark.createDataFrame(rows, "_text string, _y int, _id long").repartition(3), n_terms=6)
+    for without in range(-1, toxicity.FOLDS):
+        own = [(t, y) for t, y, i in rows if toxicity.hash_fold(i) != without]
+        n = {}
+        for t, y in own:
+            for term in {x for w in t.split() for x in [w] + [w[:k] + "*" for k in (4, 5, 6, 7, 8) if len(w) > k]}:
+                n.setdefault(term, [0, 0])[y] += 1
+        size = [sum(y == c for _, y in own) for c in (0, 1)]
+        odds = {t: math.log((a + 0.5) / (size[1] + 1)) - math.log((b + 0.5) / (size[0] + 1)) for t, (b, a) in n.items() if a >= 3}
+        want = sorted((t for t in odds if odds[t] > 2), key=lambda t: (-odds[t] * math.sqrt(n[t][1]), t))[:6]
+        assert got[without] == want and want
+
+
+def test_a_fit_reads_bounded_rows(spark, monkeypatch):
+    rows = [(1, "vile words")] * 500 + [(1, f"another text {i}") for i in range(50)] + [(i, f"plain words {i}") for i in range(2, 60)]
+    seen = []
+    monkeypatch.setattr(toxicity, "choose", lambda sample: seen.append(sample.collect()) or {f: ["vile"] for f in range(-1, toxicity.FOLDS)})
+    toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, 1)] + [(i, 0) for i in range(2, 60)], "doc_id long, toxic int"), per_class=20)
+    toxic = [r._text for r in seen[0] if r._y == 1]
+    assert len(toxic) == len(set(toxic)) == 20 and sum(r._y == 0 for r in seen[0]) == 20
