@@ -16,7 +16,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     parser = argparse.ArgumentParser(prog="palimpsest", description=__doc__)
     parser.add_argument("--config", help="TOML file")
     sub = parser.add_subparsers(dest="command", required=True)
-    p = sub.add_parser("ingest", help="read events and write the tables")
+    p = sub.add_parser("ingest", help="read events and add them to the tables")
     p.add_argument("file")
     p.add_argument("tables")
     p.add_argument("--format", default="auto", choices=["auto", "txt", "json", "jsonl"])
@@ -38,18 +38,18 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
         for r in events.ingest_summary(good, bad).orderBy("source").collect():
             print(f"{r.source}: {r.records} records, {r.skipped} skipped")
         if not a.dry_run:
-            # A file is a session.
+            # A file is a session; it is added to what is there, or takes its own place again.
             own = good.select(F.xxhash64("source").alias("session_id"), F.col("ordinal").alias("seq"), "role", "text", "ts_ms")
-            own.write.mode("overwrite").parquet(f"{a.tables}/events")
-            engine.save(engine.build(spark.read.parquet(f"{a.tables}/events"), a.seal_every), a.tables)
+            print(f"{engine.append(own, a.tables, a.seal_every, renew=True)} sessions added or renewed")
         return
-    log = spark.read.parquet(f"{a.tables}/events")
+    kept = engine.kept(a.tables)
+    log = kept.events
     if a.command == "stats":
         diagnostics.conversation_stats(log).show(truncate=False)
         return
     last = log.groupBy().agg(F.max_by("session_id", "ts_ms").alias("s")).first().s
     asked = spark.createDataFrame([(i, last, q) for i, q in enumerate(a.query)], "query_id bigint, session_id bigint, query string")
-    for r in engine.context(asked, engine.load(a.tables, log)).orderBy("query_id").collect():
+    for r in engine.context(asked, kept).orderBy("query_id").collect():
         print(r.formatted)
 
 

@@ -7,7 +7,7 @@ in a Pandas UDF.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -72,9 +72,8 @@ def keywords(text: Column | str, n: int = 8) -> Column:
     ship_active()
 
     @F.pandas_udf("array<string>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(lambda t: keyword_list(t, n))
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: keyword_list(t, n))
 
     return run(_c(text))
 

@@ -62,23 +62,26 @@ def hash_of(token: str, seed: int = 0) -> int:
     return (1 << 32) - h if h >= 1 << 31 else h
 
 
+@lru_cache(maxsize=50_000)
+def known_hash(token: str, seed: int) -> int:
+    return hash_of(token, seed)
+
+
 def hash_embedding(text: Column | str, dim: int = 256, seed: int = 0) -> Column:
     """Counts of tokens by hash modulo dim, at unit length; zeros without tokens.  The tokens are built-in
     expressions; their bins come from a memo of hashes in a Pandas UDF."""
     ship_active()
 
     @F.pandas_udf("array<double>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = lru_cache(maxsize=200_000)(lambda t: hash_of(t, seed) % dim)
-        for s in batches:
-            out = []
-            for own in s:
-                v = np.zeros(dim)
-                if own is not None and len(own):
-                    np.add.at(v, [known(t) for t in own], 1.0)
-                    v /= math.sqrt(float(v @ v))
-                out.append(v)
-            yield pd.Series(out)
+    def run(s: pd.Series) -> pd.Series:
+        out = []
+        for own in s:
+            v = np.zeros(dim)
+            if own is not None and len(own):
+                v += np.bincount([known_hash(t, seed) % dim for t in own], minlength=dim)
+                v /= math.sqrt(float(v @ v))
+            out.append(v)
+        return pd.Series(out)
 
     return run(T.tokens(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))))
 

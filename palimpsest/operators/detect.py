@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,6 +18,8 @@ from palimpsest.shipping import ship
 from palimpsest.sources.config import DEFAULT, Config
 
 LONG_AGO = -(10**15)
+#: Seconds in which the gate lets nothing through after it opened.
+COOLDOWN = 120
 
 
 def positive(values) -> list[float]:
@@ -61,7 +63,7 @@ def retrieve_gate(values, query, top, prefetch: bool) -> bool:
 
 def timing(now, last, first, trigger) -> tuple[bool, str, int, str]:
     """(allow, mode, depth, reason)"""
-    if now - trigger < 120:
+    if now - trigger < COOLDOWN:
         return False, "none", 0, "cooldown"
     if now - last <= 300:
         return True, "inject", 2 if max(0, last - first) <= 1200 else 1, "inject"
@@ -271,23 +273,33 @@ def staged(log: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return x.mapInPandas(run, "session_id bigint, seq bigint, block_id string, boost double")
 
 
+class Budget:
+    """Admitted wake-ups of a session: a minimum interval, and so many in a rolling hour."""
+
+    def __init__(self, cfg: Config, given: Iterable[int] = ()):
+        self.cfg, self.given = cfg, deque(given)
+
+    def admits(self, now: int) -> bool:
+        while self.given and now - self.given[0] > 3600:
+            self.given.popleft()
+        ok = (not self.given or now - self.given[-1] >= self.cfg.proactive_wakeup_min_interval_seconds) and len(self.given) < max(1, self.cfg.proactive_wakeup_max_per_hour)
+        if ok:
+            self.given.append(now)
+        return ok
+
+
 def planned(wakeups: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Which wake-ups (session_id, now) the budget admits: a minimum interval, and so many in a rolling hour."""
+    """Which wake-ups (session_id, now) the budget admits, in the order of time."""
     ship(wakeups.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, given = None, deque()
+        key, budget = None, None
         for pdf in batches:
             out = []
             for session, now in zip(pdf["session_id"], pdf["now"], strict=True):
-                if session != key:
-                    key, given = session, deque()
-                while given and now - given[0] >= 3600:
-                    given.popleft()
-                ok = (not given or now - given[-1] >= cfg.proactive_wakeup_min_interval_seconds) and len(given) < cfg.proactive_wakeup_max_per_hour
-                if ok:
-                    given.append(now)
-                out.append(ok)
+                if budget is None or session != key:
+                    key, budget = session, Budget(cfg)
+                out.append(budget.admits(now))
             yield pdf.assign(admitted=out)
 
     x = wakeups.select("session_id", "now").repartition("session_id").sortWithinPartitions("session_id", "now")

@@ -37,17 +37,38 @@ def arcs(edges: DataFrame, direction: str = "both", types: list[str] | None = No
 
 def traverse(seeds: DataFrame, edges: DataFrame, direction: str = "both", types: list[str] | None = None, depth: int = 1) -> DataFrame:
     """query_id, node, step: all nodes within depth steps of the seeds (query_id, node), at their first step; seeds are step 0."""
+    if depth > 4:
+        return closure(seeds, edges, direction, types, depth)
     a = arcs(edges, direction, [] if types is None else types).select("node", "target").distinct()
     seen = seeds.select("query_id", "node").distinct().withColumn("step", F.lit(0))
     front = seen
     for step in range(1, depth + 1):
         front = front.join(a, "node").select("query_id", F.col("target").alias("node")).distinct()
         front = front.join(seen.select("query_id", "node"), ["query_id", "node"], "left_anti").withColumn("step", F.lit(step))
-        front = durable(front) if step % 4 == 0 else front
         seen = seen.unionByName(front)
     return seen
 
 
+def closure(seeds: DataFrame, edges: DataFrame, direction: str = "both", types: list[str] | None = None, most: int | None = None) -> DataFrame:
+    """As traverse, to the end (or most steps): each step reads the saved frontier of the one before, and an empty one ends it.
+
+    What was seen is the saved frontiers side by side, put together in one table every eighth step, so that no
+    plan grows with the number of steps.
+    """
+    a = durable(arcs(edges, direction, [] if types is None else types).select("node", "target").distinct())
+    front = seen = durable(seeds.select("query_id", "node").distinct().withColumn("step", F.lit(0)))
+    step = 0
+    while most is None or step < most:
+        step += 1
+        reached = front.join(a, "node").select("query_id", F.col("target").alias("node")).distinct()
+        front = durable(reached.join(seen.select("query_id", "node"), ["query_id", "node"], "left_anti").withColumn("step", F.lit(step)))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+        seen = durable(seen) if step % 8 == 0 else seen
+    return seen
+
+
 def expand(seeds: DataFrame, edges: DataFrame, blocks: DataFrame, k: int, direction: str = "both", types: list[str] | None = None, depth: int = 1) -> DataFrame:
     """query_id, block_id, score, rank: mass that spreads from the seeds over edges, over the highest of the query.
 

@@ -61,6 +61,32 @@ class Engine:
         for name, df in (("blocks", t.blocks.select(*_names("blocks"))), ("raw_events", t.raw), ("relations", t.edges)):
             tables.save(df, path, name)
 
+    def append(self, events: DataFrame, path: str, seal_every: int | None = None, renew: bool = False) -> int:
+        """Adds events to the kept tables at a folder and works out anew the sessions that they belong to; gives the number of these.
+
+        An event that is there (same session and seq) is replaced; with renew its whole session is.  Blocks are
+        matched and linked inside their session only, so other sessions stay as they are, and in the end the
+        tables are those of all events built at once.  Only hash folders with changed keys are read and rewritten.
+        """
+        events = durable(events.select("session_id", "seq", "role", "text", "ts_ms"))
+        some = durable(events.select("session_id").distinct().withColumn("bucket", tables.bucket_of(["session_id"], tables.BUCKETS)))
+        folders = [r.bucket for r in some.select("bucket").distinct().collect()]  # tables.BUCKETS numbers at most
+        own = lambda name: tables.load_kept(self.spark, path, name).filter(F.col("bucket").isin(folders)).join(some, ["session_id", "bucket"], "left_semi")
+        whole = durable(events if renew else tables.upsert(own("events").drop("bucket"), events, ["session_id", "seq"]))
+        before = durable(own("blocks").select("block_id"))
+        built = self.build(whole, seal_every)
+        tables.upsert_kept(self.spark, path, "events", whole, ["session_id"])
+        tables.upsert_kept(self.spark, path, "relations", built.edges, ["src"], gone=before.withColumnRenamed("block_id", "src"))
+        tables.upsert_kept(self.spark, path, "raw_events", built.raw, gone=before)
+        # Last, as they say which blocks a session had.
+        tables.upsert_kept(self.spark, path, "blocks", built.blocks.select(*_names("blocks")), ["session_id"])
+        return some.count()
+
+    def kept(self, path: str) -> Tables:
+        """The tables that append keeps."""
+        blocks, raw, edges, events = (tables.load_kept(self.spark, path, n).drop("bucket") for n in ("blocks", "raw_events", "relations", "events"))
+        return Tables(blocks, raw, edges, events)
+
     def load(self, path: str, events: DataFrame) -> Tables:
         return Tables(tables.load(self.spark, path, "blocks"), tables.load(self.spark, path, "raw_events"), tables.load(self.spark, path, "relations"), events)
 

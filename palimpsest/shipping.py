@@ -30,6 +30,15 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(target)
 
 
+def ship_for_state(spark: SparkSession) -> None:
+    """As ship, for keyed state with timers: the driver starts a Python process too, which gets no Python files but this path."""
+    ship(spark)
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if home not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([p for p in (known, home) if p])
+
+
 def ship_active() -> None:
     """As ship, for functions that make columns and know no session."""
     session = SparkSession.getActiveSession()

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from palimpsest.storage import durable
+
 EVENT = "struct<event_id: string, role: string, text: string, ts_ms: bigint>"
 SCHEMAS = {
+    "events": "session_id bigint, seq bigint, role string, text string, ts_ms bigint",
     "blocks": f"session_id bigint, block_seq bigint, block_id string, start_ms bigint, end_ms bigint, token_count bigint, summary string, keywords array<string>, embedding array<double>, raw_events array<{EVENT}>, retention_mode string, match_score double, conflict boolean, tags array<string>",
     "raw_events": f"block_id string, events array<{EVENT}>, updated_ms bigint",
     "relations": "src string, dst string, type string, ts_ms bigint, confidence double",
@@ -14,7 +17,9 @@ SCHEMAS = {
     "accesses": "snapshot_id string, file_id string, bytes_read bigint, truncated boolean, ts_ms bigint",
     "vectors": "snapshot_id string, embedding array<double>, ts_ms bigint",
 }
-KEYS = {"blocks": ["block_id"], "raw_events": ["block_id"], "relations": ["src", "dst", "type"], "snapshots": ["snapshot_id"], "vectors": ["snapshot_id"]}
+#: Folders of a kept table.
+BUCKETS = 64
+KEYS = {"events": ["session_id", "seq"], "blocks": ["block_id"], "raw_events": ["block_id"], "relations": ["src", "dst", "type"], "snapshots": ["snapshot_id"], "vectors": ["snapshot_id"]}
 
 
 def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -84,6 +89,45 @@ def load(spark: SparkSession, path: str, name: str) -> DataFrame:
         return spark.createDataFrame([], SCHEMAS[name])
 
 
+def bucket_of(keys: list[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def load_kept(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table that upsert_kept keeps, with its bucket; empty if it was never written."""
+    from pyspark.errors import AnalysisException
+
+    schema = f"{SCHEMAS[name]}, bucket int"
+    try:
+        return spark.read.schema(schema).parquet(f"{path}/{name}")
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
+def upsert_kept(spark: SparkSession, path: str, name: str, changes: DataFrame, keys: list[str] | None = None, gone: DataFrame | None = None, buckets: int = BUCKETS) -> list[int]:
+    """Upserts a kept table, dealt to folders by hash of its keys; reads and rewrites the changed keys' folders only, and gives their numbers.
+
+    Rows of a key that changes has are replaced by all of its rows for that key; rows of keys in gone go.  The
+    keys and the number of buckets must stay the same while a table is kept.  Running it again changes nothing.
+    """
+    keys, names = keys or KEYS[name], [f.name for f in load_kept(spark, path, name).schema.fields]
+    bucket = bucket_of(keys, buckets)
+    changes = durable(changes.withColumn("bucket", bucket).select(*names))
+    gone = changes.limit(0).select(*keys) if gone is None else gone.select(*keys)
+    drop = durable(changes.select(*keys).unionByName(gone).distinct().withColumn("bucket", bucket))
+    touched = sorted(r.bucket for r in drop.select("bucket").distinct().collect())  # buckets numbers at most
+    if not touched:
+        return []
+    held = load_kept(spark, path, name).filter(F.col("bucket").isin(touched))
+    merged = durable(held.join(drop.select(*keys), keys, "left_anti").select(*names).unionByName(changes))
+    merged.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/{name}")
+    left = {r.bucket for r in merged.select("bucket").distinct().collect()}
+    for b in touched:
+        if b not in left:  # a folder that nothing is written to would stay as it was
+            merged.limit(0).drop("bucket").write.mode("overwrite").parquet(f"{path}/{name}/bucket={b}")
+    return touched
+
+
 def newest(df: DataFrame, by: list[str], order: str, n: int) -> DataFrame:
     """The last n rows of each group, oldest first."""
     w = Window.partitionBy(*by).orderBy(F.desc(order))

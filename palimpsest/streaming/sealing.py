@@ -15,7 +15,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from palimpsest.functions import text as T
 from palimpsest.operators import seal
-from palimpsest.shipping import ship
+from palimpsest.shipping import ship_for_state
 from palimpsest.sources import tables
 from palimpsest.sources.config import DEFAULT, Config
 from palimpsest.storage import setting
@@ -93,7 +93,7 @@ def block_stream(events: DataFrame, cfg: Config = DEFAULT, late: str | None = No
     session that a batch touched comes too, with sealed false; a later batch gives the block again.
     A query of this stream starts inside with_state.
     """
-    ship(events.sparkSession)
+    ship_for_state(events.sparkSession)
     x = events.select("session_id", "seq", "role", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("ts_ms", F.lit(0)).alias("ts_ms"), T.estimate_tokens("text").alias("tokens"))
     idle_ms = None
     if late is not None:
