@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from . import text as T
 from . import words
 
 MINUTE, HOUR = 60_000, 3_600_000
+HISTORY_STEPS = ((HOUR, 1.0), (6 * HOUR, 0.6), (24 * HOUR, 0.3))
+NEIGHBOR_STEPS = ((HOUR, 1.0), (6 * HOUR, 0.75), (24 * HOUR, 0.45), (72 * HOUR, 0.2))
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
@@ -16,7 +20,7 @@ def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), F.nanvl(F.coalesce(x.cast("double"), F.lit(low)), F.lit(low))))
 
 
-def ladder(gap: Column, steps: list[tuple[int, float]], rest: float) -> Column:
+def ladder(gap: Column, steps: Sequence[tuple[int, float]], rest: float) -> Column:
     out = F.when(gap <= steps[0][0], steps[0][1])
     for most, value in steps[1:]:
         out = out.when(gap <= most, value)
@@ -24,7 +28,7 @@ def ladder(gap: Column, steps: list[tuple[int, float]], rest: float) -> Column:
 
 
 def recency_history(a: Column, b: Column) -> Column:
-    return ladder(F.abs(a - b), [(HOUR, 1.0), (6 * HOUR, 0.6), (24 * HOUR, 0.3)], 0.0)
+    return ladder(F.abs(a - b), HISTORY_STEPS, 0.0)
 
 
 def recency_relation(start: Column, earlier_end: Column) -> Column:
@@ -33,7 +37,7 @@ def recency_relation(start: Column, earlier_end: Column) -> Column:
 
 
 def recency_neighbor(a: Column, b: Column) -> Column:
-    return ladder(F.abs(a - b), [(HOUR, 1.0), (6 * HOUR, 0.75), (24 * HOUR, 0.45), (72 * HOUR, 0.2)], 0.08)
+    return ladder(F.abs(a - b), NEIGHBOR_STEPS, 0.08)
 
 
 def _shared(a: Column, b: Column, normal: bool = False) -> Column:

@@ -89,9 +89,18 @@ def _close(spark: SparkSession, folder: str, counts: dict[str, int]) -> None:
 
 def scores(spark: SparkSession, at: str, queries: DataFrame, parts: int = PARTS) -> DataFrame:
     """retrieve.keyword_scores against the kept postings; only the parts that hold a key of the queries are read."""
+    return retrieve.scored(queries, _asked(spark, at, queries, parts))
+
+
+def topk(spark: SparkSession, at: str, queries: DataFrame, k: int, parts: int = PARTS, often: int = 1000) -> DataFrame:
+    """retrieve.keyword_topk against the kept postings; frequent keys are followed only where they can matter."""
+    return retrieve.pruned_topk(queries, _asked(spark, at, queries, parts), k, often)
+
+
+def _asked(spark: SparkSession, at: str, queries: DataFrame, parts: int) -> DataFrame:
     asked = retrieve.query_keys(queries).select(part_of("key", parts).alias("part")).distinct()
     wanted = [r.part for r in asked.collect()]  # parts numbers at most
-    return retrieve.scored(queries, live(spark, at, "postings").filter(F.col("part").isin(wanted)))
+    return live(spark, at, "postings").filter(F.col("part").isin(wanted))
 
 
 def compacted(spark: SparkSession, at: str, to: str) -> None:

@@ -10,21 +10,15 @@ from palimpsest.functions import text as T
 from palimpsest.functions import words
 from palimpsest.sources.config import DEFAULT, Config
 
+from . import history
 from .seal import event_text
 
 _KEY = ("src", "dst", "type")
 
 
 def neighbors(blocks: DataFrame, k: int) -> DataFrame:
-    """block_id, other, rank: the k earlier blocks of the session that are nearest in keywords and time."""
-    cols = ["session_id", "block_seq", "block_id", "end_ms", "keywords"]
-    a = blocks.select(*cols[:-1], F.transform("keywords", T.normalize).alias("keywords"))
-    b = a.select(*[F.col(c).alias(f"o_{c}") for c in cols])
-    pairs = a.join(b, (F.col("session_id") == F.col("o_session_id")) & (F.col("o_block_seq") < F.col("block_seq")))
-    score = S.neighbor_score(S.overlap(F.col("keywords"), F.col("o_keywords"), normal=True), S.recency_neighbor(F.col("end_ms"), F.col("o_end_ms")))
-    w = Window.partitionBy("block_id").orderBy(F.desc("score"), "o_block_seq")
-    x = pairs.select("block_id", F.col("o_block_id").alias("other"), "o_block_seq", score.alias("score"))
-    return x.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("block_id", "other", "score", F.col("rank").cast("long").alias("rank"))
+    """block_id, other, score, rank: the k earlier blocks of the session that are nearest in keywords and time."""
+    return history.nearest(blocks, k)
 
 
 def strongest(relations: DataFrame) -> DataFrame:

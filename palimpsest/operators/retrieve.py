@@ -75,7 +75,11 @@ def query_keys(queries: DataFrame) -> DataFrame:
 
 def scored(queries: DataFrame, index: DataFrame) -> DataFrame:
     """As keyword_scores, from postings that were made before."""
-    both = query_keys(queries).join(index, "key")
+    return _jaccard(query_keys(queries).join(index, "key"))
+
+
+def _jaccard(both: DataFrame) -> DataFrame:
+    """Scores from a row for each key that a query and a block share."""
     x = both.groupBy("query_id", "block_id", "block_seq").agg(
         F.min(F.when(F.col("indexed") & F.col("_indexed"), F.col("pos"))).cast("long").alias("first"), F.count(F.when(F.col("own") & F.col("_own"), 1)).alias("shared"), (F.max("size") + F.max("_size")).alias("sizes"),
     )
@@ -83,6 +87,35 @@ def scored(queries: DataFrame, index: DataFrame) -> DataFrame:
     return x.filter("first is not null").select("query_id", "block_id", "block_seq", "first", F.when(union == 0, 0.0).otherwise(F.col("shared") / union).alias("score"))
 
 
+def pruned_topk(queries: DataFrame, index: DataFrame, k: int, often: int = 1000) -> DataFrame:
+    """The rows of keyword_topk, from postings, without following frequent keys where they cannot matter.
+
+    Keys with over often postings are held back (a query's rarest key never is).  What shares a rarer key is
+    scored exactly, with the frequent keys looked up for these blocks only.  A block that shares held-back keys
+    alone has at most their number in common, so with the sizes in the postings its score is bounded, and only
+    postings whose bound reaches the query's k-th score so far are followed.
+    """
+    keys = query_keys(queries)
+    counts = index.join(keys.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count("*").alias("_df"))
+    keys = keys.join(counts, "key")
+    rarest = F.min(F.struct("_df", "pos")).over(Window.partitionBy("query_id"))
+    keys = durable(keys.withColumn("_back", (F.col("_df") > often) & (F.col("pos") != rarest["pos"])).drop("_df"))
+    back = keys.filter("_back").drop("_back")
+    near = durable(keys.filter("NOT _back").drop("_back").join(index, "key"))
+    found = near.select("query_id", "block_id").distinct()
+    more = found.join(back, "query_id").join(index, ["key", "block_id"])
+    first = durable(_jaccard(near.unionByName(more)))
+    place = Window.partitionBy("query_id").orderBy(F.desc("score"), "first", "block_seq", "block_id")
+    least = first.withColumn("_n", F.row_number().over(place)).filter(F.col("_n") == k).select("query_id", F.col("score").alias("_least"))
+    alone = back.groupBy("query_id").agg(F.count_if("_own").alias("_most"))
+    held = back.join(alone, "query_id").join(least, "query_id", "left").join(index, "key")
+    common = F.least("_most", "size")
+    bound = F.when(common == 0, 0.0).otherwise(common / (F.col("_size") + F.col("size") - common))
+    held = held.filter(F.col("_least").isNull() | (bound >= F.col("_least"))).drop("_most", "_least")
+    rest = _jaccard(held.join(found, ["query_id", "block_id"], "left_anti"))
+    return ranked(first.unionByName(rest), k, F.desc("score"), "first", "block_seq", "block_id").select("query_id", "block_id", "score", "rank")
+
+
 def _vectors(df: DataFrame, name: str, vector: str) -> DataFrame:
     v = F.col(vector).cast("array<double>")
     return df.select(v.alias("v"), F.col(name).alias("id"), F.size(v).alias("dim")).filter("dim > 0")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -81,8 +83,8 @@ def numbered(left: DataFrame) -> DataFrame:
     return left.withColumnsRenamed({c: f"l_{c}" for c in left.columns})
 
 
-def paired(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Each block of left beside each block of right once, left's columns numbered and with the prefix l_.
+def paired(left: DataFrame, right: DataFrame, on: tuple[str, ...] = ()) -> DataFrame:
+    """Each block of left beside each block of right (with on: of equal by columns) once, left's columns numbered and with the prefix l_.
 
     Left is a saved table.  If its blocks come to BROADCAST_BYTES at most, right stays where it is and left is
     broadcast; else both are dealt to the cells of a grid, left in slices of that size, so that no task holds
@@ -95,9 +97,10 @@ def paired(left: DataFrame, right: DataFrame) -> DataFrame:
     groups = 1 if slices == 1 else max(1, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")) // slices)
     number = lambda n: F.array(*[F.lit(i) for i in range(n)]) if n < 2 else F.sequence(F.lit(0), F.lit(n - 1))
     cell = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    left = left.withColumn("_s", cell("l_m", slices)).withColumn("_g", F.explode(number(groups)))
+    left = left.withColumn("l__s", cell("l_m", slices)).withColumn("l__g", F.explode(number(groups)))
     right = right.withColumn("_g", cell("m", groups)).withColumn("_s", F.explode(number(slices)))
-    return right.join(F.broadcast(left) if slices == 1 else left, ["_s", "_g"]).drop("_s", "_g")
+    same = [F.col(c) == F.col(f"l_{c}") for c in ("_s", "_g", *on)]
+    return right.join(F.broadcast(left) if slices == 1 else left, reduce(and_, same)).drop("_s", "_g", "l__s", "l__g")
 
 
 def matrix(batch: pa.RecordBatch, i: int, prefix: str = "") -> np.ndarray:

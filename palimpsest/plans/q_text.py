@@ -14,16 +14,16 @@ from . import base
 from . import sqltext as Q
 from .registry import query
 
-_LITERAL = [
-    (1, "数据库连接超时导致订单失败 retry later", "before 之前 parent"), (2, "东京の会議は来週です", "no hints here"), (3, "mixed 中文 text 与 English 词", "what happened after the cause"),
-    (4, "", "child task next"), (5, "plain words only, nothing wide", "原因 和 上一步"), (6, "😀 astral 𠀀𠀁 letters", ""),
-]
-_VALUES = "lit AS (SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{a}', '{b}')" for i, a, b in _LITERAL) + ") AS v(id, a, b))"
+#: Letters of the conversations as Han ones, all but five; a hint behind each turn, by its number.
+_LATIN, _WIDE = "abcdfghijklmnpqrsuvwxyz", "数据库连接超时导致订单失败东京会议是来周中文与词"[:23]
+_HINTS = ("before 之前 parent", "no hints here", "what happened after the cause", "child task next", "原因 和 上一步", "")
+_ID = "conv_id * 1000 + turn"
 _HAN = "[\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}\\x{f900}-\\x{faff}]{2,}"
 
 
-def _literal(spark):
-    return spark.createDataFrame(_LITERAL, "id bigint, a string, b string")
+def _turns(spark, sf):
+    t = base.table(spark, sf, "conversations")
+    return t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
 
 
 @query(f"SELECT doc_id, md5({Q.norm("coalesce(text, '')")}) AS digest, length({Q.norm("coalesce(text, '')")}) AS n FROM documents")
@@ -44,18 +44,23 @@ def text_keywords(spark, sf):
     return base.table(spark, sf, "documents").select("doc_id", F.array_join(T.keywords("text", 8), ",").alias("keywords"))
 
 
-@query(f"""WITH {_VALUES}, r AS (SELECT id, a, list_filter(list_transform(regexp_extract_all(a, '{_HAN}'), lambda r: list_transform(range(1, length(r)), lambda i: substr(r, i, 2))), lambda x: true) AS runs FROM lit)
+@query(f"""WITH lit AS (SELECT {_ID} AS id, translate(lower(coalesce(text, '')), '{_LATIN}', '{_WIDE}') || ' 𠀀𠀁' AS a FROM conversations),
+r AS (SELECT id, a, list_transform(regexp_extract_all(a, '{_HAN}'), lambda r: list_transform(range(1, length(r)), lambda i: substr(r, i, 2))) AS runs FROM lit)
 SELECT id, array_to_string(flatten(runs), ',') AS grams, {Q.estimate('a')} AS estimated FROM r""")
 def text_cjk(spark, sf):
-    return _literal(spark).select("id", F.array_join(T.bigrams("a"), ",").alias("grams"), T.estimate_tokens("a").alias("estimated"))
+    """The tables have no Han text, so the conversations' letters are turned into it."""
+    wide = F.concat(F.translate(F.lower("text"), _LATIN, _WIDE), F.lit(" 𠀀𠀁")).alias("a")
+    return _turns(spark, sf).select("id", wide).select("id", F.array_join(T.bigrams("a"), ",").alias("grams"), T.estimate_tokens("a").alias("estimated"))
 
 
-@query(f"""WITH {_VALUES}, src AS (SELECT id, b AS text FROM lit UNION ALL SELECT 1000 + conv_id * 100 + turn, text FROM conversations), n AS (SELECT id, {Q.norm('text')} AS t FROM src)
+_HINT = "CASE turn % 6 " + " ".join(f"WHEN {i} THEN '{h}'" for i, h in enumerate(_HINTS)) + " END"
+
+
+@query(f"""WITH src AS (SELECT {_ID} AS id, coalesce(text, '') || ' ' || {_HINT} AS text FROM conversations), n AS (SELECT id, {Q.norm('text')} AS t FROM src)
 SELECT id, CASE WHEN NOT {Q.has('t', words.DIRECTIONAL)} THEN NULL WHEN {Q.has('t', words.INCOMING)} THEN 'incoming' WHEN {Q.has('t', words.OUTGOING)} THEN 'outgoing' ELSE 'both' END AS direction,
 CASE WHEN NOT {Q.has('t', words.DIRECTIONAL)} THEN NULL ELSE coalesce(nullif(concat_ws(',', CASE WHEN {Q.has('t', words.CAUSE_TYPE)} THEN 'CAUSES' END, CASE WHEN {Q.has('t', words.PARENT_TYPE)} THEN 'PARENT_TASK' END, CASE WHEN {Q.has('t', words.CHILD_TYPE)} THEN 'CHILD_TASK' END), ''), 'FOLLOWS,CONTEXT') END AS types FROM n""")
 def text_direction(spark, sf):
-    c = base.table(spark, sf, "conversations").select((F.lit(1000) + F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text")
-    x = _literal(spark).select("id", F.col("b").alias("text")).unionByName(c).select("id", T.directional_intent("text").alias("i"))
+    x = _turns(spark, sf).select("id", F.concat_ws(" ", "text", F.expr(_HINT)).alias("text")).select("id", T.directional_intent("text").alias("i"))
     return x.select("id", "i.direction", F.array_join("i.types", ",").alias("types"))
 
 
@@ -151,11 +156,17 @@ def metadata_residue(spark, sf):
     return x.select("event_id", F.explode(m).alias("key", "_v")).select("event_id", "key", F.try_variant_get("_v", "$", "string").alias("value"))
 
 
-@query("""SELECT * FROM (VALUES (1::BIGINT, 'search', '{"q":"x"}'), (2, 'read', '{}'), (3, 'list', '{"path":"."}'), (4, NULL, NULL)) AS v(id, name, args)""")
+#: What stands before a turn's text: calls in the three shapes that are known, by the turn's number.
+_CALLS = ("so <tool_call>{\"name\":\"search\",\"args\":{\"q\":\"@\"}}</tool_call> ", "```json\n{\"tool\":\"read\"}\n``` ", "{\"function\":{\"name\":\"list\",\"arguments\":{\"path\":\"@\"}}}", "")
+
+
+@query(f"""SELECT {_ID} AS id, CASE turn % 4 WHEN 0 THEN 'search' WHEN 1 THEN 'read' WHEN 2 THEN 'list' END AS name,
+CASE turn % 4 WHEN 0 THEN '{{"q":"' || role || '"}}' WHEN 1 THEN '{{}}' WHEN 2 THEN '{{"path":"' || role || '"}}' END AS args FROM conversations""")
 def tool_calls(spark, sf):
-    rows = [(1, 'so <tool_call>{"name":"search","args":{"q":"x"}}</tool_call>'), (2, '```json\n{"tool":"read"}\n```'), (3, '{"function":{"name":"list","arguments":{"path":"."}}}'), (4, "no call")]
-    x = spark.createDataFrame(rows, "id bigint, text string").select("id", T.tool_call("text").alias("t"))
-    return x.select("id", "t.name", "t.args")
+    """A call before each turn's text; a bare one stands for the whole turn, and each fourth turn has none."""
+    call = F.element_at(F.array(*map(F.lit, _CALLS)), (F.col("turn") % 4 + 1).cast("int"))
+    text = F.concat(F.replace(call, F.lit("@"), F.col("role")), F.when(F.col("turn") % 4 == 2, "").otherwise(F.col("text")))
+    return _turns(spark, sf).select("id", T.tool_call(text).alias("t")).select("id", "t.name", "t.args")
 
 
 @query("SELECT doc_id, strlen(t) AS size, least(strlen(t), 4096) AS bytes_read, strlen(t) > 4096 AS truncated, 'snapshot:doc/' || doc_id || '#' || strlen(t) || ':' || sha256(t) AS snapshot_id FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")

@@ -53,3 +53,25 @@ def test_a_lookup_reads_the_parts_of_its_keys(spark, blocks, queries, tmp_path):
 
 def test_no_index_yet(spark, queries, tmp_path):
     assert index.scores(spark, f"{tmp_path}/none", queries).count() == 0
+
+
+@pytest.mark.parametrize("often", [0, 3, 40, 10_000])
+def test_pruned_topk_gives_the_same_rows(spark, blocks, queries, often):
+    want = sorted(map(tuple, retrieve.keyword_topk(queries, blocks, 6).collect()))
+    assert sorted(map(tuple, retrieve.pruned_topk(queries, retrieve.postings(blocks), 6, often).collect())) == want != []
+
+
+def test_pruning_on_one_very_frequent_key(spark, tmp_path):
+    words = [["common"] + [f"w{(i * j) % 97}" for j in range(1, 1 + i % 6)] for i in range(3000)]
+    b = spark.createDataFrame([(f"b{i:05d}", i, w, "h") for i, w in enumerate(words)], "block_id string, block_seq long, keywords array<string>, hash string")
+    asked = [["common", f"w{i}", f"w{i + 1}", f"w{2 * i}"] for i in range(30)] + [["common"], ["common", "nothing"], ["nothing"], []]
+    q = spark.createDataFrame(list(enumerate(asked)), "query_id long, keywords array<string>")
+    want = sorted(map(tuple, retrieve.keyword_topk(q, b, 5).collect()))
+    postings = retrieve.postings(b)
+    got = retrieve.pruned_topk(q, postings, 5, 500)
+    assert sorted(map(tuple, got.collect())) == want
+    # What is scored: the blocks that share a rarer key, or all for queries that have no other.
+    rare = sum(len({i for i, w in enumerate(words) if set(w) & set(a) - {"common"}}) for a in asked[:30]) + 2 * 3000
+    assert rare < 0.25 * retrieve.scored(q, postings).count()
+    index.update(spark, str(tmp_path), b)
+    assert sorted(map(tuple, index.topk(spark, str(tmp_path), q, 5, often=500).collect())) == want
