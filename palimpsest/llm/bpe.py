@@ -200,7 +200,11 @@ def decoded(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", pat
 
 @in_small_batches
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """One row per input row: id, n_tokens, ids_sha256, decoded_sha256, both done in one pass over the text."""
+    """One row per input row: id, n_tokens, ids_sha256, decoded_sha256, both done in one pass over the text.
+
+    Null texts count as empty and have no token; repeated rows each have their row; texts of any length are
+    encoded to their end, and what is held of one is a stretch of its ids.  An empty table gives no row.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path, pattern)

@@ -73,3 +73,12 @@ def test_memo_restarts(ours, monkeypatch):
     assert b"".join(bpe._blobs(v, text)) == np.array(ours.encode_ordinary(text), "<u4").tobytes()
     monkeypatch.setattr(bpe, "LONG", 10)
     assert b"".join(bpe._blobs(v, text)) == np.array(ours.encode_ordinary(text), "<u4").tobytes()
+
+
+def test_repeated_rows_and_empty_table(make, ours):
+    got = bpe.round_trip(make([(1, "same words"), (1, "same words"), (2, None), (None, "x" * 300_000)])).collect()
+    empty = [r for r in got if r.doc_id == 2][0]
+    assert len(got) == 4 and got[0] == got[1] and empty.n_tokens == 0 and empty.decoded_sha256 == hashlib.sha256(b"").hexdigest()
+    assert [r.n_tokens for r in got if r.doc_id is None] == [len(ours.encode_ordinary("x" * 300_000))]
+    none = bpe.round_trip(make([]))
+    assert none.collect() == [] and none.columns == got[0].__fields__
