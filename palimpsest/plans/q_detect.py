@@ -61,6 +61,32 @@ def shift_and_relation_signals(spark, sf):
     return _signal(detect.detect(_log(spark, sf), load(env={}, low_entropy_trigger_enabled=False)))
 
 
+_BOOST = _C.prediction_boost_weight * _C.prefetch_boost_ratio
+
+
+@query(f"""WITH RECURSIVE {_LOG},
+t AS (SELECT s, n, seq, now, now - seq * 37 % 2400 AS last, now - seq * 37 % 2400 - seq * 91 % 3000 AS first, seq % 3 <> 0 AS active, seq % 13 = 0 AS sparse, list_transform(vals, lambda x: x ** 6) AS conf,
+  list_cosine_similarity(e, list_concat(e[1:40], list_transform(range(24), lambda i: 0::DOUBLE))) AS sim FROM q),
+p AS (SELECT *, list_reverse_sort(list_transform(conf, lambda x: x / list_sum(conf))) AS prob FROM t),
+h AS (SELECT *, CASE WHEN len(prob) <= 1 THEN 0 ELSE -list_sum(list_transform(prob, lambda x: x * ln(x + 1e-9))) / ln(len(prob)) END AS ent, coalesce(prob[1] - coalesce(prob[2], 0), 0) AS margin FROM p),
+g AS (SELECT *, len(conf) > 0 AND ent <= 0.3 AND margin >= 0.2 AND sim >= 0.6 AS sure, len(conf) > 0 AND ent <= 0.5 AND margin >= 0.05 AND sim >= 0.35 AS likely FROM h),
+f AS (SELECT s, 0::BIGINT AS n, NULL::BIGINT AS seq, -1e15::DOUBLE AS trigger, NULL::DOUBLE AS staged, 0::BIGINT AS at, '' AS mode, '' AS reason, '' AS hint, 0::BIGINT AS n_intents, 0::DOUBLE AS boost FROM (SELECT DISTINCT s FROM q)
+UNION ALL SELECT s, n, seq, CASE WHEN reason IN ('inject_ready', 'prefetch_only') THEN now ELSE trigger END, CASE WHEN reason = 'prefetch_only' THEN conf[1] END, now, CASE WHEN reason IN ('inject_ready', 'keyword_sparse_priority') THEN 'inject' WHEN reason = 'prefetch_only' THEN 'prefetch' ELSE 'none' END, reason,
+  CASE WHEN reason IN ('inject_ready', 'keyword_sparse_priority') THEN 'search_optional' ELSE 'none' END, CASE reason WHEN 'inject_ready' THEN least(len(conf), CASE WHEN last - first <= 1200 THEN 2 ELSE 1 END) WHEN 'prefetch_only' THEN 1 ELSE len(conf) END::BIGINT, boost FROM (
+  SELECT *, CASE WHEN sparse THEN 'keyword_sparse_priority' WHEN NOT active THEN 'inactive_prediction' WHEN now - trigger < 120 THEN 'timing_blocked:cooldown' WHEN now - last > 1800 THEN 'timing_blocked:idle_too_long'
+    WHEN NOT CASE WHEN now - last <= 300 THEN sure ELSE likely END THEN 'retrieve_gate_blocked' WHEN now - last <= 300 THEN 'inject_ready' ELSE 'prefetch_only' END AS reason FROM (
+    SELECT g.*, f.trigger, coalesce(CASE WHEN g.now - f.at <= {_C.prefetch_ttl_seconds} THEN f.staged END, 0) * {_BOOST} AS boost FROM f JOIN g ON g.s = f.s AND g.n = f.n + 1)))
+SELECT s AS session_id, seq, mode = 'inject' AS allow, mode, reason, hint, n_intents, round(boost, 9) AS prefetch_boost FROM f WHERE n > 0""")
+def gate_signals(spark, sf):
+    """The prediction gate alone: sparse queries, cooldown, timing, surety and nearness, depth, and what is staged for the next query."""
+    v, half = F.col("seq"), F.concat(F.slice("embedding", 1, 40), F.array_repeat(F.lit(0.0), 24))
+    last = F.col("now") - v * 37 % 2400
+    peaked = F.transform("intents", lambda x: F.struct(x["block_id"].alias("block_id"), F.pow(x["confidence"], F.lit(6.0)).alias("confidence")))
+    x = _log(spark, sf).withColumns({"last": last, "first": last - v * 91 % 3000, "active": v % 3 != 0, "sparse": v % 13 == 0, "top_embedding": half, "intents": peaked})
+    got = detect.detect(x, load(env={}, relation_trigger_enabled=False, topic_shift_trigger_enabled=False, low_entropy_trigger_enabled=False))
+    return got.select("session_id", "seq", "allow", "mode", "reason", "hint", F.col("n_intents").cast("long").alias("n_intents"), F.round("prefetch_boost", 9).alias("prefetch_boost"))
+
+
 _SIZE = max(1, _C.low_entropy_window_size)
 _NAMES = ("novelty", "overlap", "weight", "fresh", "cover", "sure")
 _ON = (f"novelty < {_C.low_entropy_novelty_max}", f"overlap > {_C.low_entropy_retrieval_overlap_min}", f"weight < {_C.low_entropy_prediction_weight_max}", f"fresh < {_C.low_entropy_relation_new_rate_max}", f"cover < {_C.low_entropy_graph_coverage_max}", f"sure < {_C.low_entropy_relation_confidence_max}")
