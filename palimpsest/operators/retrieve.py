@@ -212,8 +212,11 @@ def rrf(lists: dict[str, tuple[DataFrame, float]], k: int, c: int = 60) -> DataF
     return ranked(x, k, F.desc(F.round("score", 12)), F.desc("sources"), "seen.place", "seen.rank").select("query_id", "block_id", "score", "sources", "rank")
 
 
-def semantic_topk(queries: DataFrame, blocks: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Both lists fused.  cfg.vector_search says how the vectors are searched: exact, lsh, or two_stage (columns hash and local on both sides)."""
+def semantic_topk(queries: DataFrame, blocks: DataFrame, cfg: Config = DEFAULT, index: DataFrame | None = None) -> DataFrame:
+    """Both lists fused.  cfg.vector_search says how the vectors are searched: exact, lsh, or two_stage (columns hash and local on both sides).
+
+    index: the blocks' postings, saved; with them frequent keywords are followed only where they can matter.
+    """
     k = cfg.semantic_top_k
     if cfg.vector_search == "lsh":
         near = lsh_topk(queries, blocks, k, cfg.embedding_dim, min_score=cfg.vector_min_score)
@@ -221,7 +224,8 @@ def semantic_topk(queries: DataFrame, blocks: DataFrame, cfg: Config = DEFAULT)
         near = clamped(two_stage_topk(queries, blocks, k, blocks.count(), cfg)).filter(F.col("score") >= cfg.vector_min_score)
     else:
         near = vector_topk(queries, blocks, k, cfg.vector_min_score)
-    return rrf({"keyword": (keyword_topk(queries, blocks, k), cfg.keyword_weight), "vector": (near, cfg.vector_weight)}, k)
+    words = keyword_topk(queries, blocks, k) if index is None else pruned_topk(queries, index, k)
+    return rrf({"keyword": (words, cfg.keyword_weight), "vector": (near, cfg.vector_weight)}, k)
 
 
 def add_scores(*scored: DataFrame) -> DataFrame:

@@ -189,6 +189,7 @@ def entries(names: list[str]) -> Callable[[Best, np.ndarray], pa.RecordBatch]:
 
     def out(best: Best, keys: np.ndarray) -> pa.RecordBatch:
         at = np.nonzero(best.score > -np.inf)
-        return pa.RecordBatch.from_arrays([pa.array(keys[at[0]]), pa.array(best.id[at]), pa.array(best.score[at])], names)
+        typed = lambda a: pa.array(a, pa.string()) if a.dtype == object else pa.array(a)  # noqa: E731  also if there is none
+        return pa.RecordBatch.from_arrays([typed(keys[at[0]]), typed(best.id[at]), pa.array(best.score[at])], names)
 
     return out

@@ -92,7 +92,7 @@ class Engine:
 
     def hybrid(self, queries: DataFrame, t: Tables) -> dict[str, DataFrame]:
         """Semantic hits, graph hits of each query's own direction, and the sum of both."""
-        semantic = durable(retrieve.semantic_topk(queries, t.blocks, self.cfg))
+        semantic = durable(retrieve.semantic_topk(queries, t.blocks, self.cfg, durable(retrieve.postings(t.blocks))))
         way = queries.select("query_id", F.coalesce("intent.direction", F.lit("both")).alias("direction"), F.coalesce("intent.types", F.array().cast("array<string>")).alias("types"))
         seeds = semantic.select("query_id", F.col("block_id").alias("node")).join(way, "query_id")
         found = durable(graph.expand(seeds, t.edges, t.blocks, self.cfg.graph_expansion_top_k, depth=self.cfg.relation_depth))

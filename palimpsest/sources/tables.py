@@ -113,8 +113,10 @@ def upsert_kept(spark: SparkSession, path: str, name: str, changes: DataFrame, k
     keys, names = keys or KEYS[name], [f.name for f in load_kept(spark, path, name).schema.fields]
     bucket = bucket_of(keys, buckets)
     changes = durable(changes.withColumn("bucket", bucket).select(*names))
-    gone = changes.limit(0).select(*keys) if gone is None else gone.select(*keys)
-    drop = durable(changes.select(*keys).unionByName(gone).distinct().withColumn("bucket", bucket))
+    drop = changes.select(*keys).distinct()
+    if gone is not None:  # joined, as Spark 4.1 can't plan the union of two saved tables of which it knows constraints of columns left out
+        drop = drop.join(gone.select(*keys).distinct(), keys, "full")
+    drop = durable(drop.withColumn("bucket", bucket))
     touched = sorted(r.bucket for r in drop.select("bucket").distinct().collect())  # buckets numbers at most
     if not touched:
         return []

@@ -54,3 +54,11 @@ def test_unlike_lengths_and_empty_tables(spark):
     none = durable(tiles.packed(rows.limit(0), "v", 10))
     assert tiles.paired(none, tiles.packed(rows, "v", 10)).count() == 0
     assert tiles.product(np.ones((1, 3)), np.ones((1, 2))).tolist() == [[2.0]]
+
+
+def test_entries_keep_their_types_without_rows():
+    for kind, keys in ((object, np.array(["a", "b"], object)), (np.int64, np.array([1, 2]))):
+        best = tiles.Best(2, 3, kind)
+        none = tiles.entries(["k", "id", "score"])(best, keys)
+        best.add(np.array([0]), np.array([[1.0]]), np.array([[True]]), np.array(["x"], object) if kind is object else np.array([7]))
+        assert len(none) == 0 and tiles.entries(["k", "id", "score"])(best, keys).schema == none.schema
