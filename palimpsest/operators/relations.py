@@ -9,6 +9,7 @@ from palimpsest.functions import scoring as S
 from palimpsest.functions import text as T
 from palimpsest.functions import words
 from palimpsest.sources.config import DEFAULT, Config
+from palimpsest.storage import durable
 
 from . import history
 from .seal import event_text
@@ -55,23 +56,27 @@ def extract(blocks: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     block, six at most.
     """
     text = T.normalize(F.concat_ws(" ", "summary", event_text("raw_events")))
-    own = blocks.select("block_id", "start_ms", "end_ms", text.alias("text")).withColumn("kw", T.keywords("text", 12))
+    hints = {"cause": words.CAUSE, "outcome": words.OUTCOME, "trigger": words.TRIGGER, "subtask": words.SUBTASK, "task": words.TASK, "alternative": words.ALTERNATIVE}
+    # What a text says is worked out once a block; pairs carry flags and keywords, no texts.
+    own = blocks.select("block_id", "start_ms", "end_ms", text.alias("_t")).withColumn("kw", T.keywords("_t", 12))
+    own = durable(own.select("block_id", "start_ms", "end_ms", "kw", *[T.contains_any(F.col("_t"), h).alias(name) for name, h in hints.items()]))
     near = neighbors(blocks, cfg.semantic_top_k)
     x = near.select("block_id", "other").join(own, "block_id")
-    x = x.join(own.select(F.col("block_id").alias("other"), F.col("end_ms").alias("o_end"), F.col("text").alias("o_text"), F.col("kw").alias("o_kw")), "other")
+    old = {"block_id": "other", "end_ms": "o_end", "kw": "o_kw", "trigger": "o_trigger", "subtask": "o_subtask", "task": "o_task"}
+    x = x.join(own.select(*[F.col(c).alias(o) for c, o in old.items()]), "other")
     shared = F.size(F.array_intersect("kw", "o_kw")) / F.greatest(F.size("kw"), F.size("o_kw"), F.lit(1))
-    x = x.select("block_id", "other", "end_ms", "o_end", "start_ms", "text", "o_text", shared.alias("l"), S.recency_relation(F.col("start_ms"), F.col("o_end")).alias("r"), F.count("*").over(Window.partitionBy("block_id")).alias("n"))
+    flags = ["cause", "outcome", "subtask", "task", "alternative", "o_trigger", "o_subtask", "o_task"]
+    x = x.select("block_id", "other", "end_ms", "o_end", *flags, shared.alias("l"), S.recency_relation(F.col("start_ms"), F.col("o_end")).alias("r"), F.count("*").over(Window.partitionBy("block_id")).alias("n"))
     l, r = F.col("l"), F.col("r")  # noqa: E741
-    has = lambda c, hints: T.contains_any(F.col(c), hints)
     rel = lambda kind, conf, cond: F.when(cond, F.struct(F.lit(kind).alias("type"), S.clamp(conf).alias("confidence")))
     last = F.row_number().over(Window.partitionBy("block_id").orderBy((F.col("o_end") > F.col("end_ms")), F.desc("o_end"), "other")) == 1
     x = x.withColumn("previous", last & (F.col("o_end") <= F.col("end_ms")))
     found = F.array_compact(F.array(
         rel("FOLLOWS", 0.55 + r * 0.4, F.col("previous")),
-        rel("CAUSES", 0.45 + l * 0.35 + r * 0.2, has("text", words.CAUSE) & has("text", words.OUTCOME) & (has("o_text", words.TRIGGER) | (l >= 0.2))),
-        rel("PARENT_TASK", 0.5 + l * 0.3 + r * 0.2, has("text", words.SUBTASK) & has("o_text", words.TASK)),
-        rel("CHILD_TASK", 0.45 + l * 0.35 + r * 0.2, has("text", words.TASK) & has("o_text", words.SUBTASK)),
-        rel("ALTERNATIVE", 0.4 + l * 0.4 + r * 0.2, has("text", words.ALTERNATIVE) & (l >= 0.15)),
+        rel("CAUSES", 0.45 + l * 0.35 + r * 0.2, F.col("cause") & F.col("outcome") & (F.col("o_trigger") | (l >= 0.2))),
+        rel("PARENT_TASK", 0.5 + l * 0.3 + r * 0.2, F.col("subtask") & F.col("o_task")),
+        rel("CHILD_TASK", 0.45 + l * 0.35 + r * 0.2, F.col("task") & F.col("o_subtask")),
+        rel("ALTERNATIVE", 0.4 + l * 0.4 + r * 0.2, F.col("alternative") & (l >= 0.15)),
         rel("CONTEXT", l * 0.75 + r * 0.25, l * 0.75 + r * 0.25 >= 0.18),
     ))
     e = x.select("block_id", "other", "n", F.explode(found).alias("e")).select(F.col("other").alias("src"), F.col("block_id").alias("dst"), "e.type", "e.confidence", "n")

@@ -12,7 +12,11 @@ from palimpsest.functions import text as T
 from palimpsest.operators import chunks, context, detect, diagnostics, graph, history, relations, retrieve, seal
 from palimpsest.sources import tables
 from palimpsest.sources.config import DEFAULT, Config
-from palimpsest.storage import durable
+from palimpsest.storage import durable, setting
+
+
+#: Rows with embeddings go to Python a thousand at a time.
+SMALL_BATCHES = ("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
 @dataclass
@@ -40,15 +44,15 @@ class Engine:
 
         keep_open: the last block of each session is still being written; it is scored by its text alone.
         """
-        plain, opened = self.seal(events, seal_every), None
-        if keep_open:
-            plain = durable(plain)
-            last = plain.groupBy("session_id").agg(F.max("block_seq").alias("block_seq"))
-            opened = plain.join(last, ["session_id", "block_seq"], "left_semi").withColumn("text", seal.event_text("raw_events"))
-            plain = plain.join(last, ["session_id", "block_seq"], "left_anti")
-        blocks = durable(seal.enrich(plain, self.cfg))
-        blocks, raw = seal.apply_retention(durable(history.retain(blocks, history.match(blocks), self.cfg)))
-        return Tables(blocks, raw, durable(self.link(blocks)), events, opened)
+        with setting(self.spark, *SMALL_BATCHES):
+            plain, opened = durable(self.seal(events, seal_every)), None
+            if keep_open:
+                last = plain.groupBy("session_id").agg(F.max("block_seq").alias("block_seq"))
+                opened = plain.join(last, ["session_id", "block_seq"], "left_semi").withColumn("text", seal.event_text("raw_events"))
+                plain = plain.join(last, ["session_id", "block_seq"], "left_anti")
+            blocks = durable(seal.enrich(plain, self.cfg))
+            blocks, raw = seal.apply_retention(durable(history.retain(blocks, history.match(blocks), self.cfg)))
+            return Tables(blocks, raw, durable(self.link(blocks)), events, opened)
 
     def link(self, blocks: DataFrame) -> DataFrame:
         """FOLLOWS edges of the sequence, then extracted ones over the minimum, which replace equal keys."""
@@ -105,8 +109,9 @@ class Engine:
         Open blocks count with their own score for queries of their session; boosts (query_id, block_id,
         boost) of prefetched predictions are added; chunk mates of good hits come behind them if configured.
         """
-        q = durable(retrieve.analyzed(queries, self.cfg))
-        parts = self.hybrid(q, t)
+        with setting(self.spark, *SMALL_BATCHES):
+            q = durable(retrieve.analyzed(queries, self.cfg))
+            parts = self.hybrid(q, t)
         if t.opened is not None:
             parts["scores"] = retrieve.with_open_blocks(parts["scores"], retrieve.open_block_scores(q, t.opened.select("session_id", "block_id", "text"), self.cfg))
         if boosts is not None:
