@@ -20,6 +20,7 @@ from . import words
 #: White space as the Unicode-aware "\s" of the event format has it, wider than Java's.
 SPACE = r"[\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 NOT_TOKEN = r"[^\p{L}\p{N}_]+"
+TOKEN = r"[\p{L}\p{N}_]+"
 #: Characters that count one and a half tokens, and those that form two-character keys.
 WIDE = r"[\x{3000}-\x{303f}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{ff00}-\x{ffef}\x{20000}-\x{2a6df}]"
 HAN = r"([\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}]{2,})"
@@ -63,9 +64,9 @@ def keyword_list(text: str | None, n: int) -> list[str]:
     """The n most frequent tokens but stop words and single units, by count, then first appearance."""
     import regex
 
-    norm = regex.sub(SPACE + "+", " ", (text or "").lower()).strip(" ")
-    found = (t for t in regex.split(NOT_TOKEN, norm) if len(t) > 1 or (t and ord(t[0]) > 0xFFFF))
-    return [t for t, _ in Counter(t for t in found if t not in words.STOP).most_common(n)]
+    counts = Counter(regex.findall(TOKEN, (text or "").lower()))
+    found = ((t, c) for t, c in counts.items() if t not in words.STOP and (len(t) > 1 or ord(t[0]) > 0xFFFF))
+    return [t for t, _ in sorted(found, key=lambda x: -x[1])[:n]]  # in the order of the text where counts are equal
 
 
 def keywords(text: Column | str, n: int = 8) -> Column:

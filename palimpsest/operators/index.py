@@ -92,7 +92,7 @@ def scores(spark: SparkSession, at: str, queries: DataFrame, parts: int = PARTS)
     return retrieve.scored(queries, _asked(spark, at, queries, parts))
 
 
-def topk(spark: SparkSession, at: str, queries: DataFrame, k: int, parts: int = PARTS, often: int = 1000) -> DataFrame:
+def topk(spark: SparkSession, at: str, queries: DataFrame, k: int, parts: int = PARTS, often: int = retrieve.OFTEN) -> DataFrame:
     """retrieve.keyword_topk against the kept postings; frequent keys are followed only where they can matter."""
     return retrieve.pruned_topk(queries, _asked(spark, at, queries, parts), k, often)
 

@@ -20,6 +20,8 @@ from palimpsest.storage import durable
 
 #: Vectors of queries and of blocks that are multiplied at a time.
 QUERIES, BLOCKS = 512, 4000
+#: Postings over which a key counts as frequent.
+OFTEN = 100
 HITS = "query_id bigint, block_id string, score double"
 
 
@@ -87,7 +89,7 @@ def _jaccard(both: DataFrame) -> DataFrame:
     return x.filter("first is not null").select("query_id", "block_id", "block_seq", "first", F.when(union == 0, 0.0).otherwise(F.col("shared") / union).alias("score"))
 
 
-def pruned_topk(queries: DataFrame, index: DataFrame, k: int, often: int = 1000) -> DataFrame:
+def pruned_topk(queries: DataFrame, index: DataFrame, k: int, often: int = OFTEN) -> DataFrame:
     """The rows of keyword_topk, from postings, without following frequent keys where they cannot matter.
 
     Keys with over often postings are held back (a query's rarest key never is).  What shares a rarer key is

@@ -12,9 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.shipping import ship
+from palimpsest.storage import durable, setting
 
 #: Most components of a block, bytes of blocks that are broadcast at most, and what a row counts there at least.
 BLOCK_CELLS, BROADCAST_BYTES, ROW_BYTES = 1 << 18, 48 << 20, 512
+#: Bytes of pairs of blocks that go to Python at a time.
+BATCH_BYTES = 12 << 20
 
 
 def packed(df: DataFrame, vector: str, rows: int, unit: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
@@ -151,7 +154,8 @@ class Best:
 def best_pairs(pairs: DataFrame, schema: str, feed: Callable[[pa.RecordBatch, int, dict], None], out: Callable[[Best, object], pa.RecordBatch], most: int = 1 << 22) -> DataFrame:
     """What each task keeps of its pairs of blocks; feed updates the task's state, {left block: (Best, more)}, by a pair, out makes its rows.
 
-    What is held is passed on in between once it comes to most entries.
+    What is held is passed on in between once it comes to most entries.  Run at once, as the pairs go to Python
+    some megabytes at a time, and kept.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +172,8 @@ def best_pairs(pairs: DataFrame, schema: str, feed: Callable[[pa.RecordBatch, in
                     state, held = {}, 0
         yield from (out(best, more) for best, more in state.values())
 
-    return pairs.mapInArrow(run, schema)
+    with setting(pairs.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES)):
+        return durable(pairs.mapInArrow(run, schema))
 
 
 def cosine_feed(k: int, digits: int) -> Callable[[pa.RecordBatch, int, dict], None]:
