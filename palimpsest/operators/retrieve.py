@@ -130,7 +130,8 @@ def vector_topk(queries: DataFrame, blocks: DataFrame, k: int, min_score: float
     query.  Scores are rounded to digits, so that ties do not hang on the order of sums.
     """
     left = durable(tiles.packed(_vectors(queries, "query_id", vector), "v", QUERIES, unit=True))
-    pairs = tiles.paired(left, tiles.packed(_vectors(blocks, "block_id", vector), "v", BLOCKS, unit=True))
+    right = durable(tiles.packed(_vectors(blocks, "block_id", vector), "v", BLOCKS, unit=True))  # so a task has one Python worker at a time
+    pairs = tiles.paired(left, right)
     hits = tiles.best_pairs(pairs, HITS, tiles.cosine_feed(k, digits), tiles.entries(["query_id", "block_id", "score"]))
     if min_score is not None:
         hits = hits.filter(F.col("score") >= min_score)

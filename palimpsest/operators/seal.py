@@ -18,6 +18,7 @@ from palimpsest.functions import text as T
 from palimpsest.functions import vectors, words
 from palimpsest.shipping import ship
 from palimpsest.sources.config import DEFAULT, Config
+from palimpsest.storage import durable
 
 _FINAL = re.compile(r"[。！？.!?][\"'」』]?$")
 
@@ -127,6 +128,7 @@ def event_text(events: Column | str) -> Column:
 def enrich(blocks: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Summary, then keywords, tags and embedding of summary and events."""
     x = blocks.withColumn("summary", T.summary("raw_events"))
+    x = x if x.isStreaming else durable(x)  # so a task has one Python worker at a time
     x = x.withColumn("_text", F.concat_ws(" ", "summary", event_text("raw_events")))
     x = x.withColumn("keywords", T.keywords("_text", 8)).withColumn("tags", F.array(T.tag(F.col("_text"), cfg.important_threshold)))
     return x.withColumn("embedding", vectors.hash_embedding("_text", cfg.embedding_dim, cfg.embedding_seed)).drop("_text")
