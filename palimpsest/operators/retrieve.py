@@ -150,6 +150,16 @@ def buckets(vectors_df: DataFrame, name: str, dim: int, tables: int, bits: int,
     return x.withColumn("_probe", F.explode(F.array(*[F.lit(p) for p in probes]))).select("v", "id", "dim", "table", F.col("_key").bitwiseXOR(F.col("_probe")).alias("key"))
 
 
+def bucket_pairs(queries: DataFrame, vectors_df: DataFrame, dim: int, tables: int, bits: int, probe: int, vector: str = "embedding") -> DataFrame:
+    """Blocks of queries beside blocks of vectors that lie in one bucket of a table, or within probe bits of it."""
+    turned = tuple(sum(1 << b for b in some) for n in range(probe + 1) for some in combinations(range(bits), n))
+    asked = buckets(queries, "query_id", dim, tables, bits, vector, turned).repartition("table", "key").sortWithinPartitions("table", "key")
+    left = tiles.numbered(durable(tiles.packed(asked, "v", QUERIES, unit=True, by=("table", "key"))))
+    there = buckets(vectors_df, "block_id", dim, tables, bits, vector).sortWithinPartitions("table", "key")
+    right = tiles.packed(there, "v", BLOCKS, unit=True, by=("table", "key"))
+    return right.join(left, (F.col("table") == F.col("l_table")) & (F.col("key") == F.col("l_key")))
+
+
 def lsh_topk(queries: DataFrame, vectors_df: DataFrame, k: int, dim: int, tables: int = 6, bits: int = 12, probe: int = 1, min_score: float = -1.0, backfill: bool = True, vector: str = "embedding") -> DataFrame:
     """Approximate cosine top k: query keys and bucket keys of sign hashes are joined, and pairs in one bucket scored exactly.
 
@@ -159,12 +169,7 @@ def lsh_topk(queries: DataFrame, vectors_df: DataFrame, k: int, dim: int, tables
     found hangs on how near they are: tables, bits and probe must fit the data.  With backfill, queries that
     found fewer than k candidates are answered by the exact search.
     """
-    turned = tuple(sum(1 << b for b in some) for n in range(probe + 1) for some in combinations(range(bits), n))
-    asked = buckets(queries, "query_id", dim, tables, bits, vector, turned).repartition("table", "key").sortWithinPartitions("table", "key")
-    left = tiles.numbered(durable(tiles.packed(asked, "v", QUERIES, unit=True, by=("table", "key"))))
-    there = buckets(vectors_df, "block_id", dim, tables, bits, vector).sortWithinPartitions("table", "key")
-    right = tiles.packed(there, "v", BLOCKS, unit=True, by=("table", "key"))
-    pairs = right.join(left, (F.col("table") == F.col("l_table")) & (F.col("key") == F.col("l_key")))
+    pairs = bucket_pairs(queries, vectors_df, dim, tables, bits, probe, vector)
     found = tiles.best_pairs(pairs, HITS, tiles.cosine_feed(k, 9), tiles.entries(["query_id", "block_id", "score"]))
     hits = ranked(found.groupBy("query_id", "block_id").agg(F.max("score").alias("score")), k, F.desc("score"), "block_id")
     if not backfill:

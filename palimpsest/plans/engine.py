@@ -15,8 +15,9 @@ from palimpsest.sources.config import DEFAULT, Config
 from palimpsest.storage import durable, setting
 
 
-#: Rows with embeddings go to Python a thousand at a time.
+#: Rows with embeddings go to Python a thousand at a time; shuffle files of a saved stage go when it has run.
 SMALL_BATCHES = ("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+FREED = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 @dataclass
@@ -44,7 +45,7 @@ class Engine:
 
         keep_open: the last block of each session is still being written; it is scored by its text alone.
         """
-        with setting(self.spark, *SMALL_BATCHES):
+        with setting(self.spark, *SMALL_BATCHES), setting(self.spark, *FREED):
             plain, opened = durable(self.seal(events, seal_every)), None
             if keep_open:
                 last = plain.groupBy("session_id").agg(F.max("block_seq").alias("block_seq"))
@@ -109,7 +110,7 @@ class Engine:
         Open blocks count with their own score for queries of their session; boosts (query_id, block_id,
         boost) of prefetched predictions are added; chunk mates of good hits come behind them if configured.
         """
-        with setting(self.spark, *SMALL_BATCHES):
+        with setting(self.spark, *SMALL_BATCHES), setting(self.spark, *FREED):
             q = durable(retrieve.analyzed(queries, self.cfg))
             parts = self.hybrid(q, t)
         if t.opened is not None:

@@ -184,8 +184,8 @@ def test_lsh_buckets_on_clustered_vectors(spark):
     for i in range(0, 1500, 20):
         mine = sorted((-np.round(m[i] @ m[j] / np.linalg.norm(m[i]) / np.linalg.norm(m[j]), 9), f"b{j:04d}") for j in range(1500) if (i, f"b{j:04d}") in candidates)[:k]
         assert sorted(b for q, b in rows if q == i) == sorted(b for _, b in mine)
-    plan = got._jdf.queryExecution().toString()
-    assert "l_table" in plan and "Join Inner, ((table" in plan and "CartesianProduct" not in plan
+    plan = retrieve.bucket_pairs(q, b, 16, 6, 12, 1)._jdf.queryExecution().toString()
+    assert "Join Inner, ((table" in plan and "CartesianProduct" not in plan
 
 
 def test_queries_beyond_a_broadcast(spark, monkeypatch):
