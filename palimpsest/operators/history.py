@@ -92,7 +92,7 @@ def _winners(rows: DataFrame, feed) -> DataFrame:
     rows: v, session_id, block_seq, block_id, keys (hashes of keywords) and what feed reads, sorted by block_seq in a stretch.
     """
     right = durable(stretches(rows))
-    pairs = tiles.paired(right, right, ("session_id",)).filter("stretch <= l_stretch")
+    pairs = [x.filter("stretch <= l_stretch") for x in tiles.paired(right, right, ("session_id",))]
     found = tiles.best_pairs(pairs, "block_id string, o_block_seq bigint, score double", feed, tiles.entries(["block_id", "o_block_seq", "score"]))
     return found.join(rows.select("block_id", "session_id"), "block_id")
 

@@ -170,7 +170,7 @@ def lsh_topk(queries: DataFrame, vectors_df: DataFrame, k: int, dim: int, tables
     found fewer than k candidates are answered by the exact search.
     """
     pairs = bucket_pairs(queries, vectors_df, dim, tables, bits, probe, vector)
-    found = tiles.best_pairs(pairs, HITS, tiles.cosine_feed(k, 9), tiles.entries(["query_id", "block_id", "score"]))
+    found = tiles.best_pairs([pairs], HITS, tiles.cosine_feed(k, 9), tiles.entries(["query_id", "block_id", "score"]))
     hits = ranked(found.groupBy("query_id", "block_id").agg(F.max("score").alias("score")), k, F.desc("score"), "block_id")
     if not backfill:
         return hits.filter(F.col("score") >= min_score)

@@ -86,24 +86,22 @@ def numbered(left: DataFrame) -> DataFrame:
     return left.withColumnsRenamed({c: f"l_{c}" for c in left.columns})
 
 
-def paired(left: DataFrame, right: DataFrame, on: tuple[str, ...] = ()) -> DataFrame:
-    """Each block of left beside each block of right (with on: of equal by columns) once, left's columns numbered and with the prefix l_.
+def paired(left: DataFrame, right: DataFrame, on: tuple[str, ...] = ()) -> list[DataFrame]:
+    """Frames that together have each block of left beside each block of right (with on: of equal by columns) once.
 
-    Left is a saved table.  If its blocks come to BROADCAST_BYTES at most, right stays where it is and left is
-    broadcast; else both are dealt to the cells of a grid, left in slices of that size, so that no task holds
-    more than a slice and the pairs of a cell come one after another.
+    Left is a saved table; its columns come numbered and with the prefix l_.  It is cut into slices of
+    BROADCAST_BYTES at most, a frame each, which is broadcast; right stays where it is and is read once a slice,
+    and of its blocks a task holds one at a time.
     """
     bytes_of = F.greatest(F.length("m"), F.length("m") / (8 * F.col("width")) * ROW_BYTES)
     size, blocks = left.agg(F.sum(bytes_of).cast("long"), F.count("*")).first()
-    left = numbered(left)
     slices = min(blocks, -(-(size or 0) // BROADCAST_BYTES)) or 1
-    groups = 1 if slices == 1 else max(1, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")) // slices)
-    number = lambda n: F.array(*[F.lit(i) for i in range(n)]) if n < 2 else F.sequence(F.lit(0), F.lit(n - 1))
-    cell = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    left = left.withColumn("l__s", cell("l_m", slices)).withColumn("l__g", F.explode(number(groups)))
-    right = right.withColumn("_g", cell("m", groups)).withColumn("_s", F.explode(number(slices)))
-    same = [F.col(c) == F.col(f"l_{c}") for c in ("_s", "_g", *on)]
-    return right.join(F.broadcast(left) if slices == 1 else left, reduce(and_, same)).drop("_s", "_g", "l__s", "l__g")
+    left = numbered(left).withColumn("l__s", F.pmod(F.xxhash64("l_m"), F.lit(slices)).cast("int"))
+    out = []
+    for i in range(slices):
+        part, rows = left.filter(F.col("l__s") == i), right.withColumn("_s", F.pmod("width", F.lit(1)) + i)
+        out.append(rows.join(F.broadcast(part), reduce(and_, [F.col(c) == F.col(f"l_{c}") for c in ("_s", *on)])).drop("_s", "l__s"))
+    return out
 
 
 def matrix(batch: pa.RecordBatch, i: int, prefix: str = "") -> np.ndarray:
@@ -151,11 +149,11 @@ class Best:
         self.score[rows[own]], self.id[rows[own]] = score[first], ident[first]
 
 
-def best_pairs(pairs: DataFrame, schema: str, feed: Callable[[pa.RecordBatch, int, dict], None], out: Callable[[Best, object], pa.RecordBatch], most: int = 1 << 22) -> DataFrame:
+def best_pairs(pairs: list[DataFrame], schema: str, feed: Callable[[pa.RecordBatch, int, dict], None], out: Callable[[Best, object], pa.RecordBatch], most: int = 1 << 22) -> DataFrame:
     """What each task keeps of its pairs of blocks; feed updates the task's state, {left block: (Best, more)}, by a pair, out makes its rows.
 
-    What is held is passed on in between once it comes to most entries.  Run at once, as the pairs go to Python
-    some megabytes at a time, and kept.
+    What is held is passed on in between once it comes to most entries.  Run at once, frame by frame, as the
+    pairs go to Python some megabytes at a time, and kept.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,8 +170,8 @@ def best_pairs(pairs: DataFrame, schema: str, feed: Callable[[pa.RecordBatch, in
                     state, held = {}, 0
         yield from (out(best, more) for best, more in state.values())
 
-    with setting(pairs.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES)):
-        return durable(pairs.mapInArrow(run, schema))
+    with setting(pairs[0].sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES)):
+        return reduce(DataFrame.unionByName, [durable(x.mapInArrow(run, schema)) for x in pairs])
 
 
 def cosine_feed(k: int, digits: int) -> Callable[[pa.RecordBatch, int, dict], None]:

@@ -103,7 +103,7 @@ def test_a_long_session_is_many_tasks(spark, monkeypatch):
     got = history.nearest(x.withColumn("keywords", F.array(F.concat(F.lit("k"), (F.col("block_seq") % 50).cast("string")))), 1)
     # All with the same keyword lie within an hour or two; the nearest of them in time comes first, and of these the earliest.
     assert got.count() == 2999 and all(int(r.other[1:]) % 50 == int(r.block_id[1:]) % 50 for r in got.filter("block_id > 'b000050'").collect())
-    pairs = tiles.paired(durable(history.stretches(x)), history.stretches(x), ("session_id",))
+    (pairs,) = tiles.paired(durable(history.stretches(x)), history.stretches(x), ("session_id",))
     assert pairs.count() == 900 and pairs.select(F.spark_partition_id()).distinct().count() > 3
 
 
