@@ -1,7 +1,8 @@
 """Hard-negative mining by blocked dense products.
 
-Anchor blocks are broadcast against candidate blocks, in slices of a bounded size.  A first pass keeps each anchor's best rows of its label, mergeable over tasks; a
-second one keeps, for each anchor and positive, the best rows of other labels within the positive's window.
+Anchor blocks are broadcast against candidate blocks, in slices of a bounded size.  A first pass keeps each
+anchor's best rows of its label, mergeable over tasks; a second one keeps, for each anchor and positive, the
+best rows of other labels within the positive's window.
 Components are whole numbers in float64, so products are exact below 2^53 in whatever order they are added.
 """
 
