@@ -1,15 +1,16 @@
 """Text functions as columns: normalising, tokens, keywords, summaries, hints, keys.
 
 All are built-in expressions but for keywords(), whose count by first appearance is linear in the text only
-in a Pandas UDF.
+in an Arrow UDF.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +22,10 @@ from . import words
 SPACE = r"[\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 NOT_TOKEN = r"[^\p{L}\p{N}_]+"
 TOKEN = r"[\p{L}\p{N}_]+"
+#: The same in texts that are all ASCII.
+PLAIN_TOKEN = re.compile(r"\w+", re.ASCII)
+#: Rows of a batch that are Python objects at a time.
+ROWS = 256
 #: Characters that count one and a half tokens, and those that form two-character keys.
 WIDE = r"[\x{3000}-\x{303f}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{ff00}-\x{ffef}\x{20000}-\x{2a6df}]"
 HAN = r"([\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}]{2,})"
@@ -41,7 +46,12 @@ def normalize(text: Column | str) -> Column:
 
 def tokens(text: Column | str) -> Column:
     """Lower-cased runs of letters, digits and underscores, in order."""
-    return F.filter(F.split(normalize(text), NOT_TOKEN), lambda t: t != "")
+    return F.filter(F.split(F.lower(_c(text)), NOT_TOKEN), lambda t: t != "")
+
+
+def spaced_tokens(text: Column | str) -> Column:
+    """The same tokens in one string, with a space between them (and maybe at the ends)."""
+    return F.regexp_replace(F.lower(_c(text)), NOT_TOKEN, " ")
 
 
 def units(text: Column | str) -> Column:
@@ -62,9 +72,13 @@ def rough_tokens(text: Column | str) -> Column:
 
 def keyword_list(text: str | None, n: int) -> list[str]:
     """The n most frequent tokens but stop words and single units, by count, then first appearance."""
-    import regex
+    low = (text or "").lower()
+    if low.isascii():
+        counts = Counter(PLAIN_TOKEN.findall(low))
+    else:
+        import regex
 
-    counts = Counter(regex.findall(TOKEN, (text or "").lower()))
+        counts = Counter(regex.findall(TOKEN, low))
     found = ((t, c) for t, c in counts.items() if t not in words.STOP and (len(t) > 1 or ord(t[0]) > 0xFFFF))
     return [t for t, _ in sorted(found, key=lambda x: -x[1])[:n]]  # in the order of the text where counts are equal
 
@@ -72,9 +86,11 @@ def keyword_list(text: str | None, n: int) -> list[str]:
 def keywords(text: Column | str, n: int = 8) -> Column:
     ship_active()
 
-    @F.pandas_udf("array<string>")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: keyword_list(t, n))
+    @F.arrow_udf("array<string>")
+    def run(s: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.string())
+        parts = [pa.array([keyword_list(t, n) for t in s.slice(at, ROWS).to_pylist()], kind) for at in range(0, len(s), ROWS)]
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
     return run(_c(text))
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,23 +80,42 @@ def hashes_of(tokens: list[str], seed: int = 0) -> np.ndarray:
 
 
 def hash_embedding(text: Column | str, dim: int = 256, seed: int = 0) -> Column:
-    """Counts of tokens by hash modulo dim, at unit length; zeros without tokens.  The tokens are built-in
-    expressions; a Pandas UDF hashes the different tokens of a batch and counts them by row."""
+    """Counts of tokens by hash modulo dim, at unit length; zeros without tokens.  The tokens come from built-in
+    expressions, as one string a row; an Arrow UDF hashes them and counts them by row, some rows at a time."""
     ship_active()
 
-    @F.pandas_udf("array<double>")
-    def run(s: pd.Series) -> pd.Series:
-        own = [() if t is None else t for t in s]
-        sizes = np.array([len(t) for t in own], np.int64)
-        if not sizes.sum():
-            return pd.Series(list(np.zeros((len(own), dim))))
-        code, different = pd.factorize(np.concatenate([np.asarray(t, object) for t in own if len(t)]))
-        bins = hashes_of(list(different), seed) % dim
-        m = np.bincount(np.repeat(np.arange(len(own)), sizes) * dim + bins[code], minlength=len(own) * dim).reshape(len(own), dim).astype(float)
-        norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
-        return pd.Series(list(m / np.where(norm > 0, norm, 1)))
-
-    return run(T.tokens(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))))
+    @F.arrow_udf("array<double>")
+    def run(s: pa.Array) -> pa.Array:
+        return embedded(s, dim, seed)
+
+    return run(T.spaced_tokens(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))))
+
+
+def embedded(s: pa.Array, dim: int, seed: int = 0) -> pa.Array:
+    """Embeddings of rows of tokens; few rows at a time are Python objects."""
+    m = np.empty((len(s), dim))
+    for at in range(0, len(s), T.ROWS):
+        own = [t.split() for t in s.slice(at, T.ROWS).to_pylist()]
+        part = m[at : at + len(own)]
+        row = np.repeat(np.arange(len(own)), [len(t) for t in own])
+        part[:] = np.bincount(row * dim + _hashes(own, seed) % dim, minlength=part.size).reshape(part.shape)
+        norm = np.sqrt((part * part).sum(axis=1, keepdims=True))
+        part /= np.where(norm > 0, norm, 1)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(s) + 1) * dim, pa.int32()), pa.array(m.ravel()))
+
+
+#: Hashes of tokens that a worker keeps, by seed; beyond that many it starts anew.
+_KEPT, _MOST = {}, 100_000
+
+
+def _hashes(rows: list[list[str]], seed: int) -> np.ndarray:
+    """hash_of for the tokens of some rows, in order."""
+    kept = _KEPT.setdefault(seed, {})
+    if len(kept) > _MOST:
+        kept.clear()
+    if new := list(set(chain.from_iterable(rows)).difference(kept)):
+        kept.update(zip(new, hashes_of(new, seed).tolist(), strict=True))
+    return np.fromiter(map(kept.__getitem__, chain.from_iterable(rows)), np.int64)
 
 
 def hybrid_embedding(hashed: Column, local: Column, dim: int, tags: Column | None = None) -> Column:
