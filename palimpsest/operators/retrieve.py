@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from palimpsest.functions import scoring as S
 from palimpsest.functions import text as T
 from palimpsest.functions import vectors
-from palimpsest.operators import tiles
+from palimpsest.operators import keywords, tiles
 from palimpsest.sources.config import DEFAULT, Config
-from palimpsest.storage import durable
+from palimpsest.storage import durable, setting
 
 #: Vectors of queries and of blocks that are multiplied at a time.
 QUERIES, BLOCKS = 512, 4000
@@ -37,26 +37,29 @@ def analyzed(queries: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return x.withColumn("intent", T.directional_intent("query", cfg.relation_depth))
 
 
-def _keys(keywords: Column | str) -> Column:
-    """An array of (key, indexed, own): the index keys in order, then keywords that are none; own: it is one of the keywords as they are."""
-    own = F.array_distinct(F.transform(F.col(keywords) if isinstance(keywords, str) else keywords, F.lower))
-    index = T.index_keys(keywords)
-    entry = lambda indexed: lambda k: F.struct(k.alias("key"), F.lit(indexed).alias("indexed"), F.array_contains(own, k).alias("own"))
-    return F.concat(F.transform(index, entry(True)), F.transform(F.array_except(own, index), entry(False)))
+def _keyed(df: DataFrame, *columns: Column | str) -> DataFrame:
+    """Columns, size (the number of different keywords) and keys, an array of (key, indexed, own): the index keys in order, then keywords that are none; own: it is one of the keywords as they are."""
+    x = df.select(*columns, F.array_distinct(F.transform("keywords", F.lower)).alias("_own"), T.index_keys("keywords").alias("_index"))
+    entry = lambda indexed: lambda k: F.struct(k.alias("key"), F.lit(indexed).alias("indexed"), F.array_contains("_own", k).alias("own"))
+    keys = F.concat(F.transform("_index", entry(True)), F.transform(F.array_except("_own", "_index"), entry(False)))
+    return x.select(*[c for c in x.columns if c not in ("_own", "_index")], F.size("_own").alias("size"), keys.alias("keys"))
 
 
 def postings(blocks: DataFrame) -> DataFrame:
     """key, indexed, own, block_id, block_seq, size: the inverted index as a view; size is the number of the block's keywords."""
-    size = F.size(F.array_distinct(F.transform("keywords", F.lower)))
-    return blocks.select(F.explode(_keys("keywords")).alias("k"), "block_id", "block_seq", size.alias("size")).select("k.*", "block_id", "block_seq", "size")
+    return _keyed(blocks, "block_id", "block_seq").select(F.explode("keys").alias("k"), "block_id", "block_seq", "size").select("k.*", "block_id", "block_seq", "size")
 
 
 def keyword_topk(queries: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
     """query_id, block_id, score, rank by Jaccard of keyword sets; ties by first shared key, then block order.
 
-    Candidates that share only a two-character piece score 0 and keep their ranks.
+    Candidates that share only a two-character piece score 0 and keep their ranks.  Blocks of queries meet blocks of
+    blocks as in vector_topk (operators.keywords), so a candidate is no row and a task keeps k a query.
     """
-    return ranked(keyword_scores(queries, blocks), k, F.desc("score"), "first", "block_seq", "block_id").select("query_id", "block_id", "score", "rank")
+    asked = _keyed(queries, F.col("query_id").cast("bigint").alias("id"))
+    there = _keyed(blocks, F.col("block_id").alias("id"), F.col("block_seq").cast("bigint").alias("block_seq"))
+    hits = keywords.candidates(asked, there, k, (QUERIES, BLOCKS))
+    return ranked(hits, k, F.desc("score"), "first", "block_seq", "block_id").select("query_id", "block_id", "score", "rank")
 
 
 def keyword_scores(queries: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -70,8 +73,7 @@ def keyword_scores(queries: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def query_keys(queries: DataFrame) -> DataFrame:
     """query_id, _size, pos, key, _indexed, _own: a row for each key that a query looks up."""
-    size = F.size(F.array_distinct(F.transform("keywords", F.lower)))
-    q = queries.select("query_id", size.alias("_size"), F.posexplode(_keys("keywords")).alias("pos", "k"))
+    q = _keyed(queries, "query_id").select("query_id", F.col("size").alias("_size"), F.posexplode("keys").alias("pos", "k"))
     return q.select("query_id", "_size", "pos", F.col("k.key").alias("key"), F.col("k.indexed").alias("_indexed"), F.col("k.own").alias("_own"))
 
 
@@ -129,8 +131,9 @@ def vector_topk(queries: DataFrame, blocks: DataFrame, k: int, min_score: float
     Blocks of queries meet blocks of blocks, each pair once, in one pass (operators.tiles); a task keeps k a
     query.  Scores are rounded to digits, so that ties do not hang on the order of sums.
     """
-    left = durable(tiles.packed(_vectors(queries, "query_id", vector), "v", QUERIES, unit=True))
-    right = durable(tiles.packed(_vectors(blocks, "block_id", vector), "v", BLOCKS, unit=True))  # so a task has one Python worker at a time
+    with setting(queries.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"):  # texts and vectors go to Python in small batches
+        left = durable(tiles.packed(_vectors(queries, "query_id", vector), "v", QUERIES, unit=True))
+        right = durable(tiles.packed(_vectors(blocks, "block_id", vector), "v", BLOCKS, unit=True))  # so a task has one Python worker at a time
     pairs = tiles.paired(left, right)
     hits = tiles.best_pairs(pairs, HITS, tiles.cosine_feed(k, digits), tiles.entries(["query_id", "block_id", "score"]))
     if min_score is not None:
