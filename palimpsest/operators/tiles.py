@@ -16,6 +16,8 @@ from palimpsest.storage import durable, setting
 
 #: Most components of a block, bytes of blocks that are broadcast at most, and what a row counts there at least.
 BLOCK_CELLS, BROADCAST_BYTES, ROW_BYTES = 1 << 18, 48 << 20, 512
+#: What the state of a left block takes besides its entries, as a number of entries.
+STATE_CELLS = 256
 #: Bytes of pairs of blocks that go to Python at a time.
 BATCH_BYTES = 12 << 20
 
@@ -91,11 +93,14 @@ def paired(left: DataFrame, right: DataFrame, on: tuple[str, ...] = ()) -> list[
 
     Left is a saved table; its columns come numbered and with the prefix l_.  It is cut into slices of
     BROADCAST_BYTES at most, a frame each, which is broadcast; right stays where it is and is read once a slice,
-    and of its blocks a task holds one at a time.
+    and of its blocks a task holds one at a time.  With on and more than one slice both sides are dealt out by on
+    instead, as a block meets few others and reading right once a slice would grow with the square.
     """
     bytes_of = F.greatest(F.length("m"), F.length("m") / (8 * F.col("width")) * ROW_BYTES)
     size, blocks = left.agg(F.sum(bytes_of).cast("long"), F.count("*")).first()
     slices = min(blocks, -(-(size or 0) // BROADCAST_BYTES)) or 1
+    if on and slices > 1:
+        return [right.join(numbered(left), reduce(and_, [F.col(c) == F.col(f"l_{c}") for c in on]))]
     left = numbered(left).withColumn("l__s", F.pmod(F.xxhash64("l_m"), F.lit(slices)).cast("int"))
     out = []
     for i in range(slices):
@@ -164,7 +169,7 @@ def best_pairs(pairs: list[DataFrame], schema: str, feed: Callable[[pa.RecordBat
                 had = len(state)
                 feed(b, i, state)
                 if len(state) > had:
-                    held += next(reversed(state.values()))[0].score.size
+                    held += next(reversed(state.values()))[0].score.size + STATE_CELLS
                 if held > most and len(state) > 1:
                     yield from (out(best, more) for best, more in state.values())
                     state, held = {}, 0

@@ -63,3 +63,13 @@ def test_entries_keep_their_types_without_rows():
         none = tiles.entries(["k", "id", "score"])(best, keys)
         best.add(np.array([0]), np.array([[1.0]]), np.array([[True]]), np.array(["x"], object) if kind is object else np.array([7]))
         assert len(none) == 0 and tiles.entries(["k", "id", "score"])(best, keys).schema == none.schema
+
+
+def test_pairs_of_a_key_are_a_join_where_left_is_large(spark, monkeypatch):
+    """However many slices left would have, right is read once."""
+    monkeypatch.setattr(tiles, "BROADCAST_BYTES", 500)
+    rows = spark.range(200).select(F.col("id"), (F.col("id") % 7).alias("key"), F.array(F.col("id").cast("double")).alias("v"))
+    blocks = durable(tiles.packed(rows.repartition(4, "key").sortWithinPartitions("key"), "v", 6, by=("key",)))
+    (pairs,) = tiles.paired(blocks, blocks, ("key",))
+    got = pairs.select(F.explode("l_id").alias("a"), "id").select("a", F.explode("id").alias("b")).collect()
+    assert sorted(map(tuple, got)) == [(a, b) for a in range(200) for b in range(a % 7, 200, 7)]
