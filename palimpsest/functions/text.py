@@ -24,6 +24,8 @@ NOT_TOKEN = r"[^\p{L}\p{N}_]+"
 TOKEN = r"[\p{L}\p{N}_]+"
 #: The same in texts that are all ASCII.
 PLAIN_TOKEN = re.compile(r"\w+", re.ASCII)
+#: And in texts without a character beyond U+024F, on which Java, Python and SQL agree; a text with one is FAR.
+NEAR_TOKEN, FAR = re.compile(r"\w+"), r"[^\x{0000}-\x{024F}]"
 #: Rows of a batch that are Python objects at a time.
 ROWS = 256
 #: Characters that count one and a half tokens, and those that form two-character keys.
@@ -70,16 +72,34 @@ def rough_tokens(text: Column | str) -> Column:
     return F.greatest(F.lit(1).cast("long"), F.ceil(F.char_length(F.coalesce(_c(text), F.lit(""))) / 4))
 
 
+def far_tokens(text: Column | str) -> Column:
+    """spaced_tokens of texts that are FAR, null for others, which Python cuts by near_counts."""
+    plain = F.octet_length(_c(text)) == F.char_length(_c(text))
+    return F.when(~plain & F.rlike(_c(text), F.lit(FAR)), spaced_tokens(text))
+
+
+def near_counts(text: str) -> Counter:
+    """Tokens of a text that is not FAR, or of spaced tokens, and their numbers, by first appearance."""
+    low = text.lower()
+    return Counter((PLAIN_TOKEN if low.isascii() else NEAR_TOKEN).findall(low))
+
+
 def keyword_list(text: str | None, n: int) -> list[str]:
     """The n most frequent tokens but stop words and single units, by count, then first appearance."""
     low = (text or "").lower()
     if low.isascii():
-        counts = Counter(PLAIN_TOKEN.findall(low))
-    else:
-        import regex
+        return most_frequent(Counter(PLAIN_TOKEN.findall(low)), n)
+    import regex
+
+    return most_frequent(Counter(regex.findall(TOKEN, low)), n)
+
 
-        counts = Counter(regex.findall(TOKEN, low))
-    found = ((t, c) for t, c in counts.items() if t not in words.STOP and (len(t) > 1 or ord(t[0]) > 0xFFFF))
+def most_frequent(counts: Counter, n: int) -> list[str]:
+    """The n keywords of counted tokens; tokens that occur once are looked at only where the others don't suffice."""
+    fit = lambda t: t not in words.STOP and (len(t) > 1 or ord(t[0]) > 0xFFFF)
+    found = [(t, c) for t, c in counts.items() if c > 1 and fit(t)]
+    if len(found) < n:
+        found = [(t, c) for t, c in counts.items() if fit(t)]
     return [t for t, _ in sorted(found, key=lambda x: -x[1])[:n]]  # in the order of the text where counts are equal
 
 

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -80,25 +81,48 @@ def hashes_of(tokens: list[str], seed: int = 0) -> np.ndarray:
 
 
 def hash_embedding(text: Column | str, dim: int = 256, seed: int = 0) -> Column:
-    """Counts of tokens by hash modulo dim, at unit length; zeros without tokens.  The tokens come from built-in
-    expressions, as one string a row; an Arrow UDF hashes them and counts them by row, some rows at a time."""
+    """Counts of tokens by hash modulo dim, at unit length; zeros without tokens.  An Arrow UDF counts tokens, hashes
+    each different one once and sums by row, some rows at a time; texts that are FAR come as tokens of built-in expressions."""
     ship_active()
 
     @F.arrow_udf("array<double>")
-    def run(s: pa.Array) -> pa.Array:
-        return embedded(s, dim, seed)
+    def run(s: pa.Array, far: pa.Array) -> pa.Array:
+        return embedded(s, dim, seed, far)
 
-    return run(T.spaced_tokens(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))))
+    t = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    return run(t, T.far_tokens(t))
 
 
-def embedded(s: pa.Array, dim: int, seed: int = 0) -> pa.Array:
-    """Embeddings of rows of tokens; few rows at a time are Python objects."""
+def analysis(text: Column | str, n: int, dim: int = 256, seed: int = 0) -> Column:
+    """struct(keywords, embedding): T.keywords and hash_embedding of a text from one count of its tokens."""
+    ship_active()
+
+    @F.arrow_udf("struct<keywords: array<string>, embedding: array<double>>")
+    def run(s: pa.Array, far: pa.Array) -> pa.Array:
+        words = []
+        v = embedded(s, dim, seed, far, lambda text, spaced, counts: words.append(T.most_frequent(counts, n) if spaced is None else T.keyword_list(text, n)))
+        return pa.StructArray.from_arrays([pa.array(words, pa.list_(pa.string())), v], ["keywords", "embedding"])
+
+    t = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    return run(t, T.far_tokens(t))
+
+
+def embedded(s: pa.Array, dim: int, seed: int = 0, far: pa.Array | None = None, see: Callable[[str, str | None, Counter], object] | None = None) -> pa.Array:
+    """Embeddings of texts, or of their tokens in far where these are not null; few rows at a time are Python objects.  see gets each text, its far and its counts."""
     m = np.empty((len(s), dim))
     for at in range(0, len(s), T.ROWS):
-        own = [t.split() for t in s.slice(at, T.ROWS).to_pylist()]
+        texts = s.slice(at, T.ROWS).to_pylist()
+        spaced = far.slice(at, T.ROWS).to_pylist() if far is not None else [None] * len(texts)
+        own = [T.near_counts(t) if x is None else Counter(x.split(" ")) for t, x in zip(texts, spaced, strict=True)]
+        for c in own:
+            c.pop("", None)
+        if see is not None:
+            for each in zip(texts, spaced, own, strict=True):
+                see(*each)
         part = m[at : at + len(own)]
-        row = np.repeat(np.arange(len(own)), [len(t) for t in own])
-        part[:] = np.bincount(row * dim + _hashes(own, seed) % dim, minlength=part.size).reshape(part.shape)
+        row = np.repeat(np.arange(len(own)), [len(c) for c in own])
+        times = np.fromiter(chain.from_iterable(c.values() for c in own), float)
+        part[:] = np.bincount(row * dim + _hashes(own, seed) % dim, times, part.size).reshape(part.shape)
         norm = np.sqrt((part * part).sum(axis=1, keepdims=True))
         part /= np.where(norm > 0, norm, 1)
     return pa.ListArray.from_arrays(pa.array(np.arange(len(s) + 1) * dim, pa.int32()), pa.array(m.ravel()))
@@ -108,7 +132,7 @@ def embedded(s: pa.Array, dim: int, seed: int = 0) -> pa.Array:
 _KEPT, _MOST = {}, 100_000
 
 
-def _hashes(rows: list[list[str]], seed: int) -> np.ndarray:
+def _hashes(rows: list[Iterable[str]], seed: int) -> np.ndarray:
     """hash_of for the tokens of some rows, in order."""
     kept = _KEPT.setdefault(seed, {})
     if len(kept) > _MOST:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import scoring as S
@@ -50,18 +50,40 @@ def postings(blocks: DataFrame) -> DataFrame:
     return _keyed(blocks, "block_id", "block_seq").select(F.explode("keys").alias("k"), "block_id", "block_seq", "size").select("k.*", "block_id", "block_seq", "size")
 
 
-def keyword_topk(queries: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
+def _packed(spark: SparkSession, *frames: DataFrame) -> list[DataFrame]:
+    """Saved blocks; texts and vectors go to Python in small batches, and as they are saved a task has one Python worker at a time."""
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"):
+        return [durable(x) for x in frames]
+
+
+def packed_blocks(blocks: DataFrame, vector: str = "embedding") -> DataFrame:
+    """Saved blocks of blocks with keys and vectors both, so that their texts are parsed once for all searches."""
+    there = _keyed(blocks, F.col("block_id").alias("id"), F.col("block_seq").cast("bigint").alias("block_seq"), F.coalesce(F.col(vector).cast("array<double>"), F.array().cast("array<double>")).alias("v"))
+    x = keywords.flat(there).withColumn("dim", F.size("v"))
+    return _packed(blocks.sparkSession, tiles.packed(x, "v", BLOCKS, unit=True))[0]
+
+
+def keyword_topk(queries: DataFrame, blocks: DataFrame, k: int, there: DataFrame | None = None) -> DataFrame:
     """query_id, block_id, score, rank by Jaccard of keyword sets; ties by first shared key, then block order.
 
     Candidates that share only a two-character piece score 0 and keep their ranks.  Blocks of queries meet blocks of
-    blocks as in vector_topk (operators.keywords), so a candidate is no row and a task keeps k a query.
+    blocks as in vector_topk (operators.keywords), so a candidate is no row and a task keeps k a query.  there: packed_blocks.
     """
     asked = _keyed(queries, F.col("query_id").cast("bigint").alias("id"))
-    there = _keyed(blocks, F.col("block_id").alias("id"), F.col("block_seq").cast("bigint").alias("block_seq"))
-    hits = keywords.candidates(asked, there, k, (QUERIES, BLOCKS))
+    if there is None:
+        own = _keyed(blocks, F.col("block_id").alias("id"), F.col("block_seq").cast("bigint").alias("block_seq"))
+        hits = keywords.candidates(asked, own, k, (QUERIES, BLOCKS))
+    else:
+        hits = keywords.best_of(*_packed(queries.sparkSession, keywords.packed(asked, QUERIES)), there, k)
     return ranked(hits, k, F.desc("score"), "first", "block_seq", "block_id").select("query_id", "block_id", "score", "rank")
 
 
+def keyword_scores_over(queries: DataFrame, there: DataFrame, least: float) -> DataFrame:
+    """The rows of keyword_scores over a score, saved; there: packed_blocks.  Only such a candidate is a row."""
+    asked = keywords.packed(_keyed(queries, F.col("query_id").cast("bigint").alias("id")), QUERIES)
+    return keywords.scores(*_packed(queries.sparkSession, asked), there, least)
+
+
 def keyword_scores(queries: DataFrame, blocks: DataFrame) -> DataFrame:
     """query_id, block_id, block_seq, first and the Jaccard score of all candidates; ids of blocks are unique.
 
@@ -125,16 +147,16 @@ def _vectors(df: DataFrame, name: str, vector: str) -> DataFrame:
     return df.select(v.alias("v"), F.col(name).alias("id"), F.size(v).alias("dim")).filter("dim > 0")
 
 
-def vector_topk(queries: DataFrame, blocks: DataFrame, k: int, min_score: float | None = None, vector: str = "embedding", digits: int = 9) -> DataFrame:
+def vector_topk(queries: DataFrame, blocks: DataFrame, k: int, min_score: float | None = None, vector: str = "embedding", digits: int = 9, there: DataFrame | None = None) -> DataFrame:
     """query_id, block_id, score, rank by exact cosine among vectors of the query's length, ties by id.
 
     Blocks of queries meet blocks of blocks, each pair once, in one pass (operators.tiles); a task keeps k a
-    query.  Scores are rounded to digits, so that ties do not hang on the order of sums.
+    query.  Scores are rounded to digits, so that ties do not hang on the order of sums.  there: packed_blocks.
     """
-    with setting(queries.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"):  # texts and vectors go to Python in small batches
-        left = durable(tiles.packed(_vectors(queries, "query_id", vector), "v", QUERIES, unit=True))
-        right = durable(tiles.packed(_vectors(blocks, "block_id", vector), "v", BLOCKS, unit=True))  # so a task has one Python worker at a time
-    pairs = tiles.paired(left, right)
+    left = tiles.packed(_vectors(queries, "query_id", vector), "v", QUERIES, unit=True)
+    right = [tiles.packed(_vectors(blocks, "block_id", vector), "v", BLOCKS, unit=True)] if there is None else []
+    left, *right = _packed(queries.sparkSession, left, *right)
+    pairs = tiles.paired(left, there if there is not None else right[0])
     hits = tiles.best_pairs(pairs, HITS, tiles.cosine_feed(k, digits), tiles.entries(["query_id", "block_id", "score"]))
     if min_score is not None:
         hits = hits.filter(F.col("score") >= min_score)
@@ -223,19 +245,22 @@ def rrf(lists: dict[str, tuple[DataFrame, float]], k: int, c: int = 60) -> DataF
     return ranked(x, k, F.desc(F.round("score", 12)), F.desc("sources"), "seen.place", "seen.rank").select("query_id", "block_id", "score", "sources", "rank")
 
 
-def semantic_topk(queries: DataFrame, blocks: DataFrame, cfg: Config = DEFAULT, index: DataFrame | None = None) -> DataFrame:
+def semantic_topk(queries: DataFrame, blocks: DataFrame, cfg: Config = DEFAULT, index: DataFrame | None = None, there: DataFrame | None = None) -> DataFrame:
     """Both lists fused.  cfg.vector_search says how the vectors are searched: exact, lsh, or two_stage (columns hash and local on both sides).
 
     index: the blocks' postings, saved; with them frequent keywords are followed only where they can matter.
+    there: packed_blocks; without an index the exact search makes them, so that both lists come from one pass over the blocks.
     """
     k = cfg.semantic_top_k
+    if cfg.vector_search not in ("lsh", "two_stage") and index is None and there is None:
+        there = packed_blocks(blocks)
     if cfg.vector_search == "lsh":
         near = lsh_topk(queries, blocks, k, cfg.embedding_dim, min_score=cfg.vector_min_score)
     elif cfg.vector_search == "two_stage":
         near = clamped(two_stage_topk(queries, blocks, k, blocks.count(), cfg)).filter(F.col("score") >= cfg.vector_min_score)
     else:
-        near = vector_topk(queries, blocks, k, cfg.vector_min_score)
-    words = keyword_topk(queries, blocks, k) if index is None else pruned_topk(queries, index, k)
+        near = vector_topk(queries, blocks, k, cfg.vector_min_score, there=there)
+    words = keyword_topk(queries, blocks, k, there) if index is None else pruned_topk(queries, index, k)
     return rrf({"keyword": (words, cfg.keyword_weight), "vector": (near, cfg.vector_weight)}, k)
 
 

@@ -28,12 +28,13 @@ fused AS (SELECT query_id, id, sum(part)::DOUBLE AS score, count(*) AS sources,
 rrf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, sources DESC, seen) AS rank FROM fused) WHERE rank <= 6)"""
 
 
-def _docs(spark, sf, embed=True):
-    """Documents as one-event blocks."""
+def _docs(spark, sf, of=("keywords", "embedding")):
+    """Documents as one-event blocks, with keywords, embedding, or both from one count of a text's tokens."""
     d = base.spread(base.table(spark, sf, "documents").select("doc_id", "text"))
     t = F.coalesce("text", F.lit(""))
-    x = d.select(F.lpad(F.col("doc_id").cast("string"), 10, "0").alias("block_id"), F.col("doc_id").alias("block_seq"), T.keywords(t, 8).alias("keywords"), t.alias("_t"))
-    return (x.withColumn("embedding", vectors.hash_embedding("_t")) if embed else x).drop("_t")
+    x = d.select(F.lpad(F.col("doc_id").cast("string"), 10, "0").alias("block_id"), F.col("doc_id").alias("block_seq"), t.alias("_t"))
+    found = vectors.analysis("_t", 8) if len(of) == 2 else F.struct(T.keywords("_t", 8).alias("keywords") if of == ("keywords",) else vectors.hash_embedding("_t").alias("embedding"))
+    return x.select("block_id", "block_seq", found.alias("_a")).select("block_id", "block_seq", *[f"_a.{c}" for c in of])
 
 
 def _queries(spark, sf):
@@ -46,12 +47,12 @@ def _plain(hits, *more):
 
 @query(f"WITH {_KEY} SELECT query_id, id AS doc_id, round(score, 6) AS score, rank FROM kw")
 def kw_topk(spark, sf):
-    return _plain(retrieve.keyword_topk(_queries(spark, sf), _docs(spark, sf, embed=False), 6))
+    return _plain(retrieve.keyword_topk(_queries(spark, sf), _docs(spark, sf, ("keywords",)), 6))
 
 
 @query(f"WITH {_DOCS}, {_VEC} SELECT query_id, id AS doc_id, round(score, 6) AS score, rank FROM vec")
 def vec_topk(spark, sf):
-    return _plain(retrieve.vector_topk(_queries(spark, sf), _docs(spark, sf), 6, 0.0))
+    return _plain(retrieve.vector_topk(_queries(spark, sf), _docs(spark, sf, ("embedding",)), 6, 0.0))
 
 
 @query(f"WITH {_RRF} SELECT query_id, id AS doc_id, round(score, 6) AS score, rank, sources FROM rrf")
@@ -238,8 +239,9 @@ def boosted_ranks(spark, sf):
 SELECT count(*) AS queries, round(avg(coalesce(hits, 0)::DOUBLE / want), 6) AS recall, round(avg(coalesce(hits, 0) / 5.0::DOUBLE), 6) AS precision, round(avg(CASE WHEN coalesce(hits, 0) > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS pass_rate FROM w LEFT JOIN hit USING (query_id)""")
 def retrieval_metrics(spark, sf):
     q, d = _queries(spark, sf), _docs(spark, sf)
-    truth = retrieve.keyword_scores(q, d).filter("score > 0.05").select("query_id", F.col("block_id").alias("item"))
-    m = diagnostics.retrieval_metrics(retrieve.semantic_topk(q, d).withColumnRenamed("block_id", "item"), truth, 5)
+    there = retrieve.packed_blocks(d)
+    truth = retrieve.keyword_scores_over(q, there, 0.05).select("query_id", F.col("block_id").alias("item"))
+    m = diagnostics.retrieval_metrics(retrieve.semantic_topk(q, d, there=there).withColumnRenamed("block_id", "item"), truth, 5)
     return m.select("queries", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "pass_rate")])
 
 

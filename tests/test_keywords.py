@@ -81,3 +81,24 @@ def test_embedding_a_batch_takes_little_memory():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(out) == 4000 and most < 40e6
+
+
+def test_both_searches_and_the_scores_come_from_one_pass(spark, monkeypatch):
+    """Blocks packed with keys and vectors give what each search packs for itself; texts are parsed once, rows without keys or vector included."""
+    monkeypatch.setattr(retrieve, "BLOCKS", 7)
+    monkeypatch.setattr(keywords, "OUT", 5)
+    seen = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda t: seen.add(1) or t)
+    texts = [" ".join(f"w{(i * j) % 11}" for j in range(1, 2 + i % 9)) for i in range(60)] + ["", "the", "x"]
+    b = spark.createDataFrame([(f"b{i:02d}", i, t) for i, t in enumerate(texts)], "block_id string, block_seq long, t string").repartition(4)
+    b = b.withColumn("t", count.asNondeterministic()("t")).select("block_id", "block_seq", vectors.analysis("t", 8, 16).alias("a")).select("block_id", "block_seq", "a.keywords", "a.embedding")
+    b = b.withColumn("embedding", F.when(F.col("block_seq") != 7, F.col("embedding")))
+    q = spark.createDataFrame([(i, texts[i * 5]) for i in range(13)], "query_id long, query string").select("query_id", T.keywords("query", 8).alias("keywords"), vectors.hash_embedding("query", 16).alias("embedding"))
+    there = retrieve.packed_blocks(b)
+    assert seen.value == len(texts)
+    assert rows(retrieve.keyword_topk(q, b, 4, there)) == rows(retrieve.keyword_topk(q, b, 4))
+    assert rows(retrieve.vector_topk(q, b, 4, there=there)) == rows(retrieve.vector_topk(q, b, 4))
+    assert rows(retrieve.keyword_scores_over(q, there, 0.2)) == rows(retrieve.keyword_scores(q, b).filter("score > 0.2")) != []
+    before = seen.value
+    retrieve.semantic_topk(q, b).count()
+    assert seen.value - before == len(texts)

@@ -119,3 +119,20 @@ def test_render_and_calls(spark):
     m = F.create_map(F.lit("who"), F.lit("you"))
     assert one(spark, T.render(F.col("t"), m), t=r"hi {{ who }} {{gone}} \{{x}} {{not a name}}") == "hi you  {{x}} {{not a name}}"
     assert one(spark, T.tool_call("t"), t='{"name":"a","args":[1]}').args == "{}"
+
+
+def test_keywords_and_embedding_from_one_count_are_those_made_singly(spark):
+    """Every character up to U+024F between letters, far ones beside them, ties, stop words, single units; tokens as the built-in expression cuts them."""
+    near = [f"ab{chr(c)}cd {chr(c)} X{chr(c)}" for c in range(1, 0x250) if chr(c) != "﻿"]
+    far = ["日本 語 数据库 的 ab ab", "😀 𠀀 𠀀𠀀 ΌΔΟΣ όδος Ͱ", "K K ﬁ", "İstanbul istanbul İ", "x y z", "the a of", "", None, "one two two three", "e e e one two"]
+    d = spark.createDataFrame(list(enumerate([*near, *far])), "id long, t string").coalesce(1)
+    t = F.coalesce("t", F.lit(""))
+    got = d.select("t", T.tokens(t).alias("n"), T.keywords("t", 3).alias("k"), vectors.hash_embedding("t", 16, 5).alias("e"), vectors.analysis("t", 3, 16, 5).alias("a")).collect()
+    assert len(got) == len(near) + len(far)
+    for r in got:
+        count = [0] * 16
+        for w in r.n:
+            count[vectors.hash_of(w, 5) % 16] += 1
+        size = sum(c * c for c in count) ** 0.5
+        assert r.a.embedding == r.e == pytest.approx([c / size if size else 0 for c in count]), r.t
+        assert r.a.keywords == r.k == T.keyword_list(r.t, 3), r.t
