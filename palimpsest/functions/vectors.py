@@ -128,18 +128,21 @@ def embedded(s: pa.Array, dim: int, seed: int = 0, far: pa.Array | None = None,
     return pa.ListArray.from_arrays(pa.array(np.arange(len(s) + 1) * dim, pa.int32()), pa.array(m.ravel()))
 
 
-#: Hashes of tokens that a worker keeps, by seed; beyond that many it starts anew.
-_KEPT, _MOST = {}, 100_000
-
-
 def _hashes(rows: list[Iterable[str]], seed: int) -> np.ndarray:
-    """hash_of for the tokens of some rows, in order."""
-    kept = _KEPT.setdefault(seed, {})
-    if len(kept) > _MOST:
-        kept.clear()
-    if new := list(set(chain.from_iterable(rows)).difference(kept)):
-        kept.update(zip(new, hashes_of(new, seed).tolist(), strict=True))
-    return np.fromiter(map(kept.__getitem__, chain.from_iterable(rows)), np.int64)
+    """hash_of for the tokens of some rows, none of which is empty or has a space, in order: one step a place, over all tokens that have it."""
+    joined = "".join(f"{t} " for t in chain.from_iterable(rows))
+    units = np.frombuffer(joined.encode("utf-16-le"), "<u2")
+    ends = np.flatnonzero(units == ord(" "))
+    starts = np.concatenate([[0], ends + 1])[:-1]
+    order = np.argsort(starts - ends, kind="stable")
+    starts, less = starts[order], (starts - ends)[order]
+    h, units = np.full(len(ends), seed & 0xFFFFFFFF, np.uint32), units.astype(np.uint32)
+    for place, n in enumerate(np.searchsorted(less, -np.arange(-less[0] if len(less) else 0), "left").tolist()):
+        h[:n] = h[:n] * np.uint32(31) + units[starts[:n] + place]
+    h = h.astype(np.int64)
+    out = np.empty_like(h)
+    out[order] = np.where(h >= 1 << 31, (1 << 32) - h, h)
+    return out
 
 
 def hybrid_embedding(hashed: Column, local: Column, dim: int, tags: Column | None = None) -> Column:

@@ -136,3 +136,11 @@ def test_keywords_and_embedding_from_one_count_are_those_made_singly(spark):
         size = sum(c * c for c in count) ** 0.5
         assert r.a.embedding == r.e == pytest.approx([c / size if size else 0 for c in count]), r.t
         assert r.a.keywords == r.k == T.keyword_list(r.t, 3), r.t
+
+
+def test_hashes_of_rows_of_tokens_are_worked_out_at_once():
+    """Against one token at a time, at both signs, of unlike lengths and with units beyond 16 bits; nothing is kept between calls."""
+    rows = [["a", "zebra", "日本語", "𠀀x", "w" * 300], [], [f"token{i}" for i in range(3000)], ["é", "a"]]
+    for seed in (0, 5, (1 << 31) + 7):
+        assert vectors._hashes(rows, seed).tolist() == [vectors.hash_of(t, seed) for r in rows for t in r]
+    assert vectors._hashes([[], []], 0).tolist() == [] and not hasattr(vectors, "_KEPT")
