@@ -35,17 +35,26 @@ def arcs(edges: DataFrame, direction: str = "both", types: list[str] | None = No
     return {"outgoing": out, "incoming": back, "both": out.unionByName(back)}[direction]
 
 
+def pairs(edges: DataFrame, direction: str = "both", types: list[str] | None = None) -> DataFrame:
+    """node, target as in arcs, repeats included: what follows sums or takes each node once, so the edges are not dealt out for it."""
+    e = edges.filter(F.col("type").isin(types)) if types else edges
+    out, back = (e.select(F.col(a).alias("node"), F.col(b).alias("target")) for a, b in (("src", "dst"), ("dst", "src")))
+    return {"outgoing": out, "incoming": back, "both": out.unionByName(back)}[direction]
+
+
 def traverse(seeds: DataFrame, edges: DataFrame, direction: str = "both", types: list[str] | None = None, depth: int = 1) -> DataFrame:
-    """query_id, node, step: all nodes within depth steps of the seeds (query_id, node), at their first step; seeds are step 0."""
+    """query_id, node, step: all nodes within depth steps of the seeds (query_id, node), at their first step; seeds are step 0.
+
+    A step is one join and one sum, which finds both what is new and what was seen, and what was seen is saved in between.
+    """
     if depth > 4:
         return closure(seeds, edges, direction, types, depth)
-    a = arcs(edges, direction, [] if types is None else types).select("node", "target").distinct()
+    a = pairs(edges, direction, types)
     seen = seeds.select("query_id", "node").distinct().withColumn("step", F.lit(0))
-    front = seen
     for step in range(1, depth + 1):
-        front = front.join(a, "node").select("query_id", F.col("target").alias("node")).distinct()
-        front = front.join(seen.select("query_id", "node"), ["query_id", "node"], "left_anti").withColumn("step", F.lit(step))
-        seen = seen.unionByName(front)
+        seen = durable(seen) if step > 1 else seen
+        reached = seen.filter(F.col("step") == step - 1).join(a, "node").select("query_id", F.col("target").alias("node"), F.lit(step).alias("step"))
+        seen = seen.unionByName(reached).groupBy("query_id", "node").agg(F.min("step").alias("step"))
     return seen
 
 
