@@ -6,6 +6,8 @@ every fourth step is a checkpoint.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,36 +87,48 @@ def expand(seeds: DataFrame, edges: DataFrame, blocks: DataFrame, k: int, direct
     way.  A node's mass is shared evenly by its edges, weighed by their confidence and 0.88 a step.  Seeds,
     files and nodes that are no block are left out.
     """
+    if depth < 1:  # goes nowhere
+        return seeds.select("query_id", F.col("node").alias("block_id"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("rank")).filter("false")
     alike = "direction" not in seeds.columns
-    if alike:
-        types = ["CONTEXT", "FOLLOWS"] if types is None else types
-        edges = edges.filter(F.col("type").isin(types)) if types else edges
-        seeds = seeds.withColumn("direction", F.lit(direction)).withColumn("types", F.array().cast("array<string>"))
-    out, back = arcs(edges, "outgoing", []).withColumn("way", F.lit("outgoing")), arcs(edges, "incoming", []).withColumn("way", F.lit("incoming"))
-    a = {"outgoing": out, "incoming": back}.get(direction, out.unionByName(back))
     if alike:  # a node's edges are the same for every query
-        a = a.join(a.groupBy("node").agg(F.count("*").alias("n")), "node")
-    how = seeds.groupBy("query_id").agg(F.first("direction").alias("direction"), F.first("types").alias("types"), F.count("*").alias("m"))
-    front = seeds.groupBy("query_id", "node").agg(F.count("*").alias("c")).join(how, "query_id").select("query_id", "node", "direction", "types", (F.col("c") / F.col("m")).alias("mass"))
+        a, way = _weighed(edges, direction, ["CONTEXT", "FOLLOWS"] if types is None else types), []
+        how = seeds.groupBy("query_id").agg(F.count("*").alias("m"))
+    else:
+        out, back = arcs(edges, "outgoing", []).withColumn("way", F.lit("outgoing")), arcs(edges, "incoming", []).withColumn("way", F.lit("incoming"))
+        a, way = {"outgoing": out, "incoming": back}.get(direction, out.unionByName(back)), ["direction", "types"]
+        how = seeds.groupBy("query_id").agg(F.first("direction").alias("direction"), F.first("types").alias("types"), F.count("*").alias("m"))
+    front = seeds.groupBy("query_id", "node").agg(F.count("*").alias("c")).join(how, "query_id").select("query_id", "node", *way, (F.col("c") / F.col("m")).alias("mass"))
     total = None
     for step in range(1, depth + 1):
-        own = ((F.col("direction") == "both") | (F.col("direction") == F.col("way"))) & ((F.size("types") == 0) | F.array_contains("types", F.col("type")))
-        x = front.join(a, "node").filter(own)
-        x = x if alike else x.withColumn("n", F.count("*").over(Window.partitionBy("query_id", "node")))
+        x = front.join(a, "node")
+        if not alike:
+            x = x.filter(((F.col("direction") == "both") | (F.col("direction") == F.col("way"))) & ((F.size("types") == 0) | F.array_contains("types", F.col("type"))))
+            x = x.withColumn("n", F.count("*").over(Window.partitionBy("query_id", "node")))
         share = F.col("mass") / F.col("n") * DECAY ** (step - 1) * F.col("confidence")
-        front = x.select("query_id", "direction", "types", F.col("target").alias("node"), share.alias("mass")).groupBy("query_id", "direction", "types", "node").agg(F.sum("mass").alias("mass"))
-        front = durable(front) if step % 4 == 0 else front
-        total = front if total is None else total.unionByName(front)
-    if total is None:  # depth 0 goes nowhere
-        return seeds.select("query_id", F.col("node").alias("block_id"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("rank")).filter("false")
+        front = x.select("query_id", *way, F.col("target").alias("node"), share.alias("mass"))
+        if step < depth:  # used twice
+            front = durable(front.groupBy("query_id", *way, "node").agg(F.sum("mass").alias("mass")))
+        own = front.select("query_id", "node", "mass")
+        total = own if total is None else total.unionByName(own)
     x = total.groupBy("query_id", "node").agg(F.sum("mass").alias("mass")).join(seeds.select("query_id", "node").distinct(), ["query_id", "node"], "left_anti")
+    known = blocks.select(F.col("block_id").alias("node")).distinct().withColumn("_known", F.lit(True))
+    x = x.join(known, "node", "left")  # before the highest mass is sought, so that both windows go by one order of the rows
     top = F.max("mass").over(Window.partitionBy("query_id"))
     x = x.withColumn("score", F.when(top > 0, F.col("mass") / top).otherwise(F.col("mass")))
-    x = x.filter(is_block(F.col("node"))).join(blocks.select(F.col("block_id").alias("node")), "node", "left_semi")
+    x = x.filter(F.col("_known") & is_block(F.col("node")))
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "node")
     return x.select("query_id", F.col("node").alias("block_id"), "score", F.row_number().over(w).cast("long").alias("rank")).filter(F.col("rank") <= k)
 
 
+def _weighed(edges: DataFrame, direction: str, types: list[str]) -> DataFrame:
+    """node, target, confidence, n (of the node's arcs), as from arcs(); dealt out once, by node, as the steps join them."""
+    e = edges.filter(F.col("type").isin(types)) if types else edges
+    ways = {"outgoing": ["src"], "incoming": ["dst"]}.get(direction, ["src", "dst"])
+    parts = [e.select(F.col(w).alias("node"), F.col("dst" if w == "src" else "src").alias("target"), "type", F.lit(w).alias("way"), S.edge_confidence(F.col("type"), F.col("confidence")).alias("c")) for w in ways]
+    x = reduce(DataFrame.unionByName, parts).repartition("node").groupBy("node", "target", "type", "way").agg(F.max("c").alias("confidence"))
+    return x.select("node", "target", "confidence", F.count("*").over(Window.partitionBy("node")).alias("n"))
+
+
 def walk(seeds: DataFrame, edges: DataFrame, depth: int = 2, decay: float = 0.75) -> DataFrame:
     """query_id, node, p: where a walk over distinct out-neighbours goes within depth steps; p sums to 1 a query."""
     a = edges.select(F.col("src").alias("node"), F.col("dst").alias("target")).distinct()

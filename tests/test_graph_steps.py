@@ -40,3 +40,15 @@ def test_traverse(spark, seeds):
     got = graph.traverse(seeds, e, depth=3).collect()
     assert {(r.query_id, r.node): r.step for r in got} == want and len(got) == len(want)
     assert seen.value <= 3 * 2 * len(EDGES)
+
+
+@pytest.mark.parametrize("direction", ["outgoing", "incoming", "both"])
+def test_expand(spark, seeds, direction):
+    """Against seeds that each carry their own direction and types, which go the other way through the edges."""
+    seen, e = counting(spark)
+    blocks = spark.createDataFrame([(f"n{i}",) for i in range(0, 17, 2)] * 2, "block_id string")
+    rows = lambda x: {(r.query_id, r.block_id): (round(r.score, 9), r["rank"]) for r in x.collect()}
+    got = rows(graph.expand(seeds, e, blocks, 5, direction, ["FOLLOWS", "CAUSES"], 2))
+    assert seen.value <= 2 * (2 if direction == "both" else 1) * len(EDGES)
+    own = seeds.withColumn("direction", F.lit(direction)).withColumn("types", F.array(F.lit("FOLLOWS"), F.lit("CAUSES")))
+    assert got == rows(graph.expand(own, e, blocks, 5, depth=2, direction="any")) and got
