@@ -1,7 +1,7 @@
 """Graph steps over typed edges: traversal, weighted expansion, random walk, graph embeddings.
 
 Each step is a join of the frontier with the edges and a sum by target; frontiers are pre-aggregated, and
-every fourth step is a checkpoint.
+one that is used twice is a checkpoint.
 """
 
 from __future__ import annotations
@@ -131,15 +131,15 @@ def _weighed(edges: DataFrame, direction: str, types: list[str]) -> DataFrame:
 
 def walk(seeds: DataFrame, edges: DataFrame, depth: int = 2, decay: float = 0.75) -> DataFrame:
     """query_id, node, p: where a walk over distinct out-neighbours goes within depth steps; p sums to 1 a query."""
-    a = edges.select(F.col("src").alias("node"), F.col("dst").alias("target")).distinct()
-    a = a.join(a.groupBy("node").agg(F.count("*").alias("n")), "node")
+    a = pairs(edges, "outgoing").repartition("node").distinct()  # dealt out once, by node, as the steps join them
+    a = a.withColumn("n", F.count("*").over(Window.partitionBy("node")))
     s = seeds.select("query_id", "node").distinct()
     front = s.join(s.groupBy("query_id").agg(F.count("*").alias("m")), "query_id").select("query_id", "node", (1 / F.col("m")).alias("p"))
     total = None
     for step in range(1, depth + 1):
         front = front.join(a, "node").select("query_id", F.col("target").alias("node"), (F.col("p") / F.col("n") * decay ** (step - 1)).alias("p"))
-        front = front.groupBy("query_id", "node").agg(F.sum("p").alias("p"))
-        front = durable(front) if step % 4 == 0 else front
+        if step < depth:  # used twice
+            front = durable(front.groupBy("query_id", "node").agg(F.sum("p").alias("p")))
         total = front if total is None else total.unionByName(front)
     if total is None:  # depth 0 goes nowhere
         return s.select("query_id", "node", F.lit(0.0).alias("p")).filter("false")

@@ -42,6 +42,28 @@ def test_traverse(spark, seeds):
     assert seen.value <= 3 * 2 * len(EDGES)
 
 
+def test_walk(spark, seeds):
+    seen, e = counting(spark)
+    near = defaultdict(set)
+    for s, d, *_ in EDGES:
+        near[s].add(d)
+    total, front = defaultdict(float), {(q, n): 1 / sum(1 for x, _ in SEEDS if x == q) for q, n in SEEDS}
+    for step in range(2):
+        there = defaultdict(float)
+        for (q, n), p in front.items():
+            for m in near[n]:
+                there[q, m] += p / len(near[n]) * 0.75**step
+        front = there
+        for k, p in there.items():
+            total[k] += p
+    of = defaultdict(float)
+    for (q, _), p in total.items():
+        of[q] += p
+    got = graph.walk(seeds, e).collect()
+    assert {(r.query_id, r.node): r.p for r in got} == pytest.approx({k: p / of[k[0]] for k, p in total.items()}) and len(got) == len(total)
+    assert seen.value <= 2 * len(EDGES)
+
+
 @pytest.mark.parametrize("direction", ["outgoing", "incoming", "both"])
 def test_expand(spark, seeds, direction):
     """Against seeds that each carry their own direction and types, which go the other way through the edges."""
