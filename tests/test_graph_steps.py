@@ -74,3 +74,12 @@ def test_expand(spark, seeds, direction):
     assert seen.value <= 2 * (2 if direction == "both" else 1) * len(EDGES)
     own = seeds.withColumn("direction", F.lit(direction)).withColumn("types", F.array(F.lit("FOLLOWS"), F.lit("CAUSES")))
     assert got == rows(graph.expand(own, e, blocks, 5, depth=2, direction="any")) and got
+
+
+def test_the_last_step_is_planned_without_those_before(spark, seeds):
+    """Its join, its sum and what a window needs, and no frontier worked out again: exchanges of the plan, of which the steps before have none."""
+    e = spark.createDataFrame(EDGES, "src string, dst string, type string, confidence double")
+    exchanges = lambda x: x._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    for depth in (2, 3, 4):
+        assert exchanges(graph.traverse(seeds, e, depth=depth)) <= 3
+        assert exchanges(graph.walk(seeds, e, depth)) <= 4
