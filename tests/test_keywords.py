@@ -102,3 +102,15 @@ def test_both_searches_and_the_scores_come_from_one_pass(spark, monkeypatch):
     before = seen.value
     retrieve.semantic_topk(q, b).count()
     assert seen.value - before == len(texts)
+
+
+def test_a_hybrid_search_parses_its_documents_once(spark, sf, monkeypatch):
+    """Both lists, and the ids that the graph step looks up, from one use of the text functions."""
+    from palimpsest.plans import q_retrieve
+
+    made = []
+    for name, module in (("analysis", vectors), ("hash_embedding", vectors), ("keywords", T)):
+        real = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, _n=name, _f=real, **k: made.append(_n) or _f(*a, **k))
+    q_retrieve._docs(spark, sf).count()
+    assert made == ["analysis"]
