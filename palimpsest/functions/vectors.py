@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from palimpsest.shipping import ship_active
 
 from . import text as T
-from . import words
+from . import tokens, words
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -99,30 +99,44 @@ def analysis(text: Column | str, n: int, dim: int = 256, seed: int = 0) -> Colum
 
     @F.arrow_udf("struct<keywords: array<string>, embedding: array<double>>")
     def run(s: pa.Array, far: pa.Array) -> pa.Array:
-        words = []
-        v = embedded(s, dim, seed, far, lambda text, spaced, counts: words.append(T.most_frequent(counts, n) if spaced is None else T.keyword_list(text, n)))
+        words: list[list[str]] = []
+        v = embedded(s, dim, seed, far, n, words)
         return pa.StructArray.from_arrays([pa.array(words, pa.list_(pa.string())), v], ["keywords", "embedding"])
 
     t = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
     return run(t, T.far_tokens(t))
 
 
-def embedded(s: pa.Array, dim: int, seed: int = 0, far: pa.Array | None = None, see: Callable[[str, str | None, Counter], object] | None = None) -> pa.Array:
-    """Embeddings of texts, or of their tokens in far where these are not null; few rows at a time are Python objects.  see gets each text, its far and its counts."""
+def embedded(s: pa.Array, dim: int, seed: int = 0, far: pa.Array | None = None, n: int = 0, words: list[list[str]] | None = None) -> pa.Array:
+    """Embeddings of texts, or of their tokens in far where these are not null; few rows at a time are Python objects.
+
+    Texts of plain characters are cut, hashed and counted at once (functions.tokens), others one at a time.  words
+    gets the n keywords of each text.
+    """
     m = np.empty((len(s), dim))
     for at in range(0, len(s), T.ROWS):
         texts = s.slice(at, T.ROWS).to_pylist()
         spaced = far.slice(at, T.ROWS).to_pylist() if far is not None else [None] * len(texts)
-        own = [T.near_counts(t) if x is None else Counter(x.split(" ")) for t, x in zip(texts, spaced, strict=True)]
+        part, found = m[at : at + len(texts)], [None] * len(texts)
+        near = [i for i, (t, x) in enumerate(zip(texts, spaced, strict=True)) if x is None and tokens.fits(t)]
+        for lo, hi in tokens.runs([texts[i] for i in near]):
+            some = near[lo:hi]
+            cut = tokens.Tokens([texts[i] for i in some])
+            part[some] = cut.bins(dim, seed)
+            for i, k in zip(some, cut.keywords(n) if words is not None else [], strict=False):
+                found[i] = k
+        rest = sorted(set(range(len(texts))) - set(near))
+        own = [T.near_counts(texts[i]) if spaced[i] is None else Counter(spaced[i].split(" ")) for i in rest]
         for c in own:
             c.pop("", None)
-        if see is not None:
-            for each in zip(texts, spaced, own, strict=True):
-                see(*each)
-        part = m[at : at + len(own)]
-        row = np.repeat(np.arange(len(own)), [len(c) for c in own])
-        times = np.fromiter(chain.from_iterable(c.values() for c in own), float)
-        part[:] = np.bincount(row * dim + _hashes(own, seed) % dim, times, part.size).reshape(part.shape)
+        if words is not None:
+            for i, c in zip(rest, own, strict=True):
+                found[i] = T.most_frequent(c, n) if spaced[i] is None else T.keyword_list(texts[i], n)
+            words.extend(found)
+        if rest:
+            row = np.repeat(np.arange(len(own)), [len(c) for c in own])
+            times = np.fromiter(chain.from_iterable(c.values() for c in own), float)
+            part[rest] = np.bincount(row * dim + _hashes(own, seed) % dim, times, len(own) * dim).reshape(-1, dim)
         norm = np.sqrt((part * part).sum(axis=1, keepdims=True))
         part /= np.where(norm > 0, norm, 1)
     return pa.ListArray.from_arrays(pa.array(np.arange(len(s) + 1) * dim, pa.int32()), pa.array(m.ravel()))
