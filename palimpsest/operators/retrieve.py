@@ -6,8 +6,11 @@ block columns are joined to the winners.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,11 +18,14 @@ from palimpsest.functions import scoring as S
 from palimpsest.functions import text as T
 from palimpsest.functions import vectors
 from palimpsest.operators import keywords, tiles
+from palimpsest.shipping import ship
 from palimpsest.sources.config import DEFAULT, Config
 from palimpsest.storage import durable, setting
 
 #: Vectors of queries and of blocks that are multiplied at a time.
 QUERIES, BLOCKS = 512, 4000
+#: Entries of a bucket table that a task cuts at a time.
+CHUNK = 1 << 16
 #: Postings over which a key counts as frequent.
 OFTEN = 100
 HITS = "query_id bigint, block_id string, score double"
@@ -168,42 +174,97 @@ def clamped(hits: DataFrame) -> DataFrame:
     return hits.withColumn("score", S.clamp(F.col("score")))
 
 
-def buckets(vectors_df: DataFrame, name: str, dim: int, tables: int, bits: int, vector: str = "embedding", probes: tuple[int, ...] = (0,)) -> DataFrame:
-    """v, id, dim, table, key: the bucket table of sign hashes, a row a table (and probe: bits of the key that are turned)."""
-    valid = vectors_df.filter(vectors.is_valid(F.col(vector), dim))
-    x = valid.select(F.col(vector).cast("array<double>").alias("v"), F.col(name).alias("id"), F.lit(dim).alias("dim"), F.posexplode(vectors.signatures(vector, dim, tables, bits)).alias("table", "_key"))
-    return x.withColumn("_probe", F.explode(F.array(*[F.lit(p) for p in probes]))).select("v", "id", "dim", "table", F.col("_key").bitwiseXOR(F.col("_probe")).alias("key"))
+def buckets(vectors_df: DataFrame, name: str, dim: int, tables: int, bits: int, rows: int, vector: str = "embedding", probes: tuple[int, ...] = (0,)) -> DataFrame:
+    """m, id, table, key: the bucket table of sign hashes, in blocks of at most rows vectors of one bucket, by id (and probe: bits of the key that are turned).
+
+    A task cuts CHUNK entries of a table at a time from vectors that it has once.  m has the vectors as they are, as
+    float32 where that loses nothing, as a vector goes to each table.
+    """
+    ship(vectors_df.sparkSession)
+    kind, turned = vectors_df.schema[name].dataType.simpleString(), np.array(probes, np.int32)
+    valid = vectors_df.filter(vectors.is_valid(F.col(vector), dim)).select(F.col(vector).cast("array<double>").alias("v"), F.col(name).alias("id"))
+
+    def blocks(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held).sort_by("id")
+        ids = t.column("id").combine_chunks()
+        m = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+        keys = vectors.sign_keys(m, tables, bits).astype(np.int32)
+        with np.errstate(over="ignore", under="ignore"):
+            narrow = m.astype(np.float32)
+        m = narrow if (narrow == m).all() else m
+        for table in range(tables):
+            key = (keys[:, table, None] ^ turned).ravel()
+            order = np.argsort(key, kind="stable")
+            row, key = order // len(turned), key[order]
+            first = np.flatnonzero(np.diff(key, prepend=-1))
+            at = np.concatenate([np.arange(lo, hi, rows) for lo, hi in zip(first, [*first[1:], len(key)], strict=True)])
+            ends = np.append(at, len(key))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids.take(pa.array(row)))
+            cut = [m[row[lo:hi]].tobytes() for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(cut, pa.binary()), lists, pa.array(np.full(len(at), table, np.int32)), pa.array(key[at])], ["m", "id", "table", "key"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            held, n = [*held, b], n + len(b)
+            if n * len(turned) >= CHUNK:
+                yield from blocks(held)
+                held, n = [], 0
+        if n:
+            yield from blocks(held)
+
+    return valid.mapInArrow(run, f"m binary, id array<{kind}>, table int, key int")
 
 
 def bucket_pairs(queries: DataFrame, vectors_df: DataFrame, dim: int, tables: int, bits: int, probe: int, vector: str = "embedding") -> DataFrame:
-    """Blocks of queries beside blocks of vectors that lie in one bucket of a table, or within probe bits of it."""
+    """Blocks of queries beside blocks of vectors that lie in one bucket of a table, or within probe bits of it.
+
+    Queries are dealt out before they are copied to their buckets, so that few tasks make large blocks of them.
+    """
     turned = tuple(sum(1 << b for b in some) for n in range(probe + 1) for some in combinations(range(bits), n))
-    asked = buckets(queries, "query_id", dim, tables, bits, vector, turned).repartition("table", "key").sortWithinPartitions("table", "key")
-    left = tiles.numbered(durable(tiles.packed(asked, "v", QUERIES, unit=True, by=("table", "key"))))
-    there = buckets(vectors_df, "block_id", dim, tables, bits, vector).sortWithinPartitions("table", "key")
-    right = tiles.packed(there, "v", BLOCKS, unit=True, by=("table", "key"))
+    left = tiles.numbered(buckets(queries.select("query_id", vector).repartition("query_id"), "query_id", dim, tables, bits, QUERIES, vector, turned))
+    right = buckets(vectors_df, "block_id", dim, tables, bits, BLOCKS, vector)
     return right.join(left, (F.col("table") == F.col("l_table")) & (F.col("key") == F.col("l_key")))
 
 
+def _bucket_feed(k: int, dim: int, digits: int):
+    """For pairs of blocks of buckets: the k best cosines of each query."""
+
+    def unit(b: pa.RecordBatch, i: int, prefix: str, n: int) -> np.ndarray:
+        m = b.column(f"{prefix}m")[i].as_buffer()
+        m = np.frombuffer(m, np.float32 if m.size == 4 * n * dim else np.float64).reshape(n, dim).astype(float)
+        norm = np.linalg.norm(m, axis=1, keepdims=True)
+        return m / np.where(norm > 0, norm, 1)
+
+    def feed(b: pa.RecordBatch, i: int, state: dict) -> None:
+        keys, number, ids = tiles.values(b, i, "l_id"), b.column("l_number")[i].as_py(), tiles.values(b, i, "id")
+        if number not in state:
+            state[number] = tiles.Best(len(keys), k, object if ids.dtype == object else np.int64), keys.copy()
+        s = np.round(tiles.product(unit(b, i, "l_", len(keys)), unit(b, i, "", len(ids))), digits)
+        state[number][0].add(np.arange(len(keys)), s, np.ones(s.shape, bool), ids)
+
+    return feed
+
+
 def lsh_topk(queries: DataFrame, vectors_df: DataFrame, k: int, dim: int, tables: int = 6, bits: int = 12, probe: int = 1, min_score: float = -1.0, backfill: bool = True, vector: str = "embedding") -> DataFrame:
     """Approximate cosine top k: query keys and bucket keys of sign hashes are joined, and pairs in one bucket scored exactly.
 
     A query also looks at the keys that differ from its own in up to probe bits.  Both sides are packed by
     bucket before the join, so a row is a block of vectors of one bucket: a bucket with a third of all vectors
-    is many rows, which adaptive execution splits, and its pairs stay inside a task.  How many neighbours are
-    found hangs on how near they are: tables, bits and probe must fit the data.  With backfill, queries that
-    found fewer than k candidates are answered by the exact search.
+    is many rows, which adaptive execution splits, and its pairs stay inside a task.  Each side is shuffled once, and
+    of what tasks find the k best are kept only.  How many neighbours are found hangs on how near they are: tables,
+    bits and probe must fit the data.  With backfill, queries that found fewer than k candidates are answered by the
+    exact search.
     """
     pairs = bucket_pairs(queries, vectors_df, dim, tables, bits, probe, vector)
-    found = tiles.best_pairs([pairs], HITS, tiles.cosine_feed(k, 9), tiles.entries(["query_id", "block_id", "score"]))
-    hits = ranked(found.groupBy("query_id", "block_id").agg(F.max("score").alias("score")), k, F.desc("score"), "block_id")
+    best = lambda found: ranked(found.groupBy("query_id", "block_id").agg(F.max("score").alias("score")), k, F.desc("score"), "block_id")
+    hits = tiles.best_pairs([pairs], HITS, _bucket_feed(k, dim, 9), tiles.entries(["query_id", "block_id", "score"]), then=best)
     if not backfill:
         return hits.filter(F.col("score") >= min_score)
-    hits = durable(hits)
     enough = hits.filter(F.col("rank") == k).select("query_id")
     short = queries.join(enough, "query_id", "left_anti")
-    exact = vector_topk(short, vectors_df, k, min_score, vector)
-    return hits.filter(F.col("score") >= min_score).join(enough, "query_id", "left_semi").unionByName(exact)
+    near = hits.filter(F.col("score") >= min_score).join(enough, "query_id", "left_semi")
+    return near if short.isEmpty() else near.unionByName(vector_topk(short, vectors_df, k, min_score, vector))  # which packs all vectors
 
 
 def two_stage_topk(queries: DataFrame, blocks: DataFrame, k: int, total: int, cfg: Config = DEFAULT, rerank: bool = True) -> DataFrame:

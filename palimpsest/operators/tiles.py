@@ -154,11 +154,11 @@ class Best:
         self.score[rows[own]], self.id[rows[own]] = score[first], ident[first]
 
 
-def best_pairs(pairs: list[DataFrame], schema: str, feed: Callable[[pa.RecordBatch, int, dict], None], out: Callable[[Best, object], pa.RecordBatch], most: int = 1 << 22) -> DataFrame:
+def best_pairs(pairs: list[DataFrame], schema: str, feed: Callable[[pa.RecordBatch, int, dict], None], out: Callable[[Best, object], pa.RecordBatch], most: int = 1 << 22, then: Callable[[DataFrame], DataFrame] = lambda found: found) -> DataFrame:
     """What each task keeps of its pairs of blocks; feed updates the task's state, {left block: (Best, more)}, by a pair, out makes its rows.
 
     What is held is passed on in between once it comes to most entries.  Run at once, frame by frame, as the
-    pairs go to Python some megabytes at a time, and kept.
+    pairs go to Python some megabytes at a time, and kept as then leaves it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +176,7 @@ def best_pairs(pairs: list[DataFrame], schema: str, feed: Callable[[pa.RecordBat
         yield from (out(best, more) for best, more in state.values())
 
     with setting(pairs[0].sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES)):
-        return reduce(DataFrame.unionByName, [durable(x.mapInArrow(run, schema)) for x in pairs])
+        return reduce(DataFrame.unionByName, [durable(then(x.mapInArrow(run, schema))) for x in pairs])
 
 
 def cosine_feed(k: int, digits: int) -> Callable[[pa.RecordBatch, int, dict], None]:
