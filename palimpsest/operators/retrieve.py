@@ -220,11 +220,12 @@ def bucket_pairs(queries: DataFrame, vectors_df: DataFrame, dim: int, tables: in
     """Blocks of queries beside blocks of vectors that lie in one bucket of a table, or within probe bits of it.
 
     Queries are dealt out before they are copied to their buckets, so that few tasks make large blocks of them.
+    Neither side is broadcast: sizes are guessed from what goes into buckets(), which makes hundreds of copies of a query.
     """
     turned = tuple(sum(1 << b for b in some) for n in range(probe + 1) for some in combinations(range(bits), n))
     left = tiles.numbered(buckets(queries.select("query_id", vector).repartition("query_id"), "query_id", dim, tables, bits, QUERIES, vector, turned))
     right = buckets(vectors_df, "block_id", dim, tables, bits, BLOCKS, vector)
-    return right.join(left, (F.col("table") == F.col("l_table")) & (F.col("key") == F.col("l_key")))
+    return right.join(left.hint("merge"), (F.col("table") == F.col("l_table")) & (F.col("key") == F.col("l_key")))
 
 
 def _bucket_feed(k: int, dim: int, digits: int):

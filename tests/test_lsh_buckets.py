@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import vectors
 from palimpsest.operators import retrieve, tiles
+from palimpsest.storage import setting
 
 SCHEMA = "block_id string, embedding array<double>"
 
@@ -52,6 +53,15 @@ def test_only_the_k_best_of_a_query_are_saved(spark, monkeypatch):
         assert [got[i, r] for r in (1, 2, 3)] == [(name, pytest.approx(-s, abs=2e-9)) for s, name in want]
 
 
+def test_buckets_are_never_broadcast(spark):
+    """The copies of the queries went through the driver, as their size was guessed from the queries before they were copied."""
+    q, b = frames(spark, np.random.default_rng(4).normal(size=(400, 16)))
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "10m"):
+        pairs = retrieve.bucket_pairs(q, b, 16, 8, 4, 1)
+        assert len(pairs.collect()) > 0
+        assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_query_without_enough_candidates_still_gets_the_exact_answer(spark):
     m = np.eye(16)[:12]
     q, b = frames(spark, m)
