@@ -73,9 +73,11 @@ def keyword_topk(queries: DataFrame, blocks: DataFrame, k: int, there: DataFrame
     """query_id, block_id, score, rank by Jaccard of keyword sets; ties by first shared key, then block order.
 
     Candidates that share only a two-character piece score 0 and keep their ranks.  Blocks of queries meet blocks of
-    blocks as in vector_topk (operators.keywords), so a candidate is no row and a task keeps k a query.  there: packed_blocks.
+    blocks as in vector_topk (operators.keywords), so a candidate is no row and a task keeps k a query.  there: packed_blocks,
+    which may also come as blocks.
     """
     asked = _keyed(queries, F.col("query_id").cast("bigint").alias("id"))
+    there = blocks if there is None and "hashes" in blocks.columns else there
     if there is None:
         own = _keyed(blocks, F.col("block_id").alias("id"), F.col("block_seq").cast("bigint").alias("block_seq"))
         hits = keywords.candidates(asked, own, k, (QUERIES, BLOCKS))
@@ -162,8 +164,7 @@ def vector_topk(queries: DataFrame, blocks: DataFrame, k: int, min_score: float
     left = tiles.packed(_vectors(queries, "query_id", vector), "v", QUERIES, unit=True)
     right = [tiles.packed(_vectors(blocks, "block_id", vector), "v", BLOCKS, unit=True)] if there is None else []
     left, *right = _packed(queries.sparkSession, left, *right)
-    pairs = tiles.paired(left, there if there is not None else right[0])
-    hits = tiles.best_pairs(pairs, HITS, tiles.cosine_feed(k, digits), tiles.entries(["query_id", "block_id", "score"]))
+    hits = tiles.best_beside(left, there if there is not None else right[0], HITS, tiles.UNITS, tiles.cosine_feed(k, digits), tiles.entries(["query_id", "block_id", "score"]))
     if min_score is not None:
         hits = hits.filter(F.col("score") >= min_score)
     return ranked(hits, k, F.desc("score"), "block_id")
@@ -322,7 +323,7 @@ def semantic_topk(queries: DataFrame, blocks: DataFrame, cfg: Config = DEFAULT,
         near = clamped(two_stage_topk(queries, blocks, k, blocks.count(), cfg)).filter(F.col("score") >= cfg.vector_min_score)
     else:
         near = vector_topk(queries, blocks, k, cfg.vector_min_score, there=there)
-    words = keyword_topk(queries, blocks, k, there) if index is None else pruned_topk(queries, index, k)
+    words = keyword_topk(queries, blocks if there is None else there, k) if index is None else pruned_topk(queries, index, k)
     return rrf({"keyword": (words, cfg.keyword_weight), "vector": (near, cfg.vector_weight)}, k)
 
 
